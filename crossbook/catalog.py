@@ -1,0 +1,11 @@
+"""Named queries of the market engine and the SQL that states their results."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
