@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, substrings
+from . import decontamination, jaccard, packing, quality, scoring, substrings
 
 
 def queries() -> dict:
-    found = (packing.op1_best_fit_packing, substrings.op2_substring_dedup)
+    found = (
+        packing.op1_best_fit_packing, substrings.op2_substring_dedup, scoring.op3_lm_scoring, decontamination.op4_decontamination,
+        quality.op5_quality_rules, jaccard.op9_ngram_jaccard_join,
+    )
     return {f.__name__: f for f in found}
 
 
