@@ -13,6 +13,7 @@ An empty table gives an empty result; columns other than the id and the text are
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,34 +27,84 @@ from . import lake
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-WORD_CACHE = 300_000
+WORD_CACHE = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_encoders: dict[str, object] = {}
+
+
 def _word_encoder(tokenizer_path: str):
-    """bytes of a text -> little-endian unsigned 32-bit ids of its words.
+    """bytes of a text -> little-endian unsigned 32-bit ids of its words; one encoder for each worker.
 
-    This vocabulary's pre-tokens never hold white space and its normaliser maps white space to one space, so words
-    between ASCII white space are encoded apart and remembered."""
+    This vocabulary's pre-tokens never hold white space and its normaliser maps white space to one space and lower-cases, so
+    words between ASCII white space are encoded apart, lower-cased, and remembered. A text that may hold a special token's
+    name is encoded as it is."""
+    if tokenizer_path in _encoders:
+        return _encoders[tokenizer_path]
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tok = Tokenizer.from_file(tokenizer_path)
+    ends = np.zeros(tok.get_vocab_size(), dtype=bool)
+    ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
     known: dict[bytes, bytes] = {}
 
+    def learn(words: list[bytes]) -> None:
+        """Letters alone (of Latin-1, which normalisation leaves whole) are one pre-token, which ends with the id of a word end;
+        many are encoded at once."""
+        plain, odd, tails = [], [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if t.isalpha() and max(t) < "\u0100":
+                plain.append(w)
+            elif w[-1:] in b".," and t[:-1].isalpha() and max(t) < "\u0100":
+                tails.append(w)
+                plain += [w[:-1]] * (w[:-1] not in known)
+            else:
+                odd.append(w)
+        plain = list(dict.fromkeys(plain))
+        if tails:
+            odd += [x for x in (b".", b",") if x not in known]
+        lots = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for lot, e in zip(lots, tok.encode_batch_fast([b" ".join(x).decode() for x in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            known.update(zip(lot, [raw[a:b] for a, b in zip([0, *cut], cut)], strict=True))
+        for w, e in zip(odd, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w in tails:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
     def encode(text: bytes) -> bytes:
-        words = text.split()
+        if b"<|" in text:
+            return np.array(tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words = text.lower().split()
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            pass
+            return b"".join(_fresh(words))
+
+    def _fresh(words: list[bytes]) -> list[bytes]:
         if len(known) > WORD_CACHE:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        learn([w for w in dict.fromkeys(words) if w not in known])
+        return [known[w] for w in words]
+
+    def prepare(texts: list[bytes]) -> None:
+        """Learns the words of several texts at once."""
+        new: set[bytes] = set()
+        for t in texts:
+            new.update(t.lower().split())
+        new.difference_update(known)
+        if len(known) + len(new) > WORD_CACHE:
+            known.clear()
+            return
+        learn(list(new))
 
-    return encode
+    _encoders[tokenizer_path] = encode, prepare
+    return encode, prepare
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -61,11 +112,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_encoder(tokenizer_path)
+        encode, prepare = _word_encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            texts, fresh = batch.column(1), 0
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                if i == fresh:  # words of the next texts, about a megabyte
+                    lot, size = [], 0
+                    while fresh < len(texts) and size < 1 << 20:
+                        lot.append(texts[fresh].as_py())
+                        size += len(lot[-1])
+                        fresh += 1
+                    prepare([x for x in lot if b"<|" not in x])
+                    at = i
+                ids = encode(lot[i - at]) + end
                 total = len(ids) // 4
                 for k, start in enumerate(range(0, total, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
