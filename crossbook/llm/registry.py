@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, packing, quality, scoring, substrings
+from . import decontamination, jaccard, licences, packing, pii, quality, scoring, substrings, tokens, warc
 
 
 def queries() -> dict:
     found = (
         packing.op1_best_fit_packing, substrings.op2_substring_dedup, scoring.op3_lm_scoring, decontamination.op4_decontamination,
-        quality.op5_quality_rules, jaccard.op9_ngram_jaccard_join,
+        quality.op5_quality_rules, pii.op6_pii, warc.op7_warc_revisits, licences.op8_license_scans, jaccard.op9_ngram_jaccard_join, tokens.op10_token_counts,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scans": licences.ORACLE}
