@@ -1,11 +1,381 @@
-"""Named queries of the market engine and the SQL that states their results."""
+"""Named queries of the market engine and, in `oracle_sql`, the DuckDB SQL that states their results.
+
+Timestamps leave the queries as microseconds and derived doubles rounded to six places, so both engines' values can be compared.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .functions.names import CFB_ALIASES, NFL_TEAMS
+from .operators import book_stats, episodes, ladders, matching, scoring, stats
+from .plans import jobs
+from .views import cte, view
+
+#: Ticks of a match in these tables are hours apart.
+GAP = 43_200.0
+WEEK = 7
+KEY = "sport, game_date, team_a, team_b"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Timestamps in microseconds, doubles rounded."""
+    out = {}
+    for c, kind in df.dtypes:
+        if kind == "timestamp":
+            out[c] = F.unix_micros(c)
+        elif kind == "double":
+            out[c] = F.round(c, 6)
+    return df.withColumns(out) if out else df
+
+
+def _flat_up(df: DataFrame) -> DataFrame:
+    """As _flat, with half-way cases pushed up: costs over 2**k units often end in a five, where the last bit would decide."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c, kind in df.dtypes if kind == "double"})
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_ticks")
+
+
+def _eps(spark: SparkSession, d: str, thresholds=episodes.THRESHOLDS) -> DataFrame:
+    return episodes.find_episodes(_ticks(spark, d), thresholds, GAP)
+
+
+STATUS = "CASE WHEN live = 1 THEN 'live' WHEN ended = 1 THEN 'ended' WHEN live IS NULL AND ended IS NULL THEN 'unknown' ELSE 'pregame' END"
+THR = "(VALUES (CAST(0.0 AS DOUBLE), false), (CAST(0.01 AS DOUBLE), true), (CAST(0.02 AS DOUBLE), true), (CAST(0.03 AS DOUBLE), true))"
+
+
+def _episode_cte(source: str = "v_ticks", part: str = "") -> str:
+    """CTEs up to ep: episodes at all thresholds. part: a leading partition column of the source."""
+    key = part + KEY
+    return f"""
+st AS (SELECT *, {STATUS} AS status FROM {source}), thr(min_edge, inclusive) AS {THR},
+o AS (SELECT st.*, min_edge, inclusive, coalesce(closed = 0 AND CASE WHEN inclusive THEN best_edge >= min_edge ELSE best_edge > min_edge END, false) AS is_on FROM st CROSS JOIN thr),
+s AS (SELECT *, lag(is_on) OVER w AS p_on, lag(observed_at) OVER w AS p_ts, lag(status) OVER w AS p_status, lead(is_on) OVER w AS n_on, lead(observed_at) OVER w AS n_ts, lead(status) OVER w AS n_status
+  FROM o WINDOW w AS (PARTITION BY {key}, min_edge, inclusive ORDER BY observed_at, tick_id)),
+f AS (SELECT *, sum(CASE WHEN p_ts IS NULL OR NOT p_on OR epoch_us(observed_at) - epoch_us(p_ts) > {int(GAP * 1e6)} OR p_status <> status THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, min_edge, inclusive ORDER BY observed_at, tick_id) AS eid,
+  CASE WHEN n_ts IS NOT NULL AND NOT n_on AND epoch_us(n_ts) - epoch_us(observed_at) <= {int(GAP * 1e6)} AND n_status = status THEN n_ts ELSE observed_at END AS off_end FROM s WHERE is_on),
+g AS (SELECT {key}, min_edge, inclusive, eid, first(level ORDER BY observed_at, tick_id) AS level, first(live ORDER BY observed_at, tick_id) AS live, first(ended ORDER BY observed_at, tick_id) AS ended, first(status ORDER BY observed_at, tick_id) AS status,
+  first(best_trade ORDER BY best_edge DESC, observed_at, tick_id) AS best_trade, epoch_us(min(observed_at)) AS start, epoch_us(max(observed_at)) AS last_ts, epoch_us(last(off_end ORDER BY observed_at, tick_id)) AS "end",
+  last(n_ts IS NULL ORDER BY observed_at, tick_id) AS alive, max(best_edge) AS peak_edge, count(*) AS ticks FROM f GROUP BY ALL),
+ends AS (SELECT {part}epoch_us(max(observed_at)) AS global_end FROM {source} {"GROUP BY 1" if part else ""}),
+ep AS (SELECT g.* EXCLUDE (eid, alive), greatest(0, "end" - start) / 1e6 AS duration_seconds, alive AND global_end - last_ts <= {int(GAP * 1e6)} AS still_open FROM g {"JOIN ends USING (slice)" if part else "CROSS JOIN ends"})"""
+
+
+_EP = f"WITH {cte('v_ticks')}, {_episode_cte()}"
+_EP_COLUMNS = f'{KEY}, level, best_trade, start, "end", last_ts, round(duration_seconds, 6) AS duration_seconds, round(peak_edge, 6) AS peak_edge, ticks, still_open, min_edge, inclusive, live, ended, status'
+DUR = "count(duration_seconds) AS n, count(*) FILTER (WHERE still_open) AS open_n, round(avg(duration_seconds), 6) AS mean, round(median(duration_seconds), 6) AS median, round(min(duration_seconds), 6) AS min, round(max(duration_seconds), 6) AS max"
+
+
+for _name, _t in (("episodes_all", episodes.THRESHOLDS[0]), *((f"episodes_{i}c", episodes.THRESHOLDS[i]) for i in (1, 2, 3))):
+    _query(_name, f"{_EP} SELECT {_EP_COLUMNS} FROM ep WHERE min_edge = {_t[0]}")(lambda spark, d, t=_t: _flat(_eps(spark, d, (t,))))
+
+
+@_query("duration_stats", f"{_EP} SELECT min_edge, inclusive, {DUR} FROM ep GROUP BY ALL")
+def _duration_stats(spark, d):
+    return _flat(stats.duration_stats(_eps(spark, d), "min_edge", "inclusive"))
+
+
+_ROLL = f"""roll AS (SELECT {KEY}, first(level ORDER BY peak_edge DESC, duration_seconds DESC, start) AS level, first(best_trade ORDER BY peak_edge DESC, duration_seconds DESC, start) AS best_trade,
+  round(max(peak_edge), 6) AS peak_edge, round(sum(duration_seconds), 6) AS duration_seconds, CAST(sum(ticks) AS BIGINT) AS ticks, count(*) AS episodes, bool_or(still_open) AS still_open, min(start) AS start, max("end") AS "end",
+  CASE WHEN bool_or(status = 'live') THEN 1 ELSE first(live ORDER BY peak_edge DESC, duration_seconds DESC, start) END AS live, first(ended ORDER BY peak_edge DESC, duration_seconds DESC, start) AS ended,
+  CASE WHEN bool_or(status = 'live') THEN 'live' ELSE first(status ORDER BY peak_edge DESC, duration_seconds DESC, start) END AS status FROM ep WHERE NOT inclusive GROUP BY {KEY})"""
+
+
+@_query("match_rollups", f"{_EP}, {_ROLL} SELECT * FROM roll")
+def _match_rollups(spark, d):
+    return _flat(stats.match_rollups(_eps(spark, d, episodes.THRESHOLDS[:1])))
+
+
+@_query("largest_rollups", f"{_EP}, {_ROLL} SELECT * FROM roll ORDER BY peak_edge DESC, duration_seconds DESC, start, {KEY} LIMIT 5")
+def _largest_rollups(spark, d):
+    return _flat(stats.largest(stats.match_rollups(_eps(spark, d, episodes.THRESHOLDS[:1]))))
+
+
+@_query("top_episodes", f"{_EP} SELECT {_EP_COLUMNS}, CAST(rank AS INT) AS rank, greatest(total - 5, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY min_edge ORDER BY peak_edge DESC, duration_seconds DESC, start, {KEY}) AS rank, count(*) OVER (PARTITION BY min_edge) AS total FROM ep WHERE min_edge >= 0.02) WHERE rank <= 5")
+def _top_episodes(spark, d):
+    return _flat(stats.top_episodes(_eps(spark, d, episodes.THRESHOLDS[2:])))
+
+
+@_query("threshold_counts", f"{_EP} SELECT min_edge, inclusive, count(DISTINCT (sport, game_date, team_a, team_b)) AS matches, count(*) AS episodes FROM ep GROUP BY ALL")
+def _threshold_counts(spark, d):
+    return stats.threshold_counts(_eps(spark, d))
+
+
+_TICK_SQL = "count(*) AS ticks, count(*) FILTER (WHERE is_arb = 1) AS arb_ticks, count(DISTINCT (sport, game_date, team_a, team_b)) AS quoted_matches, count(DISTINCT CASE WHEN is_arb = 1 THEN sport || game_date || team_a || team_b END) AS arb_matches"
+_BOTH = "coalesce(ticks, 0) AS ticks, coalesce(arb_ticks, 0) AS arb_ticks, round(arb_ticks / ticks, 6) AS arb_rate, coalesce(quoted_matches, 0) AS quoted_matches, coalesce(arb_matches, 0) AS arb_matches, coalesce(n, 0) AS n, coalesce(open_n, 0) AS open_n, mean, median, min, max"
+
+
+@_query("status_breakdown", f"{_EP}, t AS (SELECT status, {_TICK_SQL} FROM st GROUP BY 1), e AS (SELECT status, {DUR} FROM ep WHERE NOT inclusive GROUP BY 1) SELECT status, {_BOTH}, CASE status WHEN 'live' THEN 0 WHEN 'pregame' THEN 1 WHEN 'ended' THEN 2 ELSE 3 END AS rank FROM t FULL JOIN e USING (status)")
+def _status_breakdown(spark, d):
+    return _flat(stats.status_breakdown(_ticks(spark, d), _eps(spark, d, episodes.THRESHOLDS[:1])))
+
+
+@_query("sport_breakdown", f"""{_EP}, t AS (SELECT sport, CAST(NULL AS VARCHAR) AS tour, {_TICK_SQL} FROM st GROUP BY 1 UNION ALL SELECT sport, level, {_TICK_SQL} FROM st WHERE sport = 'tennis' GROUP BY 1, 2),
+  e AS (SELECT sport, CAST(NULL AS VARCHAR) AS tour, {DUR} FROM ep WHERE NOT inclusive GROUP BY 1 UNION ALL SELECT sport, level, {DUR} FROM ep WHERE NOT inclusive AND sport = 'tennis' GROUP BY 1, 2)
+  SELECT t.sport, t.tour, {_BOTH}, CASE t.sport WHEN 'nfl' THEN 0 WHEN 'cfb' THEN 1 ELSE 2 END AS sport_rank, CASE t.tour WHEN 'atp' THEN 0 WHEN 'wta' THEN 1 WHEN 'itf' THEN 2 WHEN 'challenger' THEN 3 ELSE -1 END AS tour_rank
+  FROM t LEFT JOIN e ON t.sport = e.sport AND t.tour IS NOT DISTINCT FROM e.tour""")
+def _sport_breakdown(spark, d):
+    return _flat(stats.sport_breakdown(_ticks(spark, d), _eps(spark, d, episodes.THRESHOLDS[:1])))
+
+
+_GAPS = f"WITH {cte('v_ticks')}, ts AS (SELECT DISTINCT observed_at FROM v_ticks), gaps AS (SELECT epoch_us(observed_at) AS observed_at, (epoch_us(observed_at) - lag(epoch_us(observed_at)) OVER (ORDER BY observed_at)) / 1e6 AS gap FROM ts)"
+
+
+@_query("poll_gaps", f"{_GAPS} SELECT observed_at, round(gap, 6) AS gap FROM gaps WHERE gap IS NOT NULL")
+def _poll_gaps(spark, d):
+    return _flat(stats.poll_gaps(_ticks(spark, d)))
+
+
+@_query("typical_poll", f"{_GAPS} SELECT round(coalesce(median(gap) FILTER (WHERE gap < 60), 8.0), 6) AS typical_poll_seconds FROM gaps")
+def _typical_poll(spark, d):
+    return _flat(stats.typical_poll_seconds(_ticks(spark, d)))
+
+
+@_query("window_stats", f"""{_GAPS} SELECT (SELECT count(*) FROM v_ticks) AS ticks, (SELECT count(DISTINCT (sport, game_date, team_a, team_b)) FROM v_ticks) AS quoted_matches, (SELECT epoch_us(min(observed_at)) FROM v_ticks) AS window_start,
+  (SELECT epoch_us(max(observed_at)) FROM v_ticks) AS window_end, (SELECT count(*) FROM ts) AS poll_cycles, round(coalesce(median(gap) FILTER (WHERE gap < 60), 8.0), 6) AS typical_poll_seconds, CAST({GAP} AS DOUBLE) AS gap_break_seconds, round(max(gap), 6) AS max_poll_gap FROM gaps""")
+def _window_stats(spark, d):
+    return _flat(stats.window_stats(_ticks(spark, d), GAP))
+
+
+@_query("unique_matches", f"WITH {cte('v_ticks')} SELECT DISTINCT {KEY} FROM v_ticks")
+def _unique_matches(spark, d):
+    return stats.unique_matches(_ticks(spark, d))
+
+
+@_query("poll_summary", f"WITH {cte('v_ticks')}, st AS (SELECT *, {STATUS} AS status, is_arb = 1 AND closed = 0 AS hit FROM v_ticks) SELECT epoch_us(observed_at) AS observed_at, count(*) AS quoted, count(*) FILTER (WHERE closed = 1) AS closed, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE hit AND status = 'live') AS live_hits, count(*) FILTER (WHERE hit AND status <> 'live') AS other_hits FROM st GROUP BY 1")
+def _poll_summary(spark, d):
+    return _flat(jobs.poll_summary(_ticks(spark, d)))
+
+
+def _book(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_book_ticks")
+
+
+def _snap_cte(source: str = "v_book_ticks", part: str = "") -> str:
+    by = "profit DESC, best_edge DESC, observed_at, tick_id"
+    return f"""thr(min_edge, inclusive) AS {THR},
+q AS (SELECT b.*, min_edge, inclusive, coalesce(exec_profit, 0) AS profit, coalesce(exec_qty, 0) AS qty, {STATUS} AS status FROM {source} b CROSS JOIN thr WHERE is_exec = 1 AND CASE WHEN inclusive THEN best_edge >= min_edge ELSE best_edge > min_edge END),
+snap AS (SELECT {part}min_edge, inclusive, {KEY}, first(level ORDER BY observed_at, tick_id) AS level, first(best_trade ORDER BY {by}) AS best_trade, first(profit ORDER BY {by}) AS peak_profit, first(qty ORDER BY {by}) AS peak_qty, first(best_edge ORDER BY {by}) AS peak_edge,
+  count(*) AS exec_ticks, CASE WHEN bool_or(status = 'live') THEN 1 ELSE first(live ORDER BY observed_at, tick_id) END AS live, first(ended ORDER BY observed_at, tick_id) AS ended, CASE WHEN bool_or(status = 'live') THEN 'live' ELSE first(status ORDER BY observed_at, tick_id) END AS status FROM q GROUP BY {part}min_edge, inclusive, {KEY})"""
+
+
+_SNAP = f"WITH {cte('v_book_ticks')}, {_snap_cte()}"
+_SNAP_COLUMNS = f"min_edge, inclusive, {KEY}, level, best_trade, round(peak_profit, 6) AS peak_profit, round(peak_qty, 6) AS peak_qty, round(peak_edge, 6) AS peak_edge, exec_ticks, live, ended, status"
+
+
+@_query("best_snapshots", f"{_SNAP} SELECT {_SNAP_COLUMNS} FROM snap")
+def _best_snapshots(spark, d):
+    return _flat(book_stats.best_snapshots(_book(spark, d)))
+
+
+@_query("largest_snapshots", f"{_SNAP} SELECT {_SNAP_COLUMNS} FROM snap WHERE NOT inclusive ORDER BY snap.peak_profit DESC, snap.peak_edge DESC, team_a, {KEY} LIMIT 5")
+def _largest_snapshots(spark, d):
+    return _flat(book_stats.largest_snapshots(book_stats.best_snapshots(_book(spark, d), episodes.THRESHOLDS[:1])))
+
+
+@_query("profit_buckets", f"""{_SNAP}, b(label, low, high) AS (VALUES ('under $1', -1e18, 1.0), ('$1-$10', 1.0, 10.0), ('$10-$100', 10.0, 100.0), ('$100+', 100.0, 1e18)), gr AS (SELECT DISTINCT min_edge, inclusive FROM snap)
+  SELECT gr.min_edge, gr.inclusive, label, count(peak_profit) AS matches, round(coalesce(sum(peak_profit), 0.0), 6) AS gross_profit, round(coalesce(sum(peak_qty), 0.0), 6) AS gross_qty FROM gr CROSS JOIN b LEFT JOIN snap s ON s.min_edge = gr.min_edge AND s.peak_profit >= low AND s.peak_profit < high GROUP BY ALL""")
+def _profit_buckets(spark, d):
+    return _flat(book_stats.profit_buckets(book_stats.best_snapshots(_book(spark, d)), "min_edge", "inclusive"))
+
+
+_SUM = "count(*) AS matches, round(coalesce(sum(peak_profit), 0.0), 6) AS gross_profit, round(coalesce(sum(peak_qty), 0.0), 6) AS gross_qty, round(median(peak_profit), 6) AS median_profit, round(median(peak_qty), 6) AS median_qty, round(max(peak_profit), 6) AS max_profit, CAST(sum(exec_ticks) AS BIGINT) AS exec_ticks"
+
+
+@_query("snapshot_summary", f"{_SNAP} SELECT min_edge, inclusive, {_SUM} FROM snap GROUP BY ALL")
+def _snapshot_summary(spark, d):
+    return _flat(book_stats.snapshot_summary(book_stats.best_snapshots(_book(spark, d)), "min_edge", "inclusive"))
+
+
+def _blocks_sql(source: str, part: str) -> str:
+    """Episodes and snapshots of each threshold (and slice), for source with is_exec."""
+    snap = _snap_cte(source, part).split("\n", 1)[1]
+    by = f"{part}min_edge, inclusive"
+    groups = f"(SELECT DISTINCT slice FROM {source}) CROSS JOIN thr" if part else "thr"
+    return f"""{_episode_cte("pt", part)}, {snap},
+sm AS (SELECT {by}, {_SUM} FROM snap GROUP BY ALL), es AS (SELECT {by}, {DUR} FROM ep GROUP BY ALL),
+blocks AS (SELECT {by}, coalesce(matches, 0) AS matches, coalesce(gross_profit, 0.0) AS gross_profit, coalesce(gross_qty, 0.0) AS gross_qty, median_profit, median_qty, max_profit, coalesce(exec_ticks, 0) AS exec_ticks, coalesce(n, 0) AS n, coalesce(open_n, 0) AS open_n, mean, median, min, max
+  FROM {groups} LEFT JOIN sm USING ({by}) LEFT JOIN es USING ({by}))"""
+
+
+_SLICED = "sl AS (SELECT *, sport AS slice FROM v_book_ticks UNION ALL SELECT *, 'tennis/' || level FROM v_book_ticks WHERE sport = 'tennis')"
+
+
+@_query("edge_blocks", f"WITH {cte('v_book_ticks')}, pt AS (SELECT *, 0 AS closed FROM v_book_ticks), {_blocks_sql('v_book_ticks', '')} SELECT * FROM blocks")
+def _edge_blocks(spark, d):
+    return _flat(book_stats.edge_blocks(_book(spark, d), gap_break=GAP))
+
+
+@_query("sport_slices", f"""WITH {cte('v_book_ticks')}, {_SLICED}, pt AS (SELECT *, 0 AS closed FROM sl), {_blocks_sql('sl', 'slice, ')}, ct AS (SELECT slice, count(DISTINCT (sport, game_date, team_a, team_b)) AS quoted_matches, count(*) AS ticks FROM sl GROUP BY 1)
+  SELECT blocks.*, quoted_matches, ticks, CASE split_part(slice, '/', 1) WHEN 'nfl' THEN 0 WHEN 'cfb' THEN 1 ELSE 2 END AS rank FROM blocks JOIN ct USING (slice)""")
+def _sport_slices(spark, d):
+    return _flat(book_stats.slice_stats(_book(spark, d), gap_break=GAP))
+
+
+@_query("closest_misses", f"WITH {cte('v_book_ticks')}, m AS (SELECT *, max(is_exec) OVER (PARTITION BY observed_at) AS any_hit FROM v_book_ticks), r AS (SELECT *, row_number() OVER (PARTITION BY observed_at ORDER BY best_cost, {KEY}) AS rank FROM m WHERE any_hit = 0) SELECT epoch_us(observed_at) AS observed_at, {KEY}, round(best_cost, 6) AS best_cost, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+def _closest_misses(spark, d):
+    return _flat(jobs.closest_misses(_book(spark, d)).select("observed_at", *episodes.MATCH_KEY, "best_cost", "rank"))
+
+
+# Ladders: the SQL pairs overlapping quantity intervals; the query sweeps.
+_WALK = f"""WITH {cte('v_levels')}, c AS (SELECT match_id, side, price, CAST(sum(qty) OVER w AS DOUBLE) AS hi, CAST(sum(qty) OVER w - qty AS DOUBLE) AS lo FROM v_levels WINDOW w AS (PARTITION BY match_id, side ORDER BY price)),
+x AS (SELECT match_id, least(l.hi, r.hi) - greatest(l.lo, r.lo) AS size, round(l.price + r.price, 4) AS combined FROM (SELECT * FROM c WHERE side = 'L') l JOIN (SELECT * FROM c WHERE side = 'R') r USING (match_id) WHERE least(l.hi, r.hi) > greatest(l.lo, r.lo)),
+walk AS (SELECT match_id, sum(size) AS qty, sum(size * combined) AS total_cost FROM x WHERE combined < 1.0 GROUP BY 1),
+tops AS (SELECT match_id, min(price) FILTER (WHERE side = 'L') AS left_ask, min(price) FILTER (WHERE side = 'R') AS right_ask FROM v_levels GROUP BY 1),
+dirs AS (SELECT match_id, left_ask, right_ask, round(left_ask + right_ask, 4) AS combined_best, coalesce(qty, 0.0) AS qty, coalesce(total_cost / qty, round(left_ask + right_ask, 4)) AS avg_cost, coalesce(qty - total_cost, 0.0) AS profit,
+  coalesce(1 - total_cost / qty, round(1 - round(left_ask + right_ask, 4), 4)) AS edge, CASE WHEN qty IS NULL THEN 0 ELSE 1 END AS is_exec FROM tops LEFT JOIN walk USING (match_id) WHERE left_ask IS NOT NULL AND right_ask IS NOT NULL)"""
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_levels").withColumn("qty", F.col("qty").cast("double"))
+
+
+@_query("ladder_walk", f"{_WALK} SELECT match_id, round(qty + 1e-9, 6) AS qty, round(total_cost + 1e-9, 6) AS total_cost, round(total_cost / qty + 1e-9, 6) AS avg_cost, round(qty - total_cost + 1e-9, 6) AS profit, round(1 - total_cost / qty + 1e-9, 6) AS edge FROM walk")
+def _ladder_walk(spark, d):
+    return _flat_up(ladders.walk_ladders(_levels(spark, d)))
+
+
+_DIRS = "round(left_ask + 1e-9, 6) AS left_ask, round(right_ask + 1e-9, 6) AS right_ask, round(combined_best + 1e-9, 6) AS combined_best, round(qty + 1e-9, 6) AS qty, round(avg_cost + 1e-9, 6) AS avg_cost, round(profit + 1e-9, 6) AS profit, round(edge + 1e-9, 6) AS edge, is_exec"
+
+
+@_query("exec_directions", f"{_WALK} SELECT match_id, {_DIRS} FROM dirs")
+def _exec_directions(spark, d):
+    return _flat_up(ladders.score_directions(_levels(spark, d)))
+
+
+@_query("best_direction", f"{_WALK}, r AS (SELECT *, match_id // 2 AS game, match_id % 2 AS dir, row_number() OVER (PARTITION BY match_id // 2 ORDER BY is_exec DESC, edge DESC, match_id % 2) AS n FROM dirs) SELECT game AS team_a, dir, {_DIRS} FROM r WHERE n = 1")
+def _best_direction(spark, d):
+    dirs = ladders.score_directions(_levels(spark, d)).withColumns({"sport": F.lit("x"), "game_date": F.lit("x"), "team_a": F.expr("match_id div 2"), "team_b": F.lit("x"), "dir": F.col("match_id") % 2})
+    return _flat_up(ladders.best_direction(dirs.drop("match_id")).drop("sport", "game_date", "team_b"))
+
+
+def _listings(spark: SparkSession, d: str, venue: str) -> DataFrame:
+    return view(spark, d, "v_listings").where(F.col("venue") == venue).withColumns({"sport": F.lit("nfl"), "level": F.lit("pro")})
+
+
+_GROUPED = f"""WITH {cte('v_listings')}, gg AS (SELECT venue, least(team, opponent) AS team_a, greatest(team, opponent) AS team_b, game_date, min(src_ord) AS ord, last(yes_price ORDER BY src_ord) FILTER (WHERE team < opponent) AS pa, last(yes_price ORDER BY src_ord) FILTER (WHERE team > opponent) AS pb,
+  last(market_id ORDER BY src_ord) FILTER (WHERE team < opponent) AS ma, last(market_id ORDER BY src_ord) FILTER (WHERE team > opponent) AS mb FROM v_listings GROUP BY 1, 2, 3, 4)"""
+
+
+@_query("group_games", f"{_GROUPED} SELECT venue, team_a, team_b, CAST(game_date AS VARCHAR) AS game_date, ord, round(pa, 6) AS yes_a, round(pb, 6) AS yes_b, ma AS market_a, mb AS market_b FROM gg")
+def _group_games(spark, d):
+    df = matching.group_games(view(spark, d, "v_listings").withColumn("sport", F.col("venue")))
+    return _flat(df.select(F.col("sport").alias("venue"), F.get("pair", F.lit(0)).alias("team_a"), F.get("pair", F.lit(1)).alias("team_b"), F.col("game_date").cast("string").alias("game_date"), "ord", F.col("a.yes_price").alias("yes_a"), F.col("b.yes_price").alias("yes_b"), F.col("a.market_id").alias("market_a"), F.col("b.market_id").alias("market_b")))
+
+
+_MATCHED = f"""{_GROUPED}, cand AS (SELECT k.team_a, k.team_b, k.ord AS k_ord, p.ord AS p_ord, abs(date_diff('day', p.game_date, k.game_date)) AS delta, p.game_date AS p_date FROM gg k JOIN gg p USING (team_a, team_b) WHERE k.venue = 'K' AND p.venue = 'P' AND abs(date_diff('day', p.game_date, k.game_date)) <= {WEEK}),
+lists AS (SELECT list_prepend({{'k': CAST(-1 AS BIGINT), 'p': CAST(-1 AS BIGINT), 'used': CAST([] AS STRUCT(k BIGINT, p BIGINT)[])}}, list({{'k': CAST(k_ord AS BIGINT), 'p': CAST(p_ord AS BIGINT), 'used': CAST([] AS STRUCT(k BIGINT, p BIGINT)[])}} ORDER BY k_ord, delta, p_date, p_ord)) AS l FROM cand GROUP BY team_a, team_b),
+folded AS (SELECT list_reduce(l, lambda s, x: {{'k': x.k, 'p': x.p, 'used': CASE WHEN len(list_filter(s.used, lambda u: u.k = x.k OR u.p = x.p)) > 0 THEN s.used ELSE list_append(s.used, {{'k': x.k, 'p': x.p}}) END}}) AS r FROM lists),
+asg AS (SELECT u.k AS k_ord, u.p AS p_ord FROM (SELECT unnest(r.used) AS u FROM folded)),
+mt AS (SELECT k.team_a, k.team_b, k.game_date AS game_date, p.game_date AS poly_game_date, k.pa AS ka, k.pb AS kb, p.pa AS pa, p.pb AS pb, k.ma AS kma, p.ma AS pma, p.mb AS pmb FROM asg JOIN gg k ON k.ord = k_ord AND k.venue = 'K' JOIN gg p ON p.ord = p_ord AND p.venue = 'P')"""
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_markets(_listings(spark, d, "K"), _listings(spark, d, "P"), days=WEEK)
+
+
+@_query("match_exact", f"{_MATCHED} SELECT team_a, team_b, CAST(game_date AS VARCHAR) AS game_date, CAST(poly_game_date AS VARCHAR) AS poly_game_date, round(ka, 6) AS kalshi_yes_a, round(kb, 6) AS kalshi_yes_b, round(pa, 6) AS poly_yes_a, round(pb, 6) AS poly_yes_b, kma AS kalshi_id_a, coalesce(pma, pmb) AS poly_id FROM mt")
+def _match_exact(spark, d):
+    return _flat(_matches(spark, d).select("team_a", "team_b", "game_date", "poly_game_date", "kalshi_yes_a", "kalshi_yes_b", "poly_yes_a", "poly_yes_b", "kalshi_id_a", "poly_id"))
+
+
+_SCORED = f"""{_MATCHED}, sc AS (SELECT team_a, team_b, CAST(game_date AS VARCHAR) AS game_date, round(pa - ka, 4) AS team_a_price_diff, round(pb - kb, 4) AS team_b_price_diff, round(ka + pb, 4) AS kalshi_a_plus_poly_b, round(pa + kb, 4) AS poly_a_plus_kalshi_b,
+  round(least(ka + pb, pa + kb), 4) AS best_cost, round(1 - least(ka + pb, pa + kb), 4) AS best_edge, CASE WHEN 1 - least(ka + pb, pa + kb) > 0 THEN 1 ELSE 0 END AS is_arb,
+  CASE WHEN ka + pb <= pa + kb THEN 'buy ' || team_a || ' Kalshi YES + ' || team_b || ' Polymarket YES' ELSE 'buy ' || team_a || ' Polymarket YES + ' || team_b || ' Kalshi YES' END AS best_trade FROM mt WHERE ka + kb + pa + pb IS NOT NULL)"""
+_SCORE_COLUMNS = ("team_a", "team_b", "game_date", "team_a_price_diff", "team_b_price_diff", "kalshi_a_plus_poly_b", "poly_a_plus_kalshi_b", "best_cost", "best_edge", "is_arb", "best_trade")
+
+
+@_query("score_arbs", f"{_SCORED} SELECT * FROM sc")
+def _score_arbs(spark, d):
+    return _flat(scoring.score_arbs(_matches(spark, d)).select(*_SCORE_COLUMNS))
+
+
+@_query("top_arbs", f"{_SCORED} SELECT * FROM sc WHERE is_arb = 1 ORDER BY best_edge DESC, game_date, team_a, team_b LIMIT 12")
+def _top_arbs(spark, d):
+    return _flat(jobs.top_arbs(scoring.score_arbs(_matches(spark, d))).select(*_SCORE_COLUMNS))
+
+
+@_query("arb_history", f"{_SCORED} SELECT *, 'discovery' AS source FROM sc WHERE is_arb = 1")
+def _arb_history(spark, d):
+    from .sources.sinks import arb_rows
+
+    return _flat(arb_rows(scoring.score_arbs(_matches(spark, d)).select(*_SCORE_COLUMNS), "discovery"))
+
+
+@_query("discovery_summary", f"{_SCORED} SELECT (SELECT count(*) FROM v_listings) AS markets, (SELECT count(*) FROM mt) AS matches, CAST(0 AS BIGINT) AS live, CAST(0 AS BIGINT) AS ended, count(*) FILTER (WHERE is_arb = 1) AS hits, count(*) AS compared FROM sc")
+def _discovery_summary(spark, d):
+    m = _matches(spark, d)
+    return jobs.discovery_summary(view(spark, d, "v_listings"), m, scoring.score_arbs(m))
+
+
+@_query("dedupe_last", f"WITH {cte('v_listings')} SELECT venue, team, game_date, src_ord, round(yes_price, 6) AS yes_price FROM (SELECT *, row_number() OVER (PARTITION BY venue, team, game_date ORDER BY src_ord DESC) AS n FROM v_listings) WHERE n = 1")
+def _dedupe_last(spark, d):
+    return _flat(matching.dedupe_last(view(spark, d, "v_listings"), ["venue", "team", "game_date"], "src_ord").select("venue", "team", "game_date", "src_ord", "yes_price"))
+
+
+@_query("level_counts", f"WITH {cte('v_ticks')} SELECT sport, best_trade AS exchange, level, count(*) AS n FROM v_ticks GROUP BY ALL")
+def _level_counts(spark, d):
+    return jobs.level_counts(_ticks(spark, d).withColumnRenamed("best_trade", "exchange"))
+
+
+# Names: joined within a key, the predicate being the residual condition.
+_PLAYER = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), '')"
+_STOPS = "['de','da','das','dos','del','van','von','la','le','di','du','']"
+_TOKENS = "list_filter(string_split({}, ' '), lambda t: NOT list_contains(" + _STOPS + ", t))"
+
+
+@_query("fuzzy_pairs", f"""WITH n AS (SELECT DISTINCT {_PLAYER.format('p_name')} AS id, p_size FROM part), t AS (SELECT *, {_TOKENS.format('id')} AS w FROM n)
+  SELECT DISTINCT a.id AS left_name, b.id AS right_name FROM t a JOIN t b USING (p_size) WHERE contains(a.id, b.id) OR contains(b.id, a.id) OR (a.w[-1] = b.w[-1] AND length(a.w[-1]) > 2 AND a.w[1][1] = b.w[1][1])""")
+def _fuzzy_pairs(spark, d):
+    n = view(spark, d, "part").select(scalars.player_id(F.col("p_name")).alias("id"), "p_size").distinct()
+    a, b = n.select(F.col("id").alias("left_name"), "p_size"), n.select(F.col("id").alias("right_name"), "p_size")
+    return a.join(b, "p_size").where(scalars.names_equal(F.col("left_name"), F.col("right_name"))).select("left_name", "right_name").distinct()
+
+
+def _mapping(table: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in table.items()) + ")"
+
+
+_RAW = "trim(regexp_replace(regexp_replace({}, '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@_query("canonical_names", f"""WITH x AS (SELECT DISTINCT c_name AS name FROM customer UNION SELECT DISTINCT substr(text, 1, 40) FROM documents UNION SELECT n_name FROM nation), nfl(a, t) AS {_mapping(NFL_TEAMS)}, cfb(a, t) AS {_mapping(CFB_ALIASES)},
+  y AS (SELECT name, {_PLAYER.format('name')} AS player, {_RAW.format('lower(name)')} AS n_raw, {_RAW.format("replace(replace(lower(name), '&', ' and '), 'st.', ' state ')")} AS c_raw FROM x)
+  SELECT name, player, nullif(coalesce(cfb.t, c_raw), '') AS college, coalesce(n1.t, n2.t) AS pro FROM y LEFT JOIN cfb ON cfb.a = c_raw LEFT JOIN nfl n1 ON n1.a = n_raw LEFT JOIN nfl n2 ON n2.a = replace(n_raw, ' ', '')""")
+def _canonical_names(spark, d):
+    x = view(spark, d, "customer").select(F.col("c_name").alias("name")).union(view(spark, d, "documents").select(F.substring("text", 1, 40))).union(view(spark, d, "nation").select("n_name")).distinct()
+    return x.select("name", scalars.player_id(F.col("name")).alias("player"), scalars.cfb_team(F.col("name")).alias("college"), scalars.nfl_team(F.col("name")).alias("pro"))
+
+
+@_query("report_texts", f"""{_EP}, {_ROLL} SELECT {KEY}, '[' || CASE WHEN sport = 'tennis' THEN 'tennis/' || level ELSE sport END || '] ' || game_date || ' ' || team_a || ' vs ' || team_b AS game, printf('%.2fc', peak_edge * 100) AS edge_text,
+  CASE WHEN d >= 3600 THEN printf('%dh %dm %ds', d // 3600, d % 3600 // 60, d % 60) WHEN d >= 60 THEN printf('%dm %ds', d // 60, d % 60) ELSE printf('%ds', d) END AS time_text FROM (SELECT *, CAST(round_even(duration_seconds, 0) AS BIGINT) AS d FROM roll)""")
+def _report_texts(spark, d):
+    r = stats.match_rollups(_eps(spark, d, episodes.THRESHOLDS[:1]))
+    return r.select(*episodes.MATCH_KEY, scalars.game_label(*(F.col(c) for c in ("sport", "level", "game_date", "team_a", "team_b"))).alias("game"), scalars.fmt_cents(F.col("peak_edge")).alias("edge_text"), scalars.fmt_duration(F.round("duration_seconds", 6)).alias("time_text"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
