@@ -198,8 +198,7 @@ def _scan(df: DataFrame, matcher, carry: list[str]) -> DataFrame:
             made = {"_n_words": pa.array(n_words), "_hits": pa.array(hits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(c, col[c]) for c in [*carry, "_n_words", "_hits", "_items"]], names=[*carry, "_n_words", "_hits", "_items"])
 
-    kinds = dict(df.dtypes)
-    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", _n_words long, _hits binary, _items array<string>")
+    return df.mapInArrow(run, lake.schema(df, carry, "_n_words long, _hits binary, _items array<string>"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -231,7 +230,7 @@ def hit_words(hits: F.Column) -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without marked spans of text, and without the texts of which more than max_coverage is marked."""
-    found = matches(docs, benchmark, window)
+    found = matches(lake.packed(docs, "text"), benchmark, window)
 
     @F.pandas_udf("string")
     def cut(text, hits):
@@ -250,10 +249,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         return pd.Series([one(t, h) for t, h in zip(text, hits, strict=True)], dtype=object)
 
     found = found.where(hit_words(F.col("_hits")) <= max_coverage * F.col("_n_words"))
-    clean = found.withColumn("text", cut("text", "_hits"))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_hits").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return clean.select(*docs.columns)
+    return lake.unpacked(found.withColumn("text", cut("text", "_hits")), docs, F.col("text"), F.col("_hits").isNotNull())
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ Documents with equal shingle sets form a class; only classes are compared. For s
   difference, and with more blocks than the band's largest allowed difference two partners agree in one block that
   isn't empty (pigeonhole). Sets too clustered for that also emit their empty blocks, which only sets of their kind share.
 * Blocks shared by classes give candidates. A first round compares each class with the most connected class of its blocks,
-  which links groups of near copies without their pairs; what is left in different components is compared within each
-  block in pieces of bounded size, on bit-parity sketches (Hamming distance lower-bounds the difference), and only pairs
-  within the bound are kept.
+  which links groups of near copies without their pairs. What is left in different components is compared within each
+  block in pieces of bounded size, on bit-parity sketches (Hamming distance lower-bounds the difference); a piece passes on
+  the closest pairs that would join its components. This repeats until no pair within the bound is left that hasn't failed.
 * Every candidate is verified on the sets of 64-bit shingle hashes, made from the whole texts.
 
 Null texts and texts without words have empty sets: no links, a component of their own. Texts of fewer words than a
-shingle are one shingle. Rows that repeat a doc_id belong to one component. An empty table gives an empty result. Columns
+shingle are one shingle. Rows that repeat a doc_id belong to one component; sets that only rows without an id have
+aren't compared, and their component is null. An empty table gives an empty result. Columns
 other than the id and the text are carried through by `deduplicated`.
 """
 
@@ -33,7 +34,7 @@ from . import graph, lake, textkit
 WORDS = 5
 PERCENT = 80
 #: A block with more classes than this is passed on in parts while it is read, and compared in pieces of this many.
-PIECE = 512
+PIECE = 2048
 #: (block, class) pairs that a task gathers before it looks for shared blocks.
 GATHER = 3_000_000
 #: Ids that may be broadcast to a text pass; beyond, they are joined by shuffle.
@@ -84,8 +85,8 @@ def _sums(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parity(h: np.ndarray) -> bytes:
-    """Bit-parity sketch: each hash flips one of 2**i bits (64 to 8192, about the size of the set). Halves can be XORed together."""
-    width = 1 << min(13, max(6, int(len(h) - 1).bit_length()))
+    """Bit-parity sketch: each hash flips one of 2**i bits (64 to 16384, two to four times the size of the set). Halves can be XORed together."""
+    width = 1 << min(14, max(6, int(len(h) - 1).bit_length() + 1))
     return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
 
 
@@ -257,7 +258,6 @@ def _distance(p: bytes, q: bytes) -> int:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, from the shingle sets of their texts."""
-    pairs = lake.written(pairs, "pairs")
     wanted = lake.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     sets = _sets(docs, wanted)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
@@ -290,43 +290,86 @@ def _leader_pairs(rooted: DataFrame) -> DataFrame:
     return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
 
 
-def _block_pairs(rooted: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of nodes of different roots that share a block and are within the bound, compared in pieces of bounded size."""
+def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> DataFrame:
+    """Pairs to verify next: within each block, compared in pieces of bounded size, the closest pairs that would join different
+    roots. Only pairs within the bound that haven't failed count, and each piece gives a forest, not all its pairs."""
     spark = rooted.sparkSession
     sizes = rooted.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     df = rooted.join(sizes.hint("merge"), "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     # Each unordered pair of pieces is a unit of its own.
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     df = df.select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "node", "root")
-    df = df.join(classes.select("node", "n_shingles", "parity").hint("merge"), "node")
+    no = failed.select(F.col("a").alias("node"), F.col("b").alias("no")).groupBy("node").agg(F.collect_list("no").alias("failed"))
+    info = classes.select("node", "n_shingles", "parity").join(no.hint("merge"), "node", "left")
+    df = df.join(info.hint("merge"), "node")
     df = df.repartition(lake.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        found = []
-        rows.sort(key=lambda r: r[2])
-        for x in range(len(rows)):
-            node, root, n, p, piece, i, j = rows[x]
-            for y in range(x + 1, len(rows)):
-                other = rows[y]
-                if 4 * other[2] > 5 * n:
-                    break
-                if root != other[1] and (i == j or piece != other[4]) and 9 * _distance(p, other[3]) <= n + other[2]:
-                    found.append((max(node, other[0]), min(node, other[0])))
-        return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
+        unit, rows, found = None, [], set()
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for key, i, j, piece, node, root, n, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != unit:
-                    found.update(compare(rows))
+                    _forest(rows, unit, found)
                     unit, rows = (key, i, j), []
-                rows.append((node, root, n, p, piece, i, j))
-            yield _pairs(found)
-        yield _pairs(set(compare(rows)))
-
-    return df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity").mapInArrow(run, "a long, b long").distinct()
+                rows.append(row)
+            if len(found) > 200_000:
+                yield _pairs(found)
+                found = set()
+        _forest(rows, unit, found)
+        yield _pairs(found)
+
+    return df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed").mapInArrow(run, "a long, b long").distinct()
+
+
+def _forest(rows: list[list], unit: tuple | None, found: set[tuple[int, int]]) -> None:
+    """Adds to found the pairs of a unit's rows (piece, node, root, size, parity, failed) that join its roots, closest first."""
+    roots = {r[2] for r in rows}
+    if len(roots) < 2:
+        return
+    rows.sort(key=lambda r: (r[3], r[1]))
+    n = np.array([r[3] for r in rows])
+    width = max(8, min(len(r[4]) for r in rows))
+    bits = np.stack([np.frombuffer(_folded(r[4], width).to_bytes(width, "big"), dtype=np.uint64) for r in rows])
+    numbers = {r: k for k, r in enumerate(roots)}
+    root = np.array([numbers[r[2]] for r in rows])
+    piece = np.array([r[0] for r in rows])
+    xs, ys, ds = [], [], []
+    step = max(1, (1 << 21) // bits.size)
+    for lo in range(0, len(rows), step):
+        hi = min(lo + step, len(rows))
+        end = int(np.searchsorted(n, n[hi - 1] * 5 // 4, side="right"))  # sizes of partners
+        d = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None, lo:end, :]).sum(axis=2, dtype=np.int64)
+        ok = 9 * d <= n[lo:hi, None] + n[None, lo:end]
+        ok &= root[lo:hi, None] != root[None, lo:end]
+        ok &= np.arange(lo, hi)[:, None] < np.arange(lo, end)[None, :]
+        if unit[1] != unit[2]:
+            ok &= piece[lo:hi, None] != piece[None, lo:end]
+        x, y = np.nonzero(ok)
+        xs.append(x + lo)
+        ys.append(y + lo)
+        ds.append(d[x, y] / (n[x + lo] + n[y + lo]))
+    x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
+    order = np.lexsort((y, x, d))
+    up = list(range(len(roots)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    left = len(roots) - 1
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        r, t = top(root[i]), top(root[j])
+        if r != t:
+            a, b = max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])
+            if b in (rows[i][5] or ()) and a == rows[i][1] or b in (rows[j][5] or ()) and a == rows[j][1]:
+                continue
+            up[r] = t
+            found.add((a, b))
+            left -= 1
+            if not left:
+                break
 
 
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -334,23 +377,31 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.int64()), pa.array([b for _, b in x], pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     every = lake.written(nodes(docs), "nodes")
     # A class is all documents with one set; its node is the smallest doc_id.
-    classes = lake.written(every.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("parity").alias("parity")), "classes")
+    classes = lake.written(every.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("parity").alias("parity")).where("node is not null"), "classes")
     blocks = lake.written(shared_blocks(docs), "blocks")
     members = lake.written(blocks.distinct().join(classes.select("fp", "node").hint("merge"), "fp").select("key", "node"), "members")
-    links, roots = None, docs.sparkSession.createDataFrame([], "node long, root long")
-    for step in range(star_rounds + 1):
+    spark = docs.sparkSession
+    roots = spark.createDataFrame([], "node long, root long")
+    links = failed = spark.createDataFrame([], "a long, b long")
+    step = 0
+    while True:  # until no pair that may be a link is left between different roots
         rooted = lake.written(_rooted(members, roots), "rooted")
         if rooted.isEmpty():
             break
-        pairs = _within(_leader_pairs(rooted), classes) if step < star_rounds else _block_pairs(rooted, classes)
+        pairs = lake.written(_within(_leader_pairs(rooted), classes) if step == 0 else _forest_pairs(rooted, classes, failed), "pairs")
+        if pairs.isEmpty() and step:
+            break
         new = lake.written(_verified(docs, pairs), "links")
-        links = new if links is None else links.union(new)
-        roots = lake.written(graph.components(links), "roots")
+        failed = failed.union(lake.written(pairs.join(new.hint("merge"), ["a", "b"], "left_anti"), "failed"))
+        if not new.isEmpty():
+            links = links.union(new)
+            roots = lake.written(graph.components(links), "roots")
+        step += 1
     # A root is the smallest node of its component, so it is also the smallest doc_id.
     ids = classes.join(roots.hint("merge"), "node", "left").select("fp", "fp2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     joined = every.drop("parity").join(ids.hint("merge"), ["fp", "fp2", "n_shingles"], "left")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -42,3 +43,19 @@ def parts(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the text as binary (null: empty), ready for an Arrow pass."""
     return docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs' rows as one struct column, with the columns named: names that docs has besides can't clash with those made."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keep)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The rows packed from docs, with their new text and, where it changed, its length in n_chars."""
+    new = {"text": text, "n_chars": F.when(changed, F.length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return df.select(*[(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def schema(df: DataFrame, carry: list[str], made: str) -> T.StructType:
+    """The types of carried columns, then the columns of a DDL text."""
+    return T.StructType([df.schema[c] for c in carry] + T.StructType.fromDDL(made).fields)

@@ -116,14 +116,15 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, the base figures, base_failed, n_boilerplate_words, kept; keep_text adds docs' columns and
+    """Per row of docs: doc_id, the base figures, base_failed, n_boilerplate_words, kept; keep_text adds docs' `row` and
     `clean`, the text without boilerplate lines."""
     spark = docs.sparkSession
     often = lake.written(boilerplate(docs, host, min_docs, share), "lines")
     small = often.count() <= BROADCAST_LINES
     table = None
-    carry = docs.columns if keep_text else ["doc_id"]
-    df = docs.select(*[F.col(c) for c in carry], F.coalesce(F.col(host), F.lit("")).alias("_host"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_raw"))
+    df = lake.packed(docs, "doc_id", F.coalesce(F.col(host), F.lit("")).alias("_host"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_raw"))
+    carry = ["doc_id", "row"] if keep_text else ["doc_id"]
+    df = df.select(*carry, "_host", "_raw")
     if small:
         lines: dict[str, dict[int, int]] = {}
         for r in often.toLocalIterator():
@@ -170,8 +171,7 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
             arrays = [col[c] for c in carry] + [pa.array(out[c]) for c in made] + ([pa.array(clean, pa.string())] if keep_text else [])
             yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *made, *(["clean"] if keep_text else [])])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"{c} long" for c in made] + ["clean string"] * keep_text)
+    schema = lake.schema(df, carry, ", ".join([f"{c} long" for c in made] + ["clean string"] * keep_text))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_boilerplate_words") > 0) & ((left < MIN_WORDS) | (left < MIN_LEFT * F.col("n_words")))
@@ -200,9 +200,7 @@ def _without(data: np.ndarray, lo: int, hi: int, spans: list[tuple[int, int]]) -
 def filtered(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """Documents that are kept, without their boilerplate lines; the columns of docs."""
     out = judged(docs, host, min_docs, share, keep_text=True).where("kept")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("clean")))
-    return out.withColumn("text", F.coalesce("clean", "text")).select(*docs.columns)
+    return lake.unpacked(out, docs, F.coalesce("clean", "row.text"), F.col("clean").isNotNull())
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

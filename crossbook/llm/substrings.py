@@ -10,8 +10,8 @@
 The sketch has a fixed width whatever the corpus (two rows of 2**27 cells; its "twice" bits are 32 MB), so broadcasting it
 is bounded. Where it fills up, more windows go through the exact pass; none is lost.
 
-Null and empty texts have no words. Of rows with the same doc_id, windows count as of one document, so none removes the
-other's words and each row keeps its own result. An empty table gives an empty result.
+Null and empty texts have no words. Rows with the same doc_id are one document as regards who came first, so none removes the
+other's words, but each row gets its own result; a null doc_id comes after all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ GRAM = 16
 CELL_BITS, BLOCK_BITS = 27, 18
 #: Rows of marked spans that may be broadcast to the text pass (a few dozen bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+_LAST = (1 << 63) - 1
 
 
 def _minimizers(words: textkit.Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +113,13 @@ def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
 
 
 def repeated_windows(docs: DataFrame, twice: np.ndarray, window: int = WINDOW, gram: int = GRAM, bits: int = CELL_BITS) -> DataFrame:
-    """Rows (h1, h2, doc_id, at) of the windows that the sketch counts twice or more; at: the first word's index in the text."""
+    """Rows (h1, h2, id, tag, at) of the windows that the sketch counts twice or more; at: the first word's index in the text."""
     plane = docs.sparkSession.sparkContext.broadcast(twice)  # 2 * 2**bits bits
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_of = plane.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for row, _, data, offsets in textkit.chunks(batch, "text"):
                 words = textkit.scan(data, offsets, textkit.PLAIN)
                 hashes = words.hashes()
@@ -135,17 +136,22 @@ def repeated_windows(docs: DataFrame, twice: np.ndarray, window: int = WINDOW, g
                 h2 = textkit.sequence_hashes(textkit.mix(hashes + np.uint64(77)), starts, window) >> np.uint64(32)
                 doc = words.doc[starts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(ids[row + doc].astype(np.int64)), pa.array((starts - words.first[doc]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "at"],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(ids[row + doc]), pa.array(tags[row + doc]), pa.array((starts - words.first[doc]).astype(np.int32))],
+                    names=["h1", "h2", "id", "tag", "at"],
                 )
 
-    return lake.text_bytes(docs, "doc_id").mapInArrow(emit, "h1 long, h2 int, doc_id long, at int")
+    return lake.text_bytes(docs, *_identity()).mapInArrow(emit, "h1 long, h2 int, id long, tag int, at int")
+
+
+def _identity() -> tuple[F.Column, F.Column]:
+    """A row's id (null: after all others) and a tag that tells apart texts under one id."""
+    return F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("id"), F.hash("text").alias("tag")
 
 
 def _marked(windows: DataFrame, window: int) -> DataFrame:
-    """Rows (doc_id, spans): word intervals [from, to) to remove, as packed 32-bit pairs."""
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    later = windows.join(first.hint("merge"), ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "at")
+    """Rows (id, tag, spans): word intervals [from, to) to remove, as packed 32-bit pairs."""
+    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_doc"), F.max("id").alias("last_doc")).where("first_doc < last_doc")
+    later = windows.join(first.hint("merge"), ["h1", "h2"]).where("id > first_doc").select("id", "tag", "at")
 
     def spans(pdf: pd.Series) -> bytes:
         at = np.unique(pdf.to_numpy())
@@ -155,7 +161,7 @@ def _marked(windows: DataFrame, window: int) -> DataFrame:
         return np.stack([lo, hi], axis=1).astype("<i4").tobytes()
 
     # Positions of a text, at most as many as it has words.
-    return later.groupBy("doc_id").agg(F.pandas_udf(spans, "binary")("at").alias("spans"))
+    return later.groupBy("id", "tag").agg(F.pandas_udf(spans, "binary")("at").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = CELL_BITS) -> DataFrame:
@@ -168,7 +174,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bit
     windows = repeated_windows(docs, twice, window, gram, bits)
     marks = lake.written(_marked(windows, window), "spans")
     small = marks.count() <= BROADCAST_ROWS
-    joined = lake.text_bytes(docs, "doc_id").join(marks.hint("broadcast" if small else "merge"), "doc_id", "left")
+    joined = lake.text_bytes(docs, "doc_id", *_identity()).join(marks.hint("broadcast" if small else "merge"), ["id", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
