@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +81,7 @@ def append_book_ticks(df: DataFrame, base: str) -> None:
 
 
 def register_views(spark: SparkSession, base: str) -> list[str]:
-    """The six tables as temporary views, those that exist."""
+    """The six tables as temporary views, those that hold anything."""
     jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
     exists = lambda p: (q := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(q)
     if exists(f"{base}/snapshot.json"):
@@ -88,7 +89,14 @@ def register_views(spark: SparkSession, base: str) -> list[str]:
             read_snapshot(spark, base, name).createOrReplaceTempView(name)
             found.append(name)
     for name in HISTORIES:
-        if exists(f"{base}/{name}"):
-            spark.read.option("mergeSchema", True).parquet(f"{base}/{name}").createOrReplaceTempView(name)
-            found.append(name)
+        if not exists(f"{base}/{name}"):
+            continue
+        try:
+            df = spark.read.option("mergeSchema", True).parquet(f"{base}/{name}")
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            continue  # nothing has been appended yet
+        df.createOrReplaceTempView(name)
+        found.append(name)
     return found
