@@ -140,7 +140,7 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in textkit.chunks(batch, "text", 4 << 20):
+            for _, _, data, offsets in textkit.chunks(batch, "text"):
                 doc, h, sizes = shingle_sets(data, offsets)
                 fp = _sums(h, sizes)[0]
                 found = [_block_keys(doc, h, sizes, lower) for lower in (False, True)]
@@ -290,8 +290,8 @@ def _leader_pairs(rooted: DataFrame) -> DataFrame:
     return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
 
 
-def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> DataFrame:
-    """Pairs to verify next: within each block, compared in pieces of bounded size, the closest pairs that would join different
+def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify next, and the blocks (key) that gave some: within each block, compared in pieces of bounded size, the closest pairs that would join different
     roots. Only pairs within the bound that haven't failed count, and each piece gives a forest, not all its pairs."""
     spark = rooted.sparkSession
     sizes = rooted.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
@@ -307,74 +307,94 @@ def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, found = None, [], set()
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != unit:
-                    _forest(rows, unit, found)
-                    unit, rows = (key, i, j), []
-                rows.append(row)
+            active = []
+            key, i, j = (batch.column(c).to_pylist() for c in range(3))
+            piece, node, root, n, failed = (batch.column(c).to_pylist() for c in (3, 4, 5, 6, 8))
+            for k, parity in enumerate(batch.column(7)):
+                if unit != (key[k], i[k], j[k]):
+                    if _forest(rows, unit, found):
+                        active.append(unit[0])
+                    unit, rows = (key[k], i[k], j[k]), []
+                rows.append((piece[k], node[k], root[k], n[k], parity.as_py(), failed[k]))
+            yield _found(set(), active)
             if len(found) > 200_000:
-                yield _pairs(found)
+                yield _found(found, [])
                 found = set()
-        _forest(rows, unit, found)
-        yield _pairs(found)
-
-    return df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed").mapInArrow(run, "a long, b long").distinct()
-
-
-def _forest(rows: list[list], unit: tuple | None, found: set[tuple[int, int]]) -> None:
-    """Adds to found the pairs of a unit's rows (piece, node, root, size, parity, failed) that join its roots, closest first."""
-    roots = {r[2] for r in rows}
-    if len(roots) < 2:
-        return
-    rows.sort(key=lambda r: (r[3], r[1]))
-    n = np.array([r[3] for r in rows])
+        active = [unit[0]] if _forest(rows, unit, found) else []
+        yield _found(found, active)
+
+    out = lake.written(df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed").mapInArrow(run, "key long, a long, b long"), "forest")
+    return out.where("a is not null").select("a", "b").distinct(), out.where("a is null").select("key").distinct()
+
+
+def _found(found: set[tuple[int, int]], active: list[int]) -> pa.RecordBatch:
+    """Rows (null, a, b) of pairs and (key, null, null) of blocks that gave some."""
+    x, none = sorted(found), [None] * len(active)
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(x) + active, pa.int64()), pa.array([a for a, _ in x] + none, pa.int64()), pa.array([b for _, b in x] + none, pa.int64())], names=["key", "a", "b"])
+
+
+def _close_pairs(rows: list[tuple], unit: tuple) -> list[tuple[float, int, int]]:
+    """(distance by size, index, index) of a unit's pairs of different roots that the sketches allow."""
+    if len(rows) <= 24:
+        out, number = [], {}
+        for x, (piece, _, root, n, p, _) in enumerate(rows):
+            for y in range(x):
+                other = rows[y]
+                if other[2] == root or 5 * min(n, other[3]) < 4 * max(n, other[3]) or (unit[1] != unit[2] and piece == other[0]):
+                    continue
+                q = other[4]
+                if len(p) == len(q):
+                    for z, raw in ((x, p), (y, q)):
+                        if z not in number:
+                            number[z] = int.from_bytes(raw, "big")
+                    d = (number[x] ^ number[y]).bit_count()
+                else:
+                    d = _distance(p, q)
+                if 9 * d <= n + other[3]:
+                    out.append((d / (n + other[3]), y, x))
+        return out
+    n, root, piece = (np.array([r[c] for r in rows]) for c in (3, 2, 0))
     width = max(8, min(len(r[4]) for r in rows))
     bits = np.stack([np.frombuffer(_folded(r[4], width).to_bytes(width, "big"), dtype=np.uint64) for r in rows])
-    numbers = {r: k for k, r in enumerate(roots)}
-    root = np.array([numbers[r[2]] for r in rows])
-    piece = np.array([r[0] for r in rows])
-    xs, ys, ds = [], [], []
-    step = max(1, (1 << 21) // bits.size)
+    out = []
+    step = max(1, (1 << 19) // bits.size)
     for lo in range(0, len(rows), step):
         hi = min(lo + step, len(rows))
-        end = int(np.searchsorted(n, n[hi - 1] * 5 // 4, side="right"))  # sizes of partners
-        d = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None, lo:end, :]).sum(axis=2, dtype=np.int64)
-        ok = 9 * d <= n[lo:hi, None] + n[None, lo:end]
-        ok &= root[lo:hi, None] != root[None, lo:end]
-        ok &= np.arange(lo, hi)[:, None] < np.arange(lo, end)[None, :]
+        d = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int32)
+        a, b = n[lo:hi, None], n[None, :]
+        ok = (9 * d <= a + b) & (root[lo:hi, None] != root[None, :]) & (np.arange(lo, hi)[:, None] < np.arange(len(rows))[None, :])
+        ok &= 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
         if unit[1] != unit[2]:
-            ok &= piece[lo:hi, None] != piece[None, lo:end]
+            ok &= piece[lo:hi, None] != piece[None, :]
         x, y = np.nonzero(ok)
-        xs.append(x + lo)
-        ys.append(y + lo)
-        ds.append(d[x, y] / (n[x + lo] + n[y + lo]))
-    x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
-    order = np.lexsort((y, x, d))
-    up = list(range(len(roots)))
+        out += zip((d[x, y] / (n[x + lo] + n[y])).tolist(), (x + lo).tolist(), y.tolist(), strict=True)
+    return out
 
-    def top(k: int) -> int:
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
 
-    left = len(roots) - 1
-    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        r, t = top(root[i]), top(root[j])
-        if r != t:
-            a, b = max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])
-            if b in (rows[i][5] or ()) and a == rows[i][1] or b in (rows[j][5] or ()) and a == rows[j][1]:
-                continue
-            up[r] = t
-            found.add((a, b))
-            left -= 1
-            if not left:
-                break
+def _forest(rows: list[tuple], unit: tuple | None, found: set[tuple[int, int]]) -> bool:
+    """Adds to found the pairs of a unit's rows (piece, node, root, size, parity, failed) that join its roots, closest first."""
+    if len(rows) < 2:
+        return False
+    up: dict[int, int] = {}
 
+    def top(k: int) -> int:
+        while (v := up.get(k, k)) != k:
+            up[k] = up.get(v, v)
+            k = v
+        return k
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    x = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.int64()), pa.array([b for _, b in x], pa.int64())], names=["a", "b"])
+    any_pair = False
+    for _, i, j in sorted(_close_pairs(rows, unit)):
+        r, t = top(rows[i][2]), top(rows[j][2])
+        if r == t:
+            continue
+        a, b = max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])
+        if b in ((rows[i] if rows[i][1] == a else rows[j])[5] or ()):
+            continue
+        up[r] = t
+        found.add((a, b))
+        any_pair = True
+    return any_pair
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -393,9 +413,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rooted = lake.written(_rooted(members, roots), "rooted")
         if rooted.isEmpty():
             break
-        pairs = lake.written(_within(_leader_pairs(rooted), classes) if step == 0 else _forest_pairs(rooted, classes, failed), "pairs")
-        if pairs.isEmpty() and step:
-            break
+        if step == 0:
+            pairs = lake.written(_within(_leader_pairs(rooted), classes), "pairs")
+        else:
+            pairs, active = _forest_pairs(rooted, classes, failed)
+            if pairs.isEmpty():
+                break
+            # Roots only merge and failures only grow, so a block without a pair now never has one later.
+            members = lake.written(rooted.join(active.hint("merge"), "key", "left_semi").select("key", "node"), "members")
         new = lake.written(_verified(docs, pairs), "links")
         failed = failed.union(lake.written(pairs.join(new.hint("merge"), ["a", "b"], "left_anti"), "failed"))
         if not new.isEmpty():

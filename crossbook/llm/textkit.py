@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (2 << 20) - 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
