@@ -397,6 +397,14 @@ def _forest(rows: list[tuple], unit: tuple | None, found: set[tuple[int, int]])
     return any_pair
 
 
+def _one_id(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of texts under one doc_id."""
+    many = every.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
+    of = every.where("n_shingles > 0").join(many.hint("merge"), "doc_id", "left_semi").join(classes.select("fp", "fp2", "node").hint("merge"), ["fp", "fp2"]).select("doc_id", "node")
+    least = of.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return of.join(least.hint("merge"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -407,7 +415,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = lake.written(blocks.distinct().join(classes.select("fp", "node").hint("merge"), "fp").select("key", "node"), "members")
     spark = docs.sparkSession
     roots = spark.createDataFrame([], "node long, root long")
-    links = failed = spark.createDataFrame([], "a long, b long")
+    failed = spark.createDataFrame([], "a long, b long")
+    links = lake.written(_one_id(every, classes), "links")
+    if not links.isEmpty():
+        roots = lake.written(graph.components(links), "roots")
     step = 0
     while True:  # until no pair that may be a link is left between different roots
         rooted = lake.written(_rooted(members, roots), "rooted")
