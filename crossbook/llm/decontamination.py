@@ -179,7 +179,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(df: DataFrame, matcher, carry: list[str]) -> DataFrame:
+def _scan(df: DataFrame, matcher, carry: list[str], cut: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher.value
         for batch in batches:
@@ -196,15 +196,29 @@ def _scan(df: DataFrame, matcher, carry: list[str]) -> DataFrame:
                     hits[row + d] = np.array([[a, b, words.starts[first + a] - origin, words.ends[first + b - 1] - origin] for a, b in both], dtype="<i4").tobytes()
                     items[row + d] = sorted(found.union(items[row + d]))
             made = {"_n_words": pa.array(n_words), "_hits": pa.array(hits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([made.get(c, col[c]) for c in [*carry, "_n_words", "_hits", "_items"]], names=[*carry, "_n_words", "_hits", "_items"])
+            if cut:
+                texts = textkit.texts(batch, "_text")
+                made["_clean"] = pa.array([None if h is None else _without(texts[r].as_py(), h) for r, h in enumerate(hits)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[col[c] for c in carry], *made.values()], names=[*carry, *made])
 
-    return df.mapInArrow(run, lake.schema(df, carry, "_n_words long, _hits binary, _items array<string>"))
+    return df.mapInArrow(run, lake.schema(df, carry, "_n_words long, _hits binary, _items array<string>" + ", _clean string" * cut))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _n_words, _hits (packed 32-bit word from, word to, byte from, byte to; null: none) and _items (sorted ids).
+def _without(text: str | bytes, hits: bytes) -> str:
+    """text without the bytes of the marked spans."""
+    raw = text.encode() if isinstance(text, str) else text
+    keep, at = [], 0
+    for _, _, a, b in np.frombuffer(hits, dtype="<i4").reshape(-1, 4).tolist():
+        keep.append(raw[at:a])
+        at = b
+    return b"".join([*keep, raw[at:]]).decode("utf-8", "replace")
 
-    docs needs a text column; benchmark needs item_id and text."""
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
+    """docs with _n_words, _hits (packed 32-bit word from, word to, byte from, byte to; null: none) and _items (sorted ids); with
+    cut also _clean: the text without the marked spans (null where there are none).
+
+    docs needs a text column, or rows as packed by lake; benchmark needs item_id and text."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.size(F.split("text", "[^a-zA-Z0-9\u0080-\U0010ffff]+")))).first()[0] or 0
@@ -214,7 +228,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()  # a block of bounded words
         matcher = spark.sparkContext.broadcast(Matcher(sorted((r.name, r.text.encode()) for r in rows), window))
-        df = _scan(df.withColumn("_text", F.coalesce(F.col("text").cast("binary"), F.lit(b""))), matcher, carry)
+        if "text" in carry:
+            df = df.withColumn("_text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+        df = _scan(df, matcher, carry, cut and k == blocks - 1)
     return df
 
 
@@ -230,26 +246,9 @@ def hit_words(hits: F.Column) -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without marked spans of text, and without the texts of which more than max_coverage is marked."""
-    found = matches(lake.packed(docs, "text"), benchmark, window)
-
-    @F.pandas_udf("string")
-    def cut(text, hits):
-        def one(t, h):
-            if h is None or t is None:
-                return t
-            raw = t.encode()
-            keep, at = [], 0
-            for _, _, a, b in np.frombuffer(h, dtype="<i4").reshape(-1, 4).tolist():
-                keep.append(raw[at:a])
-                at = b
-            return b"".join([*keep, raw[at:]]).decode("utf-8", "replace")
-
-        import pandas as pd
-
-        return pd.Series([one(t, h) for t, h in zip(text, hits, strict=True)], dtype=object)
-
+    found = matches(lake.packed(docs), benchmark, window, cut=True)
     found = found.where(hit_words(F.col("_hits")) <= max_coverage * F.col("_n_words"))
-    return lake.unpacked(found.withColumn("text", cut("text", "_hits")), docs, F.col("text"), F.col("_hits").isNotNull())
+    return lake.unpacked(found, docs, F.coalesce("_clean", "row.text"), F.col("_clean").isNotNull())
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,9 +122,9 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     often = lake.written(boilerplate(docs, host, min_docs, share), "lines")
     small = often.count() <= BROADCAST_LINES
     table = None
-    df = lake.packed(docs, "doc_id", F.coalesce(F.col(host), F.lit("")).alias("_host"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_raw"))
+    named = F.coalesce(F.col(host), F.lit("")).alias("_host")
+    df = lake.packed(docs, "doc_id", named) if keep_text else lake.text_bytes(docs, "doc_id", named).withColumnRenamed("text", "_raw")
     carry = ["doc_id", "row"] if keep_text else ["doc_id"]
-    df = df.select(*carry, "_host", "_raw")
     if small:
         lines: dict[str, dict[int, int]] = {}
         for r in often.toLocalIterator():

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
 CHUNK_BYTES = (2 << 20) - 16
@@ -138,9 +139,15 @@ def scan(data: np.ndarray, offsets: np.ndarray, mapping: np.ndarray) -> Words:
     return Words(data, starts, ends, doc, counts, first, offsets, mapping)
 
 
+def texts(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """The column, or where there is none the text field of packed rows (so that texts aren't sent twice)."""
+    at = batch.schema.get_field_index(column)
+    return batch.column(at) if at >= 0 else pc.struct_field(batch.column(batch.schema.get_field_index("row")), "text")
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a batch as (first row, end row, bytes, offsets within them); column is Arrow binary."""
-    col = batch.column(batch.schema.get_field_index(column))
+    """Slices of a batch as (first row, end row, bytes, offsets within them); column is Arrow binary, or text in packed rows."""
+    col = texts(batch, column)
     if pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type):
         kind = np.int64
     else:
@@ -149,7 +156,7 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
     if not n:
         return
     if col.null_count:
-        col = col.fill_null(b"")
+        col = col.fill_null("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     buffers = col.buffers()
     offsets = np.frombuffer(buffers[1], dtype=kind)[col.offset : col.offset + n + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, dtype=np.uint8)
