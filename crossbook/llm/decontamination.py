@@ -195,13 +195,14 @@ def _scan(df: DataFrame, matcher, carry: list[str], cut: bool) -> DataFrame:
                     both = _merge([(a - first, b - first) for a, b in spans] + [(a, b) for a, b, _, _ in old])
                     hits[row + d] = np.array([[a, b, words.starts[first + a] - origin, words.ends[first + b - 1] - origin] for a, b in both], dtype="<i4").tobytes()
                     items[row + d] = sorted(found.union(items[row + d]))
-            made = {"_n_words": pa.array(n_words), "_hits": pa.array(hits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
+            n_hit = [0 if h is None else int(np.diff(np.frombuffer(h, dtype="<i4").reshape(-1, 4)[:, :2]).sum()) for h in hits]
+            made = {"_n_words": pa.array(n_words), "_n_hit": pa.array(n_hit, pa.int64()), "_hits": pa.array(hits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
             if cut:
                 texts = textkit.texts(batch, "_text")
                 made["_clean"] = pa.array([None if h is None else _without(texts[r].as_py(), h) for r, h in enumerate(hits)], pa.string())
             yield pa.RecordBatch.from_arrays([*[col[c] for c in carry], *made.values()], names=[*carry, *made])
 
-    return df.mapInArrow(run, lake.schema(df, carry, "_n_words long, _hits binary, _items array<string>" + ", _clean string" * cut))
+    return lake.map_arrow(df, run, lake.schema(df, carry, "_n_words long, _n_hit long, _hits binary, _items array<string>" + ", _clean string" * cut))
 
 
 def _without(text: str | bytes, hits: bytes) -> str:
@@ -215,7 +216,7 @@ def _without(text: str | bytes, hits: bytes) -> str:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
-    """docs with _n_words, _hits (packed 32-bit word from, word to, byte from, byte to; null: none) and _items (sorted ids); with
+    """docs with _n_words, _n_hit, _hits (packed 32-bit word from, word to, byte from, byte to; null: none) and _items (sorted ids); with
     cut also _clean: the text without the marked spans (null where there are none).
 
     docs needs a text column, or rows as packed by lake; benchmark needs item_id and text."""
@@ -234,26 +235,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     return df
 
 
-def hit_words(hits: F.Column) -> F.Column:
-    """Number of marked words, from the packed spans."""
-
-    @F.pandas_udf("long")
-    def count(s):
-        return s.map(lambda b: 0 if b is None else int((x := np.frombuffer(b, dtype="<i4").reshape(-1, 4))[:, 1].sum() - x[:, 0].sum())).astype("int64")
-
-    return count(hits)
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without marked spans of text, and without the texts of which more than max_coverage is marked."""
     found = matches(lake.packed(docs), benchmark, window, cut=True)
-    found = found.where(hit_words(F.col("_hits")) <= max_coverage * F.col("_n_words"))
+    found = found.where(F.col("_n_hit") <= max_coverage * F.col("_n_words"))
     return lake.unpacked(found, docs, F.coalesce("_clean", "row.text"), F.col("_clean").isNotNull())
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(lake.table(spark, sf_dir, "documents").select("doc_id", "text"), lake.table(spark, sf_dir, "benchmark"))
-    n_hit = hit_words(F.col("_hits"))
+    n_hit = F.col("_n_hit")
     return found.select(
         "doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("_items")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),

@@ -36,7 +36,7 @@ PERCENT = 80
 #: A block with more classes than this is passed on in parts while it is read, and compared in pieces of this many.
 PIECE = 2048
 #: (block, class) pairs that a task gathers before it looks for shared blocks.
-GATHER = 3_000_000
+GATHER = 1_000_000
 #: Ids that may be broadcast to a text pass; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _LARGEST = 1 << 40
@@ -105,7 +105,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "fp", "fp2", "parity"],
                 )
 
-    return lake.text_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n_shingles long, fp long, fp2 long, parity binary")
+    return lake.map_arrow(lake.text_bytes(docs, "doc_id"), run, "doc_id long, n_shingles long, fp long, fp2 long, parity binary")
 
 
 def _block_keys(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +194,13 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
             held = [(np.concatenate((keys[~many], k[stay])), np.concatenate((fps[~many], f[stay])))]
             size = len(held[0][0])
 
-        settled = 0
+        settled, current = 0, None
         for batch in batches:
-            for keys, owners, fps in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for bucket, keys, owners, fps in zip(*batch.columns, strict=True):
+                if bucket.as_py() != current and held:  # a key is in one bucket
+                    yield from settle(True)
+                    settled = 0
+                current = bucket.as_py()
                 k = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
                 held.append((k, np.frombuffer(fps.as_buffer(), dtype=np.uint64)[np.frombuffer(owners.as_buffer(), dtype="<u2")]))
                 size += len(k)
@@ -206,8 +210,8 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield from settle(True)
 
-    blobs = lake.text_bytes(docs).mapInArrow(emit, "bucket int, keys binary, owners binary, fps binary")
-    return blobs.repartition(buckets, "bucket").mapInArrow(gather, "key long, fp long")
+    blobs = lake.map_arrow(lake.text_bytes(docs), emit, "bucket int, keys binary, owners binary, fps binary")
+    return lake.map_arrow(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket"), gather, "key long, fp long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -222,7 +226,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     small = wanted.count() <= BROADCAST_IDS
     picked = lake.text_bytes(docs, "doc_id").join(wanted.hint("broadcast" if small else "merge"), F.col("doc_id") == F.col("node"), "left_semi")
-    return picked.mapInArrow(run, "node long, shingles binary")
+    return lake.map_arrow(picked, run, "node long, shingles binary")
 
 
 def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -239,7 +243,7 @@ def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for side in "ab":
         info = classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("parity").alias(f"p{side}"))
         pairs = pairs.join(info.hint("merge"), side)
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    return lake.map_arrow(pairs.select("a", "b", "na", "nb", "pa", "pb"), run, "a long, b long")
 
 
 def _folded(p: bytes, size: int) -> int:
@@ -271,7 +275,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * joint >= PERCENT * (len(x) + len(y) - joint))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return lake.map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long").distinct()
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,7 +327,7 @@ def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> t
         active = [unit[0]] if _forest(rows, unit, found) else []
         yield _found(found, active)
 
-    out = lake.written(df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed").mapInArrow(run, "key long, a long, b long"), "forest")
+    out = lake.written(lake.map_arrow(df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed"), run, "key long, a long, b long"), "forest")
     return out.where("a is not null").select("a", "b").distinct(), out.where("a is null").select("key").distinct()
 
 

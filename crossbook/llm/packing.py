@@ -27,7 +27,7 @@ from . import lake
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-WORD_CACHE = 800_000
+WORD_CACHE = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return lake.text_bytes(docs, "doc_id").mapInArrow(run, PIECES)
+    return lake.map_arrow(lake.text_bytes(docs, "doc_id"), run, PIECES)
 
 
 def fill_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -217,7 +217,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in columns] + made, names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return lake.map_arrow(ranked, place, schema)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

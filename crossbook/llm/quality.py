@@ -69,7 +69,7 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
                 n = np.diff(np.append(cut, len(line)))
                 yield pa.RecordBatch.from_arrays([hosts.dictionary.take(pa.array(c[cut])), pa.array(line[cut].view(np.int64)), pa.array(n), pa.array(d[cut])], names=["host", "line", "docs", "first_doc"])
 
-    rows = lake.text_bytes(docs, "doc_id", F.coalesce(F.col(host), F.lit("")).alias("host")).mapInArrow(run, "host string, line long, docs long, first_doc long")
+    rows = lake.map_arrow(lake.text_bytes(docs, "doc_id", F.coalesce(F.col(host), F.lit("")).alias("host")), run, "host string, line long, docs long, first_doc long")
     return rows.groupBy("host", "line").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
 
 
@@ -175,7 +175,7 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     left = F.col("n_words") - F.col("n_boilerplate_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_boilerplate_words") > 0) & ((left < MIN_WORDS) | (left < MIN_LEFT * F.col("n_words")))
-    return df.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    return lake.map_arrow(df, run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
 def _sorted(lines: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -108,7 +108,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
             n[at] = np.minimum(n[at] + 1 + np.unpackbits(np.frombuffer(more, dtype=np.uint8), count=len(at)), 2)
         return pa.table({"line": [key[0].as_py()], "block": [key[1].as_py()], "twice": [np.packbits(n > 1).tobytes()]}, schema=pa.schema([("line", pa.int32()), ("block", pa.int32()), ("twice", pa.binary())]))
 
-    rows = lake.text_bytes(docs).mapInArrow(count, "line int, block int, cells binary, more binary")
+    rows = lake.map_arrow(lake.text_bytes(docs), count, "line int, block int, cells binary, more binary")
     return rows.groupBy("line", "block").applyInArrow(merge, "line int, block int, twice binary")
 
 
@@ -140,7 +140,7 @@ def repeated_windows(docs: DataFrame, twice: np.ndarray, window: int = WINDOW, g
                     names=["h1", "h2", "id", "tag", "at"],
                 )
 
-    return lake.text_bytes(docs, *_identity()).mapInArrow(emit, "h1 long, h2 int, id long, tag int, at int")
+    return lake.map_arrow(lake.text_bytes(docs, *_identity()), emit, "h1 long, h2 int, id long, tag int, at int")
 
 
 def _identity() -> tuple[F.Column, F.Column]:
@@ -190,7 +190,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bit
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return lake.map_arrow(joined.select("doc_id", "text", "spans"), cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

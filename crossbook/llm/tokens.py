@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                     n_tokens.append(sum([known[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return lake.text_bytes(docs, "doc_id").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return lake.map_arrow(lake.text_bytes(docs, "doc_id"), run, "doc_id long, n_words long, n_tokens long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD)
+    return lake.map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content"), run, RECORD)
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
