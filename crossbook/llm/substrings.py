@@ -150,7 +150,8 @@ def _identity() -> tuple[F.Column, F.Column]:
 
 def _marked(windows: DataFrame, window: int) -> DataFrame:
     """Rows (id, tag, spans): word intervals [from, to) to remove, as packed 32-bit pairs."""
-    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_doc"), F.max("id").alias("last_doc")).where("first_doc < last_doc")
+    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_doc"), F.max("id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    first = lake.written(first, "repeats")  # read anew, both sides of the join are dealt for it alone, so a common window can be split
     later = windows.join(first.hint("merge"), ["h1", "h2"]).where("id > first_doc").select("id", "tag", "at")
 
     def spans(pdf: pd.Series) -> bytes:
