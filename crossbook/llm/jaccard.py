@@ -294,9 +294,9 @@ def _leader_pairs(rooted: DataFrame) -> DataFrame:
     return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
 
 
-def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame, layers: int) -> tuple[DataFrame, DataFrame]:
     """Pairs to verify next, and the blocks (key) that gave some: within each block, compared in pieces of bounded size, the closest pairs that would join different
-    roots. Only pairs within the bound that haven't failed count, and each piece gives a forest, not all its pairs."""
+    roots. Only pairs within the bound that haven't failed count, and each piece gives so many forests (layers), not all its pairs."""
     spark = rooted.sparkSession
     sizes = rooted.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     df = rooted.join(sizes.hint("merge"), "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
@@ -316,7 +316,7 @@ def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> t
             piece, node, root, n, failed = (batch.column(c).to_pylist() for c in (3, 4, 5, 6, 8))
             for k, parity in enumerate(batch.column(7)):
                 if unit != (key[k], i[k], j[k]):
-                    if _forest(rows, unit, found):
+                    if _forest(rows, unit, found, layers):
                         active.append(unit[0])
                     unit, rows = (key[k], i[k], j[k]), []
                 rows.append((piece[k], node[k], root[k], n[k], parity.as_py(), failed[k]))
@@ -324,7 +324,7 @@ def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame) -> t
             if len(found) > 200_000:
                 yield _found(found, [])
                 found = set()
-        active = [unit[0]] if _forest(rows, unit, found) else []
+        active = [unit[0]] if _forest(rows, unit, found, layers) else []
         yield _found(found, active)
 
     out = lake.written(lake.map_arrow(df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed"), run, "key long, a long, b long"), "forest")
@@ -375,29 +375,37 @@ def _close_pairs(rows: list[tuple], unit: tuple) -> list[tuple[float, int, int]]
     return out
 
 
-def _forest(rows: list[tuple], unit: tuple | None, found: set[tuple[int, int]]) -> bool:
-    """Adds to found the pairs of a unit's rows (piece, node, root, size, parity, failed) that join its roots, closest first."""
+def _forest(rows: list[tuple], unit: tuple | None, found: set[tuple[int, int]], layers: int) -> bool:
+    """Adds to found the pairs of a unit's rows (piece, node, root, size, parity, failed) that join its roots, closest first; each
+    further layer joins them again by pairs that the layers before didn't use."""
     if len(rows) < 2:
         return False
-    up: dict[int, int] = {}
-
-    def top(k: int) -> int:
-        while (v := up.get(k, k)) != k:
-            up[k] = up.get(v, v)
-            k = v
-        return k
-
-    any_pair = False
+    left = []
     for _, i, j in sorted(_close_pairs(rows, unit)):
-        r, t = top(rows[i][2]), top(rows[j][2])
-        if r == t:
-            continue
         a, b = max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])
-        if b in ((rows[i] if rows[i][1] == a else rows[j])[5] or ()):
-            continue
-        up[r] = t
-        found.add((a, b))
-        any_pair = True
+        if b not in ((rows[i] if rows[i][1] == a else rows[j])[5] or ()):
+            left.append((a, b, rows[i][2], rows[j][2]))
+    any_pair = bool(left)
+    for _ in range(layers):
+        up: dict[int, int] = {}
+
+        def top(k: int, up=up) -> int:
+            while (v := up.get(k, k)) != k:
+                up[k] = up.get(v, v)
+                k = v
+            return k
+
+        unused = []
+        for pair in left:
+            r, t = top(pair[2]), top(pair[3])
+            if r == t:
+                unused.append(pair)
+            else:
+                up[r] = t
+                found.add(pair[:2])
+        left = unused
+        if not left:
+            break
     return any_pair
 
 
@@ -431,7 +439,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if step == 0:
             pairs = lake.written(_within(_leader_pairs(rooted), classes), "pairs")
         else:
-            pairs, active = _forest_pairs(rooted, classes, failed)
+            # The first rounds join what is close; then few pairs are left, which hardly ever are links, and more are tried at once.
+            pairs, active = _forest_pairs(rooted, classes, failed, 1 if step < 3 else 8 ** min(step - 2, 6))
             if pairs.isEmpty():
                 break
             # Roots only merge and failures only grow, so a block without a pair now never has one later.
