@@ -3,10 +3,13 @@
 Four kinds have exact base patterns (email, ip, card, phone); their matches are always spans. High-recall generators propose
 further, overlapping spans: spelled-out addresses ("name at host dot tld"), separated digit groups, and groups of digits and
 dots. Boosted trees score each proposal from its format (digits, groups, separators) and its context (what stands around it,
-what kind of word comes before it). They learn from proposals of a bounded sample of documents (SAMPLE_DOCS, the smallest by
-hash): those that lie in a base span are positive, the others negative. Features leave out what the base checks decide on (the
-leading plus, the Luhn sum), so look-alikes score as their kind does. Half of the sample sets each kind's threshold at
-PRECISION. Accepted proposals that overlap no base span are added, best score first.
+what kind of word comes before it). They learn from a bounded sample of documents (SAMPLE_DOCS, the smallest by hash).
+Positive are proposals that lie in a base span, and base spans rewritten in their context into the forms of a generator:
+addresses spelled out, phones without plus or country code. Negative are the proposals that a base check refuses (cards, ips),
+and of phones and addresses those without a word of contact before them and in no form that a positive has; ordinary words in
+the form of an address stand beside each rewritten one. Other proposals may be real and have no label. Features leave out
+what the base checks decide on (the leading plus, the Luhn sum), so look-alikes score as their kind does. Half of the sample
+sets each kind's threshold at PRECISION. Accepted proposals that overlap no base span are added, best score first.
 
 Null and empty texts have no spans. Rows are judged separately, also where they repeat a doc_id. Without both labels in the
 sample only base spans are found. An empty table gives an empty result. Positions are code points, the end exclusive.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,64})+", re.ASCII)
+_SPELLED = re.compile(
+    r"[A-Za-z0-9._%+-]{1,64}(?: ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[A-Za-z0-9-]{1,64})+| at [A-Za-z0-9-]{1,64}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,64})+)",
+    re.ASCII | re.IGNORECASE,
+)
+_AT = re.compile(r" at |\(at\)|\[at\]", re.IGNORECASE)
+#: How addresses are spelled out: the signs for '@' and '.'.
+SPELLINGS = ((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" [at] ", "."))
+_TLDS = frozenset("com org net edu gov mil int info biz io dev app co ai me tv eu us uk de fr nl it es pt pl ru ua cz ch at be se no dk fi ie nz au ca mx br ar jp cn kr in za test example invalid local".split())
+#: Words before a span that may be personal data.
+_CONTACT = re.compile(r"(?i)(tel|phone|call|fax|mobile|cell|dial|ring|reach|contact|sms|text|whatsapp|mail|write|send|address)")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
 _DOTTED = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?:\.[0-9]{1,4}){2,4}(?![0-9A-Za-z])")
 
@@ -82,7 +95,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """High-recall candidates; they may overlap each other and base spans."""
     out = []
-    if " at " in text or "(at)" in text or "[at]" in text:
+    if _AT.search(text):
         out += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     if _DIGITS.search(text):
         for m in _GROUPS.finditer(text):
@@ -98,24 +111,61 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a span, without what the base checks decide on."""
     span, before, after = text[start:end], text[max(0, start - 24) : start].removesuffix("+"), text[end : end + 8]
-    groups = re.findall(r"[0-9]+", span)
+    shape = "" if kind == "email" else span  # names are as long as they are
+    groups = re.findall(r"[0-9]+", shape)
     sizes = [len(g) for g in groups] or [0]
     word = re.findall(r"[^\W\d_]+", before)
     prev, nxt = before.rstrip(" ")[-1:], after[:1]
     return [
-        float(KINDS.index(kind)), float(len(span)), float(sum(sizes)), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[0]), float(sizes[-1]),
-        float("(" in span), float(span.count("-")), float(span.count(".")), float(span.count(" ")), float(max((int(g) for g in groups if len(g) <= 6), default=0)),
+        float(KINDS.index(kind)), float(len(shape)), float(sum(sizes)), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[0]), float(sizes[-1]),
+        float("(" in shape), float(shape.count("-")), float(shape.count(".")), float(shape.count(" ")), float(max((int(g) for g in groups if len(g) <= 6), default=0)),
         float(len(word[-1]) if word else 0), float(prev.isalnum()), float(prev in ".,;:"), float(nxt.isalnum()), float(nxt in ".,;:"), float(before.endswith(" ")), float(bool(re.search(r"(?i)(tel|phone|call|fax|mobile|card|ip|mail|version|no\.|nr|id)\W*$", before))),
+        *(_address(span) if kind == "email" else (0.0,) * 4),
     ]
 
 
+def _address(span: str) -> tuple[float, ...]:
+    """Features of a spelled-out address: its last label, its local part, brackets."""
+    last, local = re.split(r"[^A-Za-z0-9-]+", span)[-1], re.match(r"[A-Za-z0-9._%+-]*", span).group()
+    return float(last.lower() in _TLDS), float(len(last)), float(not local.isalpha()), float("(" in span or "[" in span)
+
+
+def _form(span: str, kind: str) -> str:
+    """What spans of a kind that may be real share: the last label, or where digits and separators stand (plain digits tell nothing)."""
+    if kind == "email":
+        return re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
+    return re.sub("[0-9]", "0", span) if kind == "phone" and not span.isdigit() else ""
+
+
+def rewritten(text: str, kind: str, start: int, end: int) -> list[tuple[str, int, int, int]]:
+    """(text around, start, end, label) of a base span in forms that only a generator proposes: label 1; for addresses also
+    ordinary words of the text in such a form: label 0."""
+    span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 16]
+    forms: list[tuple[str, int]] = []
+    if kind == "email":
+        local, domain = span.split("@", 1)
+        signs = [SPELLINGS[0], SPELLINGS[1 + zlib.crc32(span.encode()) % (len(SPELLINGS) - 1)]]
+        forms = [(local + at + domain.replace(".", dot), 1) for at, dot in signs]
+        if (name := re.match("[A-Za-z]*", local).group()) != local:  # a plain word, as in prose
+            forms.append((name + " at " + domain.replace(".", " dot "), 1))
+        words = re.findall(r"[A-Za-z]+", text[max(0, start - 80) : start].partition(" ")[2] + " " + text[end : end + 80].rpartition(" ")[0])
+        forms += [(f"{x} at {y} dot {z}", 0) for x, y, z in list(zip(words[::3], words[1::3], words[2::3], strict=False))[:2]]
+        forms = [(f, label) for f, label in forms if _SPELLED.fullmatch(f)]
+    elif kind == "phone":
+        rest = re.sub(r"^\+[0-9]{1,3}[\x20.-]+", "", span)
+        if rest != span and _GROUPS.fullmatch(rest) and 7 <= sum(c.isdigit() for c in rest) <= 15:
+            forms = [(rest, 1)]
+    return [(before + f + after, len(before), len(before) + len(f), label) for f, label in forms]
+
+
 def _overlaps(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
     return any(a < y and x < b for _, x, y in spans)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, x, y, form); a negative counts only if no positive has its form."""
     for batch in batches:
-        kinds, rows, labels = [], [], []
+        out: list[tuple[str, list[float], int, str]] = []
         for raw in batch.column(0):
             text = raw.as_py().decode("utf-8", "replace")
             base = base_spans(text)
@@ -123,21 +173,26 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 inside = [k for k, x, y in base if a < y and x < b]
                 if inside and kind not in inside:
                     continue  # another kind's base span: no evidence either way
-                kinds.append(kind)
-                rows.append(features(text, kind, a, b))
-                labels.append(int(bool(inside)))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["kind", "x", "y"])
+                if not inside and kind in ("email", "phone") and (_CONTACT.search(text, max(0, a - 24), a) or kind == "email" and ("(" in text[a:b] or "[" in text[a:b])):
+                    continue  # may be real
+                out.append((kind, features(text, kind, a, b), int(bool(inside)), _form(text[a:b], kind)))
+            for kind, a, b in base:
+                out += [(kind, features(t, kind, x, y), label, _form(t[x:y], kind)) for t, x, y, label in rewritten(text, kind, a, b)]
+        columns = [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.float64()), pa.int32(), pa.string()), strict=True)], names=["kind", "x", "y", "form"])
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[boosting.BoostedTrees, float]]:
     """The trees and the threshold of each kind that the sample can teach."""
     picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = lake.text_bytes(docs, "doc_id").join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("text")  # at most sample_docs ids
-    rows = lake.map_arrow(texts, _labelled, "kind string, x array<double>, y int").limit(SAMPLE_SPANS).collect()
+    rows = lake.map_arrow(texts, _labelled, "kind string, x array<double>, y int, form string").limit(SAMPLE_SPANS).collect()
     rows.sort(key=lambda r: (r.kind, r.x, r.y))
     out = {}
     for kind in KINDS:
         mine = [r for r in rows if r.kind == kind]
+        real = {r.form for r in mine if r.y} - {""}
+        mine = [r for r in mine if r.y or r.form not in real]
         x, y = np.array([r.x for r in mine]), np.array([r.y for r in mine])
         if len(mine) < 4 or y.sum() < LEAST_POSITIVE or y.all():
             continue
@@ -145,8 +200,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[bo
         if not 0 < y[half].sum() < half.sum():
             continue
         trees = boosting.BoostedTrees().fit(x[half], y[half].astype(float))
-        limit = boosting.calibrated(trees.predict(x[~half]), y[~half], PRECISION)
+        p = trees.predict(x[~half])
+        limit = boosting.calibrated(p, y[~half], PRECISION)
         if limit <= 1:
+            if kind == "email":  # between the lowest score taken and the next, where addresses unlike the sample's lie
+                limit = (limit + max(p[p < limit], default=limit)) / 2
             out[kind] = (trees, max(limit, 0.5))
     return out
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from crossbook.llm import boosting, pii
 
@@ -52,6 +53,40 @@ def test_look_alikes_are_added_and_base_spans_stay(make):
     assert sum("," in r.spans for i, r in got.items() if i is not None and i < 300) < 15  # ids and versions aren't phones
 
 
+SPELLINGS = ((" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" [at] ", "."))
+
+
+def contacts(n, spelled, bare):
+    """Texts with plain addresses and phones, of which the first `spelled` and `bare` ones also have such that only a generator finds."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(n):
+        name, host = f"{rng.choice(['jane', 'omar', 'li', 'eva'])}.{rng.choice(['roe', 'poe', 'moe'])}{i}", rng.choice(["mail", "uni-x", "shop"])
+        tld, num = rng.choice(["com", "org", "net"]), f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        t = f"some people looked at the dot product again, then {name}@{host}.{tld} came along and +1 {num} was the number of that house; id 1000-2000-3{i % 1000:03d}"
+        if i < spelled:
+            at, dot = SPELLINGS[i % len(SPELLINGS)]
+            t += f" and also other{i}{at}host{i}{dot}{tld} came"
+        if i < bare:
+            t += f" and 1 (555) 123-{i:04d} too"
+        rows.append((i, t))
+    return rows
+
+
+@pytest.mark.parametrize("spelled, bare", [(6, 6), (300, 300)])
+def test_spelled_addresses_and_phones_without_plus(make, spelled, bare):
+    """Found where there are few of them and where every document has one; ids and prose in such a form stay."""
+    rows = contacts(300, spelled, bare)
+    got = {r.doc_id: r for r in pii.found(make(rows), ["doc_id"]).collect()}
+    kinds = {i: [x.split(":") for x in r.spans.split(",")] for i, r in got.items()}
+    taken = {i: [(k, rows[i][1][int(a) : int(b)]) for k, a, b in v] for i, v in kinds.items()}
+    assert sum(any(k == "email" and t.startswith("other") for k, t in taken[i]) for i in range(spelled)) >= 0.95 * spelled
+    assert sum(("phone", f"1 (555) 123-{i:04d}") in taken[i] for i in range(bare)) >= 0.95 * bare
+    assert sum("dot product" in t or t.startswith("1000-") for v in taken.values() for _, t in v) < 6
+    clean = {r.doc_id: r.text for r in pii.redacted(make(rows)).collect()}
+    assert sum(f"other{i}" in clean[i] for i in range(spelled)) <= 0.05 * spelled and sum("(555) 123-" in t for t in clean.values()) <= 0.05 * bare
+
+
 def test_redaction(make):
     out = {r.doc_id: r for r in pii.redacted(make([(1, "é mail a@b.cd, or 1.2.3.4"), (2, "nothing"), (3, None)])).collect()}
     assert out[1].text == "é mail [EMAIL], or [IP]" and out[1].n_chars == len(out[1].text) and out[1].spans == "s"
