@@ -1,9 +1,9 @@
 """Quality rules on texts and on lines that recur across documents of a host.
 
 Lines are normalised (lower-cased words of letters and digits), hashed, and counted once a document for each host; counts
-are combined in each chunk before they are shuffled. A line in more than `line_limit` documents of its host (at least
-MIN_DOCS and more than SHARE of the host's documents) is boilerplate: it is removed from every document but the first that
-has it, so a text that many documents repeat survives once. A document is rejected if the base rules fail, or if removal
+are combined in each chunk before they are shuffled. A line in more than MIN_DOCS documents of its host, however large that
+is, is boilerplate: it is removed from every document but the first that has it, so a text that many documents repeat
+survives once. (Callers may ask for a share of the host's documents besides.) A document is rejected if the base rules fail, or if removal
 leaves it depleted: fewer than MIN_WORDS words, or less than MIN_LEFT of its words.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Rows with the same doc_id are
@@ -24,9 +24,9 @@ from . import lake, textkit
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 25
-SHARE = 0.02
 MIN_LEFT = 0.3
-#: Boilerplate lines that may be broadcast (16 bytes each); beyond, they are joined to the documents by host.
+#: Boilerplate lines that may be broadcast (16 bytes each); beyond, only the tenth of so many that most documents have is
+#: broadcast, and the others, each in few documents then, are joined to the lines of the documents.
 BROADCAST_LINES = 1_000_000
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = 1
@@ -73,11 +73,37 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.groupBy("host", "line").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """Rows (host, line, first_doc) of lines above the limit of their host."""
+def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float | None = None) -> DataFrame:
+    """Rows (host, line, docs, first_doc) of lines above the limit of their host."""
+    often = line_counts(docs, host).where(F.col("docs") > min_docs)
+    if share is None:
+        return often
     hosts = docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("all_docs"))
-    often = line_counts(docs, host).where(F.col("docs") > min_docs)  # few are left, whatever the hosts
-    return often.join(hosts.hint("shuffle_hash"), "host").where(F.col("docs") > share * F.col("all_docs")).select("host", "line", "first_doc")
+    return often.join(hosts.hint("shuffle_hash"), "host").where(F.col("docs") > share * F.col("all_docs")).drop("all_docs")
+
+
+def _text_key(docs: DataFrame, host: str) -> list:
+    """Two hashes of a row's id, host and text: rows that share them lose the same lines."""
+    parts = (F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col(host), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    return [F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(1), *parts).alias("_k2")]
+
+
+def _lines_of(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
+    """Rows (_k1, _k2, _often): of lines (host, line, first_doc), those that go from each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, data, offsets in textkit.chunks(batch, "text"):
+                doc, line, _, _, _ = _norm_lines(data, offsets)
+                key = textkit.mix(line ^ textkit.mix(doc.astype(np.uint64) + np.uint64(1)))
+                once = np.unique(key, return_index=True)[1]
+                at = pa.array(row + doc[once])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array(line[once].view(np.int64))], names=["_k1", "_k2", "doc", "host", "line"])
+
+    texts = lake.text_bytes(docs, *_text_key(docs, host), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("doc"), F.coalesce(F.col(host), F.lit("")).alias("host"))
+    rows = lake.map_arrow(texts, run, "_k1 long, _k2 long, doc long, host string, line long")
+    hit = rows.join(lines.hint("merge"), ["host", "line"]).where("doc <> first_doc")
+    return hit.groupBy("_k1", "_k2").agg(F.collect_set("line").alias("_often"))
 
 
 def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -115,24 +141,25 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep_text: bool = False) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float | None = None, keep_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, the base figures, base_failed, n_boilerplate_words, kept; keep_text adds docs' `row` and
     `clean`, the text without boilerplate lines."""
     spark = docs.sparkSession
     often = lake.written(boilerplate(docs, host, min_docs, share), "lines")
     small = often.count() <= BROADCAST_LINES
-    table = None
     named = F.coalesce(F.col(host), F.lit("")).alias("_host")
-    df = lake.packed(docs, "doc_id", named) if keep_text else lake.text_bytes(docs, "doc_id", named).withColumnRenamed("text", "_raw")
+    keys = [] if small else _text_key(docs, host)
+    df = lake.packed(docs, "doc_id", named, *keys) if keep_text else lake.text_bytes(docs, "doc_id", named, *keys).withColumnRenamed("text", "_raw")
     carry = ["doc_id", "row"] if keep_text else ["doc_id"]
-    if small:
-        lines: dict[str, dict[int, int]] = {}
-        for r in often.toLocalIterator():
-            lines.setdefault(r.host, {})[r.line] = r.first_doc
-        table = spark.sparkContext.broadcast({h: _sorted(x) for h, x in lines.items()})  # at most BROADCAST_LINES lines
-    else:
-        packed = often.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("line", "first_doc"))).alias("_often"))
-        df = df.join(packed.hint("merge"), F.col("_host") == F.col("host"), "left").drop("host")
+    hot = often
+    if not small:
+        hot = lake.written(often.orderBy(F.desc("docs"), "line", "host").limit(max(BROADCAST_LINES // 10, 0)), "hot")
+        rest = lake.written(_lines_of(docs, host, often.drop("docs").join(hot.select("host", "line").hint("merge"), ["host", "line"], "left_anti")), "often")
+        df = df.join(rest.hint("merge"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    lines: dict[str, dict[int, int]] = {}
+    for r in hot.toLocalIterator():
+        lines.setdefault(r.host, {})[r.line] = r.first_doc
+    table = spark.sparkContext.broadcast({h: _sorted(x) for h, x in lines.items()})  # at most BROADCAST_LINES lines
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +170,22 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
             clean: list = [None] * batch.num_rows
             hosts = col["_host"].dictionary_encode()
             code = hosts.indices.to_numpy(zero_copy_only=False)
-            if small:
-                by_host = [table.value.get(h) for h in hosts.dictionary.to_pylist()]
+            by_host = [table.value.get(h) for h in hosts.dictionary.to_pylist()]
             for row, end, data, offsets in textkit.chunks(batch, "_raw"):
                 for c, v in text_stats(data, offsets).items():
                     out[c][row:end] = v
                 doc, line, begins, ends, words = _norm_lines(data, offsets)
                 gone = np.zeros(len(doc), dtype=bool)
-                if small:
-                    for k in np.unique(code[row:end]):
-                        if by_host[k] is not None:
-                            at = np.flatnonzero(code[row + doc] == k)
-                            gone[at] = _is_often(by_host[k], line[at], ids[row + doc[at]])
-                else:
+                for k in np.unique(code[row:end]):
+                    if by_host[k] is not None:
+                        at = np.flatnonzero(code[row + doc] == k)
+                        gone[at] = _is_often(by_host[k], line[at], ids[row + doc[at]])
+                if not small:
+                    ends_at = np.searchsorted(doc, np.arange(end - row + 1))
                     for r in range(row, end):
-                        if (often := col["_often"][r].as_py()) is not None:
-                            at = np.flatnonzero(doc == r - row)
-                            gone[at] = _is_often(_sorted(dict(often)), line[at], ids[row + doc[at]])
+                        if (mine := col["_often"][r].as_py()) is not None:
+                            at = slice(ends_at[r - row], ends_at[r - row + 1])
+                            gone[at] |= np.isin(line[at].view(np.int64), mine)
                 if gone.any():
                     plain = textkit.scan(data, offsets, textkit.PLAIN)
                     # PLAIN words inside the lines that go
@@ -197,7 +223,7 @@ def _without(data: np.ndarray, lo: int, hi: int, spans: list[tuple[int, int]]) -
     return b"".join([*keep, data[at:hi].tobytes()]).decode("utf-8", "replace")
 
 
-def filtered(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def filtered(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float | None = None) -> DataFrame:
     """Documents that are kept, without their boilerplate lines; the columns of docs."""
     out = judged(docs, host, min_docs, share, keep_text=True).where("kept")
     return lake.unpacked(out, docs, F.coalesce("clean", "row.text"), F.col("clean").isNotNull())

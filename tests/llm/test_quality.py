@@ -61,5 +61,19 @@ def test_filtered_removes_lines_but_keeps_the_first(make, rows):
     assert len(again) <= 4 and all(r.n_chars == len(r.text) and r.row == "r" for r in out.values())  # one for each host
 
 
+@pytest.mark.parametrize("size", [200, 3000])
+@pytest.mark.parametrize("bound", [10**6, 15, -1])
+def test_limit_does_not_rise_with_the_host(make, monkeypatch, size, bound):
+    """A banner in 30 documents goes from all but the first, in a small and in a large host; with few lines, and with more than are broadcast."""
+    monkeypatch.setattr(quality, "BROADCAST_LINES", bound)
+    own = lambda i: " ".join(f"u{i}x{k}" for k in range(60))
+    banner = lambda i, n: "".join("\n" + " ".join(f"banner{k}{c}" for c in "abcdef") for k in range(20)) if i < n else ""
+    rows = [(i, own(i) + banner(i, 30), "big") for i in range(size)] + [(size + i, own(i) + banner(i, 25), "small") for i in range(100)]
+    got = {r.doc_id: r for r in quality.judged(make(rows)).collect()}
+    assert {i for i, r in got.items() if r.n_boilerplate_words} == set(range(1, 30)) and got[1].n_boilerplate_words == 120
+    clean = {r.doc_id: r.text for r in quality.filtered(make(rows)).collect()}
+    assert len(clean) == len(rows) and sum("banner" in t for t in clean.values()) == 1 + 25
+
+
 def test_empty(make):
     assert quality.judged(make([])).count() == 0
