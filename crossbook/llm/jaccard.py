@@ -15,9 +15,11 @@ Documents with equal shingle sets form a class; only classes are compared. For s
 * Every candidate is verified on the sets of 64-bit shingle hashes, made from the whole texts.
 
 Null texts and texts without words have empty sets: no links, a component of their own. Texts of fewer words than a
-shingle are one shingle. Rows that repeat a doc_id belong to one component; sets that only rows without an id have
-aren't compared, and their component is null. An empty table gives an empty result. Columns
-other than the id and the text are carried through by `deduplicated`.
+shingle are one shingle. Rows are numbered in a written table and compared under their numbers, so rows without an id are
+compared like others. In the result of `near_duplicates` rows that repeat a doc_id belong to one component, and the component
+of rows that have no id, nor a partner with one, is null. `deduplicated` goes by similarity only and leaves one row of each
+group, and every row without words. An empty table gives an empty result. Columns other than the id and the text are
+carried through by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -409,28 +411,30 @@ def _forest(rows: list[tuple], unit: tuple | None, found: set[tuple[int, int]],
     return any_pair
 
 
-def _one_id(every: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of texts under one doc_id."""
-    many = every.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
-    of = every.where("n_shingles > 0").join(many.hint("merge"), "doc_id", "left_semi").join(classes.select("fp", "fp2", "node").hint("merge"), ["fp", "fp2"]).select("doc_id", "node")
-    least = of.groupBy("doc_id").agg(F.min("node").alias("b"))
-    return of.join(least.hint("merge"), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows (number, row) of all rows of docs, written so that the numbers stay."""
+    return lake.written(lake.packed(docs, F.monotonically_increasing_id().alias("number")), "numbered")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def _groups(numbered: DataFrame) -> DataFrame:
+    """Rows (number, doc_id, hash, n_shingles, group) of all rows: group is a number of the component of similar sets, null for
+    rows without words."""
+    found = _components(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))
+    return lake.written(ids.join(found.withColumnRenamed("doc_id", "number").hint("merge"), "number"), "groups")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, group) of docs (doc_id, text) with ids that are never null nor repeated."""
     every = lake.written(nodes(docs), "nodes")
     # A class is all documents with one set; its node is the smallest doc_id.
-    classes = lake.written(every.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("parity").alias("parity")).where("node is not null"), "classes")
+    classes = lake.written(every.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("parity").alias("parity")), "classes")
     blocks = lake.written(shared_blocks(docs), "blocks")
     members = lake.written(blocks.distinct().join(classes.select("fp", "node").hint("merge"), "fp").select("key", "node"), "members")
     spark = docs.sparkSession
     roots = spark.createDataFrame([], "node long, root long")
     failed = spark.createDataFrame([], "a long, b long")
-    links = lake.written(_one_id(every, classes), "links")
-    if not links.isEmpty():
-        roots = lake.written(graph.components(links), "roots")
+    links = spark.createDataFrame([], "a long, b long")
     step = 0
     while True:  # until no pair that may be a link is left between different roots
         rooted = lake.written(_rooted(members, roots), "rooted")
@@ -451,17 +455,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = links.union(new)
             roots = lake.written(graph.components(links), "roots")
         step += 1
-    # A root is the smallest node of its component, so it is also the smallest doc_id.
-    ids = classes.join(roots.hint("merge"), "node", "left").select("fp", "fp2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
-    joined = every.drop("parity").join(ids.hint("merge"), ["fp", "fp2", "n_shingles"], "left")
+    ids = classes.join(roots.hint("merge"), "node", "left").select("fp", "fp2", "n_shingles", F.coalesce("root", "node").alias("group"))
+    return every.drop("parity").join(ids.hint("merge"), ["fp", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", "group")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) of docs (doc_id, text)."""
+    rows = _groups(_numbered(docs.select("doc_id", "text")))
+    named = rows.where("doc_id is not null and group is not null").select("doc_id", "group")
+    # Groups that share an id are one component; its smallest doc_id names it.
+    many = named.groupBy("doc_id").agg(F.min("group").alias("b"), F.max("group").alias("most")).where("b <> most").select("doc_id", "b")
+    links = lake.written(named.join(many.hint("merge"), "doc_id").where("group <> b").select(F.col("group").alias("a"), "b").distinct(), "links")
+    groups = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    if not links.isEmpty():
+        roots = lake.written(graph.components(links), "roots")
+        rooted = groups.join(roots.withColumnRenamed("node", "group").hint("merge"), "group", "left").withColumn("root", F.coalesce("root", "group"))
+        least = rooted.groupBy("root").agg(F.min("component_id").alias("component_id"))
+        groups = rooted.select("group", "root").join(least.hint("merge"), "root").drop("root")
+    joined = rows.join(groups.hint("merge"), "group", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id. Of rows that repeat its id, all stay."""
-    kept = lake.written(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    """docs with one row of each group of similar texts: that with the smallest doc_id (none is last), then hash of the text.
+    Rows that share an id but no similar text all stay, and so do rows without words."""
+    numbered = _numbered(docs)
+    rows = _groups(numbered)
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "number")).alias("least"))
+    kept = lake.written(first.select("least.number").union(rows.where("group is null").select("number")), "kept")
     small = kept.count() <= BROADCAST_IDS
-    return docs.join(kept.hint("broadcast" if small else "merge"), "doc_id", "left_semi")
+    out = numbered.join(kept.hint("broadcast" if small else "merge"), "number", "left_semi")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

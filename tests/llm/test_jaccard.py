@@ -104,3 +104,12 @@ def test_nulls_repeats_and_empty(make):
     assert got == sorted(f"Row(doc_id={d}, n_shingles={n}, component_id={c})" for d, n, c in [(5, 26, 2), (5, 26, 2), (None, 26, 2), (2, 26, 2), (7, 2, 7), (None, 1, None), (8, 0, 8)])
     assert sorted(r.doc_id for r in jaccard.deduplicated(make(rows[:5])).collect()) == [2, 7]
     assert jaccard.near_duplicates(make([])).count() == 0
+
+
+def test_rows_without_id_and_repeats_leave_one(make):
+    """Unique rows without an id stay, similar ones leave one; so do exact repeats under one id, of which other texts stay."""
+    t, u = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, t), (5, t), (None, t), (2, t), (7, "other words here now then some"), (None, "nobody else has these words"), (8, None), (None, None)]
+    rows += [(None, u), (None, u), (None, u + " more"), (9, "one text under an id"), (9, "one text under an id"), (9, "and another text under it"), (2, "second text of the least id")]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), (r.text or "")[:6]) for r in jaccard.deduplicated(make(rows)).collect())
+    assert got == [(-1, ""), (-1, "nobody"), (-1, "v0 v1 "), (2, "second"), (2, "w0 w1 "), (7, "other "), (8, ""), (9, "and an"), (9, "one te")]
