@@ -1,22 +1,24 @@
 """Near-duplicate join on word shingles by parity sketches.
 
 Documents with equal shingle sets form a class; only classes are compared. For sets with a Jaccard similarity of at least
-80 % the symmetric difference is at most a ninth of the sum of the sizes.
+80 % the symmetric difference is at most a ninth of the sum of the sizes, so at most a quarter of either size.
 
 * Size bands grow by a factor of 1.25, so partners lie in the same or in neighbouring bands. A band's sketch is a parity
   vector cut in blocks: every shingle belongs to one block and is XORed into it. A shingle of the symmetric difference
   changes one block, so the number of differing blocks (the Hamming distance over blocks) is a lower bound of the
   difference, and with more blocks than the band's largest allowed difference two partners agree in one block that
   isn't empty (pigeonhole). Sets too clustered for that also emit their empty blocks, which only sets of their kind share.
-* Blocks shared by classes give candidates. A first round compares each class with the most connected class of its blocks,
-  which links groups of near copies without their pairs. What is left in different components is compared within each
-  block in pieces of bounded size, on bit-parity sketches (Hamming distance lower-bounds the difference); a piece passes on
-  the closest pairs that would join its components. This repeats until no pair within the bound is left that hasn't failed.
-* Every candidate is verified on the sets of 64-bit shingle hashes, made from the whole texts.
+* Partners agree in all their filled blocks but a quarter of their size. So a class keeps only that many and one of its blocks,
+  the rarest of the corpus (blocks that no other class has count first): the most frequent blocks, those of passages and lines
+  that many documents share, go, and with them nearly all classes that have no partner.
+* The sorted 64-bit shingle hashes of the classes left are written once, by one pass over their texts. One round compares each
+  class with the most connected class of its blocks, which links groups of near copies without their pairs. Blocks whose
+  classes are linked already are left out. In each of the others the classes outside the block's largest group are compared
+  with all its classes, in pieces of bounded size: bit-parity sketches (Hamming distance lower-bounds the difference) first, closest
+  pairs first, and every pair that would join two groups is verified on the whole sets at once. So one such round is enough.
 
 Null texts and texts without words have empty sets: no links, a component of their own. Texts of fewer words than a
-shingle are one shingle. Rows are numbered in a written table and compared under their numbers, so rows without an id are
-compared like others. In the result of `near_duplicates` rows that repeat a doc_id belong to one component, and the component
+shingle are one shingle. In the result of `near_duplicates` rows that repeat a doc_id belong to one component, and the component
 of rows that have no id, nor a partner with one, is null. `deduplicated` goes by similarity only and leaves one row of each
 group, and every row without words. An empty table gives an empty result. Columns other than the id and the text are
 carried through by `deduplicated`.
@@ -28,19 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graph, lake, textkit
 
 WORDS = 5
 PERCENT = 80
-#: A block with more classes than this is passed on in parts while it is read, and compared in pieces of this many.
-PIECE = 2048
+#: Classes, and shingles, of a block that are compared at once; a larger block is compared in pieces.
+PIECE, PIECE_SHINGLES = 2048, 1 << 20
+#: Units of at most so many rows are compared one by one, without sketches.
+FEW = 12
 #: (block, class) pairs that a task gathers before it looks for shared blocks.
 GATHER = 1_000_000
-#: Ids that may be broadcast to a text pass; beyond, they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of a few numbers that may be broadcast, once counted; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 250_000
+LEADER_ROUNDS = 1
+#: Roots and failed pairs that a task remembers from one block to the next.
+REMEMBER = 1_000_000
 _LARGEST = 1 << 40
 
 
@@ -76,68 +83,78 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
 
 
 def _sums(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two order-free 64-bit fingerprints of each set."""
+    """Two order-free fingerprints of each set, of 63 and 64 bits (the first is even)."""
     with np.errstate(over="ignore"):
         total = np.zeros((2, len(h) + 1), dtype=np.uint64)
         np.cumsum(textkit.mix(h), out=total[0, 1:])
         np.cumsum(textkit.mix(h + np.uint64(0x51ED27)), out=total[1, 1:])
         ends = np.cumsum(sizes)
         sums = total[:, ends] - total[:, ends - sizes]
-    return textkit.mix(sums[0] + sizes.astype(np.uint64)), textkit.mix(sums[1])
+    return textkit.mix(sums[0] + sizes.astype(np.uint64)) & ~np.uint64(1), textkit.mix(sums[1])
 
 
-def _parity(h: np.ndarray) -> bytes:
-    """Bit-parity sketch: each hash flips one of 2**i bits (64 to 16384, two to four times the size of the set). Halves can be XORed together."""
-    width = 1 << min(14, max(6, int(len(h) - 1).bit_length() + 1))
-    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
+def _placed(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, lower: bool) -> tuple[np.ndarray, ...]:
+    """The sets that have blocks in their own band or (lower) in the band below if partners may lie there: their band, number of
+    blocks and first block, the block of each hash of theirs, and which hashes these are."""
+    band = np.searchsorted(LOW, np.maximum(sizes, 1), side="right") - 1
+    use = sizes >= 4  # of smaller sets no two that differ are similar
+    if lower:
+        band = band - 1
+        use &= (band >= 0) & (-(-sizes * 4 // 5) <= HIGH[band])
+    blocks = np.where(use, BLOCKS[band], 0)
+    base = np.concatenate(([0], np.cumsum(blocks)))
+    mine = use[doc]
+    doc, h = doc[mine], h[mine]
+    at = base[doc] + ((h >> np.uint64(20)) % blocks[doc].astype(np.uint64)).astype(np.int64)
+    return band, blocks, base, at, mine
+
+
+def _spare(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, lower: bool) -> np.ndarray:
+    """How many of its most frequent blocks each set can do without: partners agree in all filled ones but a quarter of its size."""
+    band, blocks, base, at, _ = _placed(doc, h, sizes, lower)
+    owner = np.repeat(np.arange(len(sizes)), blocks)
+    full = np.bincount(owner[np.bincount(at, minlength=base[-1]) > 0], minlength=len(sizes))
+    return np.where(full > MOST[band], np.maximum(full - sizes // 4 - 1, 0), 0)
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, fp, fp2, parity) of all documents."""
+def nodes(docs: DataFrame, *carry: str) -> DataFrame:
+    """Rows (carried columns, n_shingles, fp, fp2, spare, spare_low) of all documents."""
+    k = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in textkit.chunks(batch, "text"):
-                _, h, sizes = shingle_sets(data, offsets)
+                doc, h, sizes = shingle_sets(data, offsets)
                 fp, fp2 = _sums(h, sizes)
-                ends = np.cumsum(sizes)
-                parity = [_parity(h[a:b]) if b > a else b"" for a, b in zip(ends - sizes, ends, strict=True)]
+                spare = [_spare(doc, h, sizes, lower) for lower in (False, True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(sizes.astype(np.int64)), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(parity, pa.binary())],
-                    names=["doc_id", "n_shingles", "fp", "fp2", "parity"],
+                    [*(batch.column(i).slice(row, end - row) for i in range(k)), *(pa.array(x.view(np.int64)) for x in (sizes.astype(np.int64), fp, fp2)), *(pa.array(x.astype(np.int64)) for x in spare)],
+                    names=[*carry, "n_shingles", "fp", "fp2", "spare", "spare_low"],
                 )
 
-    return lake.map_arrow(lake.text_bytes(docs, "doc_id"), run, "doc_id long, n_shingles long, fp long, fp2 long, parity binary")
+    df = lake.text_bytes(docs, *carry)
+    return lake.map_arrow(df, run, lake.schema(df, list(carry), "n_shingles long, fp long, fp2 long, spare long, spare_low long"))
 
 
 def _block_keys(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(key, text) of the blocks of each set, in its own band or (lower) in the band below if partners may lie there."""
-    band = np.searchsorted(LOW, np.maximum(sizes, 1), side="right") - 1
-    if lower:
-        band = band - 1
-        use = (sizes > 0) & (band >= 0) & (-(-sizes * 4 // 5) <= HIGH[band])
-    else:
-        use = sizes > 0
-    blocks = np.where(use, BLOCKS[band], 0)
-    base = np.concatenate(([0], np.cumsum(blocks)))
-    mine = use[doc]
-    doc, h = doc[mine], h[mine]
-    at = base[doc] + ((h >> np.uint64(20)) % blocks[doc].astype(np.uint64)).astype(np.int64)
+    band, blocks, base, at, mine = _placed(doc, h, sizes, lower)
     value = np.zeros(base[-1], dtype=np.uint64)
-    np.bitwise_xor.at(value, at, h)
+    np.bitwise_xor.at(value, at, h[mine])
     filled = np.bincount(at, minlength=base[-1]) > 0
     owner = np.repeat(np.arange(len(sizes)), blocks)
     number = np.arange(base[-1]) - base[owner]
     place = textkit.mix((band[owner] << 34).astype(np.uint64) + number.astype(np.uint64))
     full = np.bincount(owner[filled], minlength=len(sizes))
-    clustered = use & (full <= MOST[band])
+    clustered = full <= MOST[band]
     keys = textkit.mix(np.where(filled, value ^ place, place + np.uint64(1)))
     keep = filled | clustered[owner]
     return keys[keep], owner[keep]
 
 
 def shared_blocks(docs: DataFrame) -> DataFrame:
-    """Rows (key, fp): block keys that sets with different fingerprints share. A row may come more than once."""
+    """Rows (key, tag): block keys that sets with different fingerprints share. tag: the fingerprint, odd for the band below the
+    set's own. A row may come more than once."""
     buckets = lake.parts(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +162,16 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in textkit.chunks(batch, "text"):
                 doc, h, sizes = shingle_sets(data, offsets)
                 fp = _sums(h, sizes)[0]
-                found = [_block_keys(doc, h, sizes, lower) for lower in (False, True)]
-                keys, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+                once = np.zeros(len(sizes), dtype=bool)
+                once[np.unique(fp, return_index=True)[1]] = True
+                sizes = np.where(once, sizes, 0)
+                (k, o), (k2, o2) = (_block_keys(doc, h, sizes, lower) for lower in (False, True))
+                keys, owner = np.concatenate((k, k2)), np.concatenate((o * 2, o2 * 2 + 1))
                 bucket = (keys % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                bucket, keys, owner = bucket[order], keys[order], owner[order].astype("<u2")
+                bucket, keys, owner = bucket[order], keys[order], owner[order].astype("<u4")
+                if not len(bucket):
+                    continue
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cut[1:], len(bucket))
                 table = fp.tobytes()
@@ -160,7 +182,7 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
                 )
 
     def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64))], names=["key", "fp"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64))], names=["key", "tag"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -204,7 +226,8 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
                     settled = 0
                 current = bucket.as_py()
                 k = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
-                held.append((k, np.frombuffer(fps.as_buffer(), dtype=np.uint64)[np.frombuffer(owners.as_buffer(), dtype="<u2")]))
+                owner = np.frombuffer(owners.as_buffer(), dtype="<u4")
+                held.append((k, np.frombuffer(fps.as_buffer(), dtype=np.uint64)[owner >> 1] | (owner & 1)))
                 size += len(k)
                 if size > settled + GATHER:
                     yield from settle(False)
@@ -213,255 +236,235 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
             yield from settle(True)
 
     blobs = lake.map_arrow(lake.text_bytes(docs), emit, "bucket int, keys binary, owners binary, fps binary")
-    return lake.map_arrow(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket"), gather, "key long, fp long")
+    return lake.map_arrow(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket"), gather, "key long, tag long")
+
+
+def _members(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, node): the blocks that a class has to be looked up by."""
+    rows = blocks.distinct().select("key", F.col("tag").bitwiseAND(F.lit(-2)).alias("fp"), F.col("tag").bitwiseAND(F.lit(1)).alias("low"))
+    known = classes.select("fp", "node", "spare", "spare_low")
+    rows = lake.written(rows.join(known.hint("merge"), "fp").select("key", "node", "low", F.when(F.col("low") == 0, F.col("spare")).otherwise(F.col("spare_low")).alias("spare")), "rows")
+    # A pair is looked up in the own band of one of the two.
+    often = rows.groupBy("key").agg(F.count("*").alias("often"), F.min("low").alias("least")).where("often > 1 and least = 0").drop("least")
+    rank = F.row_number().over(Window.partitionBy("node", "low").orderBy(F.desc("often"), "key"))
+    return rows.join(often.hint("merge"), "key").withColumn("rank", rank).where("rank > spare").select("key", "node")
+
+
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """The rows (key, node, root) of blocks that hold more than one root."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return rooted.join(mixed.hint("merge"), "key", "left_semi")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, shingles: sorted 64-bit hashes) of the documents wanted (node)."""
+    """Rows (node, shingles: sorted 64-bit hashes) of the classes wanted (node, rep: a document's id and the hash of its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for row, end, data, offsets in textkit.chunks(batch, "text"):
+                node = batch.column(0).slice(row, end - row).to_pylist()
+                new = [i for i, x in enumerate(node) if x not in seen and not seen.add(x)]
+                if len(seen) > REMEMBER:
+                    seen = set()
                 _, h, sizes = shingle_sets(data, offsets)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([np.sort(h[a:b]).tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([np.sort(h[ends[i] - sizes[i] : ends[i]]).tobytes() for i in new], pa.binary())], names=["node", "shingles"])
 
-    small = wanted.count() <= BROADCAST_IDS
-    picked = lake.text_bytes(docs, "doc_id").join(wanted.hint("broadcast" if small else "merge"), F.col("doc_id") == F.col("node"), "left_semi")
-    return lake.map_arrow(picked, run, "node long, shingles binary")
+    names = wanted.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.hash").alias("of"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    picked = texts.join(names.hint(_small(names)), F.col("hash").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return lake.map_arrow(picked.select("node", "text"), run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and parity sketches allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, pa_, pb = (batch.column(i) for i in range(6))
-            keep = []
-            for x, y, p, q in zip(na.to_pylist(), nb.to_pylist(), pa_.to_pylist(), pb.to_pylist(), strict=True):
-                keep.append(5 * min(x, y) >= 4 * max(x, y) and 9 * _distance(p, q) <= x + y)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    for side in "ab":
-        info = classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("parity").alias(f"p{side}"))
-        pairs = pairs.join(info.hint("merge"), side)
-    return lake.map_arrow(pairs.select("a", "b", "na", "nb", "pa", "pb"), run, "a long, b long")
+def _small(df: DataFrame) -> str:
+    """The join hint for a table that has been written: broadcast if its rows, now counted, are few."""
+    return "broadcast" if df.count() <= BROADCAST_ROWS else "merge"
 
 
-def _folded(p: bytes, size: int) -> int:
-    x = int.from_bytes(p, "big")
-    n = len(p)
-    while n > size:
-        n //= 2
-        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
-    return x
+def _leader_pairs(rooted: DataFrame) -> DataFrame:
+    """Rows (a, b, ra, rb): each node with a most connected node of another root with which it shares blocks, and their roots."""
+    degree = rooted.groupBy("node").agg(F.count("*").alias("degree"))
+    leaders = rooted.join(degree.hint("merge"), "node").groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("degree", "node")).alias("to"))
+    shared = rooted.join(leaders.hint("merge"), "key").where("root <> to.root").groupBy("node", "root", "to").agg(F.count("*").alias("n"))
+    best = shared.groupBy("node").agg(F.max_by(F.struct("root", "to"), F.struct("n", "to")).alias("best"))
+    return best.select(F.col("node").alias("a"), F.col("best.to.node").alias("b"), F.col("best.root").alias("ra"), F.col("best.to.root").alias("rb"))
 
 
-def _distance(p: bytes, q: bytes) -> int:
-    size = min(len(p), len(q))
-    return (_folded(p, size) ^ _folded(q, size)).bit_count()
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    joint = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * joint >= PERCENT * (len(x) + len(y) - joint)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, from the shingle sets of their texts."""
-    wanted = lake.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    sets = _sets(docs, wanted)
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the roots of pairs that are similar."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                joint = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * joint >= PERCENT * (len(x) + len(y) - joint))
+            keep = [_similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return lake.map_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long").distinct()
-
-
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with root (the node itself where it has no link), of blocks that hold more than one root."""
-    df = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = df.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return df.join(mixed.hint("merge"), "key", "left_semi")
-
-
-def _leader_pairs(rooted: DataFrame) -> DataFrame:
-    """Pairs of a node and a most connected node of another root with which it shares blocks."""
-    degree = rooted.groupBy("node").agg(F.count("*").alias("degree"))
-    leaders = rooted.join(degree.hint("merge"), "node").groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("degree", "node")).alias("to"))
-    shared = rooted.join(leaders.hint("merge"), "key").where("root <> to.root").groupBy("node", F.col("to.node").alias("to")).agg(F.count("*").alias("n"))
-    best = shared.groupBy("node").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
-    return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
-
-
-def _forest_pairs(rooted: DataFrame, classes: DataFrame, failed: DataFrame, layers: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify next, and the blocks (key) that gave some: within each block, compared in pieces of bounded size, the closest pairs that would join different
-    roots. Only pairs within the bound that haven't failed count, and each piece gives so many forests (layers), not all its pairs."""
-    spark = rooted.sparkSession
-    sizes = rooted.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    df = rooted.join(sizes.hint("merge"), "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    # Each unordered pair of pieces is a unit of its own.
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    df = df.select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "node", "root")
-    no = failed.select(F.col("a").alias("node"), F.col("b").alias("no")).groupBy("node").agg(F.collect_list("no").alias("failed"))
-    info = classes.select("node", "n_shingles", "parity").join(no.hint("merge"), "node", "left")
-    df = df.join(info.hint("merge"), "node")
-    df = df.repartition(lake.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return lake.map_arrow(both.select("ra", "rb", "sa", "sb"), run, "a long, b long").distinct()
+
+
+def _units(rooted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (key, i, j, node, root, others, all): pieces of the blocks to compare. The classes outside a block's largest root (others)
+    meet all its classes once; a unit has at most about PIECE rows and PIECE_SHINGLES shingles of either kind."""
+    # Blocks with the same classes give the same pairs, so one of them will do.
+    alike = rooted.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    rooted = rooted.join(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key").hint("merge"), "key", "left_semi").join(sizes.hint("merge"), "node")
+    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    blocks = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "root", "w")).alias("most"))
+    pieces = lambda n, w: F.ceil(F.greatest(n / PIECE, w / PIECE_SHINGLES)).cast("int")
+    blocks = blocks.select("key", F.col("most.root").alias("largest"), pieces(F.col("n"), F.col("w")).alias("of_all"), pieces(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("of_others"))
+    df = rooted.join(blocks.hint("merge"), "key").withColumn("others", F.col("root") != F.col("largest"))
+    i, j = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int") for k, c in ((2, "of_others"), (3, "of_all")))
+    unit = lambda i, j, others, every: F.struct(i.alias("i"), j.alias("j"), others.alias("others"), every.alias("all"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    span = lambda c: F.sequence(zero, F.col(c) - 1)
+    many = F.concat(F.transform(span("of_others"), lambda x: unit(x, j, no, yes)), F.when(F.col("others"), F.transform(span("of_all"), lambda x: unit(i, x, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,others:boolean,all:boolean>>")))
+    df = df.withColumn("unit", F.explode(F.when(F.col("of_all") * F.col("of_others") == 1, F.array(unit(zero, zero, F.col("others"), yes))).otherwise(many)))
+    return df.select("key", "unit.i", "unit.j", "node", "root", "unit.others", "unit.all")
+
+
+def _block_links(rooted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (a, b) between roots that share a block but for those that follow from others."""
+    units = _units(rooted, classes.select("node", "n_shingles")).join(sets.hint("merge"), "node")
+    units = units.repartition(lake.parts(rooted.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows, found = None, [], set()
+        joined, unit, rows = _Joined(), None, []
         for batch in batches:
-            active = []
-            key, i, j = (batch.column(c).to_pylist() for c in range(3))
-            piece, node, root, n, failed = (batch.column(c).to_pylist() for c in (3, 4, 5, 6, 8))
-            for k, parity in enumerate(batch.column(7)):
+            links = []
+            key, i, j, node, root, others, every = (batch.column(c).to_pylist() for c in range(7))
+            for k, shingles in enumerate(batch.column(7)):
                 if unit != (key[k], i[k], j[k]):
-                    if _forest(rows, unit, found, layers):
-                        active.append(unit[0])
+                    links += joined.compare(rows)
                     unit, rows = (key[k], i[k], j[k]), []
-                rows.append((piece[k], node[k], root[k], n[k], parity.as_py(), failed[k]))
-            yield _found(set(), active)
-            if len(found) > 200_000:
-                yield _found(found, [])
-                found = set()
-        active = [unit[0]] if _forest(rows, unit, found, layers) else []
-        yield _found(found, active)
-
-    out = lake.written(lake.map_arrow(df.select("key", "i", "j", "piece", "node", "root", "n_shingles", "parity", "failed"), run, "key long, a long, b long"), "forest")
-    return out.where("a is not null").select("a", "b").distinct(), out.where("a is null").select("key").distinct()
-
-
-def _found(found: set[tuple[int, int]], active: list[int]) -> pa.RecordBatch:
-    """Rows (null, a, b) of pairs and (key, null, null) of blocks that gave some."""
-    x, none = sorted(found), [None] * len(active)
-    return pa.RecordBatch.from_arrays([pa.array([None] * len(x) + active, pa.int64()), pa.array([a for a, _ in x] + none, pa.int64()), pa.array([b for _, b in x] + none, pa.int64())], names=["key", "a", "b"])
-
-
-def _close_pairs(rows: list[tuple], unit: tuple) -> list[tuple[float, int, int]]:
-    """(distance by size, index, index) of a unit's pairs of different roots that the sketches allow."""
-    if len(rows) <= 24:
-        out, number = [], {}
-        for x, (piece, _, root, n, p, _) in enumerate(rows):
-            for y in range(x):
-                other = rows[y]
-                if other[2] == root or 5 * min(n, other[3]) < 4 * max(n, other[3]) or (unit[1] != unit[2] and piece == other[0]):
-                    continue
-                q = other[4]
-                if len(p) == len(q):
-                    for z, raw in ((x, p), (y, q)):
-                        if z not in number:
-                            number[z] = int.from_bytes(raw, "big")
-                    d = (number[x] ^ number[y]).bit_count()
-                else:
-                    d = _distance(p, q)
-                if 9 * d <= n + other[3]:
-                    out.append((d / (n + other[3]), y, x))
-        return out
-    n, root, piece = (np.array([r[c] for r in rows]) for c in (3, 2, 0))
-    width = max(8, min(len(r[4]) for r in rows))
-    bits = np.stack([np.frombuffer(_folded(r[4], width).to_bytes(width, "big"), dtype=np.uint64) for r in rows])
-    out = []
-    step = max(1, (1 << 19) // bits.size)
-    for lo in range(0, len(rows), step):
-        hi = min(lo + step, len(rows))
-        d = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int32)
-        a, b = n[lo:hi, None], n[None, :]
-        ok = (9 * d <= a + b) & (root[lo:hi, None] != root[None, :]) & (np.arange(lo, hi)[:, None] < np.arange(len(rows))[None, :])
-        ok &= 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
-        if unit[1] != unit[2]:
-            ok &= piece[lo:hi, None] != piece[None, :]
-        x, y = np.nonzero(ok)
-        out += zip((d[x, y] / (n[x + lo] + n[y])).tolist(), (x + lo).tolist(), y.tolist(), strict=True)
-    return out
-
-
-def _forest(rows: list[tuple], unit: tuple | None, found: set[tuple[int, int]], layers: int) -> bool:
-    """Adds to found the pairs of a unit's rows (piece, node, root, size, parity, failed) that join its roots, closest first; each
-    further layer joins them again by pairs that the layers before didn't use."""
-    if len(rows) < 2:
-        return False
-    left = []
-    for _, i, j in sorted(_close_pairs(rows, unit)):
-        a, b = max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])
-        if b not in ((rows[i] if rows[i][1] == a else rows[j])[5] or ()):
-            left.append((a, b, rows[i][2], rows[j][2]))
-    any_pair = bool(left)
-    for _ in range(layers):
-        up: dict[int, int] = {}
-
-        def top(k: int, up=up) -> int:
-            while (v := up.get(k, k)) != k:
-                up[k] = up.get(v, v)
-                k = v
-            return k
-
-        unused = []
-        for pair in left:
-            r, t = top(pair[2]), top(pair[3])
-            if r == t:
-                unused.append(pair)
+                rows.append((node[k], root[k], others[k], every[k], np.frombuffer(shingles.as_py(), dtype=np.uint64)))
+            yield _links(links)
+        yield _links(joined.compare(rows))
+
+    return lake.map_arrow(units.select("key", "i", "j", "node", "root", "others", "all", "shingles"), run, "a long, b long").distinct()
+
+
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+
+class _Joined:
+    """Roots that a task has joined and pairs that it found dissimilar, so that other blocks needn't try them again."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.failed: set[tuple[int, int]] = set()
+
+    def top(self, k: int) -> int:
+        while (v := self.up.get(k, k)) != k:
+            self.up[k] = self.up.get(v, v)
+            k = v
+        return k
+
+    def compare(self, rows: list[tuple]) -> list[tuple[int, int]]:
+        """Links between roots of a unit's rows (node, root, others, all, shingles), closest pairs first."""
+        if len(rows) < 2:
+            return []
+        if len(self.up) > REMEMBER:
+            self.up = {}
+        if len(self.failed) > REMEMBER:
+            self.failed = set()
+        links = []
+        for x, y in _close_pairs(rows):
+            a, b = rows[x], rows[y]
+            r, t = self.top(a[1]), self.top(b[1])
+            pair = (a[0], b[0]) if a[0] < b[0] else (b[0], a[0])
+            if r == t or pair in self.failed:
+                continue
+            if _similar(a[4], b[4]):
+                self.up[max(r, t)] = min(r, t)
+                links.append((a[1], b[1]))
             else:
-                up[r] = t
-                found.add(pair[:2])
-        left = unused
-        if not left:
-            break
-    return any_pair
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows (number, row) of all rows of docs, written so that the numbers stay."""
-    return lake.written(lake.packed(docs, F.monotonically_increasing_id().alias("number")), "numbered")
-
-
-def _groups(numbered: DataFrame) -> DataFrame:
-    """Rows (number, doc_id, hash, n_shingles, group) of all rows: group is a number of the component of similar sets, null for
-    rows without words."""
-    found = _components(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
-    ids = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))
-    return lake.written(ids.join(found.withColumnRenamed("doc_id", "number").hint("merge"), "number"), "groups")
-
-
-def _components(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, group) of docs (doc_id, text) with ids that are never null nor repeated."""
-    every = lake.written(nodes(docs), "nodes")
-    # A class is all documents with one set; its node is the smallest doc_id.
-    classes = lake.written(every.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("parity").alias("parity")), "classes")
-    blocks = lake.written(shared_blocks(docs), "blocks")
-    members = lake.written(blocks.distinct().join(classes.select("fp", "node").hint("merge"), "fp").select("key", "node"), "members")
-    spark = docs.sparkSession
-    roots = spark.createDataFrame([], "node long, root long")
-    failed = spark.createDataFrame([], "a long, b long")
-    links = spark.createDataFrame([], "a long, b long")
-    step = 0
-    while True:  # until no pair that may be a link is left between different roots
-        rooted = lake.written(_rooted(members, roots), "rooted")
+                self.failed.add(pair)
+        return links
+
+
+def _close_pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs of a unit's rows, one of others and one of all, of different roots, whose sizes and sketches allow a link; closest first."""
+    n = np.array([len(r[4]) for r in rows])
+    root = np.array([r[1] for r in rows])
+    left, right = (np.flatnonzero(np.array([r[k] for r in rows])) for k in (2, 3))
+    if len(rows) <= FEW:
+        for x in left.tolist():
+            for y in right.tolist():
+                if root[x] != root[y] and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y]):
+                    yield x, y
+        return
+    width = 1 << max(6, int(n.max() * 8 - 1).bit_length())
+    bits = np.stack([_parity(r[4], width) for r in rows])
+    found = []
+    step = max(1, (1 << 19) // max(1, len(right) * bits.shape[1]))
+    for lo in range(0, len(left), step):
+        some = left[lo : lo + step]
+        d = np.bitwise_count(bits[some, None, :] ^ bits[None, right, :]).sum(axis=2, dtype=np.int32)
+        a, b = n[some, None], n[None, right]
+        x, y = np.nonzero((9 * d <= a + b) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (root[some, None] != root[None, right]))
+        found.append((d[x, y] / (n[some[x]] + n[right[y]]), some[x], right[y]))
+    close, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
+    for k in np.argsort(close, kind="stable").tolist():
+        yield int(x[k]), int(y[k])
+
+
+def _parity(h: np.ndarray, width: int) -> np.ndarray:
+    """Bit-parity sketch: each hash flips one of width bits, of which there are eight or more a shingle."""
+    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).view(np.uint64)
+
+
+def _moved(rows: DataFrame, moved: DataFrame, how: str) -> DataFrame:
+    """rows with their root replaced by that of moved (node, root) where it has one."""
+    new = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return rows.join(new.hint(how), "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+
+
+def _components(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """Rows (fp, fp2, n_shingles, group) of the distinct sets of every, the written nodes of docs (doc_id, hash, ...)."""
+    classes = every.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("spare").alias("spare"), F.min("spare_low").alias("spare_low"), F.min(F.struct("doc_id", "hash")).alias("rep"))
+    classes = lake.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = lake.written(_members(lake.written(shared_blocks(docs), "blocks"), classes), "members")
+    rooted = lake.written(_mixed(members.withColumn("root", F.col("node"))), "rooted")
+    roots = None
+    if not rooted.isEmpty():
+        wanted = lake.written(classes.select("node", "rep").join(rooted.select("node").distinct().hint("merge"), "node", "left_semi"), "wanted")
+        sets = lake.written(_sets(docs, wanted), "sets")
+    for step in range(LEADER_ROUNDS + 1):
         if rooted.isEmpty():
             break
-        if step == 0:
-            pairs = lake.written(_within(_leader_pairs(rooted), classes), "pairs")
-        else:
-            # The first rounds join what is close; then few pairs are left, which hardly ever are links, and more are tried at once.
-            pairs, active = _forest_pairs(rooted, classes, failed, 1 if step < 3 else 8 ** min(step - 2, 6))
-            if pairs.isEmpty():
-                break
-            # Roots only merge and failures only grow, so a block without a pair now never has one later.
-            members = lake.written(rooted.join(active.hint("merge"), "key", "left_semi").select("key", "node"), "members")
-        new = lake.written(_verified(docs, pairs), "links")
-        failed = failed.union(lake.written(pairs.join(new.hint("merge"), ["a", "b"], "left_anti"), "failed"))
-        if not new.isEmpty():
-            links = links.union(new)
-            roots = lake.written(graph.components(links), "roots")
-        step += 1
-    ids = classes.join(roots.hint("merge"), "node", "left").select("fp", "fp2", "n_shingles", F.coalesce("root", "node").alias("group"))
-    return every.drop("parity").join(ids.hint("merge"), ["fp", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", "group")
+        links = _verified(lake.written(_leader_pairs(rooted), "pairs"), sets) if step < LEADER_ROUNDS else _block_links(rooted, classes, sets)
+        links = lake.written(links, "links")
+        if links.isEmpty():
+            continue
+        moved = lake.written(graph.components(links), "moved")
+        how = _small(moved)
+        roots = moved if roots is None else _moved(roots, moved, how).unionByName(moved).distinct()
+        roots = lake.written(roots, "roots")
+        if step < LEADER_ROUNDS:
+            rooted = lake.written(_mixed(_moved(rooted, moved, how)), "rooted")
+    groups = classes.select("fp", "fp2", "n_shingles", "node", F.col("node").alias("root"))
+    if roots is not None:
+        groups = groups.drop("root").join(roots.hint(_small(roots)), "node", "left")
+    return groups.select("fp", "fp2", "n_shingles", F.coalesce("root", "node").alias("group"))
+
+
+def _grouped(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """every with the group of each row; null for rows without words."""
+    groups = _components(docs, every)
+    return lake.written(every.drop("spare", "spare_low").join(groups.hint("merge"), ["fp", "fp2", "n_shingles"], "left"), "groups")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of docs (doc_id, text)."""
-    rows = _groups(_numbered(docs.select("doc_id", "text")))
+    docs = docs.select("doc_id", "text")
+    rows = _grouped(docs, lake.written(nodes(docs.withColumn("hash", F.xxhash64("text")), "doc_id", "hash"), "nodes"))
     named = rows.where("doc_id is not null and group is not null").select("doc_id", "group")
     # Groups that share an id are one component; its smallest doc_id names it.
     many = named.groupBy("doc_id").agg(F.min("group").alias("b"), F.max("group").alias("most")).where("b <> most").select("doc_id", "b")
@@ -476,15 +479,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
     """docs with one row of each group of similar texts: that with the smallest doc_id (none is last), then hash of the text.
-    Rows that share an id but no similar text all stay, and so do rows without words."""
-    numbered = _numbered(docs)
-    rows = _groups(numbered)
-    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "number")).alias("least"))
-    kept = lake.written(first.select("least.number").union(rows.where("group is null").select("number")), "kept")
-    small = kept.count() <= BROADCAST_IDS
-    out = numbered.join(kept.hint("broadcast" if small else "merge"), "number", "left_semi")
+    Rows that share an id but no similar text all stay, and so do rows without words. row_id: a long that stays with each
+    row however often docs is read (lake.row_id); without one a numbered copy of docs is written."""
+    numbered = lake.packed(docs, row_id.alias("number")) if row_id is not None else lake.written(lake.packed(docs, F.monotonically_increasing_id().alias("number")), "numbered")
+    texts = numbered.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    rows = _grouped(texts, lake.written(nodes(texts.withColumn("hash", F.xxhash64("text")), "number", "doc_id", "hash"), "nodes"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "number")).alias("least")
+    first = rows.where("group is not null").groupBy("group").agg(least).select("least.number")
+    # Rows that go are few beside those that stay.
+    gone = lake.written(rows.where("group is not null").select("number", "doc_id", "hash").join(first.hint("merge"), "number", "left_anti"), "gone")
+    same = (F.col("n.number") == F.col("g.number")) & F.col("n.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("n.row.text") == F.col("g.hash"))
+    out = numbered.alias("n").join(gone.alias("g").hint(_small(gone)), same, "left_anti")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

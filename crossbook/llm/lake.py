@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,10 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session has none (tests on one machine)."""
+    """spark.checkpoint.dir, or a temporary folder where the session has none and runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="crossbook-")
         _own["dir"] = base
@@ -62,6 +65,12 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+def row_id(docs: DataFrame) -> Column | None:
+    """A 64-bit name of each row by its file and its place there, if docs is files as read and nothing else; else None."""
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index") if plain else None
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
