@@ -11,11 +11,13 @@ Documents with equal shingle sets form a class; only classes are compared. For s
 * Partners agree in all their filled blocks but a quarter of their size. So a class keeps only that many and one of its blocks,
   the rarest of the corpus (blocks that no other class has count first): the most frequent blocks, those of passages and lines
   that many documents share, go, and with them nearly all classes that have no partner.
-* The sorted 64-bit shingle hashes of the classes left are written once, by one pass over their texts. One round compares each
-  class with the most connected class of its blocks, which links groups of near copies without their pairs. Blocks whose
-  classes are linked already are left out. In each of the others the classes outside the block's largest group are compared
-  with all its classes, in pieces of bounded size: bit-parity sketches (Hamming distance lower-bounds the difference) first, closest
-  pairs first, and every pair that would join two groups is verified on the whole sets at once. So one such round is enough.
+* The sorted 64-bit shingle hashes of the classes left, and bit-parity sketches of them, are written once, by one pass over their
+  texts. A first round compares each class with the most connected class of its blocks, which links groups of near copies without
+  their pairs. Blocks whose classes are linked already are left out. In each of the others the classes outside the block's largest
+  group are compared with all its classes, in pieces of bounded size, by sketch (Hamming distance lower-bounds the difference);
+  the closest pairs that would join its groups are passed on, not all. Blocks with pairs left beyond those are compared again
+  with 32 times as many, until none is left that isn't joined.
+* Every pair passed on is verified on the whole sets.
 
 Null texts and texts without words have empty sets: no links, a component of their own. Texts of fewer words than a
 shingle are one shingle. In the result of `near_duplicates` rows that repeat a doc_id belong to one component, and the component
@@ -39,15 +41,12 @@ WORDS = 5
 PERCENT = 80
 #: Classes, and shingles, of a block that are compared at once; a larger block is compared in pieces.
 PIECE, PIECE_SHINGLES = 2048, 1 << 20
-#: Units of at most so many rows are compared one by one, without sketches.
-FEW = 12
 #: (block, class) pairs that a task gathers before it looks for shared blocks.
 GATHER = 1_000_000
 #: Rows of a few numbers that may be broadcast, once counted; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 250_000
-LEADER_ROUNDS = 1
-#: Roots and failed pairs that a task remembers from one block to the next.
-REMEMBER = 1_000_000
+#: Pairs, or classes, that a task holds so as not to pass them on twice.
+REMEMBER = 200_000
 _LARGEST = 1 << 40
 
 
@@ -257,7 +256,7 @@ def _mixed(rooted: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, shingles: sorted 64-bit hashes) of the classes wanted (node, rep: a document's id and the hash of its text)."""
+    """Rows (node, shingles: sorted 64-bit hashes, sketch) of the classes wanted (node, rep: a document's id and the hash of its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -267,14 +266,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 new = [i for i, x in enumerate(node) if x not in seen and not seen.add(x)]
                 if len(seen) > REMEMBER:
                     seen = set()
+                if not new:
+                    continue
                 _, h, sizes = shingle_sets(data, offsets)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([np.sort(h[ends[i] - sizes[i] : ends[i]]).tobytes() for i in new], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*[(np.sort(h[a:b]).tobytes(), _parity(h[a:b])) for a, b in ((ends[i] - sizes[i], ends[i]) for i in new)], strict=True))], names=["node", "shingles", "sketch"])
 
     names = wanted.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.hash").alias("of"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")).where("text is not null")
     picked = texts.join(names.hint(_small(names)), F.col("hash").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    return lake.map_arrow(picked.select("node", "text"), run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return lake.map_arrow(picked.select("node", "text"), run, "node long, shingles binary, sketch binary").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def _small(df: DataFrame) -> str:
@@ -309,7 +310,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _units(rooted: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows (key, i, j, node, root, others, all): pieces of the blocks to compare. The classes outside a block's largest root (others)
+    """Rows (key, i, j, node, root, n_shingles, others, all): pieces of the blocks to compare. The classes outside a block's largest root (others)
     meet all its classes once; a unit has at most about PIECE rows and PIECE_SHINGLES shingles of either kind."""
     # Blocks with the same classes give the same pairs, so one of them will do.
     alike = rooted.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -325,83 +326,79 @@ def _units(rooted: DataFrame, sizes: DataFrame) -> DataFrame:
     span = lambda c: F.sequence(zero, F.col(c) - 1)
     many = F.concat(F.transform(span("of_others"), lambda x: unit(x, j, no, yes)), F.when(F.col("others"), F.transform(span("of_all"), lambda x: unit(i, x, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,others:boolean,all:boolean>>")))
     df = df.withColumn("unit", F.explode(F.when(F.col("of_all") * F.col("of_others") == 1, F.array(unit(zero, zero, F.col("others"), yes))).otherwise(many)))
-    return df.select("key", "unit.i", "unit.j", "node", "root", "unit.others", "unit.all")
+    return df.select("key", "unit.i", "unit.j", "node", "root", "n_shingles", "unit.others", "unit.all")
 
 
-def _block_links(rooted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links (a, b) between roots that share a block but for those that follow from others."""
-    units = _units(rooted, classes.select("node", "n_shingles")).join(sets.hint("merge"), "node")
+def _forest_pairs(rooted: DataFrame, classes: DataFrame, sets: DataFrame, layers: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b, ra, rb) of pairs to verify with their roots, and the blocks (key) where that may not have been all: in each unit
+    the closest pairs that join its roots, so many times over (layers)."""
+    units = _units(rooted, classes.select("node", "n_shingles")).join(sets.select("node", "sketch").hint("merge"), "node")
     units = units.repartition(lake.parts(rooted.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, unit, rows = _Joined(), None, []
+        unit, rows, found = None, [], set()
         for batch in batches:
-            links = []
-            key, i, j, node, root, others, every = (batch.column(c).to_pylist() for c in range(7))
-            for k, shingles in enumerate(batch.column(7)):
+            left = []
+            key, i, j, node, root, n, others, every = (batch.column(c).to_pylist() for c in range(8))
+            for k, sketch in enumerate(batch.column(8)):
                 if unit != (key[k], i[k], j[k]):
-                    links += joined.compare(rows)
+                    if _forest(rows, layers, found):
+                        left.append(unit[0])
                     unit, rows = (key[k], i[k], j[k]), []
-                rows.append((node[k], root[k], others[k], every[k], np.frombuffer(shingles.as_py(), dtype=np.uint64)))
-            yield _links(links)
-        yield _links(joined.compare(rows))
-
-    return lake.map_arrow(units.select("key", "i", "j", "node", "root", "others", "all", "shingles"), run, "a long, b long").distinct()
-
-
-def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
-
-
-class _Joined:
-    """Roots that a task has joined and pairs that it found dissimilar, so that other blocks needn't try them again."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-        self.failed: set[tuple[int, int]] = set()
-
-    def top(self, k: int) -> int:
-        while (v := self.up.get(k, k)) != k:
-            self.up[k] = self.up.get(v, v)
-            k = v
-        return k
-
-    def compare(self, rows: list[tuple]) -> list[tuple[int, int]]:
-        """Links between roots of a unit's rows (node, root, others, all, shingles), closest pairs first."""
-        if len(rows) < 2:
-            return []
-        if len(self.up) > REMEMBER:
-            self.up = {}
-        if len(self.failed) > REMEMBER:
-            self.failed = set()
-        links = []
-        for x, y in _close_pairs(rows):
-            a, b = rows[x], rows[y]
-            r, t = self.top(a[1]), self.top(b[1])
-            pair = (a[0], b[0]) if a[0] < b[0] else (b[0], a[0])
-            if r == t or pair in self.failed:
-                continue
-            if _similar(a[4], b[4]):
-                self.up[max(r, t)] = min(r, t)
-                links.append((a[1], b[1]))
+                rows.append((node[k], root[k], n[k], others[k], every[k], sketch.as_py()))
+            yield _found(set(), left)
+            if len(found) > REMEMBER:
+                yield _found(found, [])
+                found = set()
+        yield _found(found, [unit[0]] if _forest(rows, layers, found) else [])
+
+    out = units.select("key", "i", "j", "node", "root", "n_shingles", "others", "all", "sketch")
+    out = lake.written(lake.map_arrow(out, run, "key long, a long, b long, ra long, rb long"), "forest")
+    return out.where("a is not null").select("a", "b", "ra", "rb").distinct(), out.where("a is null").select("key").distinct()
+
+
+def _found(found: set[tuple[int, int, int, int]], left: list[int]) -> pa.RecordBatch:
+    """Rows (null, a, b, ra, rb) of pairs, and (key, null...) of blocks with pairs left."""
+    none = [None] * len(left)
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(found) + left, pa.int64()), *(pa.array([x[c] for x in found] + none, pa.int64()) for c in range(4))], names=["key", "a", "b", "ra", "rb"])
+
+
+def _forest(rows: list[tuple], layers: int, found: set[tuple[int, int, int, int]]) -> bool:
+    """Adds to found the pairs of a unit's rows (node, root, n, others, all, sketch) that join its roots, closest first; each further
+    layer joins them again by pairs that those before didn't use. True if pairs are left."""
+    if len(rows) < 2:
+        return False
+    left = list(_close_pairs(rows))
+    for _ in range(layers):
+        up: dict[int, int] = {}
+
+        def top(k: int, up=up) -> int:
+            while (v := up.get(k, k)) != k:
+                up[k] = up.get(v, v)
+                k = v
+            return k
+
+        unused = []
+        for x, y in left:
+            r, t = top(rows[x][1]), top(rows[y][1])
+            if r == t:
+                unused.append((x, y))
             else:
-                self.failed.add(pair)
-        return links
+                up[r] = t
+                a, b = (rows[x], rows[y]) if rows[x][0] > rows[y][0] else (rows[y], rows[x])
+                found.add((a[0], b[0], a[1], b[1]))
+        left = unused
+        if not left:
+            return False
+    return True
 
 
 def _close_pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     """Pairs of a unit's rows, one of others and one of all, of different roots, whose sizes and sketches allow a link; closest first."""
-    n = np.array([len(r[4]) for r in rows])
-    root = np.array([r[1] for r in rows])
-    left, right = (np.flatnonzero(np.array([r[k] for r in rows])) for k in (2, 3))
-    if len(rows) <= FEW:
-        for x in left.tolist():
-            for y in right.tolist():
-                if root[x] != root[y] and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y]):
-                    yield x, y
-        return
-    width = 1 << max(6, int(n.max() * 8 - 1).bit_length())
-    bits = np.stack([_parity(r[4], width) for r in rows])
+    width = min(len(r[5]) for r in rows)
+    n, root = (np.array([r[k] for r in rows]) for k in (2, 1))
+    left, right = (np.flatnonzero(np.array([r[k] for r in rows])) for k in (3, 4))
+    bits = np.stack([_folded(r[5], width) for r in rows])
     found = []
     step = max(1, (1 << 19) // max(1, len(right) * bits.shape[1]))
     for lo in range(0, len(left), step):
@@ -410,14 +407,22 @@ def _close_pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         a, b = n[some, None], n[None, right]
         x, y = np.nonzero((9 * d <= a + b) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (root[some, None] != root[None, right]))
         found.append((d[x, y] / (n[some[x]] + n[right[y]]), some[x], right[y]))
-    close, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
-    for k in np.argsort(close, kind="stable").tolist():
-        yield int(x[k]), int(y[k])
+    close, x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+    order = np.argsort(close, kind="stable")
+    yield from zip(x[order].tolist(), y[order].tolist(), strict=True)
+
+
+def _parity(h: np.ndarray) -> bytes:
+    """Bit-parity sketch: each hash flips one of 2**i bits, of which there are eight or more a shingle. Halves can be XORed together."""
+    width = 1 << max(6, int(len(h) * 8 - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
 
 
-def _parity(h: np.ndarray, width: int) -> np.ndarray:
-    """Bit-parity sketch: each hash flips one of width bits, of which there are eight or more a shingle."""
-    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).view(np.uint64)
+def _folded(sketch: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(sketch, dtype=np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def _moved(rows: DataFrame, moved: DataFrame, how: str) -> DataFrame:
@@ -436,19 +441,20 @@ def _components(docs: DataFrame, every: DataFrame) -> DataFrame:
     if not rooted.isEmpty():
         wanted = lake.written(classes.select("node", "rep").join(rooted.select("node").distinct().hint("merge"), "node", "left_semi"), "wanted")
         sets = lake.written(_sets(docs, wanted), "sets")
-    for step in range(LEADER_ROUNDS + 1):
-        if rooted.isEmpty():
-            break
-        links = _verified(lake.written(_leader_pairs(rooted), "pairs"), sets) if step < LEADER_ROUNDS else _block_links(rooted, classes, sets)
-        links = lake.written(links, "links")
+    layers = 0
+    while not rooted.isEmpty():
+        if not layers:
+            pairs, layers = _leader_pairs(rooted), 8
+        else:
+            pairs, left = _forest_pairs(rooted, classes, sets, layers)
+            rooted, layers = lake.written(rooted.join(left.hint("merge"), "key", "left_semi"), "left"), layers * 32
+        links = lake.written(_verified(lake.written(pairs, "pairs"), sets), "links")
         if links.isEmpty():
             continue
         moved = lake.written(graph.components(links), "moved")
         how = _small(moved)
-        roots = moved if roots is None else _moved(roots, moved, how).unionByName(moved).distinct()
-        roots = lake.written(roots, "roots")
-        if step < LEADER_ROUNDS:
-            rooted = lake.written(_mixed(_moved(rooted, moved, how)), "rooted")
+        roots = lake.written(moved if roots is None else _moved(roots, moved, how).unionByName(moved).distinct(), "roots")
+        rooted = lake.written(_mixed(_moved(rooted, moved, how)), "rooted")
     groups = classes.select("fp", "fp2", "n_shingles", "node", F.col("node").alias("root"))
     if roots is not None:
         groups = groups.drop("root").join(roots.hint(_small(roots)), "node", "left")

@@ -49,7 +49,6 @@ def test_against_brute_force(make, corpus, rate):
 
 def test_small_pieces_lose_no_link(make, monkeypatch):
     monkeypatch.setattr(jaccard, "PIECE", 8)
-    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 0)
     monkeypatch.setattr(jaccard, "GATHER", 500)
     rows = edited(random.Random(9), 2, 40, 100, 0.02)
     assert sorted(map(tuple, jaccard.near_duplicates(make(rows)).collect())) == brute(rows)
@@ -97,7 +96,7 @@ def test_parity_distance_is_a_lower_bound():
     for n, m, both in ((50, 60, 20), (500, 480, 400), (3, 200, 1)):
         x = rng.integers(1, 2**63, both).astype(np.uint64)
         a, b = (np.concatenate((x, rng.integers(1, 2**63, k - both).astype(np.uint64))) for k in (n, m))
-        assert np.bitwise_count(jaccard._parity(a, 2048) ^ jaccard._parity(b, 2048)).sum() <= n + m - 2 * both
+        assert np.bitwise_count(jaccard._folded(jaccard._parity(a), 8) ^ jaccard._folded(jaccard._parity(b), 8)).sum() <= n + m - 2 * both
 
 
 def test_components(spark):
