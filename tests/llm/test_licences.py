@@ -24,3 +24,19 @@ def test_no_python_in_the_plan_and_empty(make):
     df = licences.scan(licences.document_paths(make([])))
     assert df.count() == 0
     assert "Python" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_whole_licences_and_wrapped_headers(spark):
+    """Known licences wrapped in comments or on one line; other notices stay unknown."""
+    text = {i: t for i, (_, t) in enumerate(licences.TEMPLATES)}
+    wrap = lambda t, mark: "\n".join(f"{mark} {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    at = {name: i for i, (name, t) in enumerate(licences.TEMPLATES) if len(t) > 200}
+    rows = [
+        (1, "p/a.py", wrap(text[at["GPL-3.0"]], "#") + "\nimport os\n"), (2, "p/b.c", "/*\n" + wrap(text[at["Apache-2.0"]], " *") + "\n */\nint x;"), (3, "q/LICENSE", "Copyright (c) 2020 Someone\n\n" + wrap(text[at["MIT"]], "")),
+        (4, "q/x/y.js", "// SPDX-License-Identifier: MPL-2.0\nlet x"), (5, "r/z.js", "// SPDX-License-Identifier: Zlib\nlet x"), (6, "q/w.py", "x = 1"), (7, "r/s.py", wrap(text[at["GPL-2.0"]], "#")), (8, "s/COPYING", text[at["BSD-3-Clause"]]),
+        (9, "s/t.txt", "a story of a licence " + "and other words " * 30_000), (9, "s/t.txt", "Released under the MIT License"), (9, "s/t.txt", "Released under the MIT License"),
+    ]
+    out = [(r.doc_id, r.licence, r.origin) for r in licences.scan(spark.createDataFrame([(*r, "l", "d") for r in rows], FILES)).collect()]
+    got = {i: (n, o) for i, n, o in out}
+    assert got == {1: ("GPL-3.0", "own"), 2: ("Apache-2.0", "own"), 3: ("MIT", "own"), 4: ("MPL-2.0", "own"), 5: (None, "none"), 6: ("MIT", "inherited"), 7: ("GPL-2.0", "own"), 8: ("BSD-3-Clause", "own"), 9: ("MIT", "own")}
+    assert len(out) == len(rows)
