@@ -221,7 +221,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
 
     docs needs a text column, or rows as packed by lake; benchmark needs item_id and text."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.size(F.split("text", "[^a-zA-Z0-9\u0080-\U0010ffff]+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     carry = docs.columns
@@ -232,6 +232,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
         if "text" in carry:
             df = df.withColumn("_text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
         df = _scan(df, matcher, carry, cut and k == blocks - 1)
+        if k < blocks - 1:
+            df = lake.written(df, "matched")  # so a task holds one block's automaton at a time
     return df
 
 
