@@ -42,7 +42,7 @@ PERCENT = 80
 #: Classes, and shingles, of a block that are compared at once; a larger block is compared in pieces.
 PIECE, PIECE_SHINGLES = 2048, 1 << 20
 #: (block, class) pairs that a task gathers before it looks for shared blocks.
-GATHER = 1_000_000
+GATHER = 500_000
 #: Rows of a few numbers that may be broadcast, once counted; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 250_000
 #: Pairs, or classes, that a task holds so as not to pass them on twice.
