@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .functions.names import CFB_ALIASES, NFL_TEAMS
-from .operators import book_stats, episodes, ladders, matching, scoring, stats
+from .operators import book_stats, episodes, ladders, matching, outcomes, scoring, stats
 from .plans import jobs
+from .sources import landed
 from .views import cte, view
 
 #: Ticks of a match in these tables are hours apart.
@@ -358,11 +359,11 @@ def _mapping(table: dict[str, str]) -> str:
 _RAW = "trim(regexp_replace(regexp_replace({}, '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@_query("canonical_names", f"""WITH x AS (SELECT DISTINCT c_name AS name FROM customer UNION SELECT DISTINCT substr(text, 1, 40) FROM documents UNION SELECT n_name FROM nation), nfl(a, t) AS {_mapping(NFL_TEAMS)}, cfb(a, t) AS {_mapping(CFB_ALIASES)},
+@_query("canonical_names", f"""WITH x AS (SELECT DISTINCT c_name AS name FROM customer UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT s_name FROM supplier UNION SELECT DISTINCT source FROM documents UNION SELECT n_name FROM nation), nfl(a, t) AS {_mapping(NFL_TEAMS)}, cfb(a, t) AS {_mapping(CFB_ALIASES)},
   y AS (SELECT name, {_PLAYER.format('name')} AS player, {_RAW.format('lower(name)')} AS n_raw, {_RAW.format("replace(replace(lower(name), '&', ' and '), 'st.', ' state ')")} AS c_raw FROM x)
   SELECT name, player, nullif(coalesce(cfb.t, c_raw), '') AS college, coalesce(n1.t, n2.t) AS pro FROM y LEFT JOIN cfb ON cfb.a = c_raw LEFT JOIN nfl n1 ON n1.a = n_raw LEFT JOIN nfl n2 ON n2.a = replace(n_raw, ' ', '')""")
 def _canonical_names(spark, d):
-    x = view(spark, d, "customer").select(F.col("c_name").alias("name")).union(view(spark, d, "documents").select(F.substring("text", 1, 40))).union(view(spark, d, "nation").select("n_name")).distinct()
+    x = view(spark, d, "customer").select(F.col("c_name").alias("name")).union(view(spark, d, "part").select("p_name")).union(view(spark, d, "supplier").select("s_name")).union(view(spark, d, "documents").select("source")).union(view(spark, d, "nation").select("n_name")).distinct()
     return x.select("name", scalars.player_id(F.col("name")).alias("player"), scalars.cfb_team(F.col("name")).alias("college"), scalars.nfl_team(F.col("name")).alias("pro"))
 
 
@@ -373,6 +374,63 @@ def _report_texts(spark, d):
     return r.select(*episodes.MATCH_KEY, scalars.game_label(*(F.col(c) for c in ("sport", "level", "game_date", "team_a", "team_b"))).alias("game"), scalars.fmt_cents(F.col("peak_edge")).alias("edge_text"), scalars.fmt_duration(F.round("duration_seconds", 6)).alias("time_text"))
 
 
+# Landed payloads made of orders, read as the feeds' are; the SQL states their contents directly.
+
+
+def _orders(spark: SparkSession, d: str, payload: str) -> DataFrame:
+    return view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day").selectExpr(f"{payload} AS value")
+
+
+@_query("kalshi_asks", """SELECT 'T' || k AS book_id, round(1 - p, 4) AS price, CAST(k % 7 AS DOUBLE) AS qty, epoch_us(day) AS observed_at FROM (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, CASE o_orderkey % 3 WHEN 0 THEN (1 + o_custkey % 99) / 100.0::DOUBLE
+  WHEN 1 THEN CASE WHEN o_custkey % 99 > 1 THEN (o_custkey % 99) / 100.0::DOUBLE ELSE o_custkey % 99 END END AS p FROM orders) WHERE round(1 - p, 4) > 0 AND k % 7 > 0""")
+def _kalshi_asks(spark, d):
+    book = """concat('{"ticker": "T', k, '", "observed_at": "', day, '", "orderbook_fp": {"no_dollars": [', CASE WHEN k % 3 = 0 THEN concat('["0.', lpad(1 + c % 99, 2, '0'), '", "', k % 7, '"]') ELSE '' END, ']}, "orderbook": ', CASE WHEN k % 3 = 2 THEN 'null' ELSE concat('{"no": [[', c % 99, ', ', k % 7, ']]}') END, '}')"""
+    books = _orders(spark, d, book).select(F.from_json("value", landed.K_BOOK).alias("x")).select("x.*").withColumn("observed_at", scalars.parse_ts(F.col("observed_at")))
+    return _flat(outcomes.split_kalshi_book(books))
+
+
+@_query("poly_asks", """SELECT 'T' || k AS book_id, p / 100.0::DOUBLE AS price, q / 4.0::DOUBLE AS qty, epoch_us(day) + 18000000000 AS observed_at FROM (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, unnest([o_custkey % 100, 7]) AS p, unnest([o_orderkey % 9, CASE WHEN o_orderkey % 2 = 0 THEN 3 END]) AS q FROM orders) WHERE p > 0 AND q > 0""")
+def _poly_asks(spark, d):
+    book = """concat('{"token_id": "T', k, '", "observed_at": "', day, 'T00:00:00-05:00", "asks": [{"price": "', (c % 100) / 100, '", "size": "', (k % 9) / 4, '"}, {"price": 0.07, "size": ', CASE WHEN k % 2 = 0 THEN '0.75' ELSE 'null' END, '}]}')"""
+    books = _orders(spark, d, book).select(F.from_json("value", landed.P_BOOK).alias("x")).select("x.*").withColumn("observed_at", scalars.parse_ts(F.col("observed_at")))
+    return _flat(outcomes.split_poly_book(books))
+
+
+@_query("kalshi_quote_rows", """SELECT 'T' || k // 2 AS ticker, CASE WHEN o_custkey % 3 = 0 THEN 0.5 ELSE (o_custkey % 100) / 100.0::DOUBLE END AS yes, o_custkey % 4 > 1 AS closed, 1704067200000000 AS observed_at FROM (SELECT o_orderkey AS k, o_custkey, row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderkey % 2) AS n FROM orders) WHERE n = 1""")
+def _kalshi_quote_rows(spark, d):
+    market = """concat('{"ticker": "T', k div 2, '", "status": "', element_at(array('active', 'Open', 'settled', 'closed'), CAST(c % 4 + 1 AS INT)), '", "yes_ask_dollars": "', CASE WHEN c % 3 = 0 THEN '' ELSE CAST((c % 100) / 100 AS STRING) END, '", "last_price_dollars": "0.5"}')"""
+    payload = f"""concat('{{"observed_at": "2024-01-01T00:00:00Z", ', CASE WHEN k % 2 = 0 THEN concat('"event": {{"markets": [', {market}, ']}}') ELSE concat('"market": ', {market}) END, '}}')"""
+    return _flat(landed.kalshi_quotes(_orders(spark, d, payload).select(F.from_json("value", landed.K_QUOTE_SCHEMA).alias("x")).select("x.*")))
+
+
+@_query("poly_quote_rows", """SELECT 'M' || o_orderkey AS market_id, o_custkey % 5 = 0 OR o_custkey % 7 = 0 AS closed, CASE WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE CAST('0.' || (1 + o_custkey % 9) AS DOUBLE) END AS yes_a, CASE WHEN o_orderkey % 2 = 0 THEN CAST('0.' || (1 + o_custkey % 9) AS DOUBLE) ELSE 0.25 END AS yes_b FROM orders""")
+def _poly_quote_rows(spark, d):
+    market = """concat('{"observed_at": "2024-01-01T00:00:00Z", "id": "M', k, '", "closed": ', CASE WHEN c % 5 = 0 THEN 'true' ELSE 'false' END, ', "active": ', CASE WHEN c % 7 = 0 THEN '"false"' ELSE 'true' END, ', "outcomes": "[\\\\"', CASE WHEN k % 2 = 0 THEN 'Bills\\\\", \\\\"New England' ELSE 'New England\\\\", \\\\"Bills' END, '\\\\"]", "outcomePrices": "[\\\\"0.', 1 + c % 9, '\\\\", \\\\"0.25\\\\"]"}')"""
+    payload = f"CASE k % 3 WHEN 0 THEN {market} WHEN 1 THEN concat('[', {market}, ', {{\"id\": \"other\"}}]') ELSE concat('{{\"market\": ', {market}, '}}') END".replace("{{", "{").replace("}}", "}")
+    q = landed.poly_quote_texts(_orders(spark, d, payload)).withColumns({"sport": F.lit("nfl"), "team_a": F.lit("patriots"), "team_b": F.lit("bills")})
+    return _flat(outcomes.poly_outcome_prices(q).select("market_id", "closed", "yes_a", "yes_b"))
+
+
+@_query("parsed_texts", """SELECT k, CASE k % 4 WHEN 0 THEN c + 0.25 WHEN 1 THEN CAST(k AS DOUBLE) END AS price, CASE k % 4 WHEN 0 THEN epoch_us(t) + 3723000000 WHEN 1 THEN epoch_us(t) + 18000000000 WHEN 2 THEN epoch_us(t) ELSE -1 END AS at,
+  CASE WHEN k % 4 < 3 THEN CAST(day AS VARCHAR) END AS game_date, CAST(day AS VARCHAR) AS slug_day, CASE WHEN k % 4 < 2 THEN CAST(day AS VARCHAR) END AS close_day, CASE WHEN k % 4 < 3 THEN CAST(day AS VARCHAR) END AS ticker_day,
+  CASE k % 4 WHEN 0 THEN 'atp' WHEN 1 THEN 'challenger' END AS tour, CASE WHEN k % 4 = 0 THEN 'patriots,bills' END AS teams, CASE k % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE -1 END AS listed FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS t FROM orders)""")
+def _parsed_texts(spark, d):
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "CAST(o_custkey AS STRING) AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day", "upper(date_format(CAST(o_orderdate AS DATE), 'yyMMMdd')) AS code")
+    pick = lambda *sql: F.expr(f"element_at(array({', '.join(sql)}), CAST(k % 4 + 1 AS INT))")
+    ticker = pick("concat('KXNFLGAME-', code, 'NEBUF')", "concat('KXATPMATCH-', code, 'ABCDEF')", "concat('KXNCAAFGAME-', code)", "'KXNFLGAME-99XXX99'")
+    decoded = scalars.parse_event_ticker(ticker)
+    return _flat(x.select(
+        "k", scalars.parse_price(pick("concat(c, '.25')", "CAST(k AS STRING)", "''", "'0.5d'")).alias("price"),
+        F.coalesce(F.unix_micros(scalars.parse_ts(pick("concat(day, 'T01:02:03')", "concat(day, 'T00:00:00-05:00')", "day", "'soon'"))), F.lit(-1)).alias("at"),
+        scalars.parse_game_date(pick("concat(day, 'T01:02:03')", "day", "concat(day, ' x')", "'2024-13-01'")).cast("string").alias("game_date"),
+        scalars.slug_date(pick("concat('nfl-ne-buf-', day)", "concat('atp-a-b-', day)", "'nfl-ne-buf'", "''"), F.concat("day", F.lit("T23:30:00-05:00"))).alias("slug_day"),
+        scalars.slug_date(F.lit("nfl-ne-buf"), pick("day", "concat(day, 'T23:30:00-05:00')", "''", "'soon'")).alias("close_day"),
+        scalars.ticker_date(ticker).cast("string").alias("ticker_day"),
+        scalars.tour_level(pick("'ATP'", "'itf'", "'atp'", "'nba'"), pick("'A vs B'", "'Oslo Challenger: A vs B'", "'Doubles: A vs B'", "null")).alias("tour"),
+        F.array_join(decoded["teams"], ",").alias("teams"), F.coalesce(F.array_size(scalars.json_array(pick("'[\"a\", \"b\"]'", "'[1]'", "'nothing'", "null"))), F.lit(-1)).alias("listed"),
+    ))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,66 +2,150 @@
 
 from __future__ import annotations
 
-#: NFL team -> the names and codes that mean it. Fixed values.
-NFL_NAMES = {
-    "cardinals": "ari, arizona, cardinals",
-    "falcons": "atl, atlanta, falcons",
-    "ravens": "bal, baltimore, ravens",
-    "bills": "buf, buffalo, bills",
-    "panthers": "car, carolina, panthers",
-    "bears": "chi, chicago, bears",
-    "bengals": "cin, cincinnati, bengals",
-    "browns": "cle, cleveland, browns",
-    "cowboys": "dal, dallas, cowboys",
-    "broncos": "den, denver, broncos",
-    "lions": "det, detroit, lions",
-    "packers": "gb, gnb, green bay, packers",
-    "texans": "hou, houston, texans",
-    "colts": "ind, indianapolis, colts",
-    "jaguars": "jac, jax, jacksonville, jaguars",
-    "chiefs": "kc, kan, kansas city, chiefs",
-    "raiders": "lv, lvr, las vegas, oakland, raiders",
-    "chargers": "lac, chargers, los angeles chargers",
-    "rams": "lar, rams, los angeles rams, los angeles r",
-    "dolphins": "mia, miami, dolphins",
-    "vikings": "min, minnesota, vikings",
-    "patriots": "ne, nwe, new england, patriots",
-    "saints": "no, nor, new orleans, saints",
-    "giants": "nyg, new york g, new york giants, giants",
-    "jets": "nyj, new york j, new york jets, jets",
-    "eagles": "phi, philadelphia, eagles",
-    "steelers": "pit, pittsburgh, steelers",
-    "seahawks": "sea, seattle, seahawks",
-    "49ers": "sf, sfo, san francisco, 49ers, niners",
-    "buccaneers": "tb, tam, tampa, tampa bay, buccaneers, bucs",
-    "titans": "ten, tennessee, titans",
-    "commanders": "was, wsh, washington, commanders",
+#: The names and codes of NFL teams, and the team that each means. Fixed values.
+NFL_TEAMS = {
+    "ari": "cardinals",
+    "arizona": "cardinals",
+    "cardinals": "cardinals",
+    "atl": "falcons",
+    "atlanta": "falcons",
+    "falcons": "falcons",
+    "bal": "ravens",
+    "baltimore": "ravens",
+    "ravens": "ravens",
+    "buf": "bills",
+    "buffalo": "bills",
+    "bills": "bills",
+    "car": "panthers",
+    "carolina": "panthers",
+    "panthers": "panthers",
+    "chi": "bears",
+    "chicago": "bears",
+    "bears": "bears",
+    "cin": "bengals",
+    "cincinnati": "bengals",
+    "bengals": "bengals",
+    "cle": "browns",
+    "cleveland": "browns",
+    "browns": "browns",
+    "dal": "cowboys",
+    "dallas": "cowboys",
+    "cowboys": "cowboys",
+    "den": "broncos",
+    "denver": "broncos",
+    "broncos": "broncos",
+    "det": "lions",
+    "detroit": "lions",
+    "lions": "lions",
+    "gb": "packers",
+    "gnb": "packers",
+    "green bay": "packers",
+    "packers": "packers",
+    "hou": "texans",
+    "houston": "texans",
+    "texans": "texans",
+    "ind": "colts",
+    "indianapolis": "colts",
+    "colts": "colts",
+    "jac": "jaguars",
+    "jax": "jaguars",
+    "jacksonville": "jaguars",
+    "jaguars": "jaguars",
+    "kc": "chiefs",
+    "kan": "chiefs",
+    "kansas city": "chiefs",
+    "chiefs": "chiefs",
+    "lv": "raiders",
+    "lvr": "raiders",
+    "las vegas": "raiders",
+    "oakland": "raiders",
+    "raiders": "raiders",
+    "lac": "chargers",
+    "chargers": "chargers",
+    "los angeles chargers": "chargers",
+    "lar": "rams",
+    "rams": "rams",
+    "los angeles rams": "rams",
+    "los angeles r": "rams",
+    "mia": "dolphins",
+    "miami": "dolphins",
+    "dolphins": "dolphins",
+    "min": "vikings",
+    "minnesota": "vikings",
+    "vikings": "vikings",
+    "ne": "patriots",
+    "nwe": "patriots",
+    "new england": "patriots",
+    "patriots": "patriots",
+    "no": "saints",
+    "nor": "saints",
+    "new orleans": "saints",
+    "saints": "saints",
+    "nyg": "giants",
+    "new york g": "giants",
+    "new york giants": "giants",
+    "giants": "giants",
+    "nyj": "jets",
+    "new york j": "jets",
+    "new york jets": "jets",
+    "jets": "jets",
+    "phi": "eagles",
+    "philadelphia": "eagles",
+    "eagles": "eagles",
+    "pit": "steelers",
+    "pittsburgh": "steelers",
+    "steelers": "steelers",
+    "sea": "seahawks",
+    "seattle": "seahawks",
+    "seahawks": "seahawks",
+    "sf": "49ers",
+    "sfo": "49ers",
+    "san francisco": "49ers",
+    "49ers": "49ers",
+    "niners": "49ers",
+    "tb": "buccaneers",
+    "tam": "buccaneers",
+    "tampa": "buccaneers",
+    "tampa bay": "buccaneers",
+    "buccaneers": "buccaneers",
+    "bucs": "buccaneers",
+    "ten": "titans",
+    "tennessee": "titans",
+    "titans": "titans",
+    "was": "commanders",
+    "wsh": "commanders",
+    "washington": "commanders",
+    "commanders": "commanders",
 }
-NFL_TEAMS = {alias: team for team, names in NFL_NAMES.items() for alias in names.split(", ")}
 #: Codes in event tickers: the aliases of two or three letters, longer ones first.
 NFL_CODES = sorted({a.upper() for a in NFL_TEAMS if a.isalpha() and len(a) in (2, 3)}, key=lambda a: (-len(a), a))
 
-#: College team -> other names that mean it. Names without an entry stand for themselves. Fixed values.
-CFB_NAMES = {
-    "albany": "university at albany, ualbany",
-    "appalachian state": "app state, appalachian st",
-    "california": "cal",
-    "ucf": "central florida",
-    "uconn": "connecticut",
-    "florida am": "florida a and m, florida a m",
-    "florida atlantic": "fau",
-    "fiu": "florida international",
-    "miami fl": "miami florida",
-    "miami oh": "miami ohio",
-    "north carolina state": "nc state, n c state",
-    "mississippi": "ole miss",
-    "pittsburgh": "pitt",
-    "usc": "southern cal, southern california",
-    "usf": "south florida",
-    "southern miss": "southern mississippi",
-    "texas am": "texas a and m, texas a m",
+#: Other names of college teams, and the team that each means; a name without an entry stands for itself. Fixed values.
+CFB_ALIASES = {
+    "university at albany": "albany",
+    "ualbany": "albany",
+    "app state": "appalachian state",
+    "appalachian st": "appalachian state",
+    "cal": "california",
+    "central florida": "ucf",
+    "connecticut": "uconn",
+    "florida a and m": "florida am",
+    "florida a m": "florida am",
+    "fau": "florida atlantic",
+    "florida international": "fiu",
+    "miami florida": "miami fl",
+    "miami ohio": "miami oh",
+    "nc state": "north carolina state",
+    "n c state": "north carolina state",
+    "ole miss": "mississippi",
+    "pitt": "pittsburgh",
+    "southern cal": "usc",
+    "southern california": "usc",
+    "south florida": "usf",
+    "southern mississippi": "southern miss",
+    "texas a and m": "texas am",
+    "texas a m": "texas am",
 }
-CFB_ALIASES = {alias: team for team, names in CFB_NAMES.items() for alias in names.split(", ")}
 
 #: Words that aren't part of a player's last name. Fixed values.
 PARTICLES = ("de", "da", "das", "dos", "del", "van", "von", "la", "le", "di", "du")

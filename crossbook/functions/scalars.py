@@ -14,8 +14,21 @@ def parse_price(c: Column) -> Column:
 
 
 def parse_ts(c: Column) -> Column:
-    """ISO text as a UTC timestamp; text without an offset is UTC; bad text is null."""
-    return F.try_to_timestamp(F.nullif(c, F.lit("")))
+    """ISO text as a timestamp; text without an offset is UTC, whatever the session's zone; bad text is null."""
+    day, zoned = c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"), c.rlike(r"[T ]\d.*([A-Za-z]|[+-]\d\d?(:?\d\d)?)\s*$")
+    return F.try_to_timestamp(F.nullif(F.when(day, F.concat(F.trim(c), F.lit("T00:00:00Z"))).when(zoned, c).otherwise(F.concat(F.rtrim(c), F.lit("Z"))), F.lit("Z")))
+
+
+def _utc(ts: Column, form: str) -> Column:
+    """A timestamp's date and time in UTC, whatever the session's zone."""
+    second = F.unix_seconds(ts)
+    day = F.floor(second / 86400)
+    of_day = second - day * 86400
+    return F.when(ts.isNotNull(), F.format_string(form, F.date_from_unix_date(day.cast("int")).cast("string"), F.floor(of_day / 3600), F.floor(of_day % 3600 / 60), of_day % 60))
+
+
+def iso_utc(ts: Column) -> Column:
+    return _utc(ts, "%sT%02d:%02d:%02dZ")
 
 
 def parse_game_date(c: Column) -> Column:
@@ -103,8 +116,9 @@ def parse_event_ticker(c: Column) -> Column:
 
 
 def _short_date(c: Column) -> Column:
-    """25SEP07 as a date, else null."""
-    return F.try_to_date(F.concat(F.substring(c, 1, 2), F.initcap(F.substring(c, 3, 3)), F.substring(c, 6, 2)), "yyMMMdd")
+    """25SEP07 as a date, else null. Years from 69 on are of the last century."""
+    date = F.try_to_date(F.concat(F.substring(c, 1, 2), F.initcap(F.substring(c, 3, 3)), F.substring(c, 6, 2)), "yyMMMdd")
+    return F.when(F.year(date) > 2068, F.add_months(date, -1200)).otherwise(date)
 
 
 def ticker_date(c: Column) -> Column:
@@ -141,7 +155,7 @@ def fmt_cents(edge: Column) -> Column:
 
 
 def fmt_ts(ts: Column) -> Column:
-    return F.when(ts.isNull(), "n/a").otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss 'UTC'"))
+    return F.when(ts.isNull(), "n/a").otherwise(_utc(ts, "%s %02d:%02d:%02d UTC"))
 
 
 def fmt_dollars(v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import flag, json_array, local_date, parse_event_ticker, parse_price, parse_ts, slug_date, team_id, ticker_date, tour_level, truthy
+from ..functions.scalars import flag, iso_utc, json_array, local_date, parse_event_ticker, parse_price, parse_ts, slug_date, team_id, ticker_date, tour_level, truthy
 from ..sources.landed import src_ord
 
 
@@ -50,7 +50,7 @@ def kalshi_outcomes(events: DataFrame, sport: str, level: str, series: str) -> D
     out = df.select(
         F.lit("kalshi").alias("exchange"), F.col("m.ticker").alias("market_id"), F.coalesce("event_ticker", F.lit("")).alias("event_id"), F.coalesce(truthy(F.col("title")), F.col("event_ticker")).alias("event_title"), "team",
         F.coalesce(opponent, F.lit("")).alias("opponent"), parse_price(F.coalesce(truthy(F.col("m.yes_ask_dollars")), F.col("m.last_price_dollars"))).alias("yes_price"), parse_price(F.col("m.volume_fp")).alias("volume"),
-        F.coalesce(date, F.lit("")).alias("game_date"), F.coalesce(F.date_format(parse_ts(when), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("")).alias("close_time"),
+        F.coalesce(date, F.lit("")).alias("game_date"), F.coalesce(iso_utc(parse_ts(when)), F.lit("")).alias("close_time"),
         event_url("kalshi", F.coalesce("event_ticker", F.lit("")), series).alias("url"), src_ord(F.col("page"), F.col("event_pos"), F.col("pos")).alias("src_ord"),
     )
     return with_defaults(out, sport, F.lit(level))
@@ -90,19 +90,19 @@ def poly_outcomes(events: DataFrame, sport: str) -> DataFrame:
         F.lit("polymarket").alias("exchange"), F.coalesce(truthy(F.col("m.id")), truthy(F.col("m.slug")), F.col("slug")).alias("market_id"), truthy(F.get("tokens", F.col("pos"))).alias("token_id"), F.col("slug").alias("event_id"),
         F.coalesce(truthy(F.col("title")), F.col("slug")).alias("event_title"), "team", F.coalesce(_first(F.col("names"), F.col("team")), _first(F.col("others"), F.col("team")), F.lit("")).alias("opponent"),
         parse_price(F.get("prices", F.col("pos"))).alias("yes_price"), parse_price(F.col("m.volume")).alias("volume"), F.coalesce(slug_date(F.col("slug"), close), F.lit("")).alias("game_date"),
-        F.coalesce(F.date_format(parse_ts(close), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("")).alias("close_time"), event_url("polymarket", F.col("slug")).alias("url"), flag(F.col("live")).alias("live"), flag(F.col("ended")).alias("ended"), "level",
+        F.coalesce(iso_utc(parse_ts(close)), F.lit("")).alias("close_time"), event_url("polymarket", F.col("slug")).alias("url"), flag(F.col("live")).alias("live"), flag(F.col("ended")).alias("ended"), "level",
         src_ord(F.col("page"), F.col("event_pos"), F.col("pos")).alias("src_ord"),
     )
     return with_defaults(out, sport, F.col("level"))
 
 
 def split_kalshi_book(books: DataFrame) -> DataFrame:
-    """(observed_at, book_id, price, qty): a NO bid at P is a YES ask at 1 - P. Prices in cents (1 or more) only in the older field."""
+    """(observed_at, book_id, price, qty): a NO bid at P is a YES ask at 1 - P. Prices in cents (over 1) only in the older field."""
     dollars = F.col("orderbook_fp.no_dollars")
     use = F.size(F.coalesce(dollars, F.array())) > 0
     rows = books.select("observed_at", F.col("ticker").alias("book_id"), use.alias("dollars"), F.explode(F.when(use, dollars).otherwise(F.col("orderbook.no"))).alias("x"))
     bid, qty = parse_price(F.get("x", F.lit(0))), parse_price(F.get("x", F.lit(1)))
-    bid = F.when(~F.col("dollars") & (bid >= 1), bid / 100).otherwise(bid)
+    bid = F.when(~F.col("dollars") & (bid > 1), bid / 100).otherwise(bid)
     return rows.select("observed_at", "book_id", F.round(1.0 - bid, 4).alias("price"), qty.alias("qty")).where("price > 0 and qty > 0")
 
 

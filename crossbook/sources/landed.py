@@ -47,12 +47,16 @@ def read_poly_events(spark: SparkSession, path: str) -> DataFrame:
     return pages.withColumn("_seq", F.monotonically_increasing_id()).withColumn("event_pos", F.row_number().over(order) - 1).drop("_seq")
 
 
+K_BOOK = "ticker string, observed_at string, orderbook_fp struct<no_dollars: array<array<string>>>, orderbook struct<no: array<array<string>>>"
+P_BOOK = "token_id string, observed_at string, asks array<struct<price: string, size: string>>"
+
+
 def read_kalshi_books(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema("ticker string, observed_at string, orderbook_fp struct<no_dollars: array<array<string>>>, orderbook struct<no: array<array<string>>>").json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
+    return spark.read.option("multiLine", True).schema(K_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
 
 
 def read_poly_books(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema("token_id string, observed_at string, asks array<struct<price: string, size: string>>").json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
+    return spark.read.option("multiLine", True).schema(P_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
 
 
 _K_QUOTE = K_MARKET.replace(" string", ": string")
@@ -86,8 +90,15 @@ def poly_quotes(raw: DataFrame) -> DataFrame:
     )
 
 
+def poly_quote_texts(texts: DataFrame) -> DataFrame:
+    """Quotes of payloads (value): a market, {market: {...}}, or a list of which the first market counts."""
+    text = F.when(F.col("value").rlike(r"^\s*\["), F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
+    return poly_quotes(texts.select(F.from_json(text, P_QUOTE_SCHEMA).alias("x")).where("x is not null").select("x.*"))
+
+
 def read_poly_quotes(spark: SparkSession, path: str) -> DataFrame:
-    return poly_quotes(spark.read.schema(P_QUOTE_SCHEMA).json(path))
+    """Quotes of landed payloads, one a line."""
+    return poly_quote_texts(spark.read.text(path))
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -42,12 +42,20 @@ def save_snapshot(markets: DataFrame, matches: DataFrame, arbs: DataFrame, base:
         df = _flags(df)
         if "market_id" in df.columns:
             df = df.withColumn("market_id", F.col("market_id").cast("string"))
-        order = "src_ord" if "src_ord" in df.columns else "game_date"
+        # The last row of a key: by arrival, or for matches and arbs by the ids of their markets, so that it doesn't depend on the run.
+        order = next((c for c in ("src_ord", "ord", "kalshi_event_id", "kalshi_event") if c in df.columns), "game_date")
         dedupe_last(df, SNAPSHOT_KEYS[name], order).write.parquet(f"{version}/{name}")
     path, fs = _pointer(spark, base)
-    out = fs.create(path, True)
+    aside = path.suffix(f"-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
+    # FileContext's rename replaces the old pointer in one step.
+    jvm = spark.sparkContext._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, path, options)
     return version
 
 
@@ -56,9 +64,18 @@ def read_snapshot(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{version}/{name}")
 
 
-def _append(df: DataFrame, path: str) -> None:
-    df = _flags(df).withColumn("obs_date", F.to_date("observed_at"))
-    df.write.mode("append").partitionBy("obs_date").parquet(path)
+def append(df: DataFrame, path: str, batch: str) -> None:
+    """Adds df to a history, in folders by date and batch. A batch that is written again replaces what it wrote before. Ticks get a tick_id
+    made from their contents, the same at every try, which breaks ties of time."""
+    df = _flags(df)
+    if "tick_id" not in df.columns:
+        df = df.withColumn("tick_id", F.xxhash64(F.lit(batch), *[F.col(f"`{c}`") for c in df.columns]))
+    df = df.withColumns({"obs_date": F.date_from_unix_date(F.floor(F.unix_seconds("observed_at") / 86400).cast("int")), "batch": F.lit(batch)})
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date", "batch").parquet(path)
+
+
+def _once(kind: str) -> str:
+    return f"{kind}-{uuid.uuid4().hex}"
 
 
 def arb_rows(arbs: DataFrame, source: str) -> DataFrame:
@@ -69,15 +86,15 @@ def arb_rows(arbs: DataFrame, source: str) -> DataFrame:
 
 def append_arb_history(arbs: DataFrame, base: str, source: str) -> None:
     df = arbs if "observed_at" in arbs.columns else arbs.withColumn("observed_at", F.current_timestamp())
-    _append(arb_rows(df, source), f"{base}/arb_history")
+    append(arb_rows(df, source), f"{base}/arb_history", _once(source))
 
 
 def append_price_ticks(df: DataFrame, base: str) -> None:
-    _append(df, f"{base}/price_ticks")
+    append(df, f"{base}/price_ticks", _once("price"))
 
 
 def append_book_ticks(df: DataFrame, base: str) -> None:
-    _append(df, f"{base}/book_ticks")
+    append(df, f"{base}/book_ticks", _once("book"))
 
 
 def register_views(spark: SparkSession, base: str) -> list[str]:

@@ -1,8 +1,8 @@
 """Structured Streaming: quotes and books into tick histories, and episodes as a stateful operator.
 
 The tick streams read landed files batch by batch and re-read the match table at the start of each batch, so a new snapshot
-takes effect without a restart; where it can't be read, the last good one is used. A batch is written to a folder of its own
-(overwritten on a retry), so a replay after a failure leaves each tick once.
+takes effect without a restart; where it can't be read, the last good one is used. A batch is written to folders of its own
+(overwritten on a retry), laid out as other writers of the histories do, so a replay after a failure leaves each tick once.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..functions.scalars import game_status
+from ..functions.scalars import game_status, parse_ts
 from ..operators.episodes import GAP_BREAK, MATCH_KEY
 from ..operators.ladders import quote_executable
 from ..operators.outcomes import split_kalshi_book, split_poly_book
 from ..operators.scoring import quote_matches, score_quotes
 from ..sources.landed import K_QUOTE_SCHEMA, P_QUOTE_SCHEMA, kalshi_quotes, poly_quotes
-from ..sources.sinks import arb_rows
+from ..sources.sinks import append, arb_rows
 
 _BOOK = "ticker string, token_id string, observed_at string, orderbook_fp struct<no_dollars: array<array<string>>>, orderbook struct<no: array<array<string>>>, asks array<struct<price: string, size: string>>"
 
@@ -43,10 +43,6 @@ class LastGood:
         return self.df
 
 
-def _write(df: DataFrame, base: str, table: str, batch: int) -> None:
-    df.withColumn("obs_date", F.to_date("observed_at")).write.mode("overwrite").partitionBy("obs_date").parquet(f"{base}/{table}/batch={batch}")
-
-
 def price_tick_stream(spark: SparkSession, landing: str, matches: Callable[[], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Price ticks of landed quotes (landing/*: one JSON object a line, either venue's) into out/price_ticks and out/arb_history."""
     schema = f"venue string, {K_QUOTE_SCHEMA}, {P_QUOTE_SCHEMA.replace('observed_at string, ', '').replace(', market struct', ', p_market struct')}"
@@ -57,10 +53,10 @@ def price_tick_stream(spark: SparkSession, landing: str, matches: Callable[[], D
         k = kalshi_quotes(df.where("venue = 'k'").select("observed_at", "event", "markets", "market"))
         p = poly_quotes(df.where("venue = 'p'").drop("market").withColumnRenamed("p_market", "market"))
         ticks = score_quotes(quote_matches(source.refresh(), k, p))
-        for c in ("live", "ended"):
-            ticks = ticks.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-        _write(ticks, out, "price_ticks", number)
-        _write(arb_rows(spark.read.parquet(f"{out}/price_ticks/batch={number}"), "poll"), out, "arb_history", number)
+        ticks = ticks.persist()
+        append(ticks, f"{out}/price_ticks", f"poll-{number}")
+        append(arb_rows(ticks, "poll"), f"{out}/arb_history", f"poll-{number}")
+        ticks.unpersist()
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -71,9 +67,9 @@ def book_tick_stream(spark: SparkSession, landing: str, matches: Callable[[], Da
     source = LastGood(matches)
 
     def batch(df: DataFrame, number: int) -> None:
-        df = df.withColumn("observed_at", F.try_to_timestamp("observed_at"))
+        df = df.withColumn("observed_at", parse_ts(F.col("observed_at")))
         books = split_kalshi_book(df.where("ticker is not null")).unionByName(split_poly_book(df.where("token_id is not null")))
-        _write(quote_executable(source.refresh(), books, "observed_at"), out, "book_ticks", number)
+        append(quote_executable(source.refresh(), books, "observed_at"), f"{out}/book_ticks", f"poll-{number}")
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

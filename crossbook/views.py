@@ -68,9 +68,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, inputs = VIEWS[name]
     for x in inputs:
         sql = sql.replace(f"FROM {x}", f"FROM {{{x}}}").replace(f"JOIN {x} ", f"JOIN {{{x}}} ")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the stored times have no zone
     df = spark.sql(sql, **{x: view(spark, sf_dir, x) for x in inputs})
-    return df.withColumn("observed_at", F.col("observed_at").cast("timestamp")) if "observed_at" in df.columns else df
+    if dict(df.dtypes).get("observed_at") == "timestamp_ntz":  # the stored times have no zone; they are UTC
+        df = df.withColumn("observed_at", F.expr("make_timestamp(year(observed_at), month(observed_at), day(observed_at), hour(observed_at), minute(observed_at), extract(second FROM observed_at), 'UTC')"))
+    return df
 
 
 def cte(*names: str) -> str:

@@ -72,11 +72,11 @@ def test_books(spark, tmp_path):
     dump(tmp_path / "kalshi_books/b.json", {"ticker": "B", "observed_at": "2025-01-01T00:00:00Z", "orderbook_fp": {"no_dollars": []}, "orderbook": {"no": [[45, 3], [1, 2]]}})
     dump(tmp_path / "poly_books/a.json", {"token_id": "T", "observed_at": "2025-01-01T00:00:00Z", "asks": [{"price": "0.5", "size": "2"}, {"price": "0.4", "size": None}]})
     rows = sorted((r.book_id, r.price, r.qty) for r in jobs.landed_books(spark, str(tmp_path)).collect())
-    assert rows == [("A", 0.6, 5.0), ("B", 0.55, 3.0), ("B", 0.99, 2.0), ("T", 0.5, 2.0)]
+    assert rows == [("A", 0.6, 5.0), ("B", 0.55, 3.0), ("T", 0.5, 2.0)]
     m = spark.createDataFrame([("nfl", "pro", "d", "a", "b", "B", "A", "x", "T", 0, 0)], "sport string, level string, game_date string, team_a string, team_b string, kalshi_id_a string, kalshi_id_b string, poly_token_a string, poly_token_b string, live int, ended int")
     r = jobs.scan_executable(spark, m, str(tmp_path)).collect()
     assert [(x.direction, x.is_exec, x.combined_best) for x in r] == [("Buy a on Kalshi + b on Polymarket", 0, 1.05)]
-    assert ladders.attach_books(m, jobs.landed_books(spark, str(tmp_path))).count() == 4
+    assert ladders.attach_books(m, jobs.landed_books(spark, str(tmp_path))).count() == 3
 
 
 def test_quotes(spark, tmp_path):

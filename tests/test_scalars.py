@@ -26,7 +26,7 @@ def test_dates(spark):
     assert one(spark, s.slug_date(F.col("x"), F.col("y")), x="nfl-a-b-2025-09-08", y="2025-09-07T00:00:00Z") == "2025-09-08"
 
 
-@pytest.mark.parametrize("text, want", [("NE", "patriots"), ("New  England", "patriots"), ("n.e", None), ("Los Angeles R", "rams"), ("49ers!", "49ers"), ("", None), ("nobody", None)])
+@pytest.mark.parametrize("text, want", [("NE", "patriots"), ("New  England", "patriots"), ("n.e", "patriots"), ("Los Angeles R", "rams"), ("49ers!", "49ers"), ("", None), ("nobody", None)])
 def test_nfl_team(spark, text, want):
     assert one(spark, s.nfl_team(F.col("x")), x=text) == want
 
@@ -73,3 +73,16 @@ def test_texts(spark):
         s.game_label(F.lit("tennis"), F.lit("atp"), F.lit("2025-01-02"), F.lit("a"), F.lit("b")),
     ).first()
     assert tuple(row) == ("1h 2m 3s", "3.25c", "$1,234.50", "1,234", "57c", "57.5c", "1234.50", "n/a", "[tennis/atp] 2025-01-02 a vs b")
+
+
+def test_times_dont_depend_on_the_sessions_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for text in ("2025-09-07T01:02:03", "2025-09-07 01:02:03", "2025-09-07T01:02:03Z", "2025-09-06T21:02:03-04:00"):
+            ts = s.parse_ts(F.col("x"))
+            r = spark.createDataFrame([(text,)], "x string").select(F.unix_seconds(ts).alias("s"), s.fmt_ts(ts).alias("t"), s.iso_utc(ts).alias("i")).first()
+            assert tuple(r) == (1757206923, "2025-09-07 01:02:03 UTC", "2025-09-07T01:02:03Z")
+        assert spark.createDataFrame([("2025-09-07",), ("soon",), ("",), (None,)], "x string").select(F.unix_seconds(s.parse_ts(F.col("x")))).collect() == [(1757203200,), (None,), (None,), (None,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 from crossbook.operators import episodes
+from crossbook.sources import sinks
 from crossbook.streaming import streams
 from tests.test_episodes import SCHEMA, tick
 
@@ -35,6 +36,29 @@ def test_book_stream(spark, tmp_path):
     assert [(r.is_exec, r.exec_qty, r.best_cost) for r in spark.read.parquet(f"{out}/book_ticks").collect()] == [(1, 2.0, 0.9)]
 
 
+def test_histories_of_all_writers_are_one_table(spark, tmp_path):
+    """Discovery and both streams write into one folder, in a session of another zone; a batch written again replaces itself."""
+    for name, rows in (
+        ("prices", [{"venue": "k", "observed_at": "2025-01-01T00:30:00Z", "market": {"ticker": t, "yes_ask_dollars": "0.4", "status": "active"}} for t in "AB"] + [{"venue": "p", "observed_at": "2025-01-01T00:30:00Z", "id": "P", "outcomes": '["a","b"]', "outcomePrices": '["0.5","0.55"]', "active": "true"}]),
+        ("books", [{"ticker": "A", "observed_at": "2025-01-01T00:30:00Z", "orderbook_fp": {"no_dollars": [["0.6", "5"]]}}, {"token_id": "tb", "observed_at": "2025-01-01T00:30:00Z", "asks": [{"price": "0.5", "size": "2"}]}]),
+    ):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    out, zone = str(tmp_path / "out"), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for cp in "12":  # the second time as if the first had failed before it was marked as done
+            streams.price_tick_stream(spark, str(tmp_path / "prices"), lambda: matches(spark), out, str(tmp_path / f"cp-{cp}")).awaitTermination(120)
+        streams.book_tick_stream(spark, str(tmp_path / "books"), lambda: matches(spark), out, str(tmp_path / "cp-b")).awaitTermination(120)
+        sinks.append_arb_history(spark.read.parquet(f"{out}/price_ticks").drop("tick_id", "obs_date", "batch"), out, "discovery")
+        assert set(sinks.register_views(spark, out)) == {"price_ticks", "arb_history", "book_ticks"}
+        assert [(r.source, str(r.obs_date)) for r in spark.sql("select source, obs_date from arb_history order by source").collect()] == [("discovery", "2025-01-01"), ("poll", "2025-01-01")]
+        assert spark.sql("select count(*), count(distinct tick_id), count(tick_id) from price_ticks").first()[:] == (1, 1, 1)
+        assert spark.sql("select unix_seconds(observed_at) from book_ticks").first()[0] == 1735691400
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_last_good():
     class Frame:
         schema = ()
