@@ -27,7 +27,7 @@ from . import lake
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers; the memory is emptied when it is full.
-WORD_CACHE = 600_000
+WORD_CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
