@@ -17,6 +17,7 @@ sample only base spans are found. An empty table gives an empty result. Position
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -158,8 +159,25 @@ def rewritten(text: str, kind: str, start: int, end: int) -> list[tuple[str, int
     return [(before + f + after, len(before), len(before) + len(f), label) for f, label in forms]
 
 
-def _overlaps(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
-    return any(a < y and x < b for _, x, y in spans)
+class _Cover:
+    """Disjoint spans in order; overlaps are found by halving, so a long text costs n log n."""
+
+    def __init__(self, spans: list[tuple[int, int]] = ()):
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def overlaps(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def _covers(spans: list[tuple[str, int, int]]) -> dict[str, _Cover]:
+    """A cover for each kind, whose spans are disjoint."""
+    return {kind: _Cover(sorted((a, b) for k, a, b in spans if k == kind)) for kind in dict.fromkeys(k for k, _, _ in spans)}
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +187,9 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in batch.column(0):
             text = raw.as_py().decode("utf-8", "replace")
             base = base_spans(text)
+            covers = _covers(base)
             for kind, a, b in proposals(text):
-                inside = [k for k, x, y in base if a < y and x < b]
+                inside = [k for k, c in covers.items() if c.overlaps(a, b)]
                 if inside and kind not in inside:
                     continue  # another kind's base span: no evidence either way
                 if not inside and kind in ("email", "phone") and (_CONTACT.search(text, max(0, a - 24), a) or kind == "email" and ("(" in text[a:b] or "[" in text[a:b])):
@@ -186,7 +205,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[bo
     """The trees and the threshold of each kind that the sample can teach."""
     picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = lake.text_bytes(docs, "doc_id").join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("text")  # at most sample_docs ids
-    rows = lake.map_arrow(texts, _labelled, "kind string, x array<double>, y int, form string").limit(SAMPLE_SPANS).collect()
+    rows = lake.map_arrow(texts, _labelled, "kind string, x array<double>, y int, form string").orderBy(F.xxhash64("kind", "x", "y", "form"), "kind", "y", "form").limit(SAMPLE_SPANS).collect()  # of smallest hash, whichever task ends first
     rows.sort(key=lambda r: (r.kind, r.x, r.y))
     out = {}
     for kind in KINDS:
@@ -214,14 +233,15 @@ def find_spans(text: str, model: dict[str, tuple[boosting.BoostedTrees, float]])
     base = base_spans(text)
     added: list[tuple[str, int, int]] = []
     if model:
-        scored = []
-        open_ones = [c for c in proposals(text) if c[0] in model and not _overlaps(c[1], c[2], base)]
+        scored, covers, taken = [], _covers(base), _Cover()
+        open_ones = [c for c in proposals(text) if c[0] in model and not any(x.overlaps(*c[1:]) for x in covers.values())]
         for kind in dict.fromkeys(c[0] for c in open_ones):
             mine = [c for c in open_ones if c[0] == kind]
             trees, limit = model[kind]
             scored += [(-p, c) for p, c in zip(trees.predict(np.array([features(text, *c) for c in mine])).tolist(), mine, strict=True) if p >= limit]
         for _, c in sorted(scored):
-            if not _overlaps(c[1], c[2], added):
+            if not taken.overlaps(*c[1:]):
+                taken.add(*c[1:])
                 added.append(c)
     order = lambda s: (s[1], KINDS.index(s[0]))
     return sorted(base, key=order), sorted(base + added, key=order)

@@ -25,6 +25,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 25
 MIN_LEFT = 0.3
+#: Stands for a null doc_id, below all ids in use.
+NO_ID = -(1 << 63)
 #: Boilerplate lines that may be broadcast (16 bytes each); beyond, only the tenth of so many that most documents have is
 #: broadcast, and the others, each in few documents then, are joined to the lines of the documents.
 BROADCAST_LINES = 1_000_000
@@ -52,7 +54,7 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             hosts = batch.column(1).dictionary_encode()
             code = hosts.indices.to_numpy(zero_copy_only=False)
             for row, _, data, offsets in textkit.chunks(batch, "text"):
@@ -84,7 +86,7 @@ def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS,
 
 def _text_key(docs: DataFrame, host: str) -> list:
     """Two hashes of a row's id, host and text: rows that share them lose the same lines."""
-    parts = (F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col(host), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    parts = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)), F.coalesce(F.col(host), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
     return [F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(1), *parts).alias("_k2")]
 
 
@@ -100,7 +102,7 @@ def _lines_of(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
                 at = pa.array(row + doc[once])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array(line[once].view(np.int64))], names=["_k1", "_k2", "doc", "host", "line"])
 
-    texts = lake.text_bytes(docs, *_text_key(docs, host), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("doc"), F.coalesce(F.col(host), F.lit("")).alias("host"))
+    texts = lake.text_bytes(docs, *_text_key(docs, host), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc"), F.coalesce(F.col(host), F.lit("")).alias("host"))
     rows = lake.map_arrow(texts, run, "_k1 long, _k2 long, doc long, host string, line long")
     hit = rows.join(lines.hint("merge"), ["host", "line"]).where("doc <> first_doc")
     return hit.groupBy("_k1", "_k2").agg(F.collect_set("line").alias("_often"))
@@ -165,7 +167,7 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            ids = col["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = col["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
             out = {c: np.zeros(batch.num_rows, dtype=np.int64) for c in made}
             clean: list = [None] * batch.num_rows
             hosts = col["_host"].dictionary_encode()

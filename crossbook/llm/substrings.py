@@ -30,8 +30,8 @@ WINDOW = 50
 GRAM = 16
 #: log2 of the cells in each of the sketch's two rows, and of the cells in a block.
 CELL_BITS, BLOCK_BITS = 27, 18
-#: Rows of marked spans that may be broadcast to the text pass (a few dozen bytes each); beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of marked spans that may be broadcast to the text pass (each row counted as ROW_BYTES and its spans); beyond, they are joined by shuffle.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 _LAST = (1 << 63) - 1
 
 
@@ -140,12 +140,12 @@ def repeated_windows(docs: DataFrame, twice: np.ndarray, window: int = WINDOW, g
                     names=["h1", "h2", "id", "tag", "at"],
                 )
 
-    return lake.map_arrow(lake.text_bytes(docs, *_identity()), emit, "h1 long, h2 int, id long, tag int, at int")
+    return lake.map_arrow(lake.text_bytes(docs, *_identity()), emit, "h1 long, h2 int, id long, tag long, at int")
 
 
 def _identity() -> tuple[F.Column, F.Column]:
     """A row's id (null: after all others) and a tag that tells apart texts under one id."""
-    return F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("id"), F.hash("text").alias("tag")
+    return F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("tag")
 
 
 def _marked(windows: DataFrame, window: int) -> DataFrame:
@@ -174,7 +174,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bit
         twice[r.line, r.block * size : (r.block + 1) * size] = np.frombuffer(r.twice, dtype=np.uint8)
     windows = repeated_windows(docs, twice, window, gram, bits)
     marks = lake.written(_marked(windows, window), "spans")
-    small = marks.count() <= BROADCAST_ROWS
+    small = marks.agg(F.coalesce(F.sum(F.octet_length("spans") + ROW_BYTES), F.lit(0))).first()[0] <= BROADCAST_BYTES
     joined = lake.text_bytes(docs, "doc_id", *_identity()).join(marks.hint("broadcast" if small else "merge"), ["id", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

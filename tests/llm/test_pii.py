@@ -107,3 +107,18 @@ def test_trees_learn_and_calibrate():
 
 def test_empty(make):
     assert pii.found(make([]), ["doc_id"]).count() == 0
+
+
+def test_cover_is_overlap_with_any():
+    import random
+
+    rng = random.Random(4)
+    cover, spans = pii._Cover(), []
+    for _ in range(600):
+        a = rng.randrange(2000)
+        b = a + rng.randint(1, 9)
+        hit = any(a < y and x < b for x, y in spans)
+        assert cover.overlaps(a, b) == hit
+        if not hit:
+            cover.add(a, b)
+            spans.append((a, b))
