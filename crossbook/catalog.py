@@ -352,6 +352,52 @@ def _fuzzy_pairs(spark, d):
     return a.join(b, "p_size").where(scalars.names_equal(F.col("left_name"), F.col("right_name"))).select("left_name", "right_name").distinct()
 
 
+# Players under short names at the second venue: "last1" alone is also within "last10", so candidates cross pairs. The SQL folds each day's
+# candidates in order; the query blocks names by key and assigns in rounds.
+_FULL = "concat(substr('abc', CAST({0} % 3 + 1 AS INT), 1), 'nn last', {0} % 12)"
+_SHORT = "CASE WHEN {0} % 2 = 0 THEN concat(substr('abc', CAST({0} % 3 + 1 AS INT), 1), ' last', {0} % 12) ELSE concat('last', {0} % 12) END"
+_PLAYED = " UNION ALL ".join(f"SELECT venue, ord, game_date, {n.format('ta')} AS x, {n.format('tb')} AS y FROM v_games WHERE venue = '{v}'" for v, n in (("K", _FULL), ("P", _SHORT)))
+
+
+def _alike(a: str, b: str) -> str:
+    last = "string_split({}, ' ')[-1]".format
+    return f"(contains({a}, {b}) OR contains({b}, {a}) OR ({last(a)} = {last(b)} AND length({last(a)}) > 2 AND {a}[1] = {b}[1]))"
+
+
+@_query("match_fuzzy", f"""WITH {cte('v_games')}, g AS (SELECT venue, least(x, y) AS team_a, greatest(x, y) AS team_b, game_date, min(ord) AS ord, max(ord) AS latest FROM ({_PLAYED}) WHERE x <> y GROUP BY ALL),
+  h AS (SELECT k.team_a, k.team_b, game_date, k.ord AS k_ord, p.ord AS p_ord, k.latest AS kl, p.latest AS pl, {_alike('k.team_a', 'p.team_a')} AS h11, {_alike('k.team_a', 'p.team_b')} AS h12, {_alike('k.team_b', 'p.team_a')} AS h21, {_alike('k.team_b', 'p.team_b')} AS h22
+    FROM (SELECT * FROM g WHERE venue = 'K') k JOIN (SELECT * FROM g WHERE venue = 'P') p USING (game_date)),
+  cand AS (SELECT * FROM h WHERE (h11 AND h22 AND NOT (h12 AND h21)) OR (h12 AND h21 AND NOT (h11 AND h22))),
+  lists AS (SELECT list_prepend({{'k': CAST(-1 AS BIGINT), 'p': CAST(-1 AS BIGINT), 'used': CAST([] AS STRUCT(k BIGINT, p BIGINT)[])}}, list({{'k': CAST(k_ord AS BIGINT), 'p': CAST(p_ord AS BIGINT), 'used': CAST([] AS STRUCT(k BIGINT, p BIGINT)[])}} ORDER BY k_ord, p_ord)) AS l FROM cand GROUP BY game_date),
+  folded AS (SELECT list_reduce(l, lambda s, x: {{'k': x.k, 'p': x.p, 'used': CASE WHEN len(list_filter(s.used, lambda u: u.k = x.k OR u.p = x.p)) > 0 THEN s.used ELSE list_append(s.used, {{'k': x.k, 'p': x.p}}) END}}) AS r FROM lists),
+  asg AS (SELECT u.k AS k_ord, u.p AS p_ord FROM (SELECT unnest(r.used) AS u FROM folded))
+  SELECT team_a, team_b, CAST(game_date AS VARCHAR) AS game_date, 'm' || kl AS kalshi_id_a, 'm' || pl AS poly_id FROM asg JOIN cand USING (k_ord, p_ord)""")
+def _match_fuzzy(spark, d):
+    games = view(spark, d, "v_games")
+
+    def side(venue: str, name: str) -> DataFrame:
+        both = games.where(F.col("venue") == venue).selectExpr(f"{name.format('ta')} AS x", f"{name.format('tb')} AS y", "game_date", "ord", "concat('m', ord) AS market_id")
+        rows = both.selectExpr("stack(2, x, y, ord * 2, y, x, ord * 2 + 1) AS (team, opponent, src_ord)", "game_date", "market_id")
+        return rows.withColumns({"sport": F.lit("tennis"), "level": F.lit("atp"), "yes_price": F.lit(None).cast("double")})
+
+    m = matching.match_markets(side("K", _FULL), side("P", _SHORT), scalars.names_equal, 0, scalars.name_keys)
+    return m.select("team_a", "team_b", "game_date", "kalshi_id_a", "poly_id")
+
+
+@_query("book_ticks", f"""{_WALK}, r AS (SELECT *, match_id // 2 AS game, match_id % 2 AS dir, row_number() OVER (PARTITION BY match_id // 2 ORDER BY is_exec DESC, edge DESC, match_id % 2) AS n FROM dirs),
+  top AS (SELECT match_id // 2 AS game, min(price) FILTER (WHERE side = 'L' AND match_id % 2 = 0) AS ka, min(price) FILTER (WHERE side = 'R' AND match_id % 2 = 1) AS pa, min(price) FILTER (WHERE side = 'L' AND match_id % 2 = 1) AS kb, min(price) FILTER (WHERE side = 'R' AND match_id % 2 = 0) AS pb FROM v_levels GROUP BY 1)
+  SELECT CAST(game AS VARCHAR) AS team_a, round(ka + 1e-9, 6) AS kalshi_yes_a, round(pa + 1e-9, 6) AS poly_yes_a, round(kb + 1e-9, 6) AS kalshi_yes_b, round(pb + 1e-9, 6) AS poly_yes_b, is_exec, round(qty + 1e-9, 6) AS exec_qty, round(profit + 1e-9, 6) AS exec_profit,
+  CASE WHEN dir = 0 THEN 'Buy ' || game || ' on Kalshi + other on Polymarket' ELSE 'Buy other on Kalshi + ' || game || ' on Polymarket' END AS best_trade FROM r JOIN top USING (game) WHERE n = 1 AND game % 10 <> 9""")
+def _book_ticks(spark, d):
+    levels = _levels(spark, d)
+    games = levels.selectExpr("match_id div 2 AS g").distinct().selectExpr(
+        "'nfl' AS sport", "'pro' AS level", "'d' AS game_date", "CAST(g AS STRING) AS team_a", "'other' AS team_b", "concat('L', g * 2) AS kalshi_id_a", "concat('R', g * 2) AS poly_token_b", "concat('L', g * 2 + 1) AS kalshi_id_b", "concat('R', g * 2 + 1) AS poly_token_a",
+        "0 AS live", "CASE WHEN g % 10 = 9 THEN 1 ELSE 0 END AS ended",
+    )
+    books = levels.select(F.concat("side", "match_id").alias("book_id"), "price", "qty")
+    return _flat_up(ladders.quote_executable(games, books).select("team_a", "kalshi_yes_a", "poly_yes_a", "kalshi_yes_b", "poly_yes_b", "is_exec", "exec_qty", "exec_profit", "best_trade"))
+
+
 def _mapping(table: dict[str, str]) -> str:
     return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in table.items()) + ")"
 

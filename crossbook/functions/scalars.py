@@ -88,6 +88,18 @@ def name_tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda t: ~t.isin(*PARTICLES) & (t != ""))
 
 
+def name_keys(c: Column, first: bool) -> Column:
+    """Block keys of a name on the first or on the second side of a join: names that are equal by names_equal share one.
+
+    The last name, and for containment the first three letters of the contained name against all runs of up to three letters of the
+    other; either side may be the contained one."""
+    c = player_id(c)
+    holder, held = ("<", ">") if first else (">", "<")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(holder), F.substring(c, i, F.lit(n))))
+    keys = F.concat(runs(1), runs(2), runs(3), F.array(F.concat(F.lit(held), F.substring(c, 1, 3)), F.concat(F.lit("last "), F.coalesce(F.try_element_at(name_tokens(c), F.lit(-1)), F.lit("")))))
+    return F.coalesce(F.array_distinct(keys), F.array().cast("array<string>"))
+
+
 def names_equal(a: Column, b: Column) -> Column:
     """The same player: equal or contained ids, or equal last names (over two letters) and first initials."""
     a, b = player_id(a), player_id(b)

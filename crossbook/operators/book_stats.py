@@ -55,7 +55,7 @@ def profit_buckets(snaps: DataFrame, *by: str) -> DataFrame:
     labels = F.explode(F.array(*[F.lit(b[0]) for b in PROFIT_BUCKETS])).alias("label")
     groups = (snaps.select(*by).distinct() if by else snaps.sparkSession.range(1)).select(*by, labels)
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z)).alias(c)
-    return groups.join(counts, [*by, "label"], "left").select(*by, "label", zero("matches", 0), zero("gross_profit", 0.0), zero("gross_qty", 0.0))
+    return groups.join(counts.hint("merge"), [*by, "label"], "left").select(*by, "label", zero("matches", 0), zero("gross_profit", 0.0), zero("gross_qty", 0.0))
 
 
 def snapshot_summary(snaps: DataFrame, *by: str) -> DataFrame:
@@ -72,7 +72,7 @@ def edge_blocks(book_ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float =
     episodes = find_episodes(as_price_ticks(book_ticks), thresholds, gap_break, slices).groupBy(*by).agg(*duration_aggs())
     groups = with_thresholds(book_ticks.select("slice").distinct() if slices else book_ticks.sparkSession.range(1).select(), thresholds)
     zero = lambda c, z=0: F.coalesce(F.col(c), F.lit(z)).alias(c)
-    return groups.join(snaps, by, "left").join(episodes, by, "left").select(
+    return groups.join(snaps.hint("merge"), by, "left").join(episodes.hint("merge"), by, "left").select(
         *by, zero("matches"), zero("gross_profit", 0.0), zero("gross_qty", 0.0), "median_profit", "median_qty", "max_profit", zero("exec_ticks"), zero("n"), zero("open_n"), "mean", "median", "min", "max"
     )
 

@@ -39,7 +39,7 @@ def score_directions(levels: DataFrame, key: str = "match_id") -> DataFrame:
     """Per key with both ladders: top asks, and size, cost, profit and edge of the walk, or of the tops where nothing is executable."""
     walked = walk_ladders(levels, key)
     combined = F.round(F.col("left_ask") + F.col("right_ask"), 4)
-    return tops(levels, key).join(walked, key, "left").select(
+    return tops(levels, key).join(walked.hint("merge"), key, "left").select(
         key, "left_ask", "right_ask", combined.alias("combined_best"), F.coalesce("qty", F.lit(0.0)).alias("qty"), F.coalesce("avg_cost", combined).alias("avg_cost"), F.coalesce("profit", F.lit(0.0)).alias("profit"),
         F.coalesce("edge", F.round(1.0 - combined, 4)).alias("edge"), F.col("qty").isNotNull().cast("int").alias("is_exec"),
     )
@@ -52,7 +52,7 @@ def match_legs(matches: DataFrame) -> DataFrame:
 
 def attach_books(matches: DataFrame, books: DataFrame, *time: str) -> DataFrame:
     """Levels (match columns, dir, side, price, qty) of each match's four books. books: (book_id, price, qty, and time columns)."""
-    return match_legs(matches).where("book_id is not null and book_id <> ''").join(books, "book_id")
+    return match_legs(matches).where("book_id is not null and book_id <> ''").join(books.hint("merge"), "book_id")
 
 
 _KEYS = ("sport", "game_date", "team_a", "team_b")
@@ -66,7 +66,7 @@ def executable_directions(matches: DataFrame, books: DataFrame, *time: str) -> D
     info = open_ones.select(*_KEYS, "level", "live", "ended")
     first, second = (F.when(F.col("dir") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("team_a", "team_b"), ("team_b", "team_a")))
     text = F.concat(F.lit("Buy "), first, F.lit(" on Kalshi + "), second, F.lit(" on Polymarket"))
-    return scored.join(info, list(_KEYS)).withColumn("direction", text)
+    return scored.join(info.hint("merge"), list(_KEYS)).withColumn("direction", text)
 
 
 def best_direction(directions: DataFrame, *time: str) -> DataFrame:
@@ -76,14 +76,22 @@ def best_direction(directions: DataFrame, *time: str) -> DataFrame:
     return best.select(*_KEYS, *time, "b.*")
 
 
+def top_asks(matches: DataFrame, books: DataFrame, *time: str) -> DataFrame:
+    """Per match: the cheapest ask of each of its four books, null where a book has none."""
+    legs = attach_books(matches, books, *time).where("price is not null and qty > 0")
+    ask = lambda d, side: F.min(F.when((F.col("dir") == d) & (F.col("side") == side), F.col("price")))
+    return legs.groupBy(*_KEYS, *time).agg(ask(0, "L").alias("kalshi_yes_a"), ask(1, "R").alias("poly_yes_a"), ask(1, "L").alias("kalshi_yes_b"), ask(0, "R").alias("poly_yes_b"))
+
+
 def quote_executable(matches: DataFrame, books: DataFrame, *time: str) -> DataFrame:
-    """Book ticks: the best direction of each match with the cost and size it executes at."""
-    best = best_direction(executable_directions(matches, books, *time), *time)
+    """Book ticks: the best direction of each match with the cost and size it executes at, and the four top asks."""
+    best = best_direction(executable_directions(matches, books, *time), *time).join(top_asks(matches, books, *time).hint("merge"), [*_KEYS, *time])
     done = F.col("is_exec") == 1
     return best.select(
-        *time, "sport", "level", "game_date", "team_a", "team_b", F.round(F.when(done, F.col("avg_cost")).otherwise(F.col("combined_best")), 4).alias("best_cost"),
-        F.round(F.when(done, F.col("edge")).otherwise(1.0 - F.col("combined_best")), 4).alias("best_edge"), "is_exec", F.col("direction").alias("best_trade"),
-        F.when(done, F.col("qty")).otherwise(0.0).alias("exec_qty"), F.when(done, F.col("profit")).otherwise(0.0).alias("exec_profit"), F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("ended", F.lit(0)).alias("ended"),
+        *time, "sport", "level", "game_date", "team_a", "team_b", "kalshi_yes_a", "poly_yes_a", "kalshi_yes_b", "poly_yes_b",
+        F.round(F.when(done, F.col("avg_cost")).otherwise(F.col("combined_best")), 4).alias("best_cost"), F.round(F.when(done, F.col("edge")).otherwise(1.0 - F.col("combined_best")), 4).alias("best_edge"),
+        "is_exec", F.col("direction").alias("best_trade"), F.when(done, F.col("qty")).otherwise(0.0).alias("exec_qty"), F.when(done, F.col("profit")).otherwise(0.0).alias("exec_profit"),
+        F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("ended", F.lit(0)).alias("ended"),
     )
 
 

@@ -40,7 +40,7 @@ def _delta() -> Column:
 def pair_candidates_exact(kg: DataFrame, pg: DataFrame, days: int = DAYS) -> DataFrame:
     """Games of the same two teams at most `days` apart: an equi-join on sport, pair and day."""
     p = _side(pg, "p").withColumns({"day": F.col("p_game_date"), "k_pair": F.col("p_pair")})
-    return _by_day(kg, days).join(p, ["sport", "k_pair", "day"]).drop("day").withColumns({"delta": _delta(), "map_a": F.get("k_pair", F.lit(0)), "map_b": F.get("k_pair", F.lit(1))})
+    return _by_day(kg, days).join(p.hint("merge"), ["sport", "k_pair", "day"]).drop("day").withColumns({"delta": _delta(), "map_a": F.get("k_pair", F.lit(0)), "map_b": F.get("k_pair", F.lit(1))})
 
 
 def name_mapping(k: Column, p: Column, equal: Callable[[Column, Column], Column]) -> Column:
@@ -53,33 +53,52 @@ def name_mapping(k: Column, p: Column, equal: Callable[[Column, Column], Column]
     return F.when(straight, F.struct(p1.alias("map_a"), p2.alias("map_b"))).when(crossed, F.struct(p2.alias("map_a"), p1.alias("map_b")))
 
 
-def pair_candidates_fuzzy(kg: DataFrame, pg: DataFrame, equal: Callable[[Column, Column], Column], days: int = DAYS) -> DataFrame:
-    """Candidates whose names agree by `equal`; the join is keyed on sport and day, the names are its residual condition. Includes
-    the pairs of equal teams, which get no priority."""
+def pair_candidates_fuzzy(kg: DataFrame, pg: DataFrame, equal: Callable[[Column, Column], Column], days: int = DAYS, keys: Callable[[Column, bool], Column] | None = None) -> DataFrame:
+    """Candidates whose names agree by `equal`. Includes the pairs of equal teams, which get no priority.
+
+    keys(name, first) gives block keys of a name on the first and on the second side; names that agree share one. Games then meet on
+    (sport, day, key) and count once, at the least key they share; without keys they meet on (sport, day). Ids and names alone are
+    joined that way, and the games' other columns follow for the candidates found."""
     p = _side(pg, "p").withColumn("day", F.col("p_game_date"))
-    same = F.col("k_pair") == F.col("p_pair")
-    own = F.struct(F.get("k_pair", F.lit(0)).alias("map_a"), F.get("k_pair", F.lit(1)).alias("map_b"))
-    df = _by_day(kg, days).join(p, ["sport", "day"]).withColumn("m", F.when(same, own).otherwise(name_mapping(F.col("k_pair"), F.col("p_pair"), equal)))
-    return df.where("m is not null").select("*", "m.*").drop("day", "m").withColumn("delta", _delta())
+    k = _by_day(kg, days)
+    on, slim_k, slim_p = ["sport", "day"], k.select("sport", "day", "k_ord", "k_pair"), p.select("sport", "day", "p_ord", "p_pair")
+    name = lambda pair, i: F.get(pair, F.lit(i))
+    if keys:
+        # A mapping gives the first side's first name a partner, whichever it is.
+        same = lambda c: F.array(F.concat(F.lit("="), c))
+        slim_k = slim_k.withColumn("k_keys", F.array_distinct(F.concat(same(name("k_pair", 0)), keys(name("k_pair", 0), True))))
+        slim_p = slim_p.withColumn("p_keys", F.array_distinct(F.concat(*[x for i in (0, 1) for x in (same(name("p_pair", i)), keys(name("p_pair", i), False))])))
+        slim_k, slim_p, on = slim_k.withColumn("key", F.explode("k_keys")), slim_p.withColumn("key", F.explode("p_keys")), [*on, "key"]
+    df = slim_k.join(slim_p.hint("merge"), on)
+    if keys:
+        df = df.where(F.col("key") == F.array_min(F.array_intersect("k_keys", "p_keys")))
+    own = F.struct(name("k_pair", 0).alias("map_a"), name("k_pair", 1).alias("map_b"))
+    df = df.withColumn("m", F.when(F.col("k_pair") == F.col("p_pair"), own).otherwise(name_mapping(F.col("k_pair"), F.col("p_pair"), equal))).where("m is not null")
+    found = df.select("sport", "k_ord", "p_ord", "m.*")
+    return found.join(_side(kg, "k").hint("merge"), ["sport", "k_ord"]).join(_side(pg, "p").hint("merge"), ["sport", "p_ord"]).withColumn("delta", _delta())
 
 
 def assign_one_to_one(cand: DataFrame) -> DataFrame:
     """Greedy in arrival order within each (sport, pair): every game takes the free partner nearest in date.
 
-    A pair's candidates are the few games of the same two teams, so a fold over their sorted list is a small expression."""
-    empty = F.array().cast("array<bigint>")
+    A pair's candidates are cut where the days of two neighbours don't touch, as such games can't take each other's partners; what is
+    left is a few games near in date, so a fold over their sorted list is a small expression. One shuffle serves cut and fold."""
+    by = ("sport", "k_pair")
+    w = Window.partitionBy(*by).orderBy("_lo")
+    df = cand.withColumns({"_lo": F.expr("date_sub(p_game_date, delta)"), "_hi": F.expr("date_add(p_game_date, delta)")})  # holds both games' days
+    df = df.withColumn("_new", F.coalesce(F.col("_lo") > F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).cast("int"))
+    df = df.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pair = lambda x: F.struct(x["k_ord"].cast("bigint").alias("k"), x["p_ord"].cast("bigint").alias("p"))
 
-    def step(state: Column, x: Column) -> Column:
-        free = ~F.array_contains(state["k"], x["k_ord"]) & ~F.array_contains(state["p"], x["p_ord"])
-        return F.struct(
-            F.when(free, F.array_append(state["k"], x["k_ord"])).otherwise(state["k"]).alias("k"), F.when(free, F.array_append(state["p"], x["p_ord"])).otherwise(state["p"]).alias("p")
-        )
+    def step(taken: Column, x: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["k"] == x["k_ord"]) | (t["p"] == x["p_ord"]))
+        return F.when(free, F.array_append(taken, pair(x))).otherwise(taken)
 
-    keys = F.struct(F.col("k_ord").cast("bigint").alias("k_ord"), "delta", "p_game_date", F.col("p_ord").cast("bigint").alias("p_ord"))
-    lists = cand.groupBy("sport", "k_pair").agg(F.sort_array(F.collect_list(keys)).alias("list"))
-    taken = lists.withColumn("s", F.aggregate("list", F.struct(empty.alias("k"), empty.alias("p")), step))
-    picked = taken.select("sport", "k_pair", F.explode(F.arrays_zip(F.col("s.k").alias("k_ord"), F.col("s.p").alias("p_ord"))).alias("x")).select("sport", "k_pair", F.col("x.k_ord").alias("k_ord"), F.col("x.p_ord").alias("p_ord"))
-    return cand.join(picked, ["sport", "k_pair", "k_ord", "p_ord"])
+    row = F.struct("k_ord", "delta", "p_game_date", "p_ord", F.struct(*cand.columns).alias("row"))
+    lists = df.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(row)).alias("list"))
+    lists = lists.withColumn("taken", F.aggregate("list", F.array().cast("array<struct<k: bigint, p: bigint>>"), step))
+    picked = lists.select(F.explode(F.filter("list", lambda x: F.array_contains(F.col("taken"), pair(x)))).alias("x"))
+    return picked.select("x.row.*")
 
 
 def assign_in_rounds(cand: DataFrame) -> DataFrame:
@@ -89,9 +108,9 @@ def assign_in_rounds(cand: DataFrame) -> DataFrame:
     while not left.isEmpty():
         best = left.groupBy("sport", "k_ord").agg(F.min_by("p_ord", F.struct("delta", "p_game_date", "p_ord")).alias("p_ord"))
         first = left.groupBy("sport", "p_ord").agg(F.min("k_ord").alias("k_ord"))
-        won = cut(best.join(first, ["sport", "k_ord", "p_ord"]))
-        done.append(left.join(won, ["sport", "k_ord", "p_ord"]))
-        left = cut(left.join(won.select("sport", "k_ord"), ["sport", "k_ord"], "left_anti").join(won.select("sport", "p_ord"), ["sport", "p_ord"], "left_anti"))
+        won = cut(best.join(first.hint("merge"), ["sport", "k_ord", "p_ord"]))
+        done.append(left.join(won.hint("merge"), ["sport", "k_ord", "p_ord"]))
+        left = cut(left.join(won.select("sport", "k_ord").hint("merge"), ["sport", "k_ord"], "left_anti").join(won.select("sport", "p_ord").hint("merge"), ["sport", "p_ord"], "left_anti"))
     out = left
     for d in done:
         out = out.unionByName(d)
@@ -112,11 +131,11 @@ def attach_prices(assigned: DataFrame) -> DataFrame:
     )
 
 
-def match_markets(kalshi: DataFrame, poly: DataFrame, equal: Callable[[Column, Column], Column] | None = None, days: int = DAYS) -> DataFrame:
+def match_markets(kalshi: DataFrame, poly: DataFrame, equal: Callable[[Column, Column], Column] | None = None, days: int = DAYS, keys: Callable[[Column, bool], Column] | None = None) -> DataFrame:
     kg, pg = group_games(kalshi), group_games(poly)
     if equal is None:
         return attach_prices(assign_one_to_one(pair_candidates_exact(kg, pg, days)))
-    return attach_prices(assign_in_rounds(pair_candidates_fuzzy(kg, pg, equal, days)))
+    return attach_prices(assign_in_rounds(pair_candidates_fuzzy(kg, pg, equal, days, keys)))
 
 
 def dedupe_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -32,13 +32,13 @@ def score_arbs(matches: DataFrame) -> DataFrame:
 def quote_matches(matches: DataFrame, k_quotes: DataFrame, p_quotes: DataFrame) -> DataFrame:
     """Each match with the prices quoted at each observed_at; without all four it stays only if a venue has closed it.
 
-    matches is the small static side (a few thousand open games); the join strategy is left to its measured size."""
+    Quotes come from exploded payloads, whose size Spark can't tell, so the joins are merge joins on ticker, market and match."""
     m = matches.drop(*PRICES)
     k = k_quotes.select("observed_at", F.col("ticker"), "yes", F.col("closed"))
-    ka = m.join(k.select(F.col("observed_at"), F.col("ticker").alias("kalshi_id_a"), F.col("yes").alias("kalshi_yes_a"), F.col("closed").alias("ca")), "kalshi_id_a")
-    kb = m.join(k.select(F.col("observed_at"), F.col("ticker").alias("kalshi_id_b"), F.col("yes").alias("kalshi_yes_b"), F.col("closed").alias("cb")), "kalshi_id_b")
+    ka = m.join(k.select(F.col("observed_at"), F.col("ticker").alias("kalshi_id_a"), F.col("yes").alias("kalshi_yes_a"), F.col("closed").alias("ca")).hint("merge"), "kalshi_id_a")
+    kb = m.join(k.select(F.col("observed_at"), F.col("ticker").alias("kalshi_id_b"), F.col("yes").alias("kalshi_yes_b"), F.col("closed").alias("cb")).hint("merge"), "kalshi_id_b")
     keyed = m.select("sport", "game_date", "team_a", "team_b", "poly_id")
-    p = poly_outcome_prices(keyed.join(p_quotes.withColumnRenamed("market_id", "poly_id"), "poly_id"))
+    p = poly_outcome_prices(keyed.join(p_quotes.withColumnRenamed("market_id", "poly_id").hint("merge"), "poly_id"))
     key = ["sport", "game_date", "team_a", "team_b", "observed_at"]
     sides = (
         ka.select(*key, "kalshi_yes_a", "ca").unionByName(kb.select(*key, "kalshi_yes_b", "cb"), allowMissingColumns=True)
@@ -46,7 +46,7 @@ def quote_matches(matches: DataFrame, k_quotes: DataFrame, p_quotes: DataFrame)
     )
     # One shuffle on the match and time puts the venues' quotes together.
     joined = sides.groupBy(*key).agg(*[F.max(c).alias(c) for c in PRICES], F.coalesce(F.bool_or(F.coalesce("ca", "cb", "cp")), F.lit(False)).cast("int").alias("closed"))
-    out = joined.join(m, ["sport", "game_date", "team_a", "team_b"])
+    out = joined.join(m.hint("merge"), ["sport", "game_date", "team_a", "team_b"])
     return out.where("closed = 1 or (" + " and ".join(f"{c} is not null" for c in PRICES) + ")")
 
 

@@ -103,7 +103,7 @@ def _tick_aggs() -> list[Column]:
 
 def _joined(ticks: DataFrame, episodes: DataFrame, keys: list[str]) -> DataFrame:
     """Tick and episode figures side by side; groups are a handful of statuses, sports and tours."""
-    df = ticks.join(episodes, [F.col(f"t.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys], "full_outer")
+    df = ticks.join(episodes.hint("merge"), [F.col(f"t.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys], "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return df.select(
         *[F.coalesce(f"t.{k}", f"e.{k}").alias(k) for k in keys], zero("ticks"), zero("arb_ticks"), F.when(F.col("ticks") > 0, F.col("arb_ticks") / F.col("ticks")).alias("arb_rate"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fmt_cents, fmt_duration, game_label, game_status, names_equal
+from ..functions.scalars import fmt_cents, fmt_duration, game_label, game_status, name_keys, names_equal
 from ..operators import book_stats, episodes, ladders, matching, outcomes, scoring, stats
 from ..sources import landed, sinks
 
@@ -41,7 +41,7 @@ def discover(spark: SparkSession, landing: str, out: str | None = None, sports:
     for sport in sports:
         k, p = sport_listings(spark, landing, sport)
         markets += [k, p]
-        matches.append(matching.match_markets(with_game_date(k), with_game_date(p), names_equal if sport == "tennis" else None))
+        matches.append(matching.match_markets(with_game_date(k), with_game_date(p), *((names_equal, matching.DAYS, name_keys) if sport == "tennis" else ())))
     made = {"markets": union(markets), "matches": union(matches)}
     made["arbs"] = scoring.score_arbs(made["matches"])
     if out:

@@ -50,6 +50,9 @@ def test_quote_executable(spark):
     assert len(rows) == 1  # ended matches aren't quoted
     r = rows[0]
     assert (r.best_trade, r.is_exec, r.best_cost, r.best_edge, r.exec_qty) == ("Buy a on Kalshi + b on Polymarket", 1, 0.9, 0.1, 4.0)
+    assert (r.kalshi_yes_a, r.poly_yes_a, r.kalshi_yes_b, r.poly_yes_b) == (0.4, 0.5, 0.6, 0.5)
+    one = ladders.quote_executable(m, books.where("book_id <> 'ta'")).first()
+    assert (one.kalshi_yes_b, one.poly_yes_a) == (0.6, None)
     hits, misses = ladders.executable_report(ladders.executable_directions(m, books))
     assert hits.count() == 1 and misses.count() == 1
 

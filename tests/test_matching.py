@@ -3,7 +3,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from crossbook.functions.scalars import names_equal
+from crossbook.functions.scalars import name_keys, names_equal
 from crossbook.operators import matching, scoring
 
 OUT = "sport string, level string, team string, opponent string, game_date date, yes_price double, market_id string, src_ord long"
@@ -55,8 +55,25 @@ def test_fuzzy_players(spark):
     row = lambda t, o, n, i: ("tennis", "atp", t, o, D, 0.5, n, i)
     k = spark.createDataFrame([row("carlos alcaraz", "jannik sinner", "k", 1), row("jannik sinner", "carlos alcaraz", "k", 2), row("j smith", "a smith", "k3", 3)], OUT)
     p = spark.createDataFrame([row("c alcaraz", "sinner", "p", 1), row("sinner", "c alcaraz", "p", 2), row("smith", "b jones", "p3", 3)], OUT)
-    r = matching.match_markets(k, p, names_equal).collect()
-    assert [(x.team_a, x.poly_id) for x in r] == [("carlos alcaraz", "p")]
+    for keys in (None, name_keys):
+        r = matching.match_markets(k, p, names_equal, keys=keys).collect()
+        assert [(x.team_a, x.poly_id) for x in r] == [("carlos alcaraz", "p")]
+
+
+def test_equal_names_share_a_key(spark):
+    """And so blocks lose no candidate."""
+    rng = random.Random(7)
+    part = lambda: "".join(rng.choice("abe") for _ in range(rng.randint(1, 4)))
+    names = sorted({" ".join(part() for _ in range(rng.randint(1, 3))) for _ in range(150)} | {"a", "ab", "van de", "x van abe", "de la"})
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    a, b = df.select(F.col("x").alias("a"), name_keys(F.col("x"), True).alias("ka")), df.select(F.col("x").alias("b"), name_keys(F.col("x"), False).alias("kb"))
+    equal = a.crossJoin(b).where(names_equal(F.col("a"), F.col("b")))
+    assert equal.count() > len(names)
+    assert equal.where(~F.arrays_overlap("ka", "kb")).count() == 0
+    rows = [("tennis", "atp", *pair, D + timedelta(days=i % 3), 0.5, str(i), i) for i in range(60) for x, y in [rng.sample(names, 2)] for pair in ((x, y), (y, x))]
+    kg, pg = (matching.group_games(spark.createDataFrame(rows[i::2], OUT)) for i in (0, 1))
+    found = [sorted((r.k_ord, r.p_ord, r.map_a, r.map_b) for r in matching.pair_candidates_fuzzy(kg, pg, names_equal, keys=keys).collect()) for keys in (None, name_keys)]
+    assert found[0] == found[1] and len(found[0]) > 50
 
 
 def test_scoring_drops_unpriced(spark):
