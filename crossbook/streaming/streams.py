@@ -76,10 +76,20 @@ def book_tick_stream(spark: SparkSession, landing: str, matches: Callable[[], Da
 
 EPISODE = "sport string, game_date string, team_a string, team_b string, level string, best_trade string, start timestamp, end timestamp, last_ts timestamp, duration_seconds double, peak_edge double, ticks long, still_open boolean, live int, ended int, status string"
 _STATE = "has boolean, start timestamp, last_ts timestamp, peak double, trade string, ticks long, level string, live int, ended int, status string, prev timestamp"
+_TICK = "observed_at timestamp, tick_id long, best_edge double, best_trade string, closed int, level string, live int, ended int, status string"
+_names = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
+
+
+def _utc(ts):
+    return ts.replace(tzinfo=timezone.utc) if ts.tzinfo is None else ts
 
 
 class EpisodeProcessor(StatefulProcessor):
-    """State: the open episode and the last row's time. A timer after the gap closes an episode that gets no more rows."""
+    """State: rows that the watermark hasn't passed, the open episode, and the time of the last row taken.
+
+    Rows wait until the watermark passes them and are then taken in order of time, whatever batch they came in: later arrivals are
+    all newer. One timer, at the earliest row waiting or a gap after the episode's last row, takes what is due where no rows come.
+    A match holds the ticks of the watermark's delay, some hundred at one poll in eight seconds."""
 
     def __init__(self, min_edge: float, inclusive: bool, gap_break: float):
         self.min_edge, self.inclusive, self.gap = min_edge, inclusive, timedelta(seconds=gap_break)
@@ -87,11 +97,12 @@ class EpisodeProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("episode", _STATE)
+        self.waiting = handle.getListState("waiting", _TICK)
 
-    def _on(self, r) -> bool:
-        if r.closed or pd.isna(r.best_edge):
+    def _on(self, r: dict) -> bool:
+        if r["closed"] or r["best_edge"] is None:
             return False
-        return r.best_edge >= self.min_edge if self.inclusive else r.best_edge > self.min_edge
+        return r["best_edge"] >= self.min_edge if self.inclusive else r["best_edge"] > self.min_edge
 
     def _closed(self, key, s: dict, end) -> dict:
         return dict(zip(MATCH_KEY, key, strict=True)) | {
@@ -99,47 +110,64 @@ class EpisodeProcessor(StatefulProcessor):
             "peak_edge": s["peak"], "ticks": s["ticks"], "still_open": False, "live": s["live"], "ended": s["ended"], "status": s["status"],
         }
 
-    def _load(self) -> dict | None:
-        if not self.state.exists():
-            return None
-        s = dict(zip([c.split()[0] for c in _STATE.split(", ")], self.state.get(), strict=True))
-        return s
-
-    def _store(self, s: dict) -> None:
-        self.state.update(tuple(s[c.split()[0]] for c in _STATE.split(", ")))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values(["observed_at", "tick_id"], kind="stable")
-        s, out = self._load() or {"has": False, "prev": None}, []
-        null = lambda v: None if pd.isna(v) else v
-        for r in df.itertuples(index=False):
-            ts, on = r.observed_at.to_pydatetime(), self._on(r)
-            gap = ts - s["prev"] if s["prev"] is not None else timedelta(0)
-            if s["has"] and (not on or gap > self.gap or r.status != s["status"]):
-                near = not on and gap <= self.gap and r.status == s["status"]
-                out.append(self._closed(key, s, ts if near else s["last_ts"]))
-                s = {"has": False}
-            if on and not s["has"]:
-                s = {"has": True, "start": ts, "last_ts": ts, "peak": float(r.best_edge), "trade": null(r.best_trade), "ticks": 1, "level": null(r.level), "live": _int(r.live), "ended": _int(r.ended), "status": r.status}
-            elif on:
-                s |= {"last_ts": ts, "ticks": s["ticks"] + 1}
-                if r.best_edge > s["peak"]:
-                    s |= {"peak": float(r.best_edge), "trade": null(r.best_trade)}
-            s["prev"] = ts
-        self._store({c.split()[0]: s.get(c.split()[0]) for c in _STATE.split(", ")})
+    def _take(self, key, s: dict, r: dict, out: list[dict]) -> dict:
+        """The state after row r; an episode that it ends goes to out."""
+        ts, on = r["observed_at"], self._on(r)
+        gap = ts - s["prev"] if s["prev"] is not None else timedelta(0)
+        if s["has"] and (not on or gap > self.gap or r["status"] != s["status"]):
+            near = not on and gap <= self.gap and r["status"] == s["status"]
+            out.append(self._closed(key, s, ts if near else s["last_ts"]))
+            s = {"has": False}
+        if on and not s["has"]:
+            s = {"has": True, "start": ts, "last_ts": ts, "peak": r["best_edge"], "trade": r["best_trade"], "ticks": 1} | {c: r[c] for c in ("level", "live", "ended", "status")}
+        elif on:
+            s |= {"last_ts": ts, "ticks": s["ticks"] + 1}
+            if r["best_edge"] > s["peak"]:
+                s |= {"peak": r["best_edge"], "trade": r["best_trade"]}
+        return s | {"prev": ts}
+
+    def _advance(self, key, rows: list[dict], watermark: int) -> Iterator[pd.DataFrame]:
+        """Takes the rows that the watermark (milliseconds) has passed, keeps the others, and sets the timer."""
+        millis = lambda ts: int(_utc(ts).timestamp() * 1000)
+        s = dict(zip(_names(_STATE), self.state.get(), strict=True)) if self.state.exists() else {"has": False, "prev": None}
+        out: list[dict] = []
+        rows.sort(key=lambda r: (r["observed_at"], r["tick_id"] is not None, r["tick_id"] or 0))
+        due = sum(millis(r["observed_at"]) < watermark for r in rows)
+        for r in rows[:due]:
+            s = self._take(key, s, r, out)
+        rows = rows[due:]
+        # A row to come is newer than the watermark, so it can't extend an episode that ended more than a gap before it.
+        if s["has"] and millis(s["last_ts"] + self.gap) + 1 < watermark and (not rows or rows[0]["observed_at"] - s["last_ts"] > self.gap):
+            out.append(self._closed(key, s, s["last_ts"]))
+            s = {"has": False, "prev": s["prev"]}
+        self.state.update(tuple(s.get(c) for c in _names(_STATE)))
+        if rows:
+            self.waiting.put([tuple(r[c] for c in _names(_TICK)) for r in rows])
+        else:
+            self.waiting.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
+        wake = [millis(rows[0]["observed_at"]) + 1] if rows else []
         if s["has"]:
-            last = s["last_ts"].replace(tzinfo=timezone.utc) if s["last_ts"].tzinfo is None else s["last_ts"]
-            self.handle.registerTimer(int((last + self.gap).timestamp() * 1000) + 1)  # a gap of exactly the break still extends
+            wake.append(millis(s["last_ts"] + self.gap) + 2)
+        if wake:
+            self.handle.registerTimer(max(min(wake), watermark + 1))
         yield _frame(out)
 
+    def _waiting(self) -> list[dict]:
+        return [dict(zip(_names(_TICK), r, strict=True)) for r in self.waiting.get()]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        null = lambda v: None if pd.isna(v) else v
+        new = []
+        for df in rows:
+            for r in df[_names(_TICK)].itertuples(index=False):
+                whole = {c: _int(getattr(r, c)) for c in ("closed", "live", "ended", "tick_id")}
+                new.append({c: null(v) for c, v in r._asdict().items()} | whole | {"observed_at": r.observed_at.to_pydatetime(), "best_edge": None if pd.isna(r.best_edge) else float(r.best_edge)})
+        yield from self._advance(key, self._waiting() + new, timerValues.getCurrentWatermarkInMs())
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        if s and s["has"]:
-            out.append(self._closed(key, s, s["last_ts"]))
-            self._store({c.split()[0]: None for c in _STATE.split(", ")} | {"has": False, "prev": s["prev"]})
-        yield _frame(out)
+        yield from self._advance(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -156,8 +184,8 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def stream_episodes(ticks: DataFrame, min_edge: float = 0.0, inclusive: bool = False, gap_break: float = GAP_BREAK, delay: str = "15 minutes") -> DataFrame:
-    """Closed episodes of a stream of price ticks. Rows later than the watermark's delay are dropped; find_episodes over the stored
-    ticks stays the reference result. Needs the RocksDB state store."""
+    """Closed episodes of a stream of price ticks, the same whatever order ticks come in within the watermark's delay. Rows later than
+    that are dropped; find_episodes over the stored ticks stays the reference result. Needs the RocksDB state store."""
     df = ticks.withColumn("status", game_status(F.col("live"), F.col("ended"))).withWatermark("observed_at", delay)
     return df.groupBy(*MATCH_KEY).transformWithStateInPandas(statefulProcessor=EpisodeProcessor(min_edge, inclusive, gap_break), outputStructType=EPISODE, outputMode="Append", timeMode="EventTime")
 

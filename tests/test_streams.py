@@ -1,6 +1,9 @@
 import json
+import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from crossbook.operators import episodes
 from crossbook.sources import sinks
 from crossbook.streaming import streams
@@ -75,18 +78,24 @@ def test_last_good():
     assert source.refresh() is source.refresh()
 
 
-def test_stream_episodes_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("mixed", [False, True])
+def test_stream_episodes_equal_batch(spark, tmp_path, mixed):
+    """mixed: rows come up to 27 places, and so whole batches, out of order."""
     rows = []
     for k in range(40):
         rows.append(tick(k, 300 * k + (2000 if k > 20 else 0), [0.02, 0.03, -0.01, 0.01][k // 5 % 4]))
         rows.append(tick(100 + k, 300 * k, 0.05 if k % 7 else None, team="c", live=int(k > 15)))
-    rows.append(tick(999, 10**6, None, team="z"))  # moves the watermark past all timers
     df = spark.createDataFrame(rows, SCHEMA)
     parts = sorted(rows, key=lambda r: r[1])
-    for i in range(0, len(parts), 27):
-        spark.createDataFrame(parts[i : i + 27], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i:03d}"))
+    if mixed:
+        rng = random.Random(5)
+        parts = [r for _, r in sorted(((i + rng.uniform(0, 27), r) for i, r in enumerate(parts)), key=lambda x: x[0])]
+    parts += [tick(990 + i, 10**6 * (i + 1), None, team="z") for i in range(2)]  # move the watermark past all rows and timers
+    batches = [parts[i : i + 18] for i in range(0, len(parts) - 2, 18)] + [parts[-2:-1], parts[-1:]]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i:03d}"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = streams.stream_episodes(stream).writeStream.format("parquet").option("path", str(tmp_path / "eps")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q = streams.stream_episodes(stream, delay="4 hours" if mixed else "15 minutes").writeStream.format("parquet").option("path", str(tmp_path / "eps")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
     key = lambda r: (r.team_a, r.start, r.end, r.peak_edge, r.ticks, r.best_trade, r.status)
     want = sorted(map(key, episodes.find_episodes(df, ((0.0, False),)).collect()))
