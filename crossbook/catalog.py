@@ -477,6 +477,161 @@ def _parsed_texts(spark, d):
     ))
 
 
+# Listings of both venues: games of four pairs a day, listed again on later pages; the first page's event counts.
+_PAIRS = (("NE", "New England", "patriots", "BUF", "Buffalo", "bills"), ("GB", "Green Bay", "packers", "CHI", "Chicago", "bears"), ("DAL", "Dallas", "cowboys", "DET", "Detroit", "lions"), ("KC", "Kansas City", "chiefs", "DEN", "Denver", "broncos"))
+
+
+def _of_pair(i: int) -> str:
+    """Field i of the pair that the customer's number picks; SQL for both engines."""
+    return "CASE c % 4 " + " ".join(f"WHEN {n} THEN '{p[i]}'" for n, p in enumerate(_PAIRS)) + " END"
+
+
+_KEYED = "SELECT o_orderkey AS k, o_custkey AS c, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderdate AS DATE) AS dt FROM orders"
+_K_LISTED = f"""WITH x AS ({_KEYED}), y AS (SELECT *, 'KXNFLGAME-' || upper(strftime(dt, '%y%b%d')) || {_of_pair(0)} || {_of_pair(3)} AS ev FROM x),
+  f AS (SELECT *, row_number() OVER (PARTITION BY ev ORDER BY k % 5, k // 5) AS n FROM y), m AS (SELECT *, unnest([0, 1]) AS pos FROM f WHERE n = 1),
+  kl AS (SELECT 'kalshi' AS exchange, ev || '-' || CASE pos WHEN 0 THEN {_of_pair(0)} ELSE {_of_pair(3)} END AS market_id, ev AS event_id, CASE WHEN k % 2 = 0 THEN ev ELSE 'game ' || k END AS event_title,
+    CASE pos WHEN 0 THEN {_of_pair(2)} ELSE {_of_pair(5)} END AS team, CASE pos WHEN 0 THEN {_of_pair(5)} ELSE {_of_pair(2)} END AS opponent,
+    CASE WHEN pos = 0 AND k % 3 = 0 THEN 0.5 ELSE (10 + c % 80) / 100.0::DOUBLE END AS yes_price, CAST(k % 100 AS DOUBLE) AS volume, day AS game_date, day || 'T20:00:00Z' AS close_time,
+    'https://kalshi.com/markets/kxnflgame/' || lower(ev) AS url, (k % 5) * 100000000 + (k // 5) * 10000 + pos AS src_ord, 0 AS live, 0 AS ended, 'nfl' AS sport, 'pro' AS level FROM m)"""
+
+
+def _kalshi_listings(spark: SparkSession, d: str) -> DataFrame:
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day", "upper(date_format(CAST(o_orderdate AS DATE), 'yyMMMdd')) AS code")
+    x = x.selectExpr("*", f"concat('KXNFLGAME-', code, {_of_pair(0)}, {_of_pair(3)}) AS ev")
+    market = """concat('{{"ticker": "', ev, '-', {code}, '", "yes_sub_title": "', {sub}, '", "yes_ask_dollars": "', {price}, '", "last_price_dollars": "0.5", "volume_fp": "', k % 100, '", "close_time": "', day, 'T15:00:00-05:00"}}')"""
+    price = "CAST((10 + c % 80) / 100 AS STRING)"
+    markets = [market.format(code=_of_pair(0), sub=_of_pair(1), price=f"CASE WHEN k % 3 = 0 THEN '' ELSE {price} END"), market.format(code=_of_pair(3), sub=_of_pair(4), price=price), market.format(code="'QQ'", sub="'nobody'", price=price)]
+    event = f"""concat('{{"event_ticker": "', ev, '", "title": "', CASE WHEN k % 2 = 0 THEN '' ELSE concat('game ', k) END, '", "markets": [', {", ', ', ".join(markets)}, ']}}')"""
+    events = x.selectExpr("k % 5 AS page", "k div 5 AS event_pos", f"{event} AS value").select("page", "event_pos", F.from_json("value", landed.K_EVENT).alias("e")).select("page", "event_pos", "e.*")
+    return outcomes.kalshi_outcomes(events, "nfl", "pro", "KXNFLGAME")
+
+
+_P_SLUG = f"'nfl-' || lower({_of_pair(0)}) || '-' || lower({_of_pair(3)}) || '-' || day"
+_P_LISTED = f"""px AS ({_KEYED}), py AS (SELECT *, {_P_SLUG} AS slug FROM px WHERE k % 7 <> 0 AND k % 11 <> 0), pf AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY k % 5, k // 5) AS n FROM py),
+  pm AS (SELECT *, unnest(CASE WHEN k % 3 = 0 THEN [0, 2] ELSE [0, 1] END) AS pos FROM pf WHERE n = 1 AND c % 13 <> 0),
+  pl AS (SELECT 'polymarket' AS exchange, 'M' || k AS market_id, CASE pos WHEN 0 THEN 't' || k END AS token_id, slug AS event_id, 'on ' || day AS event_title, CASE pos WHEN 0 THEN {_of_pair(2)} ELSE {_of_pair(5)} END AS team,
+    CASE pos WHEN 0 THEN {_of_pair(5)} ELSE {_of_pair(2)} END AS opponent, CASE WHEN pos = 0 THEN (10 + c % 80) / 100.0::DOUBLE WHEN pos = 2 THEN 0.25 END AS yes_price, 5.0::DOUBLE AS volume, day AS game_date, day || 'T20:00:00Z' AS close_time,
+    'https://polymarket.com/event/' || slug AS url, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS live, CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS ended, 'pro' AS level, (k % 5) * 100000000 + (k // 5) * 10000 + pos AS src_ord, 'nfl' AS sport FROM pm)"""
+
+
+def _poly_listings(spark: SparkSession, d: str) -> DataFrame:
+    """Events without a game's slug (k % 11 = 0), of another sport (k % 7 = 0) or without an open moneyline (c % 13 = 0) have no rows."""
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day").selectExpr("*", f"{_P_SLUG} AS slug")
+    outs = f"""concat('[\\\\"', {_of_pair(1)}, CASE WHEN k % 3 = 0 THEN concat('\\\\", \\\\"', {_of_pair(0)}) ELSE '' END, '\\\\", \\\\"', {_of_pair(4)}, '\\\\"]')"""
+    prices = """concat('[\\\\"', (10 + c % 80) / 100, '\\\\"', CASE WHEN k % 3 = 0 THEN ', \\\\"0.9\\\\", \\\\"0.25\\\\"' ELSE '' END, ']')"""
+    line = """concat('{{"id": "', {id}, '", "sportsMarketType": "', {kind}, '", "closed": ', {closed}, ', "outcomes": "', {outs}, '", "outcomePrices": "', {prices}, '", "clobTokenIds": "[\\\\"t', k, '\\\\"]", "volume": "5", "endDate": "', day, 'T20:00:00Z"}}')"""
+    lines = [line.format(id=i, kind=kind, closed=closed, outs=outs, prices=prices) for i, kind, closed in (("concat('S', k)", "'spreads'", "'false'"), ("concat('C', k)", "'moneyline'", "'true'"), ("concat('M', k)", "'moneyline'", "CASE WHEN c % 13 = 0 THEN 'true' ELSE 'false' END"))]
+    event = f"""concat('{{"id": "', slug, '", "slug": "', CASE WHEN k % 11 = 0 THEN 'nfl-season-winner' ELSE slug END, '", "title": "on ', day, '", "sport": ', CASE WHEN k % 7 = 0 THEN '"nba"' WHEN k % 2 = 0 THEN '"nfl"' ELSE '{{"sport": "nfl"}}' END,
+      ', "teams": [], "live": ', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, ', "ended": ', CASE WHEN k % 4 = 1 THEN '"1"' ELSE 'null' END, ', "markets": [', {", ', ', ".join(lines)}, ']}}')"""
+    events = x.selectExpr("k % 5 AS page", "k div 5 AS event_pos", f"{event} AS value").select("page", "event_pos", F.from_json("value", landed.P_EVENT).alias("e")).select("page", "event_pos", "e.*")
+    return outcomes.poly_outcomes(events, "nfl")
+
+
+@_query("kalshi_listing_rows", f"{_K_LISTED} SELECT * FROM kl")
+def _kalshi_listing_rows(spark, d):
+    return _flat(_kalshi_listings(spark, d))
+
+
+@_query("poly_listing_rows", f"WITH {_P_LISTED} SELECT * FROM pl")
+def _poly_listing_rows(spark, d):
+    return _flat(_poly_listings(spark, d))
+
+
+@_query("listing_counts", f"{_K_LISTED}, {_P_LISTED} SELECT sport, exchange, level, count(*) AS n FROM (SELECT sport, exchange, level FROM kl UNION ALL SELECT sport, exchange, level FROM pl) GROUP BY ALL")
+def _listing_counts(spark, d):
+    return jobs.level_counts(jobs.union([_kalshi_listings(spark, d), _poly_listings(spark, d)]))
+
+
+# Quotes of a match for every order, at two times: the second side of the first venue is missing at the second time for two of three.
+_Q = {"ka": "CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(2 + (k * 7 + t * 3) % 60 AS DOUBLE) / 100 END", "kb": "CAST(2 + (k * 5 + t) % 60 AS DOUBLE) / 100", "pa": "CAST(2 + (k * 3 + t) % 60 AS DOUBLE) / 100", "pb": "CAST(2 + (k + t * 31) % 60 AS DOUBLE) / 100", "closed": "(k + t) % 13 = 0"}
+
+
+@_query("price_ticks", f"""WITH x AS (SELECT o_orderkey AS k, epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS us, unnest([0, 1]) AS t FROM orders),
+  q AS (SELECT k, us + t * 3600000000 AS observed_at, {_Q['ka']} AS ka, CASE WHEN t = 0 OR k % 3 = 0 THEN {_Q['kb']} END AS kb, {_Q['pa']} AS pa, {_Q['pb']} AS pb, {_Q['closed']} AS closed FROM x),
+  s AS (SELECT *, ka + kb + pa + pb IS NOT NULL AS priced, CASE WHEN ka + pb <= pa + kb THEN ka + pb ELSE pa + kb END AS best FROM q)
+  SELECT 'a' || k AS team_a, 'b' || k AS team_b, observed_at, round(ka, 6) AS kalshi_yes_a, round(kb, 6) AS kalshi_yes_b, round(pa, 6) AS poly_yes_a, round(pb, 6) AS poly_yes_b, CASE WHEN closed THEN 1 ELSE 0 END AS closed, CASE WHEN priced THEN round(best, 4) END AS best_cost, CASE WHEN priced THEN round(1 - best, 4) END AS best_edge,
+    CASE WHEN priced AND 1 - best > 0 THEN 1 ELSE 0 END AS is_arb, CASE WHEN NOT priced THEN NULL WHEN ka + pb <= pa + kb THEN 'buy a' || k || ' Kalshi YES + b' || k || ' Polymarket YES' ELSE 'buy a' || k || ' Polymarket YES + b' || k || ' Kalshi YES' END AS best_trade FROM s WHERE closed OR priced""")
+def _price_ticks(spark, d):
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), 0, 0, 0, 'UTC') AS at")
+    m = x.selectExpr("'tennis' AS sport", "'atp' AS level", "'d' AS game_date", "concat('a', k) AS team_a", "concat('b', k) AS team_b", "concat('A', k) AS kalshi_id_a", "concat('B', k) AS kalshi_id_b", "concat('P', k) AS poly_id", "0 AS live", "0 AS ended")
+    at = jobs.union([x.selectExpr("k", f"{t} AS t", f"timestampadd(HOUR, {t}, at) AS observed_at") for t in (0, 1)])
+    k = at.selectExpr("observed_at", "concat('A', k) AS ticker", f"{_Q['ka']} AS yes", f"{_Q['closed']} AS closed").unionByName(at.where("t = 0 OR k % 3 = 0").selectExpr("observed_at", "concat('B', k) AS ticker", f"{_Q['kb']} AS yes", "false AS closed"))
+    p = at.selectExpr("observed_at", "concat('P', k) AS market_id", "array(concat('B', k), concat('a', k)) AS outcomes", f"array(CAST({_Q['pb']} AS STRING), CAST({_Q['pa']} AS STRING)) AS prices", "false AS closed")
+    return _flat(scoring.score_quotes(scoring.quote_matches(m, k, p)).select("team_a", "team_b", "observed_at", *scoring.PRICES, "closed", "best_cost", "best_edge", "is_arb", "best_trade"))
+
+
+def _open_games(levels: DataFrame) -> DataFrame:
+    """A match of every two ladders; of ten, one is over and one live."""
+    return levels.selectExpr("match_id div 2 AS g").distinct().selectExpr(
+        "'nfl' AS sport", "'pro' AS level", "'d' AS game_date", "lpad(CAST(g AS STRING), 12, '0') AS team_a", "'other' AS team_b", "concat('L', g * 2) AS kalshi_id_a", "concat('R', g * 2) AS poly_token_b", "concat('L', g * 2 + 1) AS kalshi_id_b", "concat('R', g * 2 + 1) AS poly_token_a",
+        "CASE WHEN g % 10 = 8 THEN 1 ELSE 0 END AS live", "CASE WHEN g % 10 = 9 THEN 1 ELSE 0 END AS ended",
+    )
+
+
+_OPEN = f"""{_WALK}, od AS (SELECT lpad(CAST(match_id // 2 AS VARCHAR), 12, '0') AS team_a, match_id % 2 AS dir, left_ask AS kalshi_ask, right_ask AS poly_ask, combined_best, qty, avg_cost, profit, edge, is_exec, CASE WHEN match_id // 2 % 10 = 8 THEN 1 ELSE 0 END AS live FROM dirs WHERE match_id // 2 % 10 <> 9)"""
+_OPEN_SQL = "team_a, dir, " + ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in ("kalshi_ask", "poly_ask", "combined_best", "qty", "avg_cost", "profit", "edge")) + ", is_exec, live, CASE WHEN dir = 0 THEN 'Buy ' || team_a || ' on Kalshi + other on Polymarket' ELSE 'Buy other on Kalshi + ' || team_a || ' on Polymarket' END AS direction"
+_OPEN_COLUMNS = ("team_a", "dir", "kalshi_ask", "poly_ask", "combined_best", "qty", "avg_cost", "profit", "edge", "is_exec", "live", "direction")
+
+
+def _directions(spark: SparkSession, d: str) -> DataFrame:
+    levels = _levels(spark, d)
+    return ladders.executable_directions(_open_games(levels), levels.select(F.concat("side", "match_id").alias("book_id"), "price", "qty"))
+
+
+@_query("executable_hits", f"{_OPEN} SELECT {_OPEN_SQL} FROM od WHERE is_exec = 1")
+def _executable_hits(spark, d):
+    return _flat_up(ladders.executable_report(_directions(spark, d))[0].select(*_OPEN_COLUMNS))
+
+
+@_query("executable_misses", f"{_OPEN} SELECT {_OPEN_SQL} FROM od WHERE is_exec = 0 ORDER BY od.combined_best, team_a, dir LIMIT 5")
+def _executable_misses(spark, d):
+    return _flat_up(ladders.executable_report(_directions(spark, d))[1].select(*_OPEN_COLUMNS))
+
+
+@_query("book_poll_summary", f"WITH {cte('v_book_ticks')}, st AS (SELECT *, {STATUS} AS status, is_exec = 1 AS hit FROM v_book_ticks) SELECT epoch_us(observed_at) AS observed_at, count(*) AS quoted, CAST(0 AS BIGINT) AS closed, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE hit AND status = 'live') AS live_hits, count(*) FILTER (WHERE hit AND status <> 'live') AS other_hits FROM st GROUP BY 1")
+def _book_poll_summary(spark, d):
+    return _flat(jobs.poll_summary(view(spark, d, "v_book_ticks").drop("is_arb", "closed")))
+
+
+@_query("ordered_matches", f"{_MATCHED} SELECT team_a, team_b, CAST(game_date AS VARCHAR) AS game_date FROM mt ORDER BY game_date, team_a, team_b LIMIT 8")
+def _ordered_matches(spark, d):
+    return jobs.ordered_matches(_matches(spark, d)).select("team_a", "team_b", "game_date")
+
+
+@_query("value_texts", """SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) || ' 00:00:00 UTC' AS day_text, '$' || format('{:,.2f}', CAST(o_custkey * 1001 + 0.25 AS DOUBLE)) AS dollars,
+  CASE WHEN o_orderkey % 2 = 0 THEN format('{:,}', o_custkey * 1001) ELSE format('{:,.1f}', CAST(o_custkey * 1001 + 0.3 AS DOUBLE)) END AS quantity, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 99) || 'c' ELSE (o_custkey % 99) || '.3c' END AS cents,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE o_custkey || '.30' END AS size, CASE o_orderkey % 4 WHEN 0 THEN 'tennis/atp' WHEN 1 THEN 'tennis' WHEN 2 THEN 'nfl' ELSE '?' END AS sport_text FROM orders""")
+def _value_texts(spark, d):
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "make_timestamp(year(o_orderdate), month(o_orderdate), day(o_orderdate), 0, 0, 0, 'UTC') AS at")
+    part = F.when(F.col("k") % 2 == 0, 0.0).otherwise(0.3)
+    sport = F.expr("element_at(array('tennis', 'tennis', 'nfl', ''), CAST(k % 4 + 1 AS INT))")
+    return x.select(
+        "k", scalars.fmt_ts(F.col("at")).alias("day_text"), scalars.fmt_dollars(F.col("c") * 1001 + F.lit(0.25)).alias("dollars"), scalars.fmt_qty(F.col("c") * 1001 + part).alias("quantity"),
+        scalars.price_cents((F.col("c") % 99 + part) / 100).alias("cents"), scalars.fmt_size(F.col("c") + part).alias("size"), scalars.sport_label(sport, F.when(F.col("k") % 4 == 1, "").otherwise("atp")).alias("sport_text"),
+    )
+
+
+def _sizes(report: dict[str, DataFrame]) -> DataFrame:
+    """Rows of every section of a report."""
+    return jobs.union([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n") for name, df in report.items()])
+
+
+@_query("price_report", f"""{_EP}, zero AS (SELECT * FROM ep WHERE NOT inclusive), r AS (SELECT DISTINCT {KEY} FROM zero) SELECT * FROM (SELECT 'window' AS section, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'episodes', count(*) FROM ep UNION ALL SELECT 'rollups', count(*) FROM r UNION ALL SELECT 'largest', least(count(*), 5) FROM r
+  UNION ALL SELECT 'durations', count(DISTINCT min_edge) FROM ep UNION ALL SELECT 'thresholds', count(DISTINCT min_edge) FROM ep UNION ALL SELECT 'by_status', count(DISTINCT status) FROM st UNION ALL SELECT 'by_sport', count(DISTINCT sport) + count(DISTINCT CASE WHEN sport = 'tennis' THEN level END) FROM st
+  UNION ALL SELECT 'top_episodes', CAST(sum(least(n, 5)) AS BIGINT) FROM (SELECT count(*) AS n FROM ep WHERE min_edge >= 0.02 GROUP BY min_edge))""")
+def _price_report(spark, d):
+    return _sizes(jobs.analyze_prices(_ticks(spark, d), GAP))
+
+
+_SLICES = "CAST(4 * (count(DISTINCT sport) + count(DISTINCT CASE WHEN sport = 'tennis' THEN level END)) AS BIGINT)"
+
+
+@_query("book_report", f"""{_SNAP} SELECT 'window' AS section, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'snapshots', count(*) FROM snap UNION ALL SELECT 'largest', least(count(*), 5) FROM snap WHERE NOT inclusive
+  UNION ALL SELECT 'buckets', 4 * count(DISTINCT min_edge) FROM snap UNION ALL SELECT 'blocks', CAST(4 AS BIGINT) UNION ALL SELECT 'slices', {_SLICES} FROM v_book_ticks""")
+def _book_report(spark, d):
+    return _sizes(jobs.analyze_books(view(spark, d, "v_book_ticks"), GAP))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -96,5 +96,6 @@ def quote_executable(matches: DataFrame, books: DataFrame, *time: str) -> DataFr
 
 
 def executable_report(directions: DataFrame, n_misses: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Hits by edge, and the closest misses by combined cost."""
-    return directions.where("is_exec = 1").orderBy(F.desc("edge")), directions.where("is_exec = 0").orderBy("combined_best").limit(n_misses)
+    """Hits by edge, and the closest misses by combined cost; ties by match and direction."""
+    tie = (*_KEYS, "dir")
+    return directions.where("is_exec = 1").orderBy(F.desc("edge"), *tie), directions.where("is_exec = 0").orderBy("combined_best", *tie).limit(n_misses)
