@@ -88,4 +88,4 @@ def slice_stats(book_ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float =
     sliced = sport_slices(book_ticks)
     counts = sliced.groupBy("slice").agg(n_matches().alias("quoted_matches"), F.count("*").alias("ticks"))
     blocks = edge_blocks(sliced, thresholds, gap_break, slices=True)
-    return blocks.join(F.broadcast(counts), "slice").withColumn("rank", ranked(F.split_part("slice", F.lit("/"), F.lit(1)), SPORT_ORDER))  # a row for each slice
+    return blocks.join(counts.hint("merge"), "slice").withColumn("rank", ranked(F.split_part("slice", F.lit("/"), F.lit(1)), SPORT_ORDER))

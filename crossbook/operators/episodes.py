@@ -14,8 +14,9 @@ MATCH_KEY = ("sport", "game_date", "team_a", "team_b")
 GAP_BREAK = 900.0
 #: (least edge, whether it is enough itself)
 THRESHOLDS = ((0.0, False), (0.01, True), (0.02, True), (0.03, True))
-#: Slices are whole sports and tours, so this many at most.
 ALL = "all"
+#: Parts that rows of one slice are dealt to when figures of slices are joined to them.
+SALTS = 64
 
 
 def meets(edge: Column, min_edge: Column, inclusive: Column) -> Column:
@@ -42,6 +43,13 @@ def seconds(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
 
 
+def with_slice_figures(df: DataFrame, figures: DataFrame) -> DataFrame:
+    """df with the columns of figures (one row a slice, however many slices dirty data makes): a merge join, hot slices dealt to parts."""
+    part = F.pmod(F.xxhash64(*MATCH_KEY), F.lit(SALTS)).cast("int")
+    copies = figures.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_part", part).join(copies.hint("merge"), ["slice", "_part"]).drop("_part")
+
+
 def find_episodes(ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float = GAP_BREAK, slices: bool = False) -> DataFrame:
     """Episodes of ticks (tick_id, observed_at, match key, level, best_edge, best_trade, closed, live, ended) at each threshold.
 
@@ -66,7 +74,7 @@ def find_episodes(ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float = GA
         F.min("observed_at").alias("start"), F.max("observed_at").alias("last_ts"), F.max_by("off_end", last).alias("end"),
         F.max_by(F.col("n_observed_at").isNull(), last).alias("alive"), F.max("best_edge").alias("peak_edge"), F.count("*").alias("ticks"),
     )
-    df = df.join(F.broadcast(ends), "slice")  # a row for each slice
+    df = with_slice_figures(df, ends) if slices else df.join(F.broadcast(ends), "slice")  # without slices one row
     still_open = F.col("alive") & (seconds(F.col("global_end"), F.col("last_ts")) <= gap_break)
     out = df.select(
         *(["slice"] if slices else []), "sport", "head.level", "game_date", "team_a", "team_b", "peak.best_trade", "start", "end", "last_ts",

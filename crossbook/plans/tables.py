@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed: spark.checkpoint.dir where the session names one, else a temporary folder (one machine)."""
+    """df checkpointed in spark.checkpoint.dir; without it in a temporary folder, if the session runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crossbook-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="crossbook-"))
     return df.checkpoint()
