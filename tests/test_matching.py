@@ -1,6 +1,7 @@
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from crossbook.functions.scalars import name_keys, names_equal
@@ -86,3 +87,22 @@ def test_scoring_drops_unpriced(spark):
 def test_dedupe_last(spark):
     df = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k int, v string, o int")
     assert matching.dedupe_last(df, ["k"], "o").select(F.col("v")).collect() == [("y",)]
+
+
+def test_cluster_needs_a_checkpoint_folder():
+    from types import SimpleNamespace as Fake
+
+    from crossbook.plans import tables
+
+    def session(master, base):
+        made = []
+        sc = Fake(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+        df = Fake(sparkSession=Fake(sparkContext=sc, conf=Fake(get=lambda key, default: base)), checkpoint=lambda: "cut")
+        return df, made
+
+    df, _ = session("spark://host:7077", None)
+    with pytest.raises(ValueError):
+        tables.cut(df)
+    for master, base in (("spark://host:7077", "hdfs://c"), ("local[4]", None)):
+        df, made = session(master, base)
+        assert tables.cut(df) == "cut" and len(made) == 1 and (base is None or made == [base])
