@@ -38,6 +38,8 @@ LOT_BYTES = 1 << 20
 ALIGNED = "text_key string, times long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = re.compile(rb"[\t-\r\x80-\xaf] [\t-\r\xc2\xe1\xe2\xe3]|  |\xe2\x96\x81")  # what the quick cut isn't made for
+#: A segment that no token joins with what stands before it.
+_SAFE = re.compile(rb" (?:[\x21-\x7e]|[\xc3-\xdf\xe4-\xf4])")
 _aligners: dict[tuple[str, str], "_Aligner"] = {}
 
 
@@ -71,8 +73,8 @@ class _Aligner:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.groups: list[str] = []
-        self.figures: list[tuple[int, int, int, bool]] = []  # tokens of A, of B, groups, whether bytes come back
         self.links: list[bytes] = []
+        self.figures = np.zeros((SEGMENTS, 4), dtype=np.int64)  # tokens of A, of B, groups, whether bytes come back
 
     def align(self, raw: bytes, a: list[int], b: list[int]) -> tuple[str, tuple[int, int, int, bool], bytes]:
         """raw with its leading space; its ids of A and B."""
@@ -100,44 +102,81 @@ class _Aligner:
         ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
         return (self.align(raw, e.ids, b) for raw, e, b in zip(segments, ids_a, ids_b, strict=True))
 
-    def learn(self, segments: list[bytes]) -> None:
-        for at in range(0, len(segments), 2000):
-            lot = segments[at : at + 2000]
-            for raw, (groups, figures, links) in zip(lot, self.encode(lot), strict=True):
-                self.number[raw] = len(self.groups)
-                self.groups.append(groups)
-                self.figures.append(figures)
-                self.links.append(links)
+    def remember(self, lot: list[bytes], groups: list[str], links: list[bytes], figures: np.ndarray) -> None:
+        at = len(self.groups)
+        self.number.update(zip(lot, range(at, at + len(lot)), strict=True))
+        self.groups += groups
+        self.links += links
+        while len(self.figures) < at + len(lot):
+            self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
+        self.figures[at : at + len(lot)] = figures
+
+    def learn(self, new: list[bytes]) -> None:
+        """Segments that tokens can't join with their neighbours are tokenised together, the others one by one."""
+        apart = [s for s in new if not _SAFE.match(s) or s[-1] == 0x20]
+        safe = list(set(new).difference(apart))
+        for at in range(0, len(safe), 2000):
+            if not self.learn_lot(safe[at : at + 2000]):
+                apart += safe[at : at + 2000]
+        if apart:
+            groups, figures, links = zip(*self.encode(apart), strict=True)
+            self.remember(apart, list(groups), list(links), np.array(figures, dtype=np.int64))
+
+    def learn_lot(self, lot: list[bytes]) -> bool:
+        """As align, for many segments at once; False where the bytes don't come back."""
+        whole = b"".join(lot)
+        text = whole.decode("utf-8", "replace")
+        ids_a, ids_b = np.array(self.a.encode(text, add_special_tokens=False).ids), np.array(self.b.encode(text[1:]))
+        list_a, list_b = ids_a.tolist(), ids_b.tolist()
+        parts_a, parts_b = [self.bytes_a[i] for i in list_a], [self.bytes_b[i] for i in list_b]
+        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+            return False
+        end_a, end_b = (np.cumsum(np.fromiter(map(len, x), dtype=np.int64, count=len(x))) for x in (parts_a, parts_b))
+        stop = np.cumsum(np.fromiter(map(len, lot), dtype=np.int64, count=len(lot)))
+        both = np.intersect1d(end_a, end_b)
+        if not np.isin(stop, both).all():
+            return False
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        of = np.searchsorted(stop, both)  # the segment of each group
+        links = ids_a[np.searchsorted(end_a, both)] * self.size_b + ids_b[np.searchsorted(end_b, both)]
+        turn = np.concatenate([2 * group_a, 2 * group_b + 1])  # a group's tokens of A, then of B
+        order = np.argsort(turn, kind="stable")
+        turn = turn[order]
+        after = np.append(turn[1:], -1)
+        kind = np.where(after == turn, 0, np.where(turn & 1 == 0, 1, 2))
+        last = np.flatnonzero(kind == 2)
+        kind[last[np.append(of[1:] != of[:-1], True)]] = 3
+        names = [*map(str, list_a), *map(str, list_b)]
+        marks = (",", "|", ";", "\n")
+        written = "".join([names[i] + marks[k] for i, k in zip(order.tolist(), kind.tolist(), strict=True)])
+        n = len(lot)
+        figures = np.stack([np.bincount(of[group_a], minlength=n), np.bincount(of[group_b], minlength=n), np.bincount(of, minlength=n), np.ones(n, dtype=np.int64)], axis=1)
+        raw = links.astype(self.kind).tobytes()
+        cuts = (np.concatenate(([0], np.cumsum(figures[:, 2]))) * self.kind.itemsize).tolist()
+        self.remember(lot, written.split("\n")[:n], [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], figures)
+        return True
 
     def texts(self, lot: list[bytes]) -> list[tuple[int, int, int, str, bytes]]:
-        """n_a, n_b, n_groups, groups and links of each text; of no text is the leading space given."""
+        """n_a, n_b, n_groups, groups and links of each text; texts come without the leading space."""
         cut = [segments(t) for t in lot]
         if len(self.number) > SEGMENTS:
             self.clear()
-        new = {s for parts in cut for s in parts if len(s) <= SEGMENT_BYTES} - self.number.keys()
-        self.learn(list(new))
+        long = {s for parts in cut if max(map(len, parts), default=0) > SEGMENT_BYTES for s in parts if len(s) > SEGMENT_BYTES}
+        self.learn(list(set().union(*cut).difference(long, self.number)))
+        number, groups, links, figures = self.number, self.groups, self.links, self.figures
         out = []
         for text, parts in zip(lot, cut, strict=True):
-            if any(len(s) > SEGMENT_BYTES for s in parts):
-                found = [self.one(s) for s in parts]
+            if long and not long.isdisjoint(parts):
+                found = [next(iter(self.encode([s]))) if s in long else (groups[number[s]], figures[number[s]].tolist(), links[number[s]]) for s in parts]
+                spelled, sums, pairs = ";".join([f[0] for f in found]), np.array([f[1] for f in found]).sum(axis=0), b"".join([f[2] for f in found])
             else:
-                at = [self.number[s] for s in parts]
-                found = [(self.groups[i], self.figures[i], self.links[i]) for i in at]
-            if not all(f[1][3] for f in found):
-                found = list(self.encode([b" " + text]))
-            if not text or not all(f[1][3] for f in found):
-                out.append((0, 0, 0, "", b""))
-                continue
-            n_a, n_b, n_groups, _ = map(sum, zip(*[f[1] for f in found], strict=True))
-            out.append((n_a, n_b, n_groups, ";".join([f[0] for f in found]), b"".join([f[2] for f in found])))
+                at = [number[s] for s in parts]
+                spelled, sums, pairs = ";".join([groups[i] for i in at]), figures[at].sum(axis=0), b"".join([links[i] for i in at])
+            if text and sums[3] != len(parts):
+                spelled, sums, pairs = next(iter(self.encode([b" " + text])))
+            out.append((int(sums[0]), int(sums[1]), int(sums[2]), spelled, pairs) if text and sums[3] else (0, 0, 0, "", b""))
         return out
 
-    def one(self, segment: bytes) -> tuple[str, tuple[int, int, int, bool], bytes]:
-        if len(segment) > SEGMENT_BYTES:
-            return next(iter(self.encode([segment])))
-        i = self.number[segment]
-        return self.groups[i], self.figures[i], self.links[i]
-
 
 def segments(text: bytes) -> list[bytes]:
     """A space and the text, cut before single spaces between other characters, but not inside white space."""
