@@ -127,7 +127,7 @@ def attach_prices(assigned: DataFrame) -> DataFrame:
         F.col("k_meta.event_title").alias("kalshi_event"), F.col("p_meta.event_title").alias("polymarket_event"), F.col("k_meta.event_id").alias("kalshi_event_id"), F.col("k_a.market_id").alias("kalshi_id_a"), F.col("k_b.market_id").alias("kalshi_id_b"),
         F.coalesce(F.nullif(F.col("pa.market_id"), F.lit("")), F.col("pb.market_id")).alias("poly_id"), F.col("p_meta.event_id").alias("poly_event_id"), F.col("pa.token_id").alias("poly_token_a"), F.col("pb.token_id").alias("poly_token_b"),
         F.col("k_a.yes_price").alias("kalshi_yes_a"), F.col("pa.yes_price").alias("poly_yes_a"), F.col("k_b.yes_price").alias("kalshi_yes_b"), F.col("pb.yes_price").alias("poly_yes_b"),
-        F.col("k_meta.url").alias("kalshi_url"), F.col("p_meta.url").alias("polymarket_url"), truth("p_meta.live").alias("live"), truth("p_meta.ended").alias("ended"),
+        F.col("k_meta.url").alias("kalshi_url"), F.col("p_meta.url").alias("polymarket_url"), truth("p_meta.live").alias("live"), truth("p_meta.ended").alias("ended"), F.col("k_ord").alias("src_ord"),
     )
 
 

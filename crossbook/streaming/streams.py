@@ -1,8 +1,8 @@
 """Structured Streaming: quotes and books into tick histories, and episodes as a stateful operator.
 
-The tick streams read landed files batch by batch and re-read the match table at the start of each batch, so a new snapshot
-takes effect without a restart; where it can't be read, the last good one is used. A batch is written to folders of its own
-(overwritten on a retry), laid out as other writers of the histories do, so a replay after a failure leaves each tick once.
+The tick streams read landed files batch by batch. A batch takes the snapshot that is current when it is first tried and keeps it when
+it is tried again, so a new snapshot takes effect without a restart and a replay gives the same ticks. Histories know the last batch
+that a stream has added, so a replay after a failure leaves each tick once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ..operators.ladders import quote_executable
 from ..operators.outcomes import split_kalshi_book, split_poly_book
 from ..operators.scoring import quote_matches, score_quotes
 from ..sources.landed import K_QUOTE_SCHEMA, P_QUOTE_SCHEMA, kalshi_quotes, poly_quotes
-from ..sources.sinks import append, arb_rows
+from ..sources.log import Log
+from ..sources.sinks import append, arb_rows, compact, read_snapshot, snapshot_version
 
 _BOOK = "ticker string, token_id string, observed_at string, orderbook_fp struct<no_dollars: array<array<string>>>, orderbook struct<no: array<array<string>>>, asks array<struct<price: string, size: string>>"
 
@@ -43,33 +44,69 @@ class LastGood:
         return self.df
 
 
-def price_tick_stream(spark: SparkSession, landing: str, matches: Callable[[], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Price ticks of landed quotes (landing/*: one JSON object a line, either venue's) into out/price_ticks and out/arb_history."""
+class Pinned:
+    """The match table of a snapshot folder. A batch keeps the version it first saw, also when it is tried again."""
+
+    def __init__(self, spark: SparkSession, base: str, checkpoint: str, keep: int = 100):
+        self.spark, self.base, self.keep = spark, base, keep
+        self.pins = Log(spark, f"{checkpoint.rstrip('/')}/snapshot_pins")
+
+    def at(self, batch: int) -> DataFrame:
+        if self.pins.read(batch) is None:
+            self.pins.create(batch, {"version": snapshot_version(self.spark, self.base)})
+            for old in self.pins.numbers()[: -self.keep]:
+                self.pins.delete(old)
+        return read_snapshot(self.spark, self.base, "matches", self.pins.read(batch)["version"])
+
+
+def _match_table(spark: SparkSession, matches: str | Callable[[], DataFrame], checkpoint: str) -> Callable[[int], DataFrame]:
+    if isinstance(matches, str):
+        return Pinned(spark, matches, checkpoint).at
+    source = LastGood(matches)
+    return lambda number: source.refresh()
+
+
+#: A history is compacted when so many batches have been added to it.
+COMPACT_AFTER = 256
+
+
+def _add(df: DataFrame, path: str, number: int) -> None:
+    append(df, path, "poll", number)
+    if number % 16 == 15:
+        compact(df.sparkSession, path, COMPACT_AFTER)
+
+
+def price_tick_stream(spark: SparkSession, landing: str, matches: str | Callable[[], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Price ticks of landed quotes (landing/*: one JSON object a line, either venue's) into the histories price_ticks and arb_history.
+
+    matches: the folder of the snapshots, of which each batch uses the version that is current when it is first tried; or a function
+    that loads the match table. A batch that is tried again after it was added isn't added twice."""
     schema = f"venue string, {K_QUOTE_SCHEMA}, {P_QUOTE_SCHEMA.replace('observed_at string, ', '').replace(', market struct', ', p_market struct')}"
     raw = spark.readStream.schema(schema).json(landing)
-    source = LastGood(matches)
+    table = _match_table(spark, matches, checkpoint)
 
     def batch(df: DataFrame, number: int) -> None:
         k = kalshi_quotes(df.where("venue = 'k'").select("observed_at", "event", "markets", "market"))
         p = poly_quotes(df.where("venue = 'p'").drop("market").withColumnRenamed("p_market", "market"))
-        ticks = score_quotes(quote_matches(source.refresh(), k, p))
+        ticks = score_quotes(quote_matches(table(number), k, p))
         ticks = ticks.persist()
-        append(ticks, f"{out}/price_ticks", f"poll-{number}")
-        append(arb_rows(ticks, "poll"), f"{out}/arb_history", f"poll-{number}")
+        _add(ticks, f"{out}/price_ticks", number)
+        _add(arb_rows(ticks, "poll"), f"{out}/arb_history", number)
         ticks.unpersist()
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def book_tick_stream(spark: SparkSession, landing: str, matches: Callable[[], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Book ticks of landed order books (one JSON object a line, either venue's) into out/book_ticks; ended matches are left out."""
+def book_tick_stream(spark: SparkSession, landing: str, matches: str | Callable[[], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Book ticks of landed order books (one JSON object a line, either venue's) into the history book_ticks; ended matches are left out.
+    matches: as for price ticks."""
     raw = spark.readStream.schema(_BOOK).json(landing)
-    source = LastGood(matches)
+    table = _match_table(spark, matches, checkpoint)
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.withColumn("observed_at", parse_ts(F.col("observed_at")))
         books = split_kalshi_book(df.where("ticker is not null")).unionByName(split_poly_book(df.where("token_id is not null")))
-        append(quote_executable(source.refresh(), books, "observed_at"), f"{out}/book_ticks", f"poll-{number}")
+        _add(quote_executable(table(number), books, "observed_at"), f"{out}/book_ticks", number)
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
