@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import replays
 from .functions import scalars
 from .functions.names import CFB_ALIASES, NFL_TEAMS
 from .operators import book_stats, episodes, ladders, matching, outcomes, scoring, stats
@@ -384,16 +385,21 @@ def _match_fuzzy(spark, d):
     return m.select("team_a", "team_b", "game_date", "kalshi_id_a", "poly_id")
 
 
+def _book_games(levels: DataFrame) -> DataFrame:
+    """A match of every two ladders; of ten, one is over."""
+    return levels.selectExpr("match_id div 2 AS g").distinct().selectExpr(
+        "'nfl' AS sport", "'pro' AS level", "'d' AS game_date", "CAST(g AS STRING) AS team_a", "'other' AS team_b", "concat('L', g * 2) AS kalshi_id_a", "concat('R', g * 2) AS poly_token_b", "concat('L', g * 2 + 1) AS kalshi_id_b", "concat('R', g * 2 + 1) AS poly_token_a",
+        "0 AS live", "CASE WHEN g % 10 = 9 THEN 1 ELSE 0 END AS ended",
+    )
+
+
 @_query("book_ticks", f"""{_WALK}, r AS (SELECT *, match_id // 2 AS game, match_id % 2 AS dir, row_number() OVER (PARTITION BY match_id // 2 ORDER BY is_exec DESC, edge DESC, match_id % 2) AS n FROM dirs),
   top AS (SELECT match_id // 2 AS game, min(price) FILTER (WHERE side = 'L' AND match_id % 2 = 0) AS ka, min(price) FILTER (WHERE side = 'R' AND match_id % 2 = 1) AS pa, min(price) FILTER (WHERE side = 'L' AND match_id % 2 = 1) AS kb, min(price) FILTER (WHERE side = 'R' AND match_id % 2 = 0) AS pb FROM v_levels GROUP BY 1)
   SELECT CAST(game AS VARCHAR) AS team_a, round(ka + 1e-9, 6) AS kalshi_yes_a, round(pa + 1e-9, 6) AS poly_yes_a, round(kb + 1e-9, 6) AS kalshi_yes_b, round(pb + 1e-9, 6) AS poly_yes_b, is_exec, round(qty + 1e-9, 6) AS exec_qty, round(profit + 1e-9, 6) AS exec_profit,
   CASE WHEN dir = 0 THEN 'Buy ' || game || ' on Kalshi + other on Polymarket' ELSE 'Buy other on Kalshi + ' || game || ' on Polymarket' END AS best_trade FROM r JOIN top USING (game) WHERE n = 1 AND game % 10 <> 9""")
 def _book_ticks(spark, d):
     levels = _levels(spark, d)
-    games = levels.selectExpr("match_id div 2 AS g").distinct().selectExpr(
-        "'nfl' AS sport", "'pro' AS level", "'d' AS game_date", "CAST(g AS STRING) AS team_a", "'other' AS team_b", "concat('L', g * 2) AS kalshi_id_a", "concat('R', g * 2) AS poly_token_b", "concat('L', g * 2 + 1) AS kalshi_id_b", "concat('R', g * 2 + 1) AS poly_token_a",
-        "0 AS live", "CASE WHEN g % 10 = 9 THEN 1 ELSE 0 END AS ended",
-    )
+    games = _book_games(levels)
     books = levels.select(F.concat("side", "match_id").alias("book_id"), "price", "qty")
     return _flat_up(ladders.quote_executable(games, books).select("team_a", "kalshi_yes_a", "poly_yes_a", "kalshi_yes_b", "poly_yes_b", "is_exec", "exec_qty", "exec_profit", "best_trade"))
 
@@ -632,6 +638,30 @@ def _book_report(spark, d):
     return _sizes(jobs.analyze_books(view(spark, d, "v_book_ticks"), GAP))
 
 
+# Through landed files, streams and published tables.
+_STREAMED = _SQL["price_ticks"].replace("FROM s WHERE closed OR priced", "FROM s WHERE (closed OR priced) AND (t = 1 OR k % 2 = 0)").replace("SELECT k, us + t * 3600000000 AS observed_at", "SELECT k, t, us + t * 3600000000 AS observed_at").replace("epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))", "883612800000000 + o_orderkey % 80000 * 1000000")
+
+
+@_query("price_stream", _STREAMED)
+def _price_stream(spark, d):
+    return _flat(replays.price_stream(spark, d, _Q).select("team_a", "team_b", "observed_at", *scoring.PRICES, "closed", "best_cost", "best_edge", "is_arb", "best_trade"))
+
+
+_BOOKS_TWICE = _SQL["book_ticks"].replace("WHERE n = 1 AND game % 10 <> 9", "JOIN (VALUES (1), (2)) AS v(k) ON true WHERE n = 1 AND game % 10 <> 9").replace("round(qty + 1e-9, 6)", "round(k * qty + 1e-9, 6)").replace("round(profit + 1e-9, 6)", "round(k * profit + 1e-9, 6)").replace("SELECT CAST(game AS VARCHAR) AS team_a", "SELECT CAST(game AS VARCHAR) AS team_a, 1735689600000000 + (k - 1) * 86400000000 AS observed_at")
+
+
+@_query("book_stream", _BOOKS_TWICE)
+def _book_stream(spark, d):
+    levels = _levels(spark, d)
+    ticks = replays.book_stream(spark, _book_games(levels), levels)
+    return _flat_up(ticks.select("team_a", F.unix_micros("observed_at").alias("observed_at"), "kalshi_yes_a", "poly_yes_a", "kalshi_yes_b", "poly_yes_b", "is_exec", "exec_qty", "exec_profit", "best_trade"))
+
+
+@_query("episode_stream", f"{_EP} SELECT {_EP_COLUMNS.replace('still_open, ', '')} FROM ep")
+def _episode_stream(spark, d):
+    return _flat(replays.episode_stream(spark, _ticks(spark, d), GAP).drop("still_open"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

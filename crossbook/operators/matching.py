@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,27 +79,29 @@ def pair_candidates_fuzzy(kg: DataFrame, pg: DataFrame, equal: Callable[[Column,
     return found.join(_side(kg, "k").hint("merge"), ["sport", "k_ord"]).join(_side(pg, "p").hint("merge"), ["sport", "p_ord"]).withColumn("delta", _delta())
 
 
+def _free_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of candidates in order, those whose games are both free. Only the numbers of the games that one pair has taken are kept."""
+    group, ks, ps = None, set(), set()
+    for batch in batches:
+        at = batch.schema.get_field_index
+        free = []
+        for g, k, p in zip(*(batch.column(at(c)).to_pylist() for c in ("_group", "k_ord", "p_ord")), strict=True):
+            if g != group:
+                group, ks, ps = g, set(), set()
+            free.append(k not in ks and p not in ps)
+            if free[-1]:
+                ks.add(k)
+                ps.add(p)
+        yield batch.filter(pa.array(free, pa.bool_())).drop_columns(["_group"])
+
+
 def assign_one_to_one(cand: DataFrame) -> DataFrame:
     """Greedy in arrival order within each (sport, pair): every game takes the free partner nearest in date.
 
-    A pair's candidates are cut where the days of two neighbours don't touch, as such games can't take each other's partners; what is
-    left is a few games near in date, so a fold over their sorted list is a small expression. One shuffle serves cut and fold."""
-    by = ("sport", "k_pair")
-    w = Window.partitionBy(*by).orderBy("_lo")
-    df = cand.withColumns({"_lo": F.expr("date_sub(p_game_date, delta)"), "_hi": F.expr("date_add(p_game_date, delta)")})  # holds both games' days
-    df = df.withColumn("_new", F.coalesce(F.col("_lo") > F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)).cast("int"))
-    df = df.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pair = lambda x: F.struct(x["k_ord"].cast("bigint").alias("k"), x["p_ord"].cast("bigint").alias("p"))
-
-    def step(taken: Column, x: Column) -> Column:
-        free = ~F.exists(taken, lambda t: (t["k"] == x["k_ord"]) | (t["p"] == x["p_ord"]))
-        return F.when(free, F.array_append(taken, pair(x))).otherwise(taken)
-
-    row = F.struct("k_ord", "delta", "p_game_date", "p_ord", F.struct(*cand.columns).alias("row"))
-    lists = df.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(row)).alias("list"))
-    lists = lists.withColumn("taken", F.aggregate("list", F.array().cast("array<struct<k: bigint, p: bigint>>"), step))
-    picked = lists.select(F.explode(F.filter("list", lambda x: F.array_contains(F.col("taken"), pair(x)))).alias("x"))
-    return picked.select("x.row.*")
+    Who is free depends on all games before, so a pair is one sequence: its candidates pass in order through one task, in batches and in
+    time linear in their number, and no list of them is made."""
+    ordered = cand.withColumn("_group", F.to_json(F.struct("sport", "k_pair"))).repartition("_group")
+    return ordered.sortWithinPartitions("_group", "k_ord", "delta", "p_game_date", "p_ord").mapInArrow(_free_ones, cand.schema)
 
 
 def assign_in_rounds(cand: DataFrame) -> DataFrame:

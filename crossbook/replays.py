@@ -1,0 +1,114 @@
+"""Registered queries that run through files, streams and published tables: quotes, books and listings made from the star-schema tables
+are landed as JSON, taken in by the engine's own readers, streams and sinks, and read back. Their SQL is computed from the tables."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import episodes
+from .plans.tables import shared_folder
+from .sources import sinks
+from .streaming import streams
+from .views import view
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def land(rows: DataFrame, folder: str, **options) -> None:
+    """Adds rows to a landing folder, a JSON object a line; null fields are left out."""
+    rows.write.mode("append").options(**options).json(folder, compression="gzip")
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def save_matches(matches: DataFrame, base: str) -> None:
+    none = matches.limit(0)
+    sinks.save_snapshot(none.select("sport", "level", F.lit("").alias("exchange"), F.lit("").alias("market_id"), F.lit("").alias("team"), F.lit(0).alias("src_ord")), matches, none, base)
+
+
+def quote_lines(at: DataFrame, q: dict[str, str]) -> DataFrame:
+    """Landed quotes of both venues at the times of at (k, t, observed_at): event payloads of the first venue, wrapped and bare markets of the second."""
+    text = "date_format(observed_at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    status = f"CASE WHEN {q['closed']} THEN 'settled' ELSE 'active' END"
+    market = lambda side, price, state: f"named_struct('ticker', concat('{side}', k), 'yes_ask_dollars', CAST({price} AS STRING), 'status', {state})"
+    both = f"CASE WHEN t = 0 OR k % 3 = 0 THEN array({market('A', q['ka'], status)}, {market('B', q['kb'], chr(39) + 'active' + chr(39))}) ELSE array({market('A', q['ka'], status)}) END"
+    first = at.selectExpr("'k' AS venue", f"{text} AS observed_at", f"CASE WHEN k % 2 = 0 THEN named_struct('markets', {both}) END AS event", f"CASE WHEN k % 2 = 1 THEN {both} END AS markets")
+    outcomes = "concat('[\"b', k, '\", \"a', k, '\"]')"
+    prices = f"concat('[\"', {q['pb']}, '\", \"', {q['pa']}, '\"]')"
+    bare = at.where("k % 2 = 0").selectExpr("'p' AS venue", f"{text} AS observed_at", "concat('P', k) AS id", f"{outcomes} AS outcomes", f"{prices} AS outcomePrices", "'true' AS active")
+    wrapped = at.where("k % 2 = 1").selectExpr("'p' AS venue", f"{text} AS observed_at", f"named_struct('id', concat('P', k), 'outcomes', {outcomes}, 'outcomePrices', {prices}, 'active', 'true') AS p_market")
+    out = first
+    for df in (bare, wrapped):
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def price_stream(spark: SparkSession, d: str, q: dict[str, str]) -> DataFrame:
+    """The history of price ticks of a stream that is stopped after the first batch and started again for the second. The match table is
+    published anew in between: its new version holds the other half of the matches, too."""
+    base = shared_folder(spark, "price-stream")
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "timestamp_seconds(883612800 + o_orderkey % 80000) AS at")  # polls of a day
+    matches = x.selectExpr("'tennis' AS sport", "'atp' AS level", "'d' AS game_date", "concat('a', k) AS team_a", "concat('b', k) AS team_b", "concat('A', k) AS kalshi_id_a", "concat('B', k) AS kalshi_id_b", "concat('P', k) AS poly_id", "0 AS live", "0 AS ended", "k AS src_ord")
+    for t in (0, 1):
+        save_matches(matches.where("src_ord % 2 = 0") if t == 0 else matches, base)
+        land(quote_lines(x.selectExpr("k", f"{t} AS t", f"timestampadd(HOUR, {t}, at) AS observed_at"), q), f"{base}/quotes")
+        streams.price_tick_stream(spark, f"{base}/quotes", base, base, f"{base}/checkpoint").awaitTermination()
+    return sinks.read_history(spark, f"{base}/price_ticks")
+
+
+def book_lines(levels: DataFrame, at: str) -> DataFrame:
+    """Landed order books: NO bids of the first venue, asks of the second. levels: (match_id, side, price, qty)."""
+    first = levels.where("side = 'L'").groupBy("match_id").agg(F.sort_array(F.collect_list(F.array(F.expr("CAST(round(1 - price, 4) AS STRING)"), F.col("qty").cast("string")))).alias("no"))
+    first = first.selectExpr("concat('L', match_id) AS ticker", f"'{at}' AS observed_at", "named_struct('no_dollars', no) AS orderbook_fp")
+    asks = levels.where("side = 'R'").groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(F.col("price").cast("string").alias("price"), F.col("qty").cast("string").alias("size")))).alias("asks"))
+    return first.unionByName(asks.selectExpr("concat('R', match_id) AS token_id", f"'{at}' AS observed_at", "asks"), allowMissingColumns=True)
+
+
+def book_stream(spark: SparkSession, matches: DataFrame, levels: DataFrame) -> DataFrame:
+    """The history of book ticks of a stream over two landings of all books, the second with twice the sizes, started anew for each; the
+    history is compacted between them."""
+    base = shared_folder(spark, "book-stream")
+    save_matches(matches.withColumn("src_ord", F.lit(0)), base)
+    for k in (1, 2):
+        land(book_lines(levels.withColumn("qty", F.col("qty") * k), f"2025-01-0{k}T00:00:00Z"), f"{base}/books")
+        streams.book_tick_stream(spark, f"{base}/books", base, base, f"{base}/checkpoint").awaitTermination()
+        sinks.compact(spark, f"{base}/book_ticks", 1)
+    return sinks.read_history(spark, f"{base}/book_ticks")
+
+
+def episode_stream(spark: SparkSession, ticks: DataFrame, gap: float) -> DataFrame:
+    """Episodes of a stream of all ticks, at all thresholds. Ticks come in batches by a time that is up to two days off, each batch in a
+    run of its own; at last two rows of another match move the watermark past all of them."""
+    base = shared_folder(spark, "episode-stream")
+    ticks = ticks.select("tick_id", "observed_at", *episodes.MATCH_KEY, "level", "best_edge", "best_trade", "closed", "live", "ended")
+    jitter = F.pmod(F.xxhash64("tick_id"), F.lit(172_800))
+    batch = F.floor((F.unix_seconds("observed_at") + jitter) / (12 * 86_400)).cast("long")
+    ticks.withColumn("batch", batch).write.partitionBy("batch").parquet(f"{base}/ticks")
+    cut = spark.read.parquet(f"{base}/ticks")
+    numbers = [r[0] for r in cut.select("batch").distinct().sort("batch").collect()]  # one for each 12 days
+    last = ticks.agg(F.max("observed_at").alias("m")).select(F.expr("stack(2, 0, 1) AS n"), "m")
+    end = last.select(
+        F.lit(None).cast("long").alias("tick_id"), F.expr("m + make_interval(0, 0, 0, 30 * (n + 1))").alias("observed_at"), *[F.lit("-").alias(c) for c in (*episodes.MATCH_KEY, "level")],
+        F.lit(None).cast("double").alias("best_edge"), F.lit("-").alias("best_trade"), F.lit(0).alias("closed"), F.lit(0).alias("live"), F.lit(0).alias("ended"), "n",
+    )
+    lots = [cut.where(F.col("batch") == b).drop("batch") for b in numbers] + [end.where(f"n = {n}").drop("n") for n in (0, 1)]
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKS):
+        for lot in lots:
+            lot.write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(cut.drop("batch").schema).parquet(f"{base}/in")
+            out = streams.stream_episodes(stream, episodes.THRESHOLDS, gap, "3 days")
+            run = out.writeStream.format("parquet").option("path", f"{base}/episodes").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True)
+            run.start().awaitTermination()
+    return spark.read.parquet(f"{base}/episodes")

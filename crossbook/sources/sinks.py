@@ -104,7 +104,8 @@ def _merged(old: dict, df: DataFrame) -> dict:
 
 def append(df: DataFrame, path: str, writer: str | None = None, number: int | None = None) -> None:
     """Adds df to a history as one batch, whole or not at all. A writer numbers its batches; one that it has added before (a replay)
-    isn't added again. Ticks are ordered by time and match within a batch, and after all earlier batches."""
+    isn't added again. Ticks are ordered by time and match within a batch, and after all earlier batches. Each of a batch's days is a
+    folder of files, so one that spans years (a backfill) is better added month by month."""
     spark = df.sparkSession
     log, batch = _history(spark, path), f"b{uuid.uuid4().hex}"
     known = lambda state: writer is not None and state["writers"].get(writer, -1) >= number

@@ -111,7 +111,7 @@ def book_tick_stream(spark: SparkSession, landing: str, matches: str | Callable[
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-EPISODE = "sport string, game_date string, team_a string, team_b string, level string, best_trade string, start timestamp, end timestamp, last_ts timestamp, duration_seconds double, peak_edge double, ticks long, still_open boolean, live int, ended int, status string"
+EPISODE = "sport string, game_date string, team_a string, team_b string, level string, best_trade string, start timestamp, end timestamp, last_ts timestamp, duration_seconds double, peak_edge double, ticks long, still_open boolean, live int, ended int, status string, min_edge double, inclusive boolean"
 _STATE = "has boolean, start timestamp, last_ts timestamp, peak double, trade string, ticks long, level string, live int, ended int, status string, prev timestamp"
 _TICK = "observed_at timestamp, tick_id long, best_edge double, best_trade string, closed int, level string, live int, ended int, status string"
 _names = lambda ddl: [c.split()[0] for c in ddl.split(", ")]
@@ -122,38 +122,41 @@ def _utc(ts):
 
 
 class EpisodeProcessor(StatefulProcessor):
-    """State: rows that the watermark hasn't passed, the open episode, and the time of the last row taken.
+    """State: rows that the watermark hasn't passed, the open episode at each threshold, and the time of the last row taken.
 
     Rows wait until the watermark passes them and are then taken in order of time, whatever batch they came in: later arrivals are
     all newer. One timer, at the earliest row waiting or a gap after the episode's last row, takes what is due where no rows come.
     A match holds the ticks of the watermark's delay, some hundred at one poll in eight seconds."""
 
-    def __init__(self, min_edge: float, inclusive: bool, gap_break: float):
-        self.min_edge, self.inclusive, self.gap = min_edge, inclusive, timedelta(seconds=gap_break)
+    def __init__(self, thresholds, gap_break: float):
+        self.thresholds, self.gap = thresholds, timedelta(seconds=gap_break)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("episode", _STATE)
+        # One value for all thresholds, as each question to the state store is a call to the JVM.
+        fields = [f.split() for f in _STATE.split(", ")]
+        self.state = handle.getValueState("episodes", ", ".join([*[f"{name}{i} {kind}" for i in range(len(self.thresholds)) for name, kind in fields], "wake long"]))
         self.waiting = handle.getListState("waiting", _TICK)
 
-    def _on(self, r: dict) -> bool:
+    def _on(self, r: dict, threshold) -> bool:
         if r["closed"] or r["best_edge"] is None:
             return False
-        return r["best_edge"] >= self.min_edge if self.inclusive else r["best_edge"] > self.min_edge
+        least, inclusive = threshold
+        return r["best_edge"] >= least if inclusive else r["best_edge"] > least
 
-    def _closed(self, key, s: dict, end) -> dict:
+    def _closed(self, key, s: dict, end, threshold) -> dict:
         return dict(zip(MATCH_KEY, key, strict=True)) | {
             "level": s["level"], "best_trade": s["trade"], "start": s["start"], "end": end, "last_ts": s["last_ts"], "duration_seconds": max(0.0, (end - s["start"]).total_seconds()),
-            "peak_edge": s["peak"], "ticks": s["ticks"], "still_open": False, "live": s["live"], "ended": s["ended"], "status": s["status"],
+            "peak_edge": s["peak"], "ticks": s["ticks"], "still_open": False, "live": s["live"], "ended": s["ended"], "status": s["status"], "min_edge": float(threshold[0]), "inclusive": threshold[1],
         }
 
-    def _take(self, key, s: dict, r: dict, out: list[dict]) -> dict:
+    def _take(self, key, s: dict, r: dict, threshold, out: list[dict]) -> dict:
         """The state after row r; an episode that it ends goes to out."""
-        ts, on = r["observed_at"], self._on(r)
+        ts, on = r["observed_at"], self._on(r, threshold)
         gap = ts - s["prev"] if s["prev"] is not None else timedelta(0)
         if s["has"] and (not on or gap > self.gap or r["status"] != s["status"]):
             near = not on and gap <= self.gap and r["status"] == s["status"]
-            out.append(self._closed(key, s, ts if near else s["last_ts"]))
+            out.append(self._closed(key, s, ts if near else s["last_ts"], threshold))
             s = {"has": False}
         if on and not s["has"]:
             s = {"has": True, "start": ts, "last_ts": ts, "peak": r["best_edge"], "trade": r["best_trade"], "ticks": 1} | {c: r[c] for c in ("level", "live", "ended", "status")}
@@ -163,33 +166,41 @@ class EpisodeProcessor(StatefulProcessor):
                 s |= {"peak": r["best_edge"], "trade": r["best_trade"]}
         return s | {"prev": ts}
 
-    def _advance(self, key, rows: list[dict], watermark: int) -> Iterator[pd.DataFrame]:
-        """Takes the rows that the watermark (milliseconds) has passed, keeps the others, and sets the timer."""
+    def _advance(self, key, waiting: list[dict], new: list[dict], watermark: int, fired: int = -1) -> Iterator[pd.DataFrame]:
+        """Takes the rows that the watermark (milliseconds) has passed, keeps the others, and sets the timer. fired: the timer that
+        has gone off, if any."""
+        rows, waited = waiting + new, bool(waiting)
         millis = lambda ts: int(_utc(ts).timestamp() * 1000)
-        s = dict(zip(_names(_STATE), self.state.get(), strict=True)) if self.state.exists() else {"has": False, "prev": None}
         out: list[dict] = []
         rows.sort(key=lambda r: (r["observed_at"], r["tick_id"] is not None, r["tick_id"] or 0))
         due = sum(millis(r["observed_at"]) < watermark for r in rows)
-        for r in rows[:due]:
-            s = self._take(key, s, r, out)
-        rows = rows[due:]
-        # A row to come is newer than the watermark, so it can't extend an episode that ended more than a gap before it.
-        if s["has"] and millis(s["last_ts"] + self.gap) + 1 < watermark and (not rows or rows[0]["observed_at"] - s["last_ts"] > self.gap):
-            out.append(self._closed(key, s, s["last_ts"]))
-            s = {"has": False, "prev": s["prev"]}
-        self.state.update(tuple(s.get(c) for c in _names(_STATE)))
+        taken, rows = rows[:due], rows[due:]
+        wake = [millis(rows[0]["observed_at"]) + 1] if rows else []
+        width, kept = len(_names(_STATE)), []
+        old = self.state.get()
+        for i, threshold in enumerate(self.thresholds):
+            s = dict(zip(_names(_STATE), old[i * width : (i + 1) * width], strict=True)) if old else {"has": False, "prev": None}
+            for r in taken:
+                s = self._take(key, s, r, threshold, out)
+            # A row to come is newer than the watermark, so it can't extend an episode that ended more than a gap before it.
+            if s["has"] and millis(s["last_ts"] + self.gap) + 1 < watermark and (not rows or rows[0]["observed_at"] - s["last_ts"] > self.gap):
+                out.append(self._closed(key, s, s["last_ts"], threshold))
+                s = {"has": False, "prev": s["prev"]}
+            kept += [s.get(c) for c in _names(_STATE)]
+            if s["has"]:
+                wake.append(millis(s["last_ts"] + self.gap) + 2)
         if rows:
             self.waiting.put([tuple(r[c] for c in _names(_TICK)) for r in rows])
-        else:
+        elif waited:
             self.waiting.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        wake = [millis(rows[0]["observed_at"]) + 1] if rows else []
-        if s["has"]:
-            wake.append(millis(s["last_ts"] + self.gap) + 2)
-        if wake:
-            self.handle.registerTimer(max(min(wake), watermark + 1))
-        yield _frame(out)
+        wake = max(min(wake), watermark + 1) if wake else None
+        if old and old[-1] is not None and old[-1] != wake and old[-1] > fired:
+            self.handle.deleteTimer(old[-1])
+        if wake is not None and (not old or old[-1] != wake or old[-1] <= fired):
+            self.handle.registerTimer(wake)
+        self.state.update((*kept, wake))
+        if out:
+            yield _frame(out)
 
     def _waiting(self) -> list[dict]:
         return [dict(zip(_names(_TICK), r, strict=True)) for r in self.waiting.get()]
@@ -201,10 +212,10 @@ class EpisodeProcessor(StatefulProcessor):
             for r in df[_names(_TICK)].itertuples(index=False):
                 whole = {c: _int(getattr(r, c)) for c in ("closed", "live", "ended", "tick_id")}
                 new.append({c: null(v) for c, v in r._asdict().items()} | whole | {"observed_at": r.observed_at.to_pydatetime(), "best_edge": None if pd.isna(r.best_edge) else float(r.best_edge)})
-        yield from self._advance(key, self._waiting() + new, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, self._waiting(), new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, self._waiting(), timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, self._waiting(), [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -220,9 +231,9 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return df.astype(kinds) if rows else df.astype({k: v for k, v in kinds.items()})
 
 
-def stream_episodes(ticks: DataFrame, min_edge: float = 0.0, inclusive: bool = False, gap_break: float = GAP_BREAK, delay: str = "15 minutes") -> DataFrame:
-    """Closed episodes of a stream of price ticks, the same whatever order ticks come in within the watermark's delay. Rows later than
-    that are dropped; find_episodes over the stored ticks stays the reference result. Needs the RocksDB state store."""
+def stream_episodes(ticks: DataFrame, thresholds=((0.0, False),), gap_break: float = GAP_BREAK, delay: str = "15 minutes") -> DataFrame:
+    """Closed episodes of a stream of price ticks at each threshold (least edge, whether it is enough itself), the same whatever order
+    ticks come in within the watermark's delay. Rows later than that are dropped; find_episodes over the stored ticks stays the
+    reference result. Needs the RocksDB state store."""
     df = ticks.withColumn("status", game_status(F.col("live"), F.col("ended"))).withWatermark("observed_at", delay)
-    return df.groupBy(*MATCH_KEY).transformWithStateInPandas(statefulProcessor=EpisodeProcessor(min_edge, inclusive, gap_break), outputStructType=EPISODE, outputMode="Append", timeMode="EventTime")
-
+    return df.groupBy(*MATCH_KEY).transformWithStateInPandas(statefulProcessor=EpisodeProcessor(thresholds, gap_break), outputStructType=EPISODE, outputMode="Append", timeMode="EventTime")
