@@ -3,10 +3,11 @@
 Lines are normalised (lower-cased words of letters and digits), hashed, and counted once a document for each host; counts
 are combined in each chunk before they are shuffled. A line in more than MIN_DOCS documents of its host, however large that
 is, is boilerplate: it is removed from every document but the first that has it, so a text that many documents repeat
-survives once. (Callers may ask for a share of the host's documents besides.) A document is rejected if the base rules fail, or if removal
+survives once. The first is the one of the smallest doc_id, null coming last, and of documents with one id that of the smallest hash of
+its text; rows that repeat it with id and text are the same document, though each counts. (Callers may ask for a share of the host's documents besides.) A document is rejected if the base rules fail, or if removal
 leaves it depleted: fewer than MIN_WORDS words, or less than MIN_LEFT of its words.
 
-Null and empty texts have no words and fail the base rules. A null host is a host of its own. Rows with the same doc_id are
+Null and empty texts have no words and fail the base rules. A null host and '' are one host. Rows with the same doc_id are
 judged separately. An empty table gives an empty result. Other columns are carried through by `filtered`.
 """
 
@@ -25,8 +26,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 25
 MIN_LEFT = 0.3
-#: Stands for a null doc_id, below all ids in use.
-NO_ID = -(1 << 63)
+#: Stands for a null doc_id, above all ids in use.
+NO_ID = (1 << 63) - 1
 #: Boilerplate lines that may be broadcast (16 bytes each); beyond, only the tenth of so many that most documents have is
 #: broadcast, and the others, each in few documents then, are joined to the lines of the documents.
 BROADCAST_LINES = 1_000_000
@@ -50,11 +51,11 @@ def _norm_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Rows (host, line, docs, first_doc): distinct documents of each host's normalised lines, and the smallest of them."""
+    """Rows (host, line, docs, first_doc, first_tag): documents of each host's normalised lines, and the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             hosts = batch.column(1).dictionary_encode()
             code = hosts.indices.to_numpy(zero_copy_only=False)
             for row, _, data, offsets in textkit.chunks(batch, "text"):
@@ -64,19 +65,25 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
                 key = textkit.mix(line ^ textkit.mix(doc.astype(np.uint64) + np.uint64(1)))
                 once = np.unique(key, return_index=True)[1]
                 doc, line = doc[once], line[once]
-                c, d = code[row + doc], ids[row + doc]
-                order = np.lexsort((d, line, c))
-                c, d, line = c[order], d[order], line[order]
+                c, d, g = code[row + doc], ids[row + doc], tags[row + doc]
+                order = np.lexsort((g, d, line, c))
+                c, d, g, line = c[order], d[order], g[order], line[order]
                 cut = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (c[1:] != c[:-1]))))
                 n = np.diff(np.append(cut, len(line)))
-                yield pa.RecordBatch.from_arrays([hosts.dictionary.take(pa.array(c[cut])), pa.array(line[cut].view(np.int64)), pa.array(n), pa.array(d[cut])], names=["host", "line", "docs", "first_doc"])
+                yield pa.RecordBatch.from_arrays([hosts.dictionary.take(pa.array(c[cut])), pa.array(line[cut].view(np.int64)), pa.array(n), pa.array(d[cut]), pa.array(g[cut])], names=["host", "line", "docs", "first_doc", "first_tag"])
 
-    rows = lake.map_arrow(lake.text_bytes(docs, "doc_id", F.coalesce(F.col(host), F.lit("")).alias("host")), run, "host string, line long, docs long, first_doc long")
-    return rows.groupBy("host", "line").agg(F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"))
+    texts = lake.text_bytes(docs, _name()[0], F.coalesce(F.col(host), F.lit("")).alias("host"), _name()[1])
+    rows = lake.map_arrow(texts, run, "host string, line long, docs long, first_doc long, first_tag long")
+    return rows.groupBy("host", "line").agg(F.sum("docs").alias("docs"), F.min(F.struct("first_doc", "first_tag")).alias("f")).select("host", "line", "docs", "f.*")
+
+
+def _name() -> tuple:
+    """A document's id (null: NO_ID) and a hash of its text."""
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_id"), F.xxhash64(F.col("text")).alias("_tag")
 
 
 def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float | None = None) -> DataFrame:
-    """Rows (host, line, docs, first_doc) of lines above the limit of their host."""
+    """Rows (host, line, docs, first_doc, first_tag) of lines above the limit of their host."""
     often = line_counts(docs, host).where(F.col("docs") > min_docs)
     if share is None:
         return often
@@ -91,7 +98,7 @@ def _text_key(docs: DataFrame, host: str) -> list:
 
 
 def _lines_of(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
-    """Rows (_k1, _k2, _often): of lines (host, line, first_doc), those that go from each text."""
+    """Rows (_k1, _k2, _often): of lines (host, line, first_doc, first_tag), those that go from each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +107,11 @@ def _lines_of(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
                 key = textkit.mix(line ^ textkit.mix(doc.astype(np.uint64) + np.uint64(1)))
                 once = np.unique(key, return_index=True)[1]
                 at = pa.array(row + doc[once])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array(line[once].view(np.int64))], names=["_k1", "_k2", "doc", "host", "line"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), pa.array(line[once].view(np.int64))], names=["_k1", "_k2", "_id", "_tag", "host", "line"])
 
-    texts = lake.text_bytes(docs, *_text_key(docs, host), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc"), F.coalesce(F.col(host), F.lit("")).alias("host"))
-    rows = lake.map_arrow(texts, run, "_k1 long, _k2 long, doc long, host string, line long")
-    hit = rows.join(lines.hint("merge"), ["host", "line"]).where("doc <> first_doc")
+    texts = lake.text_bytes(docs, *_text_key(docs, host), *_name(), F.coalesce(F.col(host), F.lit("")).alias("host"))
+    rows = lake.map_arrow(texts, run, "_k1 long, _k2 long, _id long, _tag long, host string, line long")
+    hit = rows.join(lines.hint("merge"), ["host", "line"]).where("_id <> first_doc or _tag <> first_tag")
     return hit.groupBy("_k1", "_k2").agg(F.collect_set("line").alias("_often"))
 
 
@@ -151,23 +158,24 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     small = often.count() <= BROADCAST_LINES
     named = F.coalesce(F.col(host), F.lit("")).alias("_host")
     keys = [] if small else _text_key(docs, host)
-    df = lake.packed(docs, "doc_id", named, *keys) if keep_text else lake.text_bytes(docs, "doc_id", named, *keys).withColumnRenamed("text", "_raw")
+    columns = (named, *_name(), *keys)
+    df = lake.packed(docs, "doc_id", *columns) if keep_text else lake.text_bytes(docs, "doc_id", *columns).withColumnRenamed("text", "_raw")
     carry = ["doc_id", "row"] if keep_text else ["doc_id"]
     hot = often
     if not small:
         hot = lake.written(often.orderBy(F.desc("docs"), "line", "host").limit(max(BROADCAST_LINES // 10, 0)), "hot")
         rest = lake.written(_lines_of(docs, host, often.drop("docs").join(hot.select("host", "line").hint("merge"), ["host", "line"], "left_anti")), "often")
         df = df.join(rest.hint("merge"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    lines: dict[str, dict[int, int]] = {}
+    lines: dict[str, dict[int, tuple[int, int]]] = {}
     for r in hot.toLocalIterator():
-        lines.setdefault(r.host, {})[r.line] = r.first_doc
+        lines.setdefault(r.host, {})[r.line] = r.first_doc, r.first_tag
     table = spark.sparkContext.broadcast({h: _sorted(x) for h, x in lines.items()})  # at most BROADCAST_LINES lines
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            ids = col["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids, tags = (col[c].to_numpy(zero_copy_only=False) for c in ("_id", "_tag"))
             out = {c: np.zeros(batch.num_rows, dtype=np.int64) for c in made}
             clean: list = [None] * batch.num_rows
             hosts = col["_host"].dictionary_encode()
@@ -181,7 +189,7 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
                 for k in np.unique(code[row:end]):
                     if by_host[k] is not None:
                         at = np.flatnonzero(code[row + doc] == k)
-                        gone[at] = _is_often(by_host[k], line[at], ids[row + doc[at]])
+                        gone[at] = _is_often(by_host[k], line[at], ids[row + doc[at]], tags[row + doc[at]])
                 if not small:
                     ends_at = np.searchsorted(doc, np.arange(end - row + 1))
                     for r in range(row, end):
@@ -206,15 +214,15 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
     return lake.map_arrow(df, run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def _sorted(lines: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.array(sorted(lines), dtype=np.int64)
-    return keys, np.array([lines[k] for k in keys.tolist()], dtype=np.int64)
+def _sorted(lines: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = sorted(lines)
+    return np.array(keys, dtype=np.int64), np.array([lines[k] for k in keys], dtype=np.int64).T
 
 
-def _is_often(table: tuple[np.ndarray, np.ndarray], line: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    keys, first = table
+def _is_often(table: tuple[np.ndarray, np.ndarray], line: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    keys, (first, tag) = table
     at = np.minimum(np.searchsorted(keys, line.view(np.int64)), len(keys) - 1)
-    return (keys[at] == line.view(np.int64)) & (ids != first[at])
+    return (keys[at] == line.view(np.int64)) & ((ids != first[at]) | (tags != tag[at]))
 
 
 def _without(data: np.ndarray, lo: int, hi: int, spans: list[tuple[int, int]]) -> str:

@@ -75,5 +75,17 @@ def test_limit_does_not_rise_with_the_host(make, monkeypatch, size, bound):
     assert len(clean) == len(rows) and sum("banner" in t for t in clean.values()) == 1 + 25
 
 
+@pytest.mark.parametrize("bound", [10**6, -1])
+def test_one_row_is_spared_whatever_the_ids(make, monkeypatch, bound):
+    """40 documents without an id, 40 under one id and 40 with ids of their own: of each host one keeps the banner, the one with an id first."""
+    monkeypatch.setattr(quality, "BROADCAST_LINES", bound)
+    text = lambda h, i: " ".join(f"{h}{i}x{k}" for k in range(60)) + "\nthe banner of all"
+    rows = [(None, text("n", i), "nulls") for i in range(40)] + [(7, text("s", i), "same") for i in range(40)] + [(i, text("o", i), "own") for i in range(40)]
+    rows += [(None, text("m", i), "mixed") for i in range(40)] + [(5, text("m", 99), "mixed")] + [(9, text("e", 0), "equal")] * 30
+    out = quality.filtered(make(rows)).collect()
+    left = Counter((r.source, r.doc_id) for r in out if "banner" in r.text)
+    assert len(out) == len(rows) and left == {("nulls", None): 1, ("same", 7): 1, ("own", 0): 1, ("mixed", 5): 1, ("equal", 9): 30}
+
+
 def test_empty(make):
     assert quality.judged(make([])).count() == 0
