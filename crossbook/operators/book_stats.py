@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import SPORT_ORDER
 from ..functions.scalars import game_status, truthy
+from ..plans.tables import written
 from .episodes import GAP_BREAK, MATCH_KEY, THRESHOLDS, find_episodes, qualifies, with_thresholds
-from .stats import duration_aggs, n_matches, ranked
+from .medians import duration_figures, with_median
+from .stats import n_matches, ranked
 
 #: Label, least profit, profit from which the next begins. Fixed values.
 PROFIT_BUCKETS = (("under $1", None, 1.0), ("$1-$10", 1.0, 10.0), ("$10-$100", 10.0, 100.0), ("$100+", 100.0, None))
@@ -59,17 +61,21 @@ def profit_buckets(snaps: DataFrame, *by: str) -> DataFrame:
 
 
 def snapshot_summary(snaps: DataFrame, *by: str) -> DataFrame:
-    return snaps.groupBy(*by).agg(
+    snaps = written(snaps, "snapshots")
+    figures = snaps.groupBy(*by).agg(
         F.count("*").alias("matches"), F.coalesce(F.sum("peak_profit"), F.lit(0.0)).alias("gross_profit"), F.coalesce(F.sum("peak_qty"), F.lit(0.0)).alias("gross_qty"),
-        F.percentile("peak_profit", 0.5).alias("median_profit"), F.percentile("peak_qty", 0.5).alias("median_qty"), F.max("peak_profit").alias("max_profit"), F.coalesce(F.sum("exec_ticks"), F.lit(0)).alias("exec_ticks"),
+        F.max("peak_profit").alias("max_profit"), F.coalesce(F.sum("exec_ticks"), F.lit(0)).alias("exec_ticks"),
     )
+    for value, name in (("peak_profit", "median_profit"), ("peak_qty", "median_qty")):
+        figures = with_median(figures, snaps, list(by), value, name)
+    return figures.select(*by, "matches", "gross_profit", "gross_qty", "median_profit", "median_qty", "max_profit", "exec_ticks")
 
 
 def edge_blocks(book_ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float = GAP_BREAK, slices: bool = False) -> DataFrame:
     """Per threshold (and slice): snapshot summary, executable ticks, and episode durations. Thresholds without any show zeros."""
     by = (["slice"] if slices else []) + _T
     snaps = snapshot_summary(best_snapshots(book_ticks, thresholds, *by[: len(by) - 2]), *by)
-    episodes = find_episodes(as_price_ticks(book_ticks), thresholds, gap_break, slices).groupBy(*by).agg(*duration_aggs())
+    episodes = duration_figures(find_episodes(as_price_ticks(book_ticks), thresholds, gap_break, slices), by)
     groups = with_thresholds(book_ticks.select("slice").distinct() if slices else book_ticks.sparkSession.range(1).select(), thresholds)
     zero = lambda c, z=0: F.coalesce(F.col(c), F.lit(z)).alias(c)
     return groups.join(snaps.hint("merge"), by, "left").join(episodes.hint("merge"), by, "left").select(

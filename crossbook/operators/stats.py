@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import SPORT_ORDER, STATUS_ORDER, TENNIS_LEVELS
 from ..functions.scalars import game_status, truthy
 from .episodes import GAP_BREAK, MATCH_KEY, largest_first, seconds
+from .medians import duration_figures, median_of_all
 
 _NULL_KEYS = {"sport": "string", "level": "string"}
 
@@ -45,25 +46,22 @@ def poll_gaps(ticks: DataFrame) -> DataFrame:
 
 def typical_poll_seconds(ticks: DataFrame, cutoff: float = 60.0, default: float = 8.0) -> DataFrame:
     """One row (typical_poll_seconds): median of the gaps under the cutoff."""
-    return poll_gaps(ticks).agg(F.coalesce(F.percentile(F.when(F.col("gap") < cutoff, F.col("gap")), 0.5), F.lit(default)).alias("typical_poll_seconds"))
+    return median_of_all(poll_gaps(ticks).where(F.col("gap") < cutoff), "gap", default).select(F.col("median").alias("typical_poll_seconds"))
 
 
 def window_stats(ticks: DataFrame, gap_break: float = GAP_BREAK) -> DataFrame:
     """One row on the whole series."""
     one = ticks.agg(F.count("*").alias("ticks"), n_matches().alias("quoted_matches"), F.min("observed_at").alias("window_start"), F.max("observed_at").alias("window_end"), F.count_distinct("observed_at").alias("poll_cycles"))
-    gaps = poll_gaps(ticks).agg(F.max("gap").alias("max_poll_gap"), F.coalesce(F.percentile(F.when(F.col("gap") < 60, F.col("gap")), 0.5), F.lit(8.0)).alias("typical"))
-    both = one.withColumn("k", F.lit(1)).join(F.broadcast(gaps.withColumn("k", F.lit(1))), "k").drop("k")  # one row each
+    gaps = poll_gaps(ticks)
+    both = one.withColumn("k", F.lit(1))
+    for x in (gaps.agg(F.max("gap").alias("max_poll_gap")), median_of_all(gaps.where("gap < 60"), "gap", 8.0).withColumnRenamed("median", "typical")):
+        both = both.join(F.broadcast(x.withColumn("k", F.lit(1))), "k")  # one row each
     some = F.col("ticks") > 0
     return both.select("ticks", "quoted_matches", "window_start", "window_end", "poll_cycles", F.when(some, F.col("typical")).alias("typical_poll_seconds"), F.when(some, F.lit(gap_break)).alias("gap_break_seconds"), "max_poll_gap")
 
 
-def duration_aggs() -> list[Column]:
-    d = "duration_seconds"
-    return [F.count(d).alias("n"), F.count_if("still_open").alias("open_n"), F.avg(d).alias("mean"), F.percentile(d, 0.5).alias("median"), F.min(d).alias("min"), F.max(d).alias("max")]
-
-
 def duration_stats(episodes: DataFrame, *by: str) -> DataFrame:
-    return episodes.groupBy(*by).agg(*duration_aggs())
+    return duration_figures(episodes, list(by))
 
 
 def match_rollups(episodes: DataFrame, *by: str) -> DataFrame:
@@ -119,17 +117,18 @@ def ranked(c: Column, order: tuple[str, ...]) -> Column:
 def status_breakdown(ticks: DataFrame, episodes: DataFrame) -> DataFrame:
     """Per game status; episodes are those over 0."""
     t = ticks.withColumn("status", game_status(F.col("live"), F.col("ended"))).groupBy("status").agg(*_tick_aggs()).alias("t")
-    e = episodes.groupBy("status").agg(*duration_aggs()).alias("e")
+    e = duration_figures(episodes, ["status"]).alias("e")
     return _joined(t, e, ["status"]).withColumn("rank", ranked(F.col("status"), STATUS_ORDER))
 
 
-def _by_sport(df: DataFrame, aggs: list[Column]) -> DataFrame:
-    df = df.where(truthy(F.col("sport")).isNotNull()).withColumn("tour", F.when(F.col("sport") == "tennis", truthy(F.col("level"))))
-    sets = df.groupingSets([[F.col("sport")], [F.col("sport"), F.col("tour")]], "sport", "tour").agg(F.grouping_id().alias("gid"), *aggs)
-    return sets.where("gid = 1 or tour is not null").drop("gid")
+def _with_tours(df: DataFrame) -> DataFrame:
+    """Rows of a sport once for it (tour null), and once more for their tour in tennis."""
+    tour = F.when(F.col("sport") == "tennis", truthy(F.col("level")))
+    both = F.array_distinct(F.array(F.lit(None).cast("string"), tour))
+    return df.where(truthy(F.col("sport")).isNotNull()).withColumn("tour", F.explode(both))
 
 
 def sport_breakdown(ticks: DataFrame, episodes: DataFrame) -> DataFrame:
     """Per sport (tour null), and per tour for tennis."""
-    df = _joined(_by_sport(ticks, _tick_aggs()).alias("t"), _by_sport(episodes, duration_aggs()).alias("e"), ["sport", "tour"])
+    df = _joined(_with_tours(ticks).groupBy("sport", "tour").agg(*_tick_aggs()).alias("t"), duration_figures(_with_tours(episodes), ["sport", "tour"]).alias("e"), ["sport", "tour"])
     return df.where("ticks > 0").withColumns({"sport_rank": ranked(F.col("sport"), SPORT_ORDER), "tour_rank": F.when(F.col("tour").isNotNull(), ranked(F.col("tour"), TENNIS_LEVELS)).otherwise(-1)})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fmt_cents, fmt_duration, game_label, game_status, name_keys, names_equal
 from ..operators import book_stats, episodes, ladders, matching, outcomes, scoring, stats
 from ..sources import landed, sinks
+from .tables import written
 
 #: sport -> series and their levels. Fixed values.
 SERIES = {
@@ -102,7 +103,7 @@ def landed_books(spark: SparkSession, landing: str) -> DataFrame:
 
 def analyze_prices(ticks: DataFrame, gap_break: float = episodes.GAP_BREAK) -> dict[str, DataFrame]:
     """The price report, a DataFrame a section."""
-    eps = episodes.find_episodes(ticks, gap_break=gap_break)
+    eps = written(episodes.find_episodes(ticks, gap_break=gap_break), "episodes")  # all sections read it
     over0 = eps.where("not inclusive")
     rollups = stats.match_rollups(over0)
     label = game_label(*(F.col(c) for c in ("sport", "level", "game_date", "team_a", "team_b")))
@@ -116,7 +117,7 @@ def analyze_prices(ticks: DataFrame, gap_break: float = episodes.GAP_BREAK) -> d
 
 def analyze_books(book_ticks: DataFrame, gap_break: float = episodes.GAP_BREAK) -> dict[str, DataFrame]:
     """The book report, a DataFrame a section."""
-    snaps = book_stats.best_snapshots(book_ticks)
+    snaps = written(book_stats.best_snapshots(book_ticks), "snapshots")
     return {
         "window": stats.window_stats(book_ticks, gap_break), "snapshots": snaps, "largest": book_stats.largest_snapshots(snaps.where("not inclusive")), "buckets": book_stats.profit_buckets(snaps, "min_edge", "inclusive"),
         "blocks": book_stats.edge_blocks(book_ticks, gap_break=gap_break), "slices": book_stats.slice_stats(book_ticks, gap_break=gap_break),
