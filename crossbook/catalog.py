@@ -501,14 +501,18 @@ _K_LISTED = f"""WITH x AS ({_KEYED}), y AS (SELECT *, 'KXNFLGAME-' || upper(strf
     'https://kalshi.com/markets/kxnflgame/' || lower(ev) AS url, (k % 5) * 100000000 + (k // 5) * 10000 + pos AS src_ord, 0 AS live, 0 AS ended, 'nfl' AS sport, 'pro' AS level FROM m)"""
 
 
-def _kalshi_listings(spark: SparkSession, d: str) -> DataFrame:
+def _kalshi_event_texts(spark: SparkSession, d: str) -> DataFrame:
     x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day", "upper(date_format(CAST(o_orderdate AS DATE), 'yyMMMdd')) AS code")
     x = x.selectExpr("*", f"concat('KXNFLGAME-', code, {_of_pair(0)}, {_of_pair(3)}) AS ev")
     market = """concat('{{"ticker": "', ev, '-', {code}, '", "yes_sub_title": "', {sub}, '", "yes_ask_dollars": "', {price}, '", "last_price_dollars": "0.5", "volume_fp": "', k % 100, '", "close_time": "', day, 'T15:00:00-05:00"}}')"""
     price = "CAST((10 + c % 80) / 100 AS STRING)"
     markets = [market.format(code=_of_pair(0), sub=_of_pair(1), price=f"CASE WHEN k % 3 = 0 THEN '' ELSE {price} END"), market.format(code=_of_pair(3), sub=_of_pair(4), price=price), market.format(code="'QQ'", sub="'nobody'", price=price)]
     event = f"""concat('{{"event_ticker": "', ev, '", "title": "', CASE WHEN k % 2 = 0 THEN '' ELSE concat('game ', k) END, '", "markets": [', {", ', ', ".join(markets)}, ']}}')"""
-    events = x.selectExpr("k % 5 AS page", "k div 5 AS event_pos", f"{event} AS value").select("page", "event_pos", F.from_json("value", landed.K_EVENT).alias("e")).select("page", "event_pos", "e.*")
+    return x.selectExpr("k % 5 AS page", "k div 5 AS event_pos", f"{event} AS value")
+
+
+def _kalshi_listings(spark: SparkSession, d: str) -> DataFrame:
+    events = _kalshi_event_texts(spark, d).select("page", "event_pos", F.from_json("value", landed.K_EVENT).alias("e")).select("page", "event_pos", "e.*")
     return outcomes.kalshi_outcomes(events, "nfl", "pro", "KXNFLGAME")
 
 
@@ -520,7 +524,7 @@ _P_LISTED = f"""px AS ({_KEYED}), py AS (SELECT *, {_P_SLUG} AS slug FROM px WHE
     'https://polymarket.com/event/' || slug AS url, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS live, CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS ended, 'pro' AS level, (k % 5) * 100000000 + (k // 5) * 10000 + pos AS src_ord, 'nfl' AS sport FROM pm)"""
 
 
-def _poly_listings(spark: SparkSession, d: str) -> DataFrame:
+def _poly_event_texts(spark: SparkSession, d: str) -> DataFrame:
     """Events without a game's slug (k % 11 = 0), of another sport (k % 7 = 0) or without an open moneyline (c % 13 = 0) have no rows."""
     x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day").selectExpr("*", f"{_P_SLUG} AS slug")
     outs = f"""concat('[\\\\"', {_of_pair(1)}, CASE WHEN k % 3 = 0 THEN concat('\\\\", \\\\"', {_of_pair(0)}) ELSE '' END, '\\\\", \\\\"', {_of_pair(4)}, '\\\\"]')"""
@@ -529,7 +533,11 @@ def _poly_listings(spark: SparkSession, d: str) -> DataFrame:
     lines = [line.format(id=i, kind=kind, closed=closed, outs=outs, prices=prices) for i, kind, closed in (("concat('S', k)", "'spreads'", "'false'"), ("concat('C', k)", "'moneyline'", "'true'"), ("concat('M', k)", "'moneyline'", "CASE WHEN c % 13 = 0 THEN 'true' ELSE 'false' END"))]
     event = f"""concat('{{"id": "', slug, '", "slug": "', CASE WHEN k % 11 = 0 THEN 'nfl-season-winner' ELSE slug END, '", "title": "on ', day, '", "sport": ', CASE WHEN k % 7 = 0 THEN '"nba"' WHEN k % 2 = 0 THEN '"nfl"' ELSE '{{"sport": "nfl"}}' END,
       ', "teams": [], "live": ', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, ', "ended": ', CASE WHEN k % 4 = 1 THEN '"1"' ELSE 'null' END, ', "markets": [', {", ', ', ".join(lines)}, ']}}')"""
-    events = x.selectExpr("k % 5 AS page", "k div 5 AS event_pos", f"{event} AS value").select("page", "event_pos", F.from_json("value", landed.P_EVENT).alias("e")).select("page", "event_pos", "e.*")
+    return x.selectExpr("k % 5 AS page", "k div 5 AS event_pos", f"{event} AS value")
+
+
+def _poly_listings(spark: SparkSession, d: str) -> DataFrame:
+    events = _poly_event_texts(spark, d).select("page", "event_pos", F.from_json("value", landed.P_EVENT).alias("e")).select("page", "event_pos", "e.*")
     return outcomes.poly_outcomes(events, "nfl")
 
 
@@ -662,6 +670,39 @@ def _episode_stream(spark, d):
     return _flat(replays.episode_stream(spark, _ticks(spark, d), GAP).drop("still_open"))
 
 
+_PAGED = lambda sql: sql.replace("(k % 5) * 100000000 + (k // 5) * 10000", f"((k % 5) * 1000000 + k // 5 // {replays.PAGE}) * 100000000 + k // 5 % {replays.PAGE} * 10000")
+_DISCOVERED = f"""{_PAGED(_K_LISTED)}, {_PAGED(_P_LISTED)}, v_listings AS (SELECT 'K' AS venue, src_ord, team, opponent, CAST(game_date AS DATE) AS game_date, yes_price, market_id FROM kl UNION ALL SELECT 'P', src_ord, team, opponent, CAST(game_date AS DATE), yes_price, market_id FROM pl)"""
+
+
+@_query("discovered_arbs", f"{_SCORED} SELECT * FROM sc".replace(f"WITH {cte('v_listings')}", _DISCOVERED).replace(f"<= {WEEK})", f"<= {matching.DAYS})"))
+def _discovered_arbs(spark, d):
+    from .sources.sinks import read_snapshot
+
+    base = replays.discovered(spark, _kalshi_event_texts(spark, d), _poly_event_texts(spark, d))
+    return _flat(read_snapshot(spark, base, "arbs").select(*_SCORE_COLUMNS))
+
+
+@_query("discovered_markets", f"{_PAGED(_K_LISTED)}, {_PAGED(_P_LISTED)} SELECT *, NULL AS token_id FROM kl UNION ALL BY NAME SELECT * FROM pl")
+def _discovered_markets(spark, d):
+    from .sources.sinks import read_snapshot
+
+    base = replays.discovered(spark, _kalshi_event_texts(spark, d), _poly_event_texts(spark, d))
+    return _flat(read_snapshot(spark, base, "markets"))
+
+
+@_query("scanned_books", f"{_OPEN} SELECT {_OPEN_SQL.replace('round(qty', 'round(v.x * qty').replace('round(profit', 'round(v.x * profit')}, 1735689600000000 + (v.x - 1) * 86400000000 AS observed_at FROM od JOIN (VALUES (1), (2)) AS v(x) ON true")
+def _scanned_books(spark, d):
+    levels = _levels(spark, d)
+    out = replays.scanned(spark, _open_games(levels), levels)
+    return _flat_up(out.select(*_OPEN_COLUMNS, F.unix_micros("observed_at").alias("observed_at")))
+
+
+@_query("published_ticks", f"WITH {cte('v_ticks')}, n AS (SELECT *, row_number() OVER (ORDER BY tick_id % 3, observed_at, {KEY}) - 1 AS arrival FROM v_ticks) SELECT arrival AS tick_id, {KEY}, epoch_us(observed_at) AS observed_at, round(best_edge, 6) AS best_edge, live, best_trade FROM n WHERE is_arb = 1 AND CAST(observed_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'".replace("THEN NULL WHEN extract(day FROM ts) BETWEEN 11", "THEN 0 WHEN extract(day FROM ts) BETWEEN 11"))
+def _published_ticks(spark, d):
+    sql = f"SELECT tick_id, {KEY}, observed_at, best_edge, live, best_trade FROM price_ticks WHERE is_arb = 1 AND obs_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
+    return _flat(replays.published(spark, _ticks(spark, d), sql))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -40,10 +40,10 @@ def discover(spark: SparkSession, landing: str, out: str | None = None, sports:
     """markets, matches and arbs of the landed listings; with out, saved as the snapshot and appended to the history."""
     markets, matches = [], []
     for sport in sports:
-        k, p = sport_listings(spark, landing, sport)
+        k, p = (written(df, "listings") for df in sport_listings(spark, landing, sport))  # parsed once
         markets += [k, p]
         matches.append(matching.match_markets(with_game_date(k), with_game_date(p), *((names_equal, matching.DAYS, name_keys) if sport == "tennis" else ())))
-    made = {"markets": union(markets), "matches": union(matches)}
+    made = {"markets": union(markets), "matches": written(union(matches), "matches")}
     made["arbs"] = scoring.score_arbs(made["matches"])
     if out:
         sinks.save_snapshot(made["markets"], made["matches"], made["arbs"], out)
@@ -91,14 +91,14 @@ def ordered_matches(matches: DataFrame, n: int = 8) -> DataFrame:
     return matches.orderBy("game_date", "team_a", "team_b", "sport").limit(n)
 
 
-def scan_executable(spark: SparkSession, matches: DataFrame, landing: str) -> DataFrame:
-    """Both directions of every open match over the landed books."""
-    return ladders.executable_directions(matches, landed_books(spark, landing), "observed_at")
+def scan_executable(spark: SparkSession, matches: DataFrame, landing: str, lines: bool = False) -> DataFrame:
+    """Both directions of every open match over the landed books; lines: files hold a book a line."""
+    return ladders.executable_directions(matches, landed_books(spark, landing, lines), "observed_at")
 
 
-def landed_books(spark: SparkSession, landing: str) -> DataFrame:
-    k = outcomes.split_kalshi_book(landed.read_kalshi_books(spark, f"{landing}/kalshi_books"))
-    return k.unionByName(outcomes.split_poly_book(landed.read_poly_books(spark, f"{landing}/poly_books")))
+def landed_books(spark: SparkSession, landing: str, lines: bool = False) -> DataFrame:
+    k = outcomes.split_kalshi_book(landed.read_kalshi_books(spark, f"{landing}/kalshi_books", lines))
+    return k.unionByName(outcomes.split_poly_book(landed.read_poly_books(spark, f"{landing}/poly_books", lines)))
 
 
 def analyze_prices(ticks: DataFrame, gap_break: float = episodes.GAP_BREAK) -> dict[str, DataFrame]:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import episodes
+from .plans import jobs
 from .plans.tables import shared_folder
-from .sources import sinks
+from .sources import landed, sinks
 from .streaming import streams
 from .views import view
 
@@ -112,3 +113,50 @@ def episode_stream(spark: SparkSession, ticks: DataFrame, gap: float) -> DataFra
             run = out.writeStream.format("parquet").option("path", f"{base}/episodes").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True)
             run.start().awaitTermination()
     return spark.read.parquet(f"{base}/episodes")
+
+
+#: Events of a landed page.
+PAGE = 2000
+
+
+def _paged(events: DataFrame) -> DataFrame:
+    """Events (page, event_pos, value) cut into pages of PAGE events, in the same order."""
+    return events.selectExpr(f"CAST(page * 1000000 + event_pos div {PAGE} AS BIGINT) AS page", f"event_pos % {PAGE} AS event_pos", "value")
+
+
+def discovered(spark: SparkSession, kalshi: DataFrame, poly: DataFrame) -> str:
+    """Lands the listings of both venues as pages, discovers twice, and gives the folder with the snapshots and the arb history."""
+    base = shared_folder(spark, "discover")
+    landed.land_pages(_paged(kalshi), f"{base}/landing/kalshi_events/series=KXNFLGAME", '{"events": [', '], "cursor": null}')
+    landed.land_pages(_paged(poly), f"{base}/landing/poly_events/tag=nfl")
+    jobs.discover(spark, f"{base}/landing", base, ("nfl",))
+    return base
+
+
+def scanned(spark: SparkSession, matches: DataFrame, levels: DataFrame) -> DataFrame:
+    """Both directions of every match over books landed at two times, the second with twice the sizes."""
+    base = shared_folder(spark, "scan")
+    for k in (1, 2):
+        lines = book_lines(levels.withColumn("qty", F.col("qty") * k), f"2025-01-0{k}T00:00:00Z")
+        land(lines.where("ticker IS NOT NULL").select("ticker", "observed_at", "orderbook_fp"), f"{base}/kalshi_books")
+        land(lines.where("token_id IS NOT NULL").select("token_id", "observed_at", "asks"), f"{base}/poly_books")
+    return jobs.scan_executable(spark, matches, base, lines=True)
+
+
+def published(spark: SparkSession, ticks: DataFrame, sql: str) -> DataFrame:
+    """SQL over the published tables: ticks come in three batches by their old id, the first two of which are compacted while a reader
+    holds the version before; old versions are removed once it is done."""
+    base = shared_folder(spark, "published")
+    path = f"{base}/price_ticks"
+    for b in range(3):
+        sinks.append(ticks.where(F.col("tick_id") % 3 == b), path, "load", b)
+        sinks.append(ticks.where(F.col("tick_id") % 3 == b), path, "load", b)  # a replay adds nothing
+        if b == 1:
+            reader = sinks.read_history(spark, path)
+            sinks.compact(spark, path)
+            if reader.count() != sinks.read_history(spark, path).count():
+                raise RuntimeError("a reader of the version before a compaction must see the same ticks")
+    sinks.expire_history(spark, path, 1)
+    own = spark.newSession()
+    sinks.register_views(own, base)
+    return own.sql(sql)

@@ -24,8 +24,16 @@ MATCH_COLUMNS = (
 
 
 def _page() -> Column:
-    """Number at the end of a landed file's name: the order in which pages were fetched."""
-    return F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).try_cast("long"), F.lit(0))
+    """The order in which pages were fetched: the number of a landed file's folder (page=3), or at the end of its name."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/page=(\d+)/", 1).try_cast("long")
+    return F.coalesce(folder, F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).try_cast("long"), F.lit(0))
+
+
+def land_pages(events: DataFrame, folder: str, before: str = "[", after: str = "]") -> None:
+    """Lands events (page, event_pos, value: JSON) as the venues' pages, each in a folder page=<number>: before, the events, after."""
+    lists = events.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("event_pos", "value"))).alias("events"))  # a page's events
+    text = F.concat(F.lit(before), F.array_join(F.transform("events", lambda e: e["value"]), ", "), F.lit(after))
+    lists.select("page", text.alias("value")).write.mode("append").partitionBy("page").text(folder)
 
 
 def src_ord(page: Column, event: Column, market: Column) -> Column:
@@ -41,7 +49,8 @@ def read_kalshi_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_poly_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of landed pages [...]: page, event_pos and the event's fields. Arrays inside may be real or JSON texts."""
-    pages = spark.read.option("multiLine", True).schema(P_EVENT).json(path).select(_page().alias("page"), "*")
+    pages = spark.read.option("multiLine", True).schema(P_EVENT).json(path)
+    pages = pages.select(_page().alias("page"), *[c for c in pages.columns if c != "page"])
     # A page is one file; its array's rows come in order, and their ids ascend within the file.
     order = Window.partitionBy("page").orderBy("_seq")
     return pages.withColumn("_seq", F.monotonically_increasing_id()).withColumn("event_pos", F.row_number().over(order) - 1).drop("_seq")
@@ -51,12 +60,13 @@ K_BOOK = "ticker string, observed_at string, orderbook_fp struct<no_dollars: arr
 P_BOOK = "token_id string, observed_at string, asks array<struct<price: string, size: string>>"
 
 
-def read_kalshi_books(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(K_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
+def read_kalshi_books(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed books, one a file or (lines) one a line."""
+    return spark.read.option("multiLine", not lines).schema(K_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
 
 
-def read_poly_books(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(P_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
+def read_poly_books(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.option("multiLine", not lines).schema(P_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
 
 
 _K_QUOTE = K_MARKET.replace(" string", ": string")

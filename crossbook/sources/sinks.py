@@ -117,6 +117,8 @@ def append(df: DataFrame, path: str, writer: str | None = None, number: int | No
     df.write.partitionBy("obs_date").parquet(f"{path}/batch={batch}")
     written = spark.read.schema("part int, pos long").parquet(f"{path}/batch={batch}")
     sizes = sorted(written.groupBy("part").agg(F.max("pos") + 1).collect())  # one row a partition
+    if not sizes:
+        log.remove_folder(f"{path}/batch={batch}")
     while True:
         version, state = log.latest()
         state = state or _EMPTY

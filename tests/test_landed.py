@@ -2,10 +2,11 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from crossbook.operators import ladders, scoring
 from crossbook.plans import jobs
-from crossbook.sources import landed, sinks
+from crossbook.sources import landed, log, sinks
 
 
 def dump(path, value):
@@ -107,3 +108,72 @@ def test_histories(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/arb_history").collect()
     assert [(r.source, r.live, r.obs_date) for r in rows] == [("poll", 0, date(2025, 1, 1))]
     assert set(sinks.register_views(spark, str(tmp_path))) == {"price_ticks", "arb_history"}
+
+
+def _tick_rows(spark, ids):
+    return spark.createDataFrame([(k, 0.1) for k in ids], "n int, best_edge double").selectExpr("timestamp_seconds(1735689600 + n * 3600) AS observed_at", "'nfl' AS sport", "'d' AS game_date", "concat('t', n) AS team_a", "'x' AS team_b", "best_edge", "n")
+
+
+def test_history_counts_batches_once_and_ids_ascend(spark, tmp_path):
+    """A replay adds nothing, a reader of an old version reads on while batches are compacted, and new columns are null in older rows."""
+    path = str(tmp_path / "h")
+    sinks.append(_tick_rows(spark, [30, 3, 1]), path, "w", 0)
+    sinks.append(_tick_rows(spark, [30, 3, 1]), path, "w", 0)
+    sinks.append(_tick_rows(spark, [2]).withColumn("extra", F.lit("e")), path, "w", 1)
+    sinks.append(_tick_rows(spark, []), path, "w", 2)
+    before = sinks.read_history(spark, path)
+    want = [(0, 1, None), (1, 3, None), (2, 30, None), (3, 2, "e")]
+    rows = lambda df: sorted((r.tick_id, r.n, r.extra) for r in df.collect())
+    assert rows(before) == want
+    assert sinks.compact(spark, path) and not sinks.compact(spark, path)
+    assert rows(before) == rows(sinks.read_history(spark, path)) == want
+    sinks.append(_tick_rows(spark, [0]), path)
+    sinks.expire_history(spark, path, 1)
+    assert rows(sinks.read_history(spark, path)) == [*want, (4, 0, None)]
+    assert len(list((tmp_path / "h").glob("batch=*"))) == 2  # the compacted one and the last
+    plan = sinks.read_history(spark, path).where("obs_date = DATE '2025-01-02'")._jdf.queryExecution().toString()
+    assert "obs_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    with pytest.raises(ValueError):
+        sinks.append(_tick_rows(spark, [5]).withColumn("n", F.lit("text")), path)
+
+
+def test_two_compactions_and_an_append_at_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "h")
+    for k in range(2):
+        sinks.append(_tick_rows(spark, [k]), path, "w", k)
+    create, meanwhile = log.Log.create, [lambda: sinks.append(_tick_rows(spark, [7]), path), lambda: sinks.compact(spark, path)]
+
+    def racing(self, number, entry):
+        if meanwhile:
+            meanwhile.pop(0)()
+        return create(self, number, entry)
+
+    monkeypatch.setattr(log.Log, "create", racing)
+    assert not sinks.compact(spark, path)  # the other one was first
+    assert sorted((r.tick_id, r.n) for r in sinks.read_history(spark, path).collect()) == [(0, 0), (1, 1), (2, 7)]
+
+
+def test_snapshot_writers_at_once(spark, tmp_path):
+    df = lambda k: spark.createDataFrame([("nfl", "d", "a", "b", "E", k), ("nfl", "d", "a", "b", "D", k + 1)], "sport string, game_date string, team_a string, team_b string, kalshi_event_id string, src_ord int")
+    markets = df(0).selectExpr("sport", "'kalshi' AS exchange", "1 AS market_id", "team_a AS team", "src_ord")
+    base = str(tmp_path)
+    sinks.save_snapshot(markets, df(0), df(0), base)
+    first = sinks.snapshot_version(spark, base)
+    sinks.save_snapshot(markets, df(5), df(5), base, follows=first)
+    with pytest.raises(sinks.Conflict):
+        sinks.save_snapshot(markets, df(9), df(9), base, follows=first)
+    assert [r.src_ord for r in sinks.read_snapshot(spark, base, "matches").collect()] == [6]  # the last to arrive, not the greatest id
+    assert [r.src_ord for r in sinks.read_snapshot(spark, base, "matches", first).collect()] == [1]
+    sinks.expire_snapshots(spark, base, 1)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, base, "matches", first)
+    assert not log.Log(spark, f"{base}/snapshots/_log").create(first + 1, {})
+
+
+def test_pages_keep_their_order(spark, tmp_path):
+    events = spark.createDataFrame([(p, k, json.dumps({"event_ticker": f"E{p}{k}", "title": "t"})) for p in (1, 0, 12) for k in (2, 0, 1)], "page long, event_pos int, value string")
+    landed.land_pages(events, f"{tmp_path}/k", '{"events": [', "]}")
+    landed.land_pages(events.selectExpr("page", "event_pos", "replace(value, 'event_ticker', 'slug') AS value"), f"{tmp_path}/p")
+    k = sorted((r.page, r.event_pos, r.event_ticker) for r in landed.read_kalshi_events(spark, f"{tmp_path}/k").collect())
+    p = sorted((r.page, r.event_pos, r.slug) for r in landed.read_poly_events(spark, f"{tmp_path}/p").collect())
+    assert k == p == [(x, y, f"E{x}{y}") for x in (0, 1, 12) for y in (0, 1, 2)]

@@ -106,3 +106,16 @@ def test_cluster_needs_a_checkpoint_folder():
     for master, base in (("spark://host:7077", "hdfs://c"), ("local[4]", None)):
         df, made = session(master, base)
         assert tables.cut(df) == "cut" and len(made) == 1 and (base is None or made == [base])
+
+
+def test_a_pair_that_plays_daily_takes_linear_time(spark):
+    """33,333 days in a row, each game touching the next: 100,000 candidates of one pair."""
+    import time
+
+    n = 33_333
+    day = lambda k: f"date_add(DATE '1990-01-01', CAST({k} AS INT))"
+    cand = spark.range(n).selectExpr("'nfl' AS sport", "array('a', 'b') AS k_pair", "id AS k_ord", f"{day('id')} AS k_game_date", "explode(array(-1, 0, 1)) AS off").where(f"k_ord + off BETWEEN 0 AND {n - 1}")
+    cand = cand.selectExpr("*", "k_ord + off AS p_ord", f"{day('k_ord + off')} AS p_game_date", "abs(off) AS delta").drop("off")
+    start = time.time()
+    got = matching.assign_one_to_one(cand).select("k_ord", "p_ord").collect()
+    assert len(got) == n and all(r.k_ord == r.p_ord for r in got) and time.time() - start < 60

@@ -3,7 +3,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from crossbook import replays
 from crossbook.operators import episodes
 from crossbook.sources import sinks
 from crossbook.streaming import streams
@@ -101,3 +103,42 @@ def test_stream_episodes_equal_batch(spark, tmp_path, mixed):
     want = sorted(map(key, episodes.find_episodes(df, ((0.0, False),)).collect()))
     assert sorted(map(key, spark.read.parquet(str(tmp_path / "eps")).collect())) == want
     assert datetime(2025, 1, 1) + timedelta(0) == want[0][1]
+
+
+def test_replayed_batch_keeps_its_snapshot_and_is_added_once(spark, tmp_path):
+    """Stopped after a batch was added and before it was marked as done; the snapshot that is published meanwhile is for later batches."""
+    (tmp_path / "in").mkdir()
+
+    def quotes(i):
+        at = f"2025-01-01T00:00:0{i}Z"
+        rows = [{"venue": "k", "observed_at": at, "market": {"ticker": t, "yes_ask_dollars": "0.4", "status": "active"}} for t in "AB"] + [{"venue": "p", "observed_at": at, "id": "P", "outcomes": '["a","b"]', "outcomePrices": '["0.5","0.55"]', "active": "true"}]
+        (tmp_path / f"in/{i}.json").write_text("\n".join(map(json.dumps, rows)))
+
+    out, cp = str(tmp_path / "out"), tmp_path / "cp"
+    old = matches(spark).selectExpr("*", "0 AS src_ord")
+    run = lambda: streams.price_tick_stream(spark, str(tmp_path / "in"), out, out, str(cp)).awaitTermination(120)
+    replays.save_matches(old, out)
+    quotes(0)
+    run()
+    replays.save_matches(old.withColumn("level", F.lit("new")), out)
+    for f in (cp / "commits").glob("*0*"):
+        f.unlink()
+    quotes(1)
+    run()
+    run()
+    rows = sorted((r.tick_id, r.observed_at.second, r.level) for r in sinks.read_history(spark, f"{out}/price_ticks").collect())
+    assert rows == [(0, 0, "college"), (1, 1, "new")]
+    assert sinks.read_history(spark, f"{out}/arb_history").count() == 2
+
+
+def test_episodes_at_all_thresholds_at_once(spark, tmp_path):
+    rows = [tick(k, 300 * k, [0.005, 0.015, 0.035, 0.025, -0.01, 0.01, 0.02][k % 7]) for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for i, batch in enumerate([rows[:15], rows[15:], [tick(990, 10**6, None, team="z")], [tick(991, 2 * 10**6, None, team="z")]]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = streams.stream_episodes(stream, episodes.THRESHOLDS)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "eps")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+    key = lambda r: (r.min_edge, r.inclusive, r.start, r.end, r.peak_edge, r.ticks)
+    got = sorted(map(key, spark.read.parquet(str(tmp_path / "eps")).collect()))
+    assert got == sorted(map(key, episodes.find_episodes(df).collect())) and len({g[0] for g in got}) == 4
