@@ -90,28 +90,29 @@ def book_stream(spark: SparkSession, matches: DataFrame, levels: DataFrame) -> D
 
 
 def episode_stream(spark: SparkSession, ticks: DataFrame, gap: float) -> DataFrame:
-    """Episodes of a stream of all ticks, at all thresholds. Ticks come in batches by a time that is up to two days off, each batch in a
-    run of its own; at last two rows of another match move the watermark past all of them."""
+    """Episodes of a stream of all ticks, at all thresholds. Ticks come in batches by a time that is up to two days off; at last two rows
+    of another match move the watermark past all of them."""
     base = shared_folder(spark, "episode-stream")
     ticks = ticks.select("tick_id", "observed_at", *episodes.MATCH_KEY, "level", "best_edge", "best_trade", "closed", "live", "ended")
     jitter = F.pmod(F.xxhash64("tick_id"), F.lit(172_800))
     batch = F.floor((F.unix_seconds("observed_at") + jitter) / (12 * 86_400)).cast("long")
     ticks.withColumn("batch", batch).write.partitionBy("batch").parquet(f"{base}/ticks")
     cut = spark.read.parquet(f"{base}/ticks")
-    numbers = [r[0] for r in cut.select("batch").distinct().sort("batch").collect()]  # one for each 12 days
+    sizes = dict(cut.groupBy("batch").count().collect())  # one for each 12 days
+    files = 8 if min(sizes.values(), default=0) >= 10_000 else 1  # of each batch, so that a trigger takes one batch
     last = ticks.agg(F.max("observed_at").alias("m")).select(F.expr("stack(2, 0, 1) AS n"), "m")
     end = last.select(
         F.lit(None).cast("long").alias("tick_id"), F.expr("m + make_interval(0, 0, 0, 30 * (n + 1))").alias("observed_at"), *[F.lit("-").alias(c) for c in (*episodes.MATCH_KEY, "level")],
         F.lit(None).cast("double").alias("best_edge"), F.lit("-").alias("best_trade"), F.lit(0).alias("closed"), F.lit(0).alias("live"), F.lit(0).alias("ended"), "n",
     )
-    lots = [cut.where(F.col("batch") == b).drop("batch") for b in numbers] + [end.where(f"n = {n}").drop("n") for n in (0, 1)]
+    lots = [cut.where(F.col("batch") == b).drop("batch").repartition(files) for b in sorted(sizes)] + [end.where(f"n = {n}").drop("n").coalesce(1) for n in (0, 1)]
+    for lot in lots:
+        lot.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(cut.drop("batch").schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    out = streams.stream_episodes(stream, episodes.THRESHOLDS, gap, "3 days")
+    run = out.writeStream.format("parquet").option("path", f"{base}/episodes").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True)
     with _setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKS):
-        for lot in lots:
-            lot.write.mode("append").parquet(f"{base}/in")
-            stream = spark.readStream.schema(cut.drop("batch").schema).parquet(f"{base}/in")
-            out = streams.stream_episodes(stream, episodes.THRESHOLDS, gap, "3 days")
-            run = out.writeStream.format("parquet").option("path", f"{base}/episodes").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True)
-            run.start().awaitTermination()
+        run.start().awaitTermination()
     return spark.read.parquet(f"{base}/episodes")
 
 
