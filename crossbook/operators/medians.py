@@ -53,7 +53,9 @@ def with_median(figures: DataFrame, rows: DataFrame, by: list[str], value: str,
 def duration_figures(episodes: DataFrame, by: list[str]) -> DataFrame:
     """Per group: n, open_n, mean, median, min and max of the episodes' durations, all from the counted values."""
     cut = _ordered(episodes, by, "duration_seconds", _open=F.col("still_open").cast("long"))
-    figures = cut.groupBy(*by, "_key").agg(
-        F.sum("_n").alias("n"), F.sum("_open").alias("open_n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
-    )
-    return figures.join(_selected(cut).hint("merge"), "_key").select(*by, "n", "open_n", "mean", "median", "min", "max")
+    sums = [
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_open"), F.lit(0)).alias("open_n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+    ]
+    # Without groups there is one row, also for no episodes.
+    figures = cut.groupBy(*by, "_key").agg(*sums) if by else cut.agg(*sums).withColumn("_key", _key(by))
+    return figures.join(_selected(cut).hint("merge"), "_key", "left").select(*by, "n", "open_n", "mean", "median", "min", "max")
