@@ -32,10 +32,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df written as Parquet and read back: survives lost executors and is computed once."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
+    df.write.options(**options).parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
