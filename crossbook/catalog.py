@@ -349,8 +349,9 @@ _TOKENS = "list_filter(string_split({}, ' '), lambda t: NOT list_contains(" + _S
   SELECT DISTINCT a.id AS left_name, b.id AS right_name FROM t a JOIN t b USING (p_size) WHERE contains(a.id, b.id) OR contains(b.id, a.id) OR (a.w[-1] = b.w[-1] AND length(a.w[-1]) > 2 AND a.w[1][1] = b.w[1][1])""")
 def _fuzzy_pairs(spark, d):
     n = view(spark, d, "part").select(scalars.player_id(F.col("p_name")).alias("id"), "p_size").distinct()
-    a, b = n.select(F.col("id").alias("left_name"), "p_size"), n.select(F.col("id").alias("right_name"), "p_size")
-    return a.join(b, "p_size").where(scalars.names_equal(F.col("left_name"), F.col("right_name"))).select("left_name", "right_name").distinct()
+    # Names that are equal share a block.
+    a, b = (n.select(F.col("id").alias(side), "p_size", F.explode(scalars.name_keys(F.col("id"), first)).alias("block")).hint("merge") for side, first in (("left_name", True), ("right_name", False)))
+    return a.join(b, ["p_size", "block"]).where(scalars.names_equal(F.col("left_name"), F.col("right_name"))).select("left_name", "right_name").distinct()
 
 
 # Players under short names at the second venue: "last1" alone is also within "last10", so candidates cross pairs. The SQL folds each day's
@@ -646,6 +647,56 @@ def _book_report(spark, d):
     return _sizes(jobs.analyze_books(view(spark, d, "v_book_ticks"), GAP))
 
 
+# Contents of both reports in a long form: a row for each number of each section, found by the section's texts and keys.
+_EPISODE_KEYS = ("min_edge", *episodes.MATCH_KEY, "level", "best_trade", "start", "status")
+_ROLL_KEYS = (*episodes.MATCH_KEY, "level", "best_trade", "status")
+_SNAP_KEYS = ("min_edge", *_ROLL_KEYS)
+_TEXTS = ("game", "edge_text", "time_text")
+_HEAD = f"WITH {cte('v_ticks')}"
+_BOOK_WINDOW = f"WITH {cte('v_book_ticks')}" + _SQL["window_stats"].removeprefix(_HEAD).replace("v_ticks", "v_book_ticks")
+#: Section: its keys and its SQL.
+_PRICE_SECTIONS = {
+    "window": ((), _SQL["window_stats"]), "episodes": (_EPISODE_KEYS, f"{_EP} SELECT {_EP_COLUMNS} FROM ep"), "rollups": (_ROLL_KEYS, _SQL["match_rollups"]),
+    "largest": ((*_ROLL_KEYS, *_TEXTS), f"SELECT * FROM ({_SQL['largest_rollups']}) JOIN ({_SQL['report_texts']}) USING ({KEY})"), "durations": (("min_edge",), _SQL["duration_stats"]), "thresholds": (("min_edge",), _SQL["threshold_counts"]),
+    "by_status": (("status",), _SQL["status_breakdown"]), "by_sport": (("sport", "tour"), _SQL["sport_breakdown"]), "top_episodes": (_EPISODE_KEYS, _SQL["top_episodes"]),
+}
+_BOOK_SECTIONS = {
+    "window": ((), _BOOK_WINDOW), "snapshots": (_SNAP_KEYS, _SQL["best_snapshots"]), "largest": (_SNAP_KEYS, _SQL["largest_snapshots"]), "buckets": (("min_edge", "label"), _SQL["profit_buckets"]),
+    "blocks": (("min_edge",), _SQL["edge_blocks"]), "slices": (("slice", "min_edge"), _SQL["sport_slices"]),
+}
+
+
+def _long_sql(sections: dict[str, tuple[tuple[str, ...], str]]) -> str:
+    out = []
+    for section, (keys, sql) in sections.items():
+        key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) + ")" if keys else "''"
+        rest = f"* EXCLUDE ({', '.join(keys)})" if keys else "*"
+        out.append(f"SELECT '{section}' AS section, key, name, value FROM (UNPIVOT (SELECT {key} AS key, CAST(COLUMNS({rest}) AS DOUBLE) FROM ({sql})) ON COLUMNS(* EXCLUDE (key)) INTO NAME name VALUE value)")
+    return " UNION ALL ".join(out)
+
+
+def _long(report: dict[str, DataFrame], sections: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
+    """Rows (section, key, name, value) of a report; numbers that are null have none."""
+    out = []
+    for section, df in report.items():
+        keys, df = sections[section][0], _flat(df)
+        key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]) if keys else F.lit("")
+        names = [c for c in df.columns if c not in keys]
+        df = df.select(key.alias("key"), *[F.col(c).cast("double").alias(c) for c in names]).unpivot("key", names, "name", "value")
+        out.append(df.where("value is not null").select(F.lit(section).alias("section"), "key", "name", "value"))
+    return jobs.union(out)
+
+
+@_query("price_report_values", _long_sql(_PRICE_SECTIONS))
+def _price_report_values(spark, d):
+    return _long(jobs.analyze_prices(_ticks(spark, d), GAP), _PRICE_SECTIONS)
+
+
+@_query("book_report_values", _long_sql(_BOOK_SECTIONS))
+def _book_report_values(spark, d):
+    return _long(jobs.analyze_books(view(spark, d, "v_book_ticks"), GAP), _BOOK_SECTIONS)
+
+
 # Through landed files, streams and published tables.
 _STREAMED = _SQL["price_ticks"].replace("FROM s WHERE closed OR priced", "FROM s WHERE (closed OR priced) AND (t = 1 OR k % 2 = 0)").replace("SELECT k, us + t * 3600000000 AS observed_at", "SELECT k, t, us + t * 3600000000 AS observed_at").replace("epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))", "883612800000000 + o_orderkey % 80000 * 1000000")
 
