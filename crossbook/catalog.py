@@ -58,7 +58,7 @@ def _ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _eps(spark: SparkSession, d: str, thresholds=episodes.THRESHOLDS) -> DataFrame:
-    return episodes.find_episodes(_ticks(spark, d), thresholds, GAP)
+    return episodes.find_episodes(_ticks(spark, d), thresholds, GAP, by_day=True)
 
 
 STATUS = "CASE WHEN live = 1 THEN 'live' WHEN ended = 1 THEN 'ended' WHEN live IS NULL AND ended IS NULL THEN 'unknown' ELSE 'pregame' END"

@@ -75,7 +75,7 @@ def edge_blocks(book_ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float =
     """Per threshold (and slice): snapshot summary, executable ticks, and episode durations. Thresholds without any show zeros."""
     by = (["slice"] if slices else []) + _T
     snaps = snapshot_summary(best_snapshots(book_ticks, thresholds, *by[: len(by) - 2]), *by)
-    episodes = duration_figures(find_episodes(as_price_ticks(book_ticks), thresholds, gap_break, slices), by)
+    episodes = duration_figures(find_episodes(as_price_ticks(book_ticks), thresholds, gap_break, slices, by_day=True), by)
     groups = with_thresholds(book_ticks.select("slice").distinct() if slices else book_ticks.sparkSession.range(1).select(), thresholds)
     zero = lambda c, z=0: F.coalesce(F.col(c), F.lit(z)).alias(c)
     return groups.join(snaps.hint("merge"), by, "left").join(episodes.hint("merge"), by, "left").select(

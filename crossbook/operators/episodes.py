@@ -1,6 +1,6 @@
 """Episodes: maximal runs of ticks whose edge meets a threshold, cut at gaps and status changes.
 
-One shuffle on the match key serves every threshold: lag and lead are computed once, then thresholds are exploded.
+One shuffle on the match key (or on match and day) serves every threshold: lag and lead are computed once, then thresholds are exploded.
 """
 
 from __future__ import annotations
@@ -50,35 +50,65 @@ def with_slice_figures(df: DataFrame, figures: DataFrame) -> DataFrame:
     return df.withColumn("_part", part).join(copies.hint("merge"), ["slice", "_part"]).drop("_part")
 
 
-def find_episodes(ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float = GAP_BREAK, slices: bool = False) -> DataFrame:
+def _neighbours(ticks: DataFrame, key: list[str]) -> DataFrame:
+    """For each day of a series the last tick before it and the first one after it, as rows of that day.
+
+    The windows run over one row a day of a series."""
+    side = F.struct("observed_at", "tick_id", "best_edge", "closed", "status")
+    w = Window.partitionBy(*key).orderBy("_day")
+    days = ticks.groupBy(*key, "_day").agg(F.min(side).alias("first"), F.max(side).alias("last"))
+    days = days.select(*key, "_day", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"))
+    return days.select(*key, "_day", F.explode(F.filter(F.array("before", "after"), lambda s: s.isNotNull())).alias("s")).select(*key, "_day", "s.*")
+
+
+def _stitched(parts: DataFrame, group: list[str], combine: list[Column]) -> DataFrame:
+    """Parts of episodes (eid: runs begun so far that day) made whole. Only a day's first and last part can belong to an episode that
+    crosses midnight; they are numbered over the days, the others are episodes as they are."""
+    parts = parts.withColumn("_most", F.max("eid").over(Window.partitionBy(*group, "_day")))
+    inner = (F.col("eid") > 0) & (F.col("eid") < F.col("_most"))
+    w = Window.partitionBy(*group).orderBy("_day", "eid")  # two rows a day of a series at most
+    outer = parts.where(~inner).withColumn("_run", F.sum(F.when(F.col("eid") > 0, 1).otherwise(0)).over(w)).groupBy(*group, "_run").agg(*combine)
+    return parts.where(inner).drop("_most", "_day", "eid").unionByName(outer.drop("_run"))
+
+
+def find_episodes(ticks: DataFrame, thresholds=THRESHOLDS, gap_break: float = GAP_BREAK, slices: bool = False, by_day: bool = False) -> DataFrame:
     """Episodes of ticks (tick_id, observed_at, match key, level, best_edge, best_trade, closed, live, ended) at each threshold.
 
-    With slices, ticks have a column slice and series are told apart by it; the end of the data is that of the slice."""
+    With slices, ticks have a column slice and series are told apart by it; the end of the data is that of the slice. With by_day, a
+    series is worked on in days of UTC that are joined at their borders, so that none is sorted in one task however long it is; the
+    episodes are the same. Ticks without a time come first, as a day of their own."""
     df = ticks if slices else ticks.withColumn("slice", F.lit(ALL))
     df = df.withColumn("status", game_status(F.col("live"), F.col("ended")))
     ends = df.groupBy("slice").agg(F.max("observed_at").alias("global_end"))
-    key = ["slice", *MATCH_KEY]
-    w = Window.partitionBy(*key).orderBy("observed_at", "tick_id")
+    key, block = ["slice", *MATCH_KEY], []
+    if by_day:
+        block = ["_day"]
+        df = df.select(*key, "tick_id", "observed_at", "level", "best_edge", "best_trade", "closed", "live", "ended", "status")
+        df = df.withColumn("_day", F.floor(F.unix_seconds("observed_at") / 86_400))
+        df = df.withColumn("_own", F.lit(True)).unionByName(_neighbours(df, key), allowMissingColumns=True)
+    w = Window.partitionBy(*key, *block).orderBy("observed_at", "tick_id")
     near = {f"{p}_{c}": f(c).over(w) for p, f in (("p", F.lag), ("n", F.lead)) for c in ("observed_at", "best_edge", "closed", "status")}
-    df = with_thresholds(df.withColumns(near), thresholds)
+    df = df.withColumns(near)
+    df = with_thresholds(df.where("_own") if by_day else df, thresholds)
     on = {p: active(F.col(f"{p}closed"), F.col(f"{p}best_edge"), F.col("min_edge"), F.col("inclusive")) for p in ("", "p_", "n_")}
     fresh = F.col("p_observed_at").isNull() | ~on["p_"] | (seconds(F.col("observed_at"), F.col("p_observed_at")) > gap_break) | (F.col("p_status") != F.col("status"))
     off_next = F.col("n_observed_at").isNotNull() & ~on["n_"] & (seconds(F.col("n_observed_at"), F.col("observed_at")) <= gap_break) & (F.col("n_status") == F.col("status"))
     df = df.where(on[""]).withColumns({"fresh": fresh.cast("int"), "off_end": F.when(off_next, F.col("n_observed_at")).otherwise(F.col("observed_at"))})
     group = [*key, "min_edge", "inclusive"]
-    df = df.withColumn("eid", F.sum("fresh").over(Window.partitionBy(*group).orderBy("observed_at", "tick_id")))
-    last, first = F.struct("observed_at", "tick_id"), F.struct("observed_at", "tick_id")
-    df = df.groupBy(*group, "eid").agg(
-        F.min_by(F.struct("level", "live", "ended", "status"), first).alias("head"),
-        F.min_by(F.struct("best_trade"), F.struct(-F.col("best_edge"), "observed_at", "tick_id")).alias("peak"),
-        F.min("observed_at").alias("start"), F.max("observed_at").alias("last_ts"), F.max_by("off_end", last).alias("end"),
-        F.max_by(F.col("n_observed_at").isNull(), last).alias("alive"), F.max("best_edge").alias("peak_edge"), F.count("*").alias("ticks"),
+    df = df.withColumn("eid", F.sum("fresh").over(Window.partitionBy(*group, *block).orderBy("observed_at", "tick_id")))
+    df = df.groupBy(*group, *block, "eid").agg(
+        F.min(F.struct("observed_at", "tick_id", "level", "live", "ended", "status")).alias("head"), F.max(F.struct("observed_at", "tick_id", "off_end", F.col("n_observed_at").isNull().alias("alive"))).alias("tail"),
+        F.min(F.struct((-F.col("best_edge")).alias("edge"), "observed_at", "tick_id", "best_trade")).alias("peak"), F.min("observed_at").alias("start"), F.max("observed_at").alias("last_ts"),
+        F.max("best_edge").alias("peak_edge"), F.count("*").alias("ticks"),
     )
+    if by_day:
+        least, greatest = ("head", "peak", "start"), ("tail", "last_ts", "peak_edge")
+        df = _stitched(df, group, [*[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in greatest], F.sum("ticks").alias("ticks")])
     df = with_slice_figures(df, ends) if slices else df.join(F.broadcast(ends), "slice")  # without slices one row
-    still_open = F.col("alive") & (seconds(F.col("global_end"), F.col("last_ts")) <= gap_break)
+    still_open = F.col("tail.alive") & (seconds(F.col("global_end"), F.col("last_ts")) <= gap_break)
     out = df.select(
-        *(["slice"] if slices else []), "sport", "head.level", "game_date", "team_a", "team_b", "peak.best_trade", "start", "end", "last_ts",
-        F.greatest(F.lit(0.0), seconds(F.col("end"), F.col("start"))).alias("duration_seconds"), "peak_edge", "ticks", still_open.alias("still_open"),
+        *(["slice"] if slices else []), "sport", "head.level", "game_date", "team_a", "team_b", "peak.best_trade", "start", F.col("tail.off_end").alias("end"), "last_ts",
+        F.greatest(F.lit(0.0), seconds(F.col("tail.off_end"), F.col("start"))).alias("duration_seconds"), "peak_edge", "ticks", still_open.alias("still_open"),
         "min_edge", "inclusive", "head.live", "head.ended", "head.status",
     )
     return out

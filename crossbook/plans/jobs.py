@@ -103,7 +103,7 @@ def landed_books(spark: SparkSession, landing: str, lines: bool = False) -> Data
 
 def analyze_prices(ticks: DataFrame, gap_break: float = episodes.GAP_BREAK) -> dict[str, DataFrame]:
     """The price report, a DataFrame a section."""
-    eps = written(episodes.find_episodes(ticks, gap_break=gap_break), "episodes")  # all sections read it
+    eps = written(episodes.find_episodes(ticks, gap_break=gap_break, by_day=True), "episodes")  # all sections read it
     over0 = eps.where("not inclusive")
     rollups = stats.match_rollups(over0)
     label = game_label(*(F.col(c) for c in ("sport", "level", "game_date", "team_a", "team_b")))

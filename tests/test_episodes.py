@@ -69,6 +69,41 @@ def test_against_state_machine(spark):
         assert found(both.where((both.min_edge == least) & (both.inclusive == inclusive))) == naive(rows, least, inclusive, 900)
 
 
+def test_by_day_against_state_machine(spark):
+    rng = random.Random(7)
+    rows, i = [], 0
+    for team in "abcdef":
+        t = rng.randrange(86_400)
+        for _ in range(120):  # some 15 days; runs of many days, days without ticks, ties at midnight
+            t += rng.choice([0, 8, 3_600, 20_000, 40_000, 43_200, 43_201, 200_000, 86_400 - t % 86_400])
+            i += 1
+            rows.append(tick(i, t, rng.choice([None, 0.0, 0.01, 0.02] + 8 * [0.03]), team, int(rng.random() < 0.05), int(rng.random() < 0.1)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    both = episodes.find_episodes(df, gap_break=43_200, by_day=True).cache()
+    for least, inclusive in episodes.THRESHOLDS:
+        got = found(both.where((both.min_edge == least) & (both.inclusive == inclusive)))
+        assert got == naive(rows, least, inclusive, 43_200) and any((g[2].date() - g[1].date()).days > 1 for g in got)  # some cross two midnights
+
+
+def test_by_day_is_the_same(spark):
+    rng = random.Random(11)
+    rows = [tick(i, 7_000 * i, rng.choice([0.0, 0.01, 0.02]), rng.choice("ab"), live=rng.choice([0, 0, 0, 1])) for i in range(300)]
+    rows += [(1000 + k, None, *tick(0, 0, 0.02, "a")[2:]) for k in range(3)]  # no time
+    rows += [(2000 + k, T0 + timedelta(hours=11 * k), *tick(0, 0, 0.02, None)[2:]) for k in range(20)]  # a null in the key
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS _extra", "sport AS s", "IF(tick_id % 3 = 0, 'x', NULL) AS slice")
+    for slices in (False, True):
+        plain, days = (episodes.find_episodes(df, gap_break=43_200, slices=slices, by_day=b) for b in (False, True))
+        assert plain.columns == days.columns and plain.count() > 20
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, days.collect()))
+
+
+def test_one_long_episode(spark):
+    rows = [tick(i, 3_600 * i, 0.02) for i in range(24 * 40)]
+    (r,) = episodes.find_episodes(spark.createDataFrame(rows, SCHEMA), ((0.0, False),), gap_break=3_600, by_day=True).collect()
+    assert (r.ticks, r.duration_seconds, r.still_open) == (24 * 40, 3_600.0 * (24 * 40 - 1), True)
+    assert episodes.find_episodes(spark.createDataFrame([], SCHEMA), by_day=True).count() == 0
+
+
 def test_one_shuffle_on_the_key(spark):
     df = spark.createDataFrame([tick(1, 0, 0.1)], SCHEMA)
     plan = episodes.find_episodes(df)._jdf.queryExecution().executedPlan().toString()
