@@ -464,7 +464,7 @@ def _poly_quote_rows(spark, d):
     return _flat(outcomes.poly_outcome_prices(q).select("market_id", "closed", "yes_a", "yes_b"))
 
 
-@_query("parsed_texts", """SELECT k, CASE k % 4 WHEN 0 THEN c + 0.25 WHEN 1 THEN CAST(k AS DOUBLE) END AS price, CASE k % 4 WHEN 0 THEN epoch_us(t) + 3723000000 WHEN 1 THEN epoch_us(t) + 18000000000 WHEN 2 THEN epoch_us(t) ELSE -1 END AS at,
+@_query("parsed_texts", """SELECT k, CASE k % 4 WHEN 0 THEN c + 0.25 WHEN 1 THEN CAST(k AS DOUBLE) END AS price, CASE k % 4 WHEN 0 THEN epoch_us(t) + 3723000000 WHEN 1 THEN epoch_us(t) + 18000000000 WHEN 2 THEN epoch_us(t) ELSE -1 END AS place,
   CASE WHEN k % 4 < 3 THEN CAST(day AS VARCHAR) END AS game_date, CAST(day AS VARCHAR) AS slug_day, CASE WHEN k % 4 < 2 THEN CAST(day AS VARCHAR) END AS close_day, CASE WHEN k % 4 < 3 THEN CAST(day AS VARCHAR) END AS ticker_day,
   CASE k % 4 WHEN 0 THEN 'atp' WHEN 1 THEN 'challenger' END AS tour, CASE WHEN k % 4 = 0 THEN 'patriots,bills' END AS teams, CASE k % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE -1 END AS listed FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS t FROM orders)""")
 def _parsed_texts(spark, d):
@@ -741,6 +741,61 @@ def _discovered_markets(spark, d):
     return _flat(read_snapshot(spark, base, "markets"))
 
 
+# Listings of college football (even orders) and tennis (odd ones): names as listed and as the engine writes them.
+_COLLEGES = (("Ole Miss", "mississippi", "Texas A&M", "texas am"), ("Pitt", "pittsburgh", "Ohio St.", "ohio state"), ("Miami (FL)", "miami fl", "LSU", "lsu"), ("App State", "appalachian state", "FAU", "florida atlantic"))
+_PLAYERS = (("Ann-Marie O.Neil", "ann marie o neil", "Bo van der Berg", "bo van der berg"), ("José Diaz", "jos diaz", " Li  Na", "li na"), ("A. Smith-Jones", "a smith jones", "Cy Young", "cy young"), ("D. de la Cruz", "d de la cruz", "E2 Fox", "e2 fox"))
+_SERIES_OF = "CASE WHEN k % 2 = 0 THEN 'KXNCAAFGAME' " + " ".join(f"WHEN c % 5 = {i} THEN '{x}'" for i, (x, _) in enumerate(jobs.SERIES["tennis"])) + " END"
+_LEVEL_OF = "CASE WHEN k % 2 = 0 THEN 'college' " + " ".join(f"WHEN c % 5 = {i} THEN '{x}'" for i, (_, x) in enumerate(jobs.SERIES["tennis"])) + " END"
+_TOUR_OF = "CASE c % 3 WHEN 0 THEN 'atp' WHEN 1 THEN 'wta' ELSE 'itf' END"
+_SPORT_OF = "CASE WHEN k % 2 = 0 THEN 'cfb' ELSE 'tennis' END"
+_EVENT_SLUG = f"concat(CASE WHEN k % 11 = 0 THEN 'outright-' ELSE '' END, CASE WHEN k % 2 = 0 THEN 'cfb' ELSE {_TOUR_OF} END, '-a', c, '-b', c, '-', day)"
+_EVENT_TITLE = "CASE WHEN k % 2 = 0 THEN concat('on ', day) WHEN c % 5 = 0 THEN 'Juniors, final' WHEN c % 5 = 1 THEN 'City Challenger' WHEN c % 5 = 2 THEN 'WTA 125 City' ELSE 'City Open' END"
+
+
+def _named(i: int) -> str:
+    """Field i of the pair of teams or players that the customer's number picks; SQL for both engines."""
+    pick = lambda pairs: "CASE c % 4 " + " ".join(f"WHEN {n} THEN '{p[i]}'" for n, p in enumerate(pairs)) + " END"
+    return f"CASE WHEN k % 2 = 0 THEN {pick(_COLLEGES)} ELSE {pick(_PLAYERS)} END"
+
+
+_SPORT_PAGE = f"((k % 5) * 1000000 + k // 5 // {replays.PAGE}) * 100000000"
+_SPORT_POS = f"(row_number() OVER (PARTITION BY {{}}, k % 5, k // 5 // {replays.PAGE} ORDER BY k // 5) - 1) * 10000"
+_SPORTS_LISTED = f"""WITH x AS ({_KEYED}), k0 AS (SELECT *, {_SERIES_OF} AS series FROM x),
+  k1 AS (SELECT *, series || '-' || CASE WHEN k % 6 < 2 THEN 'X' ELSE upper(strftime(dt, '%y%b%d')) END || 'G' || k AS ev, {_SPORT_PAGE} + {_SPORT_POS.format("series")} AS place,
+    CASE series WHEN 'KXWTAMATCH' THEN 1 WHEN 'KXITFMATCH' THEN 2 WHEN 'KXATPCHALLENGERMATCH' THEN 3 WHEN 'KXWTACHALLENGERMATCH' THEN 4 ELSE 0 END * 1000000000000000 AS shift FROM k0),
+  kl AS (SELECT 'kalshi' AS exchange, ev || '-' || pos AS market_id, NULL AS token_id, ev AS event_id, CASE WHEN k % 4 < 2 THEN ev ELSE 'game ' || k END AS event_title,
+    CASE pos WHEN 0 THEN {_named(1)} ELSE {_named(3)} END AS team, CASE pos WHEN 0 THEN {_named(3)} ELSE {_named(1)} END AS opponent, CASE WHEN pos = 0 THEN (10 + c % 80) / 100.0::DOUBLE ELSE 0.5 END AS yes_price,
+    CAST(k % 100 AS DOUBLE) AS volume, day AS game_date, CASE pos WHEN 0 THEN CAST(dt + 1 AS VARCHAR) || 'T04:30:00Z' ELSE day || 'T10:00:00Z' END AS close_time, 'https://kalshi.com/markets/' || lower(series) || '/' || lower(ev) AS url,
+    shift + place + pos AS src_ord, 0 AS live, 0 AS ended, {_SPORT_OF} AS sport, {_LEVEL_OF} AS level FROM (SELECT *, unnest([0, 1]) AS pos FROM k1)),
+  p1 AS (SELECT *, {_EVENT_SLUG} AS slug, {_SPORT_PAGE} + {_SPORT_POS.format("k % 2")} AS place FROM x),
+  pl AS (SELECT 'polymarket' AS exchange, 'M' || k AS market_id, CASE pos WHEN 0 THEN 'u' ELSE 'v' END || k AS token_id, slug AS event_id, {_EVENT_TITLE} AS event_title,
+    CASE pos WHEN 0 THEN {_named(1)} ELSE {_named(3)} END AS team, CASE pos WHEN 0 THEN {_named(3)} ELSE {_named(1)} END AS opponent, CASE WHEN pos = 0 THEN (10 + c % 80) / 100.0::DOUBLE ELSE 0.25 END AS yes_price,
+    5.0::DOUBLE AS volume, day AS game_date, day || 'T20:00:00Z' AS close_time, 'https://polymarket.com/event/' || slug AS url, place + pos AS src_ord, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS live, CASE WHEN k % 5 = 1 THEN 1 ELSE 0 END AS ended,
+    {_SPORT_OF} AS sport, CASE WHEN k % 2 = 0 THEN 'college' WHEN c % 5 IN (1, 2) THEN 'challenger' ELSE {_TOUR_OF} END AS level
+    FROM (SELECT *, unnest([0, 1]) AS pos FROM p1) WHERE k % 11 <> 0 AND CASE WHEN k % 2 = 0 THEN k % 7 <> 0 ELSE k % 9 <> 0 AND c % 5 <> 0 END)"""
+
+
+@_query("discovered_sports", f"{_SPORTS_LISTED} SELECT * FROM kl UNION ALL BY NAME SELECT * FROM pl")
+def _discovered_sports(spark, d):
+    """Listings of college football and of all series and tours of tennis, landed as pages, discovered, saved and read back. Events of
+    other slugs (k % 11 = 0) or sports (k % 7 = 0), juniors (c % 5 = 0) and doubles (k % 9 = 0) have no rows."""
+    from .sources.sinks import read_snapshot
+
+    x = view(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day", "upper(date_format(CAST(o_orderdate AS DATE), 'yyMMMdd')) AS code")
+    x = x.selectExpr("*", "k % 5 AS page", "k div 5 AS event_pos", f"{_SERIES_OF} AS series", f"{_SPORT_OF} AS tag", f"{_EVENT_SLUG} AS slug", f"{_named(0)} AS one", f"{_named(2)} AS two", "CAST((10 + c % 80) / 100 AS STRING) AS price")
+    x = x.selectExpr("*", "concat(series, '-', CASE WHEN k % 6 < 2 THEN 'X' ELSE code END, 'G', k) AS ev")
+    market = lambda pos, name, price, closes, expires: f"named_struct('ticker', concat(ev, '-{pos}'), 'yes_sub_title', {name}, 'yes_ask_dollars', {price}, 'last_price_dollars', '0.5', 'volume_fp', CAST(k % 100 AS STRING), 'close_time', {closes}, 'expected_expiration_time', {expires})"
+    markets = [market(0, "one", "price", "concat(day, 'T23:30:00-05:00')", "CAST(NULL AS STRING)"), market(1, "two", "''", "''", "concat(day, 'T10:00:00Z')"), market(2, "' - '", "price", "''", "''")]
+    kalshi = x.selectExpr("series", "page", "event_pos", f"to_json(named_struct('event_ticker', ev, 'title', CASE WHEN k % 4 < 2 THEN '' ELSE concat('game ', k) END, 'markets', array({', '.join(markets)}))) AS value")
+    kind = f"CASE WHEN k % 2 = 0 THEN CASE WHEN k % 7 = 0 THEN 'nfl' ELSE 'cfb' END WHEN k % 9 = 0 THEN 'atp-doubles' ELSE {_TOUR_OF} END"
+    team = lambda name: f"named_struct('name', CASE WHEN k % 2 = 1 THEN {name} END, 'alias', {name})"
+    line = "named_struct('id', concat('M', k), 'sportsMarketType', 'moneyline', 'closed', false, 'outcomes', to_json(array(one, two)), 'outcomePrices', to_json(array(price, '0.25')), 'clobTokenIds', to_json(array(concat('u', k), concat('v', k))), 'volume', '5', 'endDate', concat(day, 'T20:00:00Z'))"
+    poly = x.selectExpr(
+        "tag", "page", "event_pos", f"to_json(named_struct('id', concat('E', k), 'slug', slug, 'title', {_EVENT_TITLE}, 'sport', named_struct('sport', {kind}), 'teams', CASE WHEN k % 3 = 0 THEN array() ELSE array({team('one')}, {team('two')}) END, 'live', k % 3 = 0, 'ended', CASE WHEN k % 5 = 1 THEN 1 END, 'markets', array({line}))) AS value",
+    )
+    return _flat(read_snapshot(spark, replays.discovered_sports(spark, kalshi, poly), "markets"))
+
+
 @_query("scanned_books", f"{_OPEN} SELECT {_OPEN_SQL.replace('round(qty', 'round(v.x * qty').replace('round(profit', 'round(v.x * profit')}, 1735689600000000 + (v.x - 1) * 86400000000 AS observed_at FROM od JOIN (VALUES (1), (2)) AS v(x) ON true")
 def _scanned_books(spark, d):
     levels = _levels(spark, d)

@@ -134,6 +134,18 @@ def discovered(spark: SparkSession, kalshi: DataFrame, poly: DataFrame) -> str:
     return base
 
 
+def discovered_sports(spark: SparkSession, kalshi: DataFrame, poly: DataFrame) -> str:
+    """As discovered, for college football and tennis. Events of the first venue have a column series, those of the second a column tag."""
+    base = shared_folder(spark, "discover-sports")
+    sports = ("cfb", "tennis")
+    for sport in sports:
+        for series, _ in jobs.SERIES[sport]:
+            landed.land_pages(_paged(kalshi.where(F.col("series") == series)), f"{base}/landing/kalshi_events/series={series}", '{"events": [', '], "cursor": null}')
+        landed.land_pages(_paged(poly.where(F.col("tag") == sport)), f"{base}/landing/poly_events/tag={sport}")
+    jobs.discover(spark, f"{base}/landing", base, sports)
+    return base
+
+
 def scanned(spark: SparkSession, matches: DataFrame, levels: DataFrame) -> DataFrame:
     """Both directions of every match over books landed at two times, the second with twice the sizes."""
     base = shared_folder(spark, "scan")
