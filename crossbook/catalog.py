@@ -375,15 +375,25 @@ def _alike(a: str, b: str) -> str:
   asg AS (SELECT u.k AS k_ord, u.p AS p_ord FROM (SELECT unnest(r.used) AS u FROM folded))
   SELECT team_a, team_b, CAST(game_date AS VARCHAR) AS game_date, 'm' || kl AS kalshi_id_a, 'm' || pl AS poly_id FROM asg JOIN cand USING (k_ord, p_ord)""")
 def _match_fuzzy(spark, d):
-    games = view(spark, d, "v_games")
+    m = matching.match_markets(_players(spark, d, "K", _FULL), _players(spark, d, "P", _SHORT), scalars.names_equal, 0, scalars.name_keys)
+    return m.select("team_a", "team_b", "game_date", "kalshi_id_a", "poly_id")
 
-    def side(venue: str, name: str) -> DataFrame:
-        both = games.where(F.col("venue") == venue).selectExpr(f"{name.format('ta')} AS x", f"{name.format('tb')} AS y", "game_date", "ord", "concat('m', ord) AS market_id")
-        rows = both.selectExpr("stack(2, x, y, ord * 2, y, x, ord * 2 + 1) AS (team, opponent, src_ord)", "game_date", "market_id")
-        return rows.withColumns({"sport": F.lit("tennis"), "level": F.lit("atp"), "yes_price": F.lit(None).cast("double")})
 
-    m = matching.match_markets(side("K", _FULL), side("P", _SHORT), scalars.names_equal, 0, scalars.name_keys)
-    return m.select("team_a", "team_b", "game_date", "kalshi_id_a", "poly_id")
+def _players(spark: SparkSession, d: str, venue: str, name: str) -> DataFrame:
+    """Outcome rows of a venue's games between players under these names."""
+    both = view(spark, d, "v_games").where(F.col("venue") == venue).selectExpr(f"{name.format('ta')} AS x", f"{name.format('tb')} AS y", "game_date", "ord", "concat('m', ord) AS market_id")
+    rows = both.selectExpr("stack(2, x, y, ord * 2, y, x, ord * 2 + 1) AS (team, opponent, src_ord)", "game_date", "market_id")
+    return rows.withColumns({"sport": F.lit("tennis"), "level": F.lit("atp"), "yes_price": F.lit(None).cast("double")})
+
+
+@_query("fuzzy_candidates", f"""WITH {cte('v_games')}, g AS (SELECT venue, least(x, y) AS team_a, greatest(x, y) AS team_b, game_date, min(ord) AS ord FROM ({_PLAYED}) WHERE x <> y GROUP BY ALL),
+  h AS (SELECT k.ord * 2 AS k_ord, p.ord * 2 AS p_ord, p.team_a AS p_one, p.team_b AS p_two, abs(date_diff('day', k.game_date, p.game_date)) AS delta, {_alike('k.team_a', 'p.team_a')} AS h11, {_alike('k.team_a', 'p.team_b')} AS h12, {_alike('k.team_b', 'p.team_a')} AS h21, {_alike('k.team_b', 'p.team_b')} AS h22
+    FROM (SELECT *, unnest([-1, 0, 1]) AS off FROM g WHERE venue = 'K') k JOIN (SELECT * FROM g WHERE venue = 'P') p ON p.game_date = k.game_date + CAST(off AS INT))
+  SELECT k_ord, p_ord, CASE WHEN h11 AND h22 THEN p_one ELSE p_two END AS map_a, CASE WHEN h11 AND h22 THEN p_two ELSE p_one END AS map_b, delta FROM h WHERE (h11 AND h22) <> (h12 AND h21)""")
+def _fuzzy_candidates(spark, d):
+    """All candidates whose players agree, at most a day apart, before any is assigned."""
+    k, p = (matching.group_games(_players(spark, d, venue, name)) for venue, name in (("K", _FULL), ("P", _SHORT)))
+    return matching.pair_candidates_fuzzy(k, p, scalars.names_equal, 1, scalars.name_keys).select("k_ord", "p_ord", "map_a", "map_b", F.col("delta").cast("long").alias("delta"))
 
 
 def _book_games(levels: DataFrame) -> DataFrame:
