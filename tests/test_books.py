@@ -75,3 +75,9 @@ def test_snapshots_and_buckets(spark):
     assert {b.label: b.matches for b in book_stats.profit_buckets(snaps).collect()} == {"under $1": 0, "$1-$10": 1, "$10-$100": 0, "$100+": 0}
     assert {x.slice for x in book_stats.slice_stats(df).collect()} == {"tennis", "tennis/atp", "tennis/wta"}
     assert book_stats.edge_blocks(df.limit(0)).select("matches", "gross_profit").distinct().collect() == [(0, 0.0)]
+
+
+def test_directions_whose_edges_differ_in_the_last_bit_are_equal(spark):
+    rows = [("x", "d", g, "o", dir_, 1, edge) for g, pair in (("a", (0.3, 0.1 + 0.2)), ("b", (0.1 + 0.2, 0.3)), ("c", (0.3, 0.30001))) for dir_, edge in enumerate(pair)]
+    df = spark.createDataFrame(rows, "sport string, game_date string, team_a string, team_b string, dir int, is_exec int, edge double")
+    assert {r.team_a: r.dir for r in ladders.best_direction(df).collect()} == {"a": 0, "b": 0, "c": 1}
