@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,32 +43,46 @@ def src_ord(page: Column, event: Column, market: Column) -> Column:
     return page * 100_000_000 + event.cast("long") * 10_000 + market.cast("long")
 
 
+def _structs(ddl: str) -> str:
+    """The fields of a table as those of a struct."""
+    return f"struct<{re.sub(r'(^|, )([A-Za-z_]+) (string|array|struct)', r'\1\2: \3', ddl)}>"
+
+
+def _whole_files(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """(page, pos, e) of files that hold one JSON object or an array of them, over several lines or in one. Spark's reader of multi-line
+    JSON opens a file again for each value that isn't a text (a flag, a number, an object) where the schema asks for one; a text that is
+    parsed has them at hand, and gives an array's places besides."""
+    texts = spark.read.schema("value string").text(path, wholetext=True).select(_page().alias("page"), "value")
+    return texts.select("page", F.posexplode(F.from_json("value", f"array<{_structs(ddl)}>")).alias("pos", "e"))
+
+
 def read_kalshi_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of landed pages {events: [...], cursor}: page, event_pos and the event's fields."""
-    pages = spark.read.option("multiLine", True).schema(f"events array<struct<{_K_EVENT_STRUCT}>>, cursor string").json(path)
-    return pages.select(_page().alias("page"), F.posexplode("events").alias("event_pos", "e")).select("page", "event_pos", "e.*")
+    pages = _whole_files(spark, path, f"events array<struct<{_K_EVENT_STRUCT}>>, cursor string")
+    return pages.select("page", F.posexplode("e.events").alias("event_pos", "e")).select("page", "event_pos", "e.*")
 
 
 def read_poly_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of landed pages [...]: page, event_pos and the event's fields. Arrays inside may be real or JSON texts."""
-    pages = spark.read.option("multiLine", True).schema(P_EVENT).json(path)
-    pages = pages.select(_page().alias("page"), *[c for c in pages.columns if c != "page"])
-    # A page is one file; its array's rows come in order, and their ids ascend within the file.
-    order = Window.partitionBy("page").orderBy("_seq")
-    return pages.withColumn("_seq", F.monotonically_increasing_id()).withColumn("event_pos", F.row_number().over(order) - 1).drop("_seq")
+    return _whole_files(spark, path, P_EVENT).select("page", F.col("pos").alias("event_pos"), "e.*")
 
 
 K_BOOK = "ticker string, observed_at string, orderbook_fp struct<no_dollars: array<array<string>>>, orderbook struct<no: array<array<string>>>"
 P_BOOK = "token_id string, observed_at string, asks array<struct<price: string, size: string>>"
 
 
+def _books(spark: SparkSession, path: str, lines: bool, ddl: str) -> DataFrame:
+    books = spark.read.schema(ddl).json(path) if lines else _whole_files(spark, path, ddl).select("e.*")
+    return books.withColumn("observed_at", parse_ts(F.col("observed_at")))
+
+
 def read_kalshi_books(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Landed books, one a file or (lines) one a line."""
-    return spark.read.option("multiLine", not lines).schema(K_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
+    return _books(spark, path, lines, K_BOOK)
 
 
 def read_poly_books(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return spark.read.option("multiLine", not lines).schema(P_BOOK).json(path).withColumn("observed_at", parse_ts(F.col("observed_at")))
+    return _books(spark, path, lines, P_BOOK)
 
 
 _K_QUOTE = K_MARKET.replace(" string", ": string")

@@ -177,3 +177,16 @@ def test_pages_keep_their_order(spark, tmp_path):
     k = sorted((r.page, r.event_pos, r.event_ticker) for r in landed.read_kalshi_events(spark, f"{tmp_path}/k").collect())
     p = sorted((r.page, r.event_pos, r.slug) for r in landed.read_poly_events(spark, f"{tmp_path}/p").collect())
     assert k == p == [(x, y, f"E{x}{y}") for x in (0, 1, 12) for y in (0, 1, 2)]
+
+
+def test_pages_are_parsed_as_texts_and_odd_events_lose_no_others(spark, tmp_path):
+    event = lambda i, **more: {"id": i, "slug": f"nfl-a-b-2025-09-{i:02d}", "sport": {"sport": "nfl"}, "live": True, "ended": 0, "markets": [{"id": i, "closed": False, "volume": 5}]} | more
+    dump(tmp_path / "p/page-3.json", [event(1), event(2, markets="none"), event(3, sport="nfl")])
+    (tmp_path / "p/page-4.json").write_text("[not json")
+    (tmp_path / "p/page-5.json").write_text(json.dumps(event(4), indent=2))
+    df = landed.read_poly_events(spark, f"{tmp_path}/p")
+    rows = [(r.page, r.event_pos, r.id, r.sport, r.live, r.ended, r.markets[0].closed if r.markets else None) for r in df.where("id is not null").orderBy("page", "event_pos").collect()]
+    assert [r[:3] for r in rows] == [(3, 0, "1"), (3, 1, "2"), (3, 2, "3"), (5, 0, "4")]
+    assert rows[0][3:] == ('{"sport":"nfl"}', "true", "0", "false") and rows[2][3] == "nfl"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan and "Exchange" not in plan  # no value opens the file again, no page is numbered by a shuffle
