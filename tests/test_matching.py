@@ -119,3 +119,11 @@ def test_a_pair_that_plays_daily_takes_linear_time(spark):
     start = time.time()
     got = matching.assign_one_to_one(cand).select("k_ord", "p_ord").collect()
     assert len(got) == n and all(r.k_ord == r.p_ord for r in got) and time.time() - start < 60
+
+
+def test_keys_of_names_are_made_of_games_not_of_listings(spark):
+    rows = [("tennis", a, b, D, i) for i in range(6) for a, b in (("ann lee", "bo fox"), ("bo fox", "ann lee"))]
+    games = matching.group_games(spark.createDataFrame(rows, "sport string, team string, opponent string, game_date date, src_ord long"))
+    df = matching.pair_candidates_fuzzy(games, games, names_equal, 1, name_keys)
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()  # games are read as written
+    assert [(r.k_ord, r.p_ord, r.map_a) for r in df.collect()] == [(0, 0, "ann lee")]
