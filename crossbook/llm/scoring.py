@@ -11,10 +11,12 @@ never occurs passes on the shorter one's probability. A text begins after two ma
    training counts, go to the word's bucket, which adds them up and gives every word a number, small for frequent words, and returns
    numbers and counts to the chunks. How Spark cuts the files can't matter later, as nothing reads the texts again.
 2. Written chunks meet their words' numbers, and send their (u, v, w, text, count) to the shard of v, packed: one shuffle of
-   a few bytes a token. A shard holds whole contexts v. A word v with more than HEAVY occurrences is dealt to several contexts (v, i) by
-   the hash of u, which takes the place of v in p(w | v); so a frequent word doesn't gather in one task, and what one text repeats is
-   counted before it is sent.
-3. A shard makes two tries from its training n-grams: words, contexts (v, i) and words after them; words v, words u before them
+   a few bytes a token. A shard holds whole contexts v. A word v with more than HEAVY occurrences is dealt to several shards by
+   the hash of u, so a frequent word doesn't gather in one task, and what one text repeats is counted before it is sent.
+3. Shards that hold part of a frequent word send their different pairs (v, w), counted, to buckets of pairs, which add them up and
+   return c(vw) and their share of t(v). They read the shuffle of step 2, which is not made again. So where words are cut is of no
+   effect on the model.
+4. A shard makes two tries from its training n-grams: words, words v and words after them; words v, words u before them
    and words after both. Their levels (monotone pointers, quantised log probabilities and back-off weights) are written,
    memory-mapped, and asked for all n-grams of the shard by successor search. Each text's parts are then added up.
 
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from . import eliasfano, lake, textkit
 
 FOLDS, HELD_OUT = 5, 1
-#: Tokens of a shard, and occurrences of a word that are one context at most.
+#: Tokens of a shard, and occurrences of a word that go to one shard at most.
 SHARD_TOKENS = 1_000_000
 HEAVY = 250_000
 CHUNK_BYTES = (4 << 20) - 16
@@ -163,31 +165,123 @@ def vocabulary(chunks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _parts(count: np.ndarray, before: np.ndarray, heavy: int) -> np.ndarray:
-    """Which context of a word that occurs so often stands for it after the word before."""
+    """Which part of a word that occurs so often takes it after the word before. It only tells where an n-gram is counted."""
     k = np.maximum(1, -(-count // heavy)).astype(np.uint64)
     return (textkit.mix(before.astype(np.uint64)) % k).astype(np.int64)
 
 
+def _by_pair(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pairs by (v, w), where in it new ones begin, and the number of each pair in the order given."""
+    order = np.lexsort((w, v))
+    a, b = v[order], w[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    at = np.empty(len(v), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), at
+
+
+class _Shard:
+    """The n-grams of a shard's rows: v, u, w (positions in name), times, train; and what each row holds."""
+
+    def __init__(self, group: pa.Table):
+        self.blocks = [_unpack(x.as_py()) for x in group.column("packed")]
+        own = [np.cumsum(b[0]) for b in self.blocks]
+        self.name, first = np.unique(np.concatenate(own), return_index=True)
+        self.count = np.concatenate([_walked(b[1]) for b in self.blocks])[first]
+        grams = []
+        for o, b in zip(own, self.blocks, strict=True):
+            x = np.cumsum(b[2])
+            y = _whole(b[3], x)
+            grams.append([np.searchsorted(self.name, o)[i] for i in (x, y, _whole(b[4], x << 32 | y))])
+        self.v, self.u, self.w = (np.concatenate(x) for x in zip(*grams, strict=True))
+        self.times = np.concatenate([b[6] for b in self.blocks]) + 1
+        self.train = np.concatenate([b[5] < n for b, n in zip(self.blocks, group.column("learn").to_numpy(), strict=True)])
+
+
+def _pair_bucket(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    h = textkit.mix(textkit.mix(v.astype(np.uint64)) + w.astype(np.uint64))
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def pair_totals(blocks: DataFrame, shards: int, heavy: int) -> DataFrame:
+    """For shards of blocks that hold words of more than heavy occurrences, rows (shard, asked: words v; of different pairs v, w; totals: the
+    pairs' training counts in all shards; for each asked word the different words after it in the row's bucket).
+
+    A shard sends each bucket its pairs there, and all its frequent words, which are few: each fills a good part of a shard."""
+    buckets = shards // 8 + 1
+
+    def send(key, group):
+        s = _Shard(group)
+        often = np.flatnonzero(s.count[s.v] > heavy)
+        v, w, k = s.v[often], s.w[often], len(s.name)
+        pairs, at = np.unique(v * k + w, return_inverse=True)
+        n = np.bincount(at, weights=(s.times * s.train)[often], minlength=len(pairs)).astype(np.int64)
+        x, y = s.name[pairs // k], s.name[pairs % k]
+        asked, bucket = np.unique(x), _pair_bucket(x, y, buckets)
+        order = np.argsort(bucket, kind="stable")  # by pair within a bucket
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)] if len(asked) else []
+        return pa.table({
+            "shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "bucket": pa.array(range(len(rows)), pa.int32()),
+            "asked": pa.array([_pack(np.diff(asked, prepend=0), np.diff(x[r], prepend=0), _within(y[r], x[r])) for r in rows], pa.binary()), "counts": pa.array([_pack(n[r]) for r in rows], pa.binary()),
+        })
+
+    def total(key, group):
+        asked = [_unpack(x.as_py()) for x in group.column("asked")]
+        v = [np.cumsum(a[1]) for a in asked]
+        w = [_whole(a[2], x) for a, x in zip(asked, v, strict=True)]
+        ends = np.cumsum([len(x) for x in v])[:-1]
+        v, w = np.concatenate(v), np.concatenate(w)
+        order, first, at = _by_pair(v, w)
+        n = np.bincount(at, weights=np.concatenate([_unpack(x.as_py())[0] for x in group.column("counts")]), minlength=len(first)).astype(np.int64)
+        words, kinds = np.unique(v[order[first]][n > 0], return_counts=True)
+        words, kinds = np.append(words, np.iinfo(np.int64).max), np.append(kinds, 0)
+        out = []
+        for a, x in zip(asked, np.split(at, ends), strict=True):
+            ask = np.cumsum(a[0])
+            place = np.searchsorted(words, ask)
+            out.append(_pack(n[x], np.where(words[place] == ask, kinds[place], 0)))
+        return pa.table({"shard": group.column("shard"), "asked": group.column("asked"), "totals": pa.array(out, pa.binary())})
+
+    sent = blocks.groupBy("shard").applyInArrow(send, "shard long, bucket int, asked binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(total, "shard long, asked binary, totals binary")
+
+
+def _frequent(totals: pa.Table) -> tuple[np.ndarray, ...]:
+    """Pairs v, w with their counts, and words with how many different ones follow them, of a shard's rows of pair_totals."""
+    if not len(totals):
+        return (np.zeros(0, dtype=np.int64),) * 5
+    asked, found = ([_unpack(x.as_py()) for x in totals.column(c)] for c in ("asked", "totals"))
+    v = [np.cumsum(a[1]) for a in asked]
+    w = [_whole(a[2], x) for a, x in zip(asked, v, strict=True)]
+    return np.concatenate(v), np.concatenate(w), np.concatenate([f[0] for f in found]), np.cumsum(asked[0][0]), np.sum([f[1] for f in found], axis=0)
+
+
 class _Model:
     """The two tries of a shard, from its training n-grams."""
 
-    def __init__(self, names: np.ndarray, count: np.ndarray, mass: float, v, part, u, w, n):
-        """names, count: numbers of the training words (sorted) and how often each occurs; v, u, w: their positions; n: times seen."""
+    def __init__(self, names: np.ndarray, count: np.ndarray, mass: float, v, u, w, n, frequent):
+        """names, count: numbers of the training words (sorted) and how often each occurs; v, u, w: their positions; n: times seen.
+        frequent: of words that other shards hold, too, pairs v, w (positions) and their counts, words and how many different ones follow."""
         alone, k = (count + 0.5) / mass, len(names)
-        wide = int(part.max(initial=0)) + 1
-        contexts, at = np.unique(v * wide + part, return_inverse=True)
-        pairs, pair = np.unique(at * k + w, return_inverse=True)
+        fv, fw, fn, words, kinds = frequent
+        pairs, pair = np.unique(np.concatenate((v * k + w, fv * k + fw)), return_inverse=True)
+        pair, given = pair[: len(v)], pair[len(v) :]
+        contexts = np.union1d(pairs // k, words)  # a word may be followed by none of its pairs here
+        of = np.searchsorted(contexts, pairs // k)
         longer, long_at, _ = self._unique(v * k + u)
         triples, triple, some = self._unique(long_at * k + w)
         c2, c3 = (np.bincount(x, weights=n, minlength=m) for x, m in ((pair, len(pairs)), (triple, len(triples))))
-        c1, cl = (np.bincount(x, weights=n, minlength=m) for x, m in ((at, len(contexts)), (long_at, len(longer))))
-        t1, tl = np.bincount(pairs // k, minlength=len(contexts)), np.bincount(triples // k, minlength=len(longer))
-        of, ofl = pairs // k, triples // k
+        c1, cl = count[contexts].astype(np.float64), np.bincount(long_at, weights=n, minlength=len(longer))
+        t1, tl = np.bincount(of, minlength=len(contexts)), np.bincount(triples // k, minlength=len(longer))
+        c2[given] = fn
+        t1[np.searchsorted(contexts, words)] = kinds
+        ofl = triples // k
         p2 = (c2 + t1[of] * alone[pairs % k]) / (c1 + t1)[of]
         p3 = (c3 + tl[ofl] * p2[pair[some]]) / (cl + tl)[ofl]
         words, level = eliasfano.EliasFano.of(names), eliasfano.Level.of
         codes = eliasfano.quantised(np.log10(alone))
-        self.short = eliasfano.Trie(words, *codes, [level(k, contexts // wide, contexts % wide, np.log10(t1 / (c1 + t1))), level(len(contexts), of, pairs % k, np.log10(p2))])
+        self.short = eliasfano.Trie(words, *codes, [level(k, contexts, np.zeros(len(contexts), dtype=np.int64), np.log10(t1 / (c1 + t1))), level(len(contexts), of, pairs % k, np.log10(p2))])
         self.long = eliasfano.Trie(words, *codes, [level(k, longer // k, longer % k, np.log10(tl / (cl + tl))), level(len(longer), ofl, triples % k, np.log10(p3))])
         self.unknown = np.log10(0.5 / mass)
 
@@ -206,13 +300,13 @@ class _Model:
             os.unlink(path)  # the mapping keeps it until the task is done with it
         return self
 
-    def log10(self, names: np.ndarray, v: np.ndarray, part: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def log10(self, names: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 p(w | u v) of n-grams given by positions in names, numbers of words. Each part of an n-gram is looked up once."""
         ids = self.short.word_ids(names.astype(np.uint64))
         p = np.full(len(names), self.unknown)
         p[ids >= 0] = self.short.word_value(ids[ids >= 0])
         p = p[w]
-        for trie, next_ in ((self.short, part), (self.long, ids[u])):
+        for trie, next_ in ((self.short, np.zeros(len(v), dtype=np.int64)), (self.long, ids[u])):
             context, at, first = self._unique(v * (int(next_.max(initial=0)) + 2) + next_ + 1)
             found = trie.find([ids[v[first]], next_[first]])
             weight = np.zeros(len(context))
@@ -280,30 +374,21 @@ def scores(docs: DataFrame) -> DataFrame:
              "ids": put(ids, pa.list_(pa.int64())), "figures": put(_pack(n, known.astype(np.int64)), pa.binary()), "base": put(base.tobytes(), pa.binary())}
         )
 
-    def score(key, group):
-        blocks = [_unpack(x.as_py()) for x in group.column("packed")]
-        learn = group.column("learn").to_numpy()
-        own = [np.cumsum(b[0]) for b in blocks]
-        name, first = np.unique(np.concatenate(own), return_index=True)
-        count = np.concatenate([_walked(b[1]) for b in blocks])[first]
-        grams = []
-        for o, b in zip(own, blocks, strict=True):
-            x = np.cumsum(b[2])
-            y = _whole(b[3], x)
-            grams.append([np.searchsorted(name, o)[i] for i in (x, y, _whole(b[4], x << 32 | y))])
-        v, u, w = (np.concatenate(x) for x in zip(*grams, strict=True))
-        times = np.concatenate([b[6] for b in blocks]) + 1
-        train = np.concatenate([b[5] < n for b, n in zip(blocks, learn, strict=True)])
-        part = _parts(count[v], name[u], heavy)
-        known = np.flatnonzero(count > 0)
-        at = np.cumsum(count > 0) - 1
-        model = _Model(name[known], count[known], mass, at[v[train]], part[train], at[u[train]], at[w[train]], times[train]).mapped()
+    def score(key, group, totals):
+        s = _Shard(group)
+        name, v, u, w, times, train = s.name, s.v, s.u, s.w, s.times, s.train
+        known = np.flatnonzero(s.count > 0)
+        names, at = name[known], np.cumsum(s.count > 0) - 1
+        fv, fw, fn, words, kinds = _frequent(totals)
+        seen = fn > 0  # pairs that are only asked for aren't in the model
+        frequent = (np.searchsorted(names, fv[seen]), np.searchsorted(names, fw[seen]), fn[seen], np.searchsorted(names, words[kinds > 0]), kinds[kinds > 0])
+        model = _Model(names, s.count[known], mass, at[v[train]], at[u[train]], at[w[train]], times[train], frequent).mapped()
         # Each n-gram is asked for once.
         longer, pair = np.unique(v * len(name) + u, return_inverse=True)
         grams, gram, some = _Model._unique(pair * len(name) + w)
-        p = model.log10(name, v[some], part[some], u[some], w[some])[gram] * times
+        p = model.log10(name, v[some], u[some], w[some])[gram] * times
         docs, sums, x = [], [], 0
-        for b in blocks:
+        for b in s.blocks:
             d, at = np.unique(b[5], return_inverse=True)
             docs.append(_pack(d))
             sums.append(np.bincount(at, weights=p[x : x + len(at)]).astype("<f4").tobytes())
@@ -323,7 +408,8 @@ def scores(docs: DataFrame) -> DataFrame:
     tokens = chunks.where("bucket is null").select("chunk", "packed", "ids")
     named = words.where("chunk is not null").select("chunk", "bucket", "packed")
     blocks = tokens.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(spread, "shard long, chunk long, learn int, packed binary, ids array<long>, figures binary, base binary")
-    parts = blocks.groupBy("shard").applyInArrow(score, "chunk long, docs binary, sums binary, ids array<long>, figures binary, base binary")
+    totals = pair_totals(blocks, shards, heavy)
+    parts = blocks.groupBy("shard").cogroup(totals.groupBy("shard")).applyInArrow(score, "chunk long, docs binary, sums binary, ids array<long>, figures binary, base binary")
     return parts.groupBy("chunk").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -93,6 +93,24 @@ def test_shards_of_frequent_words(make, corpus, monkeypatch):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+@pytest.mark.parametrize(("heavy", "shard_tokens"), [(40, 700), (3, 300), (40, 1_000_000)])
+def test_frequent_words_follow_the_formula(make, corpus, monkeypatch, heavy, shard_tokens):
+    """Where a frequent word's n-grams are counted doesn't change the model, and so the size of the corpus doesn't."""
+    monkeypatch.setattr(scoring, "HEAVY", heavy)
+    monkeypatch.setattr(scoring, "SHARD_TOKENS", shard_tokens)
+    rows = [*corpus, *((i + 100, t) for i, t in corpus[:30]), (None, "no id")]
+    got = sorted(map(tuple, scoring.scores(make(rows)).collect()), key=lambda r: (str(r[0]), r[2]))
+    for g, w in zip(got, brute(rows), strict=True):
+        assert g[1:5] == w[1:5] and g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
+
+
+def test_frequent_words_read_one_shuffle(make, corpus):
+    """The n-grams that shards count pairs from and that they score are shuffled once."""
+    scored = scoring.scores(make(corpus))
+    scored.collect()
+    assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_differences_round_trip():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 10**9, 500)
