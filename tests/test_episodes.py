@@ -131,3 +131,18 @@ def test_rollup_becomes_live(spark):
     rows = [tick(1, 0, 0.05), tick(2, 10, 0.0), tick(3, 20, 0.01, live=1)]
     r = stats.match_rollups(episodes.find_episodes(spark.createDataFrame(rows, SCHEMA), ((0.0, False),))).first()
     assert (r.episodes, r.peak_edge, r.status, r.live, r.duration_seconds) == (2, 0.05, "live", 1, 10.0)
+
+
+def test_only_long_series_are_cut_into_days(spark, monkeypatch):
+    """Series of a few ticks a day keep one shuffled row a tick; longer ones beside them are cut, with the same episodes."""
+    rng = random.Random(8)
+    rows = [tick(i, rng.randrange(0, 6 * 86_400), rng.choice((0.02, 0.005, -0.1, None)), team="abc"[i % 7 % 3] if i % 2 else f"s{i % 40}", live=i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = found(episodes.find_episodes(df, gap_break=20_000.0))
+    whole = episodes.find_episodes(df, gap_break=20_000.0, by_day=True)
+    assert found(whole) == want and "Union" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(episodes, "LONG", 30)
+    cut = episodes.find_episodes(df, gap_break=20_000.0, by_day=True)
+    assert found(cut) == want and "Union" in cut._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(episodes, "FEW", 0)
+    assert found(episodes.find_episodes(df, gap_break=20_000.0, by_day=True)) == want
