@@ -2,6 +2,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,49 @@ def test_episodes_at_all_thresholds_at_once(spark, tmp_path):
     key = lambda r: (r.min_edge, r.inclusive, r.start, r.end, r.peak_edge, r.ticks)
     got = sorted(map(key, spark.read.parquet(str(tmp_path / "eps")).collect()))
     assert got == sorted(map(key, episodes.find_episodes(df).collect())) and len({g[0] for g in got}) == 4
+
+
+def test_calls_to_the_state_store_do_not_grow_with_matches():
+    """A group's matches are one value of state; those that have ended leave none."""
+    calls, held = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return held.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            held["value"] = value
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+        deleteTimer = registerTimer
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+        def getExpiryTimeInMs(self):
+            return self.now - 1
+
+    p, times = streams.EpisodeProcessor(((0.0, False),), 900.0), Times()
+    p.init(Handle())
+    rows = [("nfl", "d", f"a{i}", None, 10**6 * (i + 1), i, 0.02, "t", 0, "pro", 0, None, "pregame") for i in range(200)]
+    assert list(p.handleInputRows((3,), iter([pd.DataFrame(rows, columns=[*episodes.MATCH_KEY, *streams._TICK])]), times)) == []
+    assert calls == ["get", "timer", "update"]
+    times.now = 10**9
+    (out,) = p.handleExpiredTimer((3,), times, times)
+    assert len(out) == 200 and out.ticks.tolist() == [1] * 200 and out.ended.isna().all() and out.start.tolist() == [r[4] for r in rows]
+    assert calls[3:] == ["get", "clear"] and not held
