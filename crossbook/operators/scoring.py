@@ -30,24 +30,28 @@ def score_arbs(matches: DataFrame) -> DataFrame:
 
 
 def quote_matches(matches: DataFrame, k_quotes: DataFrame, p_quotes: DataFrame) -> DataFrame:
+    """match_quotes of both venues' quotes: of tickers (with yes), and of markets (with outcomes and prices)."""
+    k = k_quotes.select("observed_at", F.lit("k").alias("venue"), F.col("ticker").alias("id"), "yes", "closed")
+    p = p_quotes.select("observed_at", F.lit("p").alias("venue"), F.col("market_id").alias("id"), "closed", "outcomes", "prices")
+    return match_quotes(matches, k.unionByName(p, allowMissingColumns=True))
+
+
+def match_quotes(matches: DataFrame, quotes: DataFrame) -> DataFrame:
     """Each match with the prices quoted at each observed_at; without all four it stays only if a venue has closed it.
 
-    Quotes come from exploded payloads, whose size Spark can't tell, so the joins are merge joins on ticker, market and match."""
+    quotes: as landed.line_quotes. All of them meet the matches' ids in one join, and one shuffle on the match puts the venues' quotes and
+    the match together. Quotes come from exploded payloads, whose size Spark can't tell, so the joins are merge joins."""
     m = matches.drop(*PRICES)
-    k = k_quotes.select("observed_at", F.col("ticker"), "yes", F.col("closed"))
-    ka = m.join(k.select(F.col("observed_at"), F.col("ticker").alias("kalshi_id_a"), F.col("yes").alias("kalshi_yes_a"), F.col("closed").alias("ca")).hint("merge"), "kalshi_id_a")
-    kb = m.join(k.select(F.col("observed_at"), F.col("ticker").alias("kalshi_id_b"), F.col("yes").alias("kalshi_yes_b"), F.col("closed").alias("cb")).hint("merge"), "kalshi_id_b")
-    keyed = m.select("sport", "game_date", "team_a", "team_b", "poly_id")
-    p = poly_outcome_prices(keyed.join(p_quotes.withColumnRenamed("market_id", "poly_id").hint("merge"), "poly_id"))
-    key = ["sport", "game_date", "team_a", "team_b", "observed_at"]
-    sides = (
-        ka.select(*key, "kalshi_yes_a", "ca").unionByName(kb.select(*key, "kalshi_yes_b", "cb"), allowMissingColumns=True)
-        .unionByName(p.select(*key, F.col("yes_a").alias("poly_yes_a"), F.col("yes_b").alias("poly_yes_b"), F.col("closed").alias("cp")), allowMissingColumns=True)
+    key = ["team_a", "team_b", "game_date", "sport"]  # what differs most comes first, as sorts compare in this order
+    ids = [F.struct(F.lit(venue).alias("venue"), F.col(c).alias("id"), F.lit(side).alias("side")) for venue, c, side in (("k", "kalshi_id_a", "a"), ("k", "kalshi_id_b", "b"), ("p", "poly_id", "p"))]
+    sides = quotes.join(m.select(*key, F.inline(F.array(*ids))).hint("merge"), ["id", "venue"])
+    sides = poly_outcome_prices(sides).select(
+        *key, "observed_at", "closed", F.when(F.col("side") == "a", F.col("yes")).alias("kalshi_yes_a"), F.when(F.col("side") == "b", F.col("yes")).alias("kalshi_yes_b"),
+        F.when(F.col("side") == "p", F.col("yes_a")).alias("poly_yes_a"), F.when(F.col("side") == "p", F.col("yes_b")).alias("poly_yes_b"),
     )
-    # One shuffle on the match and time puts the venues' quotes together.
-    joined = sides.groupBy(*key).agg(*[F.max(c).alias(c) for c in PRICES], F.coalesce(F.bool_or(F.coalesce("ca", "cb", "cp")), F.lit(False)).cast("int").alias("closed"))
-    out = joined.join(m.hint("merge"), ["sport", "game_date", "team_a", "team_b"])
-    return out.where("closed = 1 or (" + " and ".join(f"{c} is not null" for c in PRICES) + ")")
+    quoted = sides.repartition(*key).groupBy(*key, "observed_at").agg(*[F.max(c).alias(c) for c in PRICES], F.coalesce(F.bool_or("closed"), F.lit(False)).cast("int").alias("closed"))
+    quoted = quoted.where("closed = 1 or (" + " and ".join(f"{c} is not null" for c in PRICES) + ")")
+    return quoted.join(m.hint("merge"), key)
 
 
 def score_quotes(quotes: DataFrame) -> DataFrame:

@@ -116,6 +116,37 @@ def poly_quotes(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Landed quotes of either venue, one a line: those of the first as K_QUOTE_SCHEMA, of the second as P_QUOTE_SCHEMA with market as p_market.
+QUOTE_LINE = f"venue string, {K_QUOTE_SCHEMA}, {P_QUOTE_SCHEMA.replace('observed_at string, ', '').replace(', market struct', ', p_market struct')}"
+
+
+def line_quotes(raw: DataFrame) -> DataFrame:
+    """Quotes (observed_at, venue, id, yes, closed, outcomes, prices) of lines (QUOTE_LINE) of both venues, each line read once: those of
+    kalshi_quotes, by ticker, with yes, and of poly_quotes, by market, with outcomes and prices. Dealt by id and venue."""
+    wrapped = F.col("id").isNull() & F.col("p_market").isNotNull()
+    pick = lambda c: F.when(wrapped, F.col(f"p_market.{c}")).otherwise(F.col(c))
+    none = F.array().cast(f"array<struct<{_K_QUOTE}>>")
+    listed = F.coalesce("event.markets", "markets", none)
+    first = F.concat(listed, F.when(F.col("market").isNotNull(), F.array("market")).otherwise(none))
+    lines = raw.where("venue IN ('k', 'p')").select(
+        "venue", parse_ts(F.col("observed_at")).alias("observed_at"), F.when(F.col("venue") == "p", F.struct(*[pick(c).alias(c) for c in ("id", "slug", "outcomes", "outcomePrices", "closed", "active")])).alias("p"),
+        F.size(listed).alias("listed"), F.posexplode_outer(F.when(F.col("venue") == "k", first)).alias("pos", "m"),
+    )
+    rows = lines.select(
+        F.when(F.col("venue") == "k", truthy(F.col("m.ticker"))).otherwise(F.coalesce("p.id", "p.slug")).alias("id"), "venue", "observed_at", (F.col("pos") >= F.col("listed")).alias("single"),
+        "m.yes_ask_dollars", "m.last_price_dollars", "m.status", "p.outcomes", "p.outcomePrices", "p.closed", "p.active",
+    ).where("id is not null")
+    # A ticker's one quote of a time, as in kalshi_quotes; dealt by id, so that a join on it needs no other shuffle.
+    order = ["single", F.desc_nulls_last("yes_ask_dollars"), F.desc_nulls_last("last_price_dollars"), F.desc_nulls_last("status")]
+    n = F.row_number().over(Window.partitionBy("id", "venue", "observed_at").orderBy(*order))
+    one = rows.repartition("id", "venue").withColumn("_n", n).where("_n = 1 or venue = 'p'")
+    k = F.col("venue") == "k"
+    return one.select(
+        "observed_at", "venue", "id", F.when(k, parse_price(F.coalesce(truthy(F.col("yes_ask_dollars")), F.col("last_price_dollars")))).alias("yes"),
+        F.when(k, kalshi_closed(F.col("status"))).otherwise(poly_closed(F.col("closed"), F.col("active"))).alias("closed"), json_array(F.col("outcomes")).alias("outcomes"), json_array(F.col("outcomePrices")).alias("prices"),
+    )
+
+
 def poly_quote_texts(texts: DataFrame) -> DataFrame:
     """Quotes of payloads (value): a market, {market: {...}}, or a list of which the first market counts."""
     text = F.when(F.col("value").rlike(r"^\s*\["), F.get_json_object("value", "$[0]")).otherwise(F.col("value"))
