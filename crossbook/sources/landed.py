@@ -31,11 +31,18 @@ def _page() -> Column:
     return F.coalesce(folder, F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).try_cast("long"), F.lit(0))
 
 
+def page_lines(events: DataFrame, before: str, after: str) -> DataFrame:
+    """Lines (page, value) of pages: an event each, with before at a page's first and after at its last."""
+    w = Window.partitionBy("page").orderBy("event_pos")
+    lines = events.where("value is not null").withColumns({"first": F.row_number().over(w) == 1, "last": F.lead(F.lit(1)).over(w).isNull()})
+    text = F.concat(F.when(F.col("first"), before).otherwise(", "), "value", F.when(F.col("last"), after).otherwise(""))
+    return lines.select("page", text.alias("value"))
+
+
 def land_pages(events: DataFrame, folder: str, before: str = "[", after: str = "]") -> None:
-    """Lands events (page, event_pos, value: JSON) as the venues' pages, each in a folder page=<number>: before, the events, after."""
-    lists = events.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("event_pos", "value"))).alias("events"))  # a page's events
-    text = F.concat(F.lit(before), F.array_join(F.transform("events", lambda e: e["value"]), ", "), F.lit(after))
-    lists.select("page", text.alias("value")).write.mode("append").partitionBy("page").text(folder)
+    """Lands events (page, event_pos, value: JSON) as the venues' pages, each a compressed file in a folder page=<number>: before, the
+    events, after. A page is written as its events come; those that come dealt by page and sorted are not shuffled or sorted again."""
+    page_lines(events, before, after).write.mode("append").partitionBy("page").text(folder, compression="gzip")
 
 
 def src_ord(page: Column, event: Column, market: Column) -> Column:

@@ -1,11 +1,13 @@
 import json
+import time
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from crossbook.operators import ladders, scoring
-from crossbook.plans import jobs
+from crossbook import replays
+from crossbook.operators import ladders, matching, outcomes, scoring
+from crossbook.plans import jobs, tables
 from crossbook.sources import landed, log, sinks
 
 
@@ -190,3 +192,56 @@ def test_pages_are_parsed_as_texts_and_odd_events_lose_no_others(spark, tmp_path
     assert rows[0][3:] == ('{"sport":"nfl"}', "true", "0", "false") and rows[2][3] == "nfl"
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" in plan and "Exchange" not in plan  # no value opens the file again, no page is numbered by a shuffle
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_pages_are_landed_compressed_and_no_text_is_shuffled(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id AS k", "id % 2 AS page", "id div 2 AS event_pos")
+    events = replays.paged(rows).selectExpr("page", "event_pos", "to_json(named_struct('event_ticker', concat('E', k), 'title', repeat('title ', 50))) AS value")
+    plan = _plan(landed.page_lines(events, "[", "]"))
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # of the keys; the texts come after
+    landed.land_pages(events, f"{tmp_path}/k", '{"events": [', '], "cursor": null}')
+    files = list((tmp_path / "k").glob("page=*/*.gz"))
+    assert sorted(f.parent.name for f in files) == ["page=0", "page=1", "page=1000000", "page=1000001"]
+    assert sum(f.stat().st_size for f in files) < 5000 * 300 / 10
+    got = {(r.page, r.event_pos): r.event_ticker for r in landed.read_kalshi_events(spark, f"{tmp_path}/k").collect()}
+    assert got == {(k % 2 * 1_000_000 + k // 2 // replays.PAGE, k // 2 % replays.PAGE): f"E{k}" for k in range(5000)}
+    landed.land_pages(events.where("false"), f"{tmp_path}/none")
+    assert landed.read_kalshi_events(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_outcomes_of_an_event_are_told_apart_without_a_shuffle(spark):
+    line = lambda *names: [{"id": "7", "sportsMarketType": "moneyline", "outcomes": json.dumps(names), "outcomePrices": json.dumps([str(i / 10) for i in range(len(names))])}]
+    events = [(0, 0, "1", "nfl-a-b-2025-09-07", line("Packers", "?", "packers", "Bears")), (0, 1, "1", "nfl-a-b-2025-09-07", line("Bears")), (1, 0, "2", "nfl-c-d-2025-09-07", line("?", "Bears"))]
+    df = spark.createDataFrame([(*e[:4], None, "nfl", [], None, None, None, None, e[4]) for e in events], f"page long, event_pos int, {landed.P_EVENT}")
+    out = outcomes.poly_outcomes(df, "nfl")
+    assert [(r.event_id[4], r.team, r.opponent, r.yes_price, r.src_ord) for r in out.orderBy("src_ord").collect()] == [("a", "packers", "bears", 0.0, 0), ("a", "bears", "packers", 0.3, 3), ("c", "bears", "", 0.1, 100_000_001)]
+    assert _plan(out).count("Exchange hashpartitioning") == 1  # that of first_seen
+
+
+def test_rows_of_keys_that_come_once_are_not_shuffled(spark, monkeypatch):
+    df = tables.written(spark.range(300).selectExpr("IF(id % 100 < 2, NULL, CAST(id % 290 AS STRING)) AS a", "'x' AS b", "id AS o"), "t")
+    rows = lambda x: sorted(map(str, x.collect()))
+    want = rows(matching.dedupe_last(df, ["a", "b"], "o"))
+    assert len(want) < 295
+    assert rows(sinks.last_of_repeated(df, ["a", "b"], "o")) == want
+    monkeypatch.setattr(sinks, "REPEATED", 3)
+    assert rows(sinks.last_of_repeated(df, ["a", "b"], "o")) == want
+    once = sinks.last_of_repeated(df, ["o"], "o")
+    assert "Exchange" not in _plan(once) and rows(once) == rows(df)
+
+
+def test_a_discovery_leaves_no_shuffle_files(spark, landing, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before = held()
+    jobs.discover(spark, landing, str(tmp_path / "out"), ("nfl",))
+    for _ in range(100):
+        if held() <= before:
+            break
+        time.sleep(0.1)  # they are removed in the background
+    assert held() <= before
