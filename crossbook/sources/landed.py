@@ -34,8 +34,9 @@ def _page() -> Column:
 def page_lines(events: DataFrame, before: str, after: str) -> DataFrame:
     """Lines (page, value) of pages: an event each, with before at a page's first and after at its last."""
     w = Window.partitionBy("page").orderBy("event_pos")
-    lines = events.where("value is not null").withColumns({"first": F.row_number().over(w) == 1, "last": F.lead(F.lit(1)).over(w).isNull()})
-    text = F.concat(F.when(F.col("first"), before).otherwise(", "), "value", F.when(F.col("last"), after).otherwise(""))
+    lines = events.withColumns({"first": F.row_number().over(w) == 1, "last": F.lead(F.lit(1)).over(w).isNull()})
+    value = F.coalesce("value", F.lit("null"))  # no filter on a text, which Spark would make a second time for it, before the shuffle
+    text = F.concat(F.when(F.col("first"), before).otherwise(", "), value, F.when(F.col("last"), after).otherwise(""))
     return lines.select("page", text.alias("value"))
 
 

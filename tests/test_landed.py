@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from crossbook import replays
+from crossbook import catalog, replays
 from crossbook.operators import ladders, matching, outcomes, scoring
 from crossbook.plans import jobs, tables
 from crossbook.sources import landed, log, sinks
@@ -245,3 +245,16 @@ def test_a_discovery_leaves_no_shuffle_files(spark, landing, tmp_path):
             break
         time.sleep(0.1)  # they are removed in the background
     assert held() <= before
+
+
+def _landed(spark, tmp_path, monkeypatch, name):
+    """Rows of a query over sf0.001, and the files that it lands there."""
+    monkeypatch.setattr(replays, "shared_folder", lambda _, folder: str(tmp_path / folder))
+    n = catalog.queries()[name](spark, "/root/testdata/sf0.001").count()
+    return n, [f for f in (tmp_path / "discover/landing").rglob("part-*")]
+
+
+def test_discovered_markets_land_a_tenth_of_their_texts(spark, tmp_path, monkeypatch):
+    n, files = _landed(spark, tmp_path, monkeypatch, "discovered_markets")
+    assert n > 0 and len(files) == 10  # five pages a venue
+    assert sum(f.stat().st_size for f in files) < 1500 * (638 + 872) / 10  # bytes of an order's texts at both venues
