@@ -258,3 +258,22 @@ def test_discovered_markets_land_a_tenth_of_their_texts(spark, tmp_path, monkeyp
     n, files = _landed(spark, tmp_path, monkeypatch, "discovered_markets")
     assert n > 0 and len(files) == 10  # five pages a venue
     assert sum(f.stat().st_size for f in files) < 1500 * (638 + 872) / 10  # bytes of an order's texts at both venues
+
+
+def test_discovered_arbs_keep_no_shuffle_and_land_compressed(spark, tmp_path, monkeypatch):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before, real, during = held(), sinks.save_snapshot, []
+
+    def saved(*args, **more):
+        for _ in range(100):
+            if held() <= before:
+                break
+            time.sleep(0.1)
+        during.append(held() - before)
+        return real(*args, **more)
+
+    monkeypatch.setattr(sinks, "save_snapshot", saved)
+    n, files = _landed(spark, tmp_path, monkeypatch, "discovered_arbs")
+    assert n > 0 and all(f.name.endswith(".gz") for f in files)
+    assert during == [set()]  # none of landing, parsing and matching when the snapshot is saved
