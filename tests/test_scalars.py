@@ -86,3 +86,11 @@ def test_times_dont_depend_on_the_sessions_zone(spark):
         assert spark.createDataFrame([("2025-09-07",), ("soon",), ("",), (None,)], "x string").select(F.unix_seconds(s.parse_ts(F.col("x")))).collect() == [(1757203200,), (None,), (None,), (None,)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_times_are_computed_once(spark):
+    """A parsed time is in the plan once, not for each of its text's parts."""
+    texts = spark.createDataFrame([("2024-01-01T00:00:00-05:00",), ("1969-12-31T23:59:59.9Z",), ("0000-12-31T23:59:59Z",), ("soon",)], "c string")
+    ts = s.parse_ts(F.col("c"))
+    assert [tuple(r) for r in texts.select(s.iso_utc(ts), s.fmt_ts(ts)).collect()] == [("2024-01-01T05:00:00Z", "2024-01-01 05:00:00 UTC"), ("1969-12-31T23:59:59Z", "1969-12-31 23:59:59 UTC"), ("0000-12-31T23:59:59Z", "0000-12-31 23:59:59 UTC"), (None, "n/a")]
+    assert texts.select(s.iso_utc(ts).alias("t"))._jdf.queryExecution().analyzed().toString().count("unix_seconds") == 1
